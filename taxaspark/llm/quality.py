@@ -27,8 +27,8 @@ LEAST = 50
 RATIOS = {
     "word_length": ("word_chars / n_words", 0.5, True),
     "symbols": ("n_symbols / word_chars", 0.02, False),
-    "dup_lines": ("n_dup_lines / n_lines", 0.05, False),
-    "repeats": ("n_repeat_words / n_words", 0.05, False),
+    "dup_lines": ("n_dup_lines / n_lines", 0.12, False),
+    "repeats": ("n_repeat_words / n_words", 0.12, False),
 }
 
 
