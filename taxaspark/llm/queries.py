@@ -7,12 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaspark.llm import pii, quality
+from taxaspark.llm import packing, pii, quality, simhash, tokenfile, toxicity
 from taxaspark.llm.common import read
 
 PII_KEY = "taxaspark-pseudonyms-1"
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document, written to seekable files and read back."""
+    manifest = tokenfile.write_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2)
+    return tokenfile.read_tokens(manifest, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows mixed by source."""
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1)
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of near-duplicates of each document."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data pseudonymised."""
     return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_found", "n_replaced")
@@ -23,6 +52,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_pii, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_packing, op3_simhash, op4_toxicity, op7_pii, op9_quality)}
 
 ORACLE: dict[str, str] = {}
