@@ -20,8 +20,8 @@ from taxaspark.llm.common import stored, text_or_empty
 
 ORDERS = (3, 4, 5, 6)
 DIMENSIONS = 1 << 20
-FEATURES = 4096
-MAX_TRAIN = 20_000
+FEATURES = 1024
+MAX_TRAIN = 12_000
 THRESHOLD = 0.7
 LEAST_DOCS = 5
 
@@ -50,11 +50,14 @@ def _grams(text: str):
 def present(text: str, column: np.ndarray | None = None) -> np.ndarray:
     """Distinct buckets of a text, or the columns of those buckets that have one (``column``: bucket -> column or -1)."""
     found = []
+    if column is None:
+        seen = np.zeros(DIMENSIONS, bool)
+        for g in _grams(text):
+            seen[g] = True
+        return np.flatnonzero(seen)
     for g in _grams(text):
-        if column is not None:
-            g = column[g]
-            g = g[g >= 0]
-        found.append(np.unique(g))
+        g = column[g]
+        found.append(np.unique(g[g >= 0]))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
@@ -103,7 +106,7 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarr
     return w * scale, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, penalty: float = 1e-6) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, penalty: float = 1e-4) -> Model:
     """A model from at most ``max_train`` rows of ``labels`` (doc_id, toxic) that aren't held out.
 
     Rows with a null doc_id or label are left out; of several labels of a document the largest counts. Without rows of
