@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaspark.llm import packing, pii, quality, simhash, tokenfile, toxicity
+from taxaspark.llm import packing, pii, quality, repeats, simhash, tokenfile, toxicity
 from taxaspark.llm.common import read
 
 PII_KEY = "taxaspark-pseudonyms-1"
@@ -47,11 +47,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_found", "n_replaced")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated byte strings removed from each document."""
+    return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("text")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the adaptive verdict of each document."""
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_packing, op3_simhash, op4_toxicity, op7_pii, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_packing, op3_simhash, op4_toxicity, op7_pii, op8_repeats, op9_quality)}
 
 ORACLE: dict[str, str] = {}
