@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaspark.llm import packing, pii, quality, repeats, simhash, tokenfile, toxicity
+from taxaspark.llm import bytebpe, packing, pii, quality, repeats, simhash, tokenfile, toxicity
 from taxaspark.llm.common import read
 
 PII_KEY = "taxaspark-pseudonyms-1"
@@ -42,6 +42,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of each document, and what they decode to."""
+    import public_tokenizers
+
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    encoded = bytebpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    decoded = bytebpe.decode(F.col("ids"), bytebpe.Ranks(path))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data pseudonymised."""
     return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_found", "n_replaced")
@@ -57,6 +68,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_packing, op3_simhash, op4_toxicity, op7_pii, op8_repeats, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_packing, op3_simhash, op4_toxicity, op6_bytebpe, op7_pii, op8_repeats, op9_quality)}
 
 ORACLE: dict[str, str] = {}
