@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaspark.llm import bytebpe, packing, pii, quality, repeats, simhash, tokenfile, toxicity
+from taxaspark.llm import bytebpe, chat, neighbours, packing, pii, quality, repeats, simhash, tokenfile, toxicity
 from taxaspark.llm.common import read
 
 PII_KEY = "taxaspark-pseudonyms-1"
@@ -42,6 +42,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    vectors = neighbours.valid(read(spark, sf_dir, "embeddings"))
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op6_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of each document, and what they decode to."""
     import public_tokenizers
@@ -68,6 +74,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_packing, op3_simhash, op4_toxicity, op6_bytebpe, op7_pii, op8_repeats, op9_quality)}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations from each participant's perspective, turn by turn."""
+    return chat.perspectives(read(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_packing, op3_simhash, op4_toxicity, op5_neighbours, op6_bytebpe, op7_pii, op8_repeats, op9_quality, op10_chat)}
 
 ORACLE: dict[str, str] = {}
