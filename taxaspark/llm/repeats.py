@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taxaspark.llm.common import stored, text_or_empty
 
@@ -231,7 +233,7 @@ def _merged(ranges: list[dict], mark: int) -> list[list[int]]:
     return out
 
 
-def _cut(batches):
+def _cut(batches, keep: list[str]):
     for batch in batches:
         ranges = batch["ranges"].to_pylist() if "ranges" in batch.schema.names else [None] * batch.num_rows
         cols = [[] for _ in range(6)]
@@ -242,20 +244,24 @@ def _cut(batches):
             kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])) if spans else data
             for c, v in zip(cols, (d, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if spans else t)):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))] + [batch[c] for c in keep], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *keep])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept ``text``.
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, the kept ``text``, and the
+    columns named in ``keep``.
 
     Every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere is removed, in all places. A null text
     is empty; texts under ``LENGTH`` bytes lose nothing. Repeated rows repeat one another and lose everything that is
     long enough. ``text`` drops the broken parts of characters that a cut went through; the hash covers the exact
     bytes. A null doc_id is a document like others. An empty table gives no rows; other columns aren't read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_or_empty().alias("text"), *(keep or []))
     ranges = stored(repeats(rows.select("doc", "text")).groupBy("doc").agg(F.collect_list(F.struct("mark", "start", "stop")).alias("ranges")), "ranges")  # a document's own ranges
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+    keep = keep or []
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    schema = T.StructType([*schema.fields, *[docs.schema[c] for c in keep]])
+    cut_rows = partial(_cut, keep=keep)
     words = _filter_words(ranges)
-    cut = rows.filter(_touched(words)).join(ranges, "doc", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, schema)
-    return cut.unionByName(rows.filter(~_touched(words)).select("doc_id", "text").mapInArrow(_cut, schema))
+    cut = rows.filter(_touched(words)).join(ranges, "doc", "left").select("doc_id", "text", *keep, "ranges").mapInArrow(cut_rows, schema)
+    return cut.unionByName(rows.filter(~_touched(words)).select("doc_id", "text", *keep).mapInArrow(cut_rows, schema))

@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaspark.llm.common import stored, text_or_empty
@@ -174,3 +174,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     full = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
     out = prints.join(full, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is their component's; of repeated ids the least (text, ...) row.
+
+    Rows with a null doc_id stay only where their component has no other id.
+    """
+    found = near_duplicates(docs, shingle, bits)
+    kept = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fingerprint").alias("k"), F.count(F.lit(1)).alias("n")), "kept")
+    rows = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    once = rows.filter("n = 1").select(*docs.columns)
+    least = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    again = rows.filter("n > 1").withColumn("k", F.row_number().over(least)).filter("k = 1").select(*docs.columns)
+    return once.unionByName(again)

@@ -150,13 +150,29 @@ def _score(batches, buckets: np.ndarray, weights: np.ndarray, bias: float):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
 
+def _keep(batches, buckets: np.ndarray, weights: np.ndarray, bias: float, threshold: float):
+    column = np.full(DIMENSIONS, -1, np.int32)
+    column[buckets] = np.arange(len(buckets))
+    model = Model(column, weights, bias)
+    for batch in batches:
+        yield batch.filter(pa.array([model.score(t or "") < threshold for t in batch["text"].to_pylist()], pa.bool_()))
+
+
+def _parts(model: Model) -> dict:
+    buckets = np.flatnonzero(model.column >= 0)
+    return {"buckets": buckets[np.argsort(model.column[buckets])], "weights": model.weights, "bias": model.bias}
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under ``threshold``; a null text counts as empty."""
+    return docs.mapInArrow(partial(_keep, threshold=threshold, **_parts(model)), docs.schema)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text; null counts as empty and scores the bias alone.
 
     Repeated rows are scored one by one; an empty table gives no rows; other columns aren't read.
     """
-    buckets = np.flatnonzero(model.column >= 0)
-    buckets = buckets[np.argsort(model.column[buckets])]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
-    scored = rows.mapInArrow(partial(_score, buckets=buckets, weights=model.weights, bias=model.bias), "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(partial(_score, **_parts(model)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
