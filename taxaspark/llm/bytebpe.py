@@ -1,7 +1,7 @@
 """Byte-level BPE as Spark higher-order functions: ranked merges folded over the bytes of distinct words.
 
-The rank file is one literal: an array of small maps, so that a rank is found by hash in constant time. A word is an
-array of its bytes (as hexadecimal text); ``aggregate`` merges, once for each byte, the adjacent pair of least rank. The
+The rank file is one literal, laid out in hash buckets, so that a rank is found in constant time. A word is an array
+of its bytes (as hexadecimal text); ``aggregate`` merges, once for each byte, the adjacent pair of least rank. The
 words of the corpus are counted, and the frequent ones, up to ``DICTIONARY``, are encoded once each into a dictionary of
 bounded size that tasks look words up in; any other word is folded where it occurs. Both give the same ids, so the
 dictionary's bound is one of memory, not of results. Decoding concatenates the tokens' bytes.
@@ -10,7 +10,7 @@ dictionary's bound is one of memory, not of results. Decoding concatenates the t
 from __future__ import annotations
 
 import base64
-import json
+from collections.abc import Callable
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -31,49 +31,61 @@ def java_pattern(pattern: str) -> str:
 
 
 class Ranks:
-    """Column expressions over a rank file (base64 token and rank on each line)."""
+    """Column expressions over a rank file (base64 token and rank on each line).
+
+    The literal is an array of hash buckets, each a text of |token=rank entries (tokens in hexadecimal). ``bound``
+    makes it a lambda's variable, so that an expression holds it once however often it looks ranks up.
+    """
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(t).hex().upper(): int(r) for t, r in map(bytes.split, f)}
-        buckets: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
+        buckets = [""] * RANK_BUCKETS
         for token, r in ranks.items():
-            buckets[xxhash.xxh64_intdigest(token.encode(), 42) % RANK_BUCKETS][token] = r
-        self.map = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+            buckets[xxhash.xxh64_intdigest(token.encode(), 42) % RANK_BUCKETS] += f"|{token}={r}"
         tokens = [""] * (max(ranks.values()) + 1)
         for token, r in ranks.items():
             tokens[r] = token
-        self.tokens = F.split(F.lit(",".join(tokens)), ",")
+        self.buckets, self.tokens = ",".join(buckets), ",".join(tokens)
+
+    def bound(self, use: Callable[[Column], Column]) -> Column:
+        """``use`` of the rank literal."""
+        return F.transform(F.array(F.split(F.lit(self.buckets), ",")), use)[0]
 
-    def rank(self, piece: Column) -> Column:
+    def rank(self, table: Column, piece: Column) -> Column:
         """Rank of a piece (hexadecimal), or null."""
-        return F.element_at(F.get(self.map, F.pmod(F.xxhash64(piece), F.lit(RANK_BUCKETS)).cast("int")), piece)
+        bucket = F.get(table, F.pmod(F.xxhash64(piece), F.lit(RANK_BUCKETS)).cast("int"))
+        rest = F.split_part(F.concat(bucket, F.lit("|")), F.concat(F.lit("|"), piece, F.lit("=")), F.lit(2))
+        return F.when(rest != "", F.substring_index(rest, "|", 1).cast("int"))
 
-    def fold(self, word: Column) -> Column:
+    def fold(self, table: Column, word: Column) -> Column:
         """Ids of a word: its pieces after all ranked merges."""
-        whole = F.hex(F.encode(word, "UTF-8"))
-        pieces = F.transform(F.sequence(F.lit(0), F.octet_length(word) - 1), lambda i: F.substr(whole, 2 * i + 1, F.lit(2)))
-        start = pieces.alias("p")
-
-        def pair_ranks(p: Column) -> Column:
-            return F.transform(F.slice(p, 2, F.size(p) - 1), lambda x, i: self.rank(F.concat(F.get(p, i), x)))
+        none = F.array().cast("array<int>")
 
         def merge(acc: Column, _: Column) -> Column:
             p, r = acc["p"], acc["r"]
-            i = F.array_position(r, F.array_min(r)).cast("int")
-            both = F.concat(F.get(p, i - 1), F.get(p, i))
-            left = F.when(i > 1, F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), F.array(self.rank(F.concat(F.get(p, i - 2), both))))).otherwise(F.array().cast("array<int>"))
-            right = F.when(i < F.size(r), F.concat(F.array(self.rank(F.concat(both, F.get(p, i + 1)))), F.slice(r, i + 2, F.size(r)))).otherwise(F.array().cast("array<int>"))
-            new = F.concat(F.slice(p, 1, i - 1), F.array(both), F.slice(p, i + 2, F.size(p)))
-            return F.when(F.array_min(r).isNull(), acc).otherwise(F.struct(new.alias("p"), F.concat(left, right).alias("r")))
+
+            def at(i: Column) -> Column:  # the pair of least rank is the pieces i and i + 1
+                def joined(both: Column) -> Column:
+                    left = F.when(i > 1, F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), F.array(self.rank(table, F.concat(F.get(p, i - 2), both))))).otherwise(none)
+                    right = F.when(i < F.size(r), F.concat(F.array(self.rank(table, F.concat(both, F.get(p, i + 1)))), F.slice(r, i + 2, F.size(r)))).otherwise(none)
+                    return F.struct(F.concat(F.slice(p, 1, i - 1), F.array(both), F.slice(p, i + 2, F.size(p))).alias("p"), F.concat(left, right).alias("r"))
+
+                return F.when(i.isNull(), acc).otherwise(F.transform(F.array(F.concat(F.get(p, i - 1), F.get(p, i))), joined)[0])
+
+            return F.transform(F.array(F.array_position(r, F.array_min(r)).cast("int")), at)[0]
 
         def merged(p: Column) -> Column:
-            done = F.aggregate(p, F.struct(p.alias("p"), pair_ranks(p).alias("r")), merge)
-            return F.transform(done["p"], lambda x: self.rank(x))
+            pairs = F.transform(F.slice(p, 2, F.size(p) - 1), lambda x, i: self.rank(table, F.concat(F.get(p, i), x)))
+            done = F.aggregate(p, F.struct(p.alias("p"), pairs.alias("r")), merge)
+            return F.transform(done["p"], lambda x: self.rank(table, x))
 
-        # ``transform`` over a single value binds the pieces once
-        ids = F.transform(F.array(start), merged)[0]
-        return F.coalesce(F.transform(F.array(whole), lambda w: F.when(self.rank(w).isNotNull(), F.array(self.rank(w))))[0], ids)
+        def ids(whole: Column) -> Column:
+            pieces = F.transform(F.sequence(F.lit(0), (F.length(whole) / 2 - 1).cast("int")), lambda i: F.substr(whole, 2 * i + 1, F.lit(2)))
+            own = F.transform(F.array(self.rank(table, whole)), lambda r: F.when(r.isNotNull(), F.array(r)))[0]
+            return F.coalesce(own, F.transform(F.array(pieces), merged)[0])
+
+        return F.transform(F.array(F.hex(F.encode(word, "UTF-8"))), ids)[0]
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -94,7 +106,7 @@ def dictionary(words: DataFrame, ranks: Ranks, limit: int = DICTIONARY) -> DataF
         if total + k > limit:
             break
         total, cut = total + k, s
-    frequent = counts.filter(steps >= F.lit(cut)).repartition(12, "w").select("w", ranks.fold(F.col("w")).alias("ids"))
+    frequent = counts.filter(steps >= F.lit(cut)).repartition(12, "w").select("w", ranks.bound(lambda table: ranks.fold(table, F.col("w"))).alias("ids"))
     frequent = stored(frequent, "dictionary")
     bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
     maps = frequent.groupBy(bucket.alias("b")).agg(F.collect_list(F.struct("w", "ids")).alias("m"))
@@ -111,14 +123,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, limit: int = DICTIONA
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(text_or_empty(), pattern).alias("words"))
     known = dictionary(rows.select(F.explode("words").alias("w")), ranks, limit).scalar()
 
-    def ids(w: Column) -> Column:
-        found = F.element_at(F.get(F.col("known"), F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), w)
-        return F.coalesce(found, ranks.fold(w))
+    def ids(table: Column) -> Column:
+        def one(w: Column) -> Column:
+            found = F.element_at(F.get(F.col("known"), F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), w)
+            return F.coalesce(found, ranks.fold(table, w))
+
+        return F.flatten(F.transform("words", one))
 
     # ``known`` is a subquery's one value: the optimizer puts it in the place of the column, so no row carries it
-    return rows.select("doc_id", "words", known.alias("known")).select("doc_id", F.flatten(F.transform("words", ids)).alias("ids"))
+    return rows.select("doc_id", "words", known.alias("known")).select("doc_id", ranks.bound(ids).alias("ids"))
 
 
 def decode(ids: Column, ranks: Ranks) -> Column:
     """The bytes of ``ids``: their tokens' bytes concatenated."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(ranks.tokens, i)), ""))
+    tokens = F.split(F.lit(ranks.tokens), ",")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""))

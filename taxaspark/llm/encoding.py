@@ -1,10 +1,11 @@
-"""Texts to token ids inside tasks: the tokenizers library, asked once for each distinct word of a batch."""
+"""Texts to token ids inside tasks: the tokenizers library, asked once for each distinct word."""
 
 from __future__ import annotations
 
 import os
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
@@ -14,42 +15,52 @@ ODD_SPACE = re.compile(r"[^\S \n]")
 class WordEncoder:
     """Encodes whole texts with a tokenizer file; ids come back as little-endian unsigned 32-bit bytes.
 
-    Both vocabularies used here split a text into words before they merge, and no word reaches across a single space
-    between two other characters. So a text is cut at its spaces and each distinct piece is encoded once and
+    Both vocabularies used here split a text into words before they merge, and no word reaches across a single space or
+    line break between two other characters. So a text is cut there and each distinct piece is encoded once and
     remembered, up to ``limit`` pieces; a text with any other run of white space goes to the library as a whole.
+    ``space_joins``: the space before a word, or the line break, belongs to its ids (byte-level vocabularies).
     """
 
-    def __init__(self, path: str, space_joins: bool, limit: int = 300_000):
+    def __init__(self, path: str, space_joins: bool, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.lead = " " if space_joins else ""
-        self.limit, self.memo = limit, {}
+        self.space_joins, self.limit, self.memo = space_joins, limit, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _as_found(self, piece: str) -> str:
+        return " " + piece if self.space_joins and piece[:1] != "\n" else piece
+
+    def _pieces(self, text: str) -> list[str] | None:
+        if ODD_SPACE.search(text) or self.space_joins and ("  " in text or " \n" in text or "\n " in text or "\n\n" in text):
+            return None
+        return text.replace("\n", " \n").split(" ") if self.space_joins else ["", *text.split()]
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text."""
-        pieces: list[list[str] | None] = []
+        texts = list(texts)
+        pieces = [self._pieces(t) for t in texts]
         wanted: set[str] = set()
-        whole: list[str] = []
-        for t in texts:
-            if ODD_SPACE.search(t) or "  " in t or " \n" in t or "\n " in t:
-                pieces.append(None)
-                whole.append(t)
-            else:
-                p = t.split(" ")
-                pieces.append(p)
-                wanted.update(p[1:])
-        if len(self.memo) > self.limit:
-            self.memo.clear()
+        for p in pieces:
+            wanted.update(p[1:] if p else ())
         new = list(wanted.difference(self.memo))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            self.memo.update(zip(part, self._whole([self.lead + x for x in part])))
-        first = iter(self._whole([p[0] for p in pieces if p is not None]))
-        rest, get = iter(self._whole(whole)), self.memo.__getitem__
-        return [next(rest) if p is None else b"".join([next(first), *map(get, p[1:])]) for p in pieces]
+            self.memo.update(zip(part, self._whole([self._as_found(x) for x in part])))
+        first = iter(self._whole([p[0] for p in pieces if p]))
+        rest, get = iter(self._whole([t for t, p in zip(texts, pieces) if not p])), self.memo.__getitem__
+        out = [b"".join([next(first), *map(get, p[1:])]) if p else next(rest) for p in pieces]
+        if len(self.memo) > self.limit:
+            for x in new:
+                del self.memo[x]
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, space_joins: bool) -> WordEncoder:
+    """The worker process's encoder for a file; what it remembers serves later tasks too."""
+    return WordEncoder(path, space_joins)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaspark.llm.common import stored, text_or_empty
-from taxaspark.llm.encoding import WordEncoder
+from taxaspark.llm.encoding import encoder
 
 WINDOW = 2048
 #: Row bound of the table of queue offsets (a row for each task and source in it) up to which it is broadcast.
@@ -78,13 +78,13 @@ class Mixture:
 
 
 def _encode(batches, tokenizer: str, end_id: int):
-    encoder, part, seen = WordEncoder(tokenizer, space_joins=False), TaskContext.get().partitionId(), {}
+    words, part, seen = encoder(tokenizer, False), TaskContext.get().partitionId(), {}
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             rows = batch.slice(at, 500)
             doc, source, starts, counts, ids = rows["doc_id"].to_pylist(), rows["source"].to_pylist(), [], [], []
-            for s, x in zip(source, encoder.encode(rows["text"].to_pylist())):
+            for s, x in zip(source, words.encode(rows["text"].to_pylist())):
                 n = len(x) // 4 + 1
                 starts.append(seen.get(s, 0))
                 seen[s] = starts[-1] + n

@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     roots = stored(components(links(classes.select("fp"), bits)), "roots")
     lowest = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("first_doc").alias("component_id"))
     linked = roots.join(lowest, "root").select(F.col("node").alias("fp"), "component_id")
-    full = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
+    full = stored(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")), "components")
     out = prints.join(full, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -182,9 +182,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataF
     Rows with a null doc_id stay only where their component has no other id.
     """
     found = near_duplicates(docs, shingle, bits)
-    kept = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fingerprint").alias("k"), F.count(F.lit(1)).alias("n")), "kept")
-    rows = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    once = rows.filter("n = 1").select(*docs.columns)
+    kept = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows")), "kept")
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
+    once = rows.filter("__rows = 1").select(*docs.columns)
     least = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    again = rows.filter("n > 1").withColumn("k", F.row_number().over(least)).filter("k = 1").select(*docs.columns)
+    again = rows.filter("__rows > 1").withColumn("__place", F.row_number().over(least)).filter("__place = 1").select(*docs.columns)
     return once.unionByName(again)

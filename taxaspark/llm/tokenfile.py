@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaspark.llm.common import new_path, stored, text_or_empty
-from taxaspark.llm.encoding import WordEncoder
+from taxaspark.llm.encoding import encoder
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEK_FRAME_MAGIC, SEEK_FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -119,13 +119,13 @@ class ShardReader:
 
 
 def _write(batches, tokenizer: str, end_id: int, uri: str, width: int, space_joins: bool):
-    encoder, writer, tokens, docs = WordEncoder(tokenizer, space_joins), None, 0, 0
+    words, writer, tokens, docs = encoder(tokenizer, space_joins), None, 0, 0
     shard = TaskContext.get().partitionId()
     path, end = f"{uri}/shard-{shard:08d}.zst", np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            for d, ids in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].to_pylist())):
+            for d, ids in zip(part["doc_id"].to_pylist(), words.encode(part["text"].to_pylist())):
                 writer = writer or ShardWriter(path, str(TaskContext.get().taskAttemptId()), width)
                 writer.add(d, ids + end)
                 tokens, docs = tokens + len(ids) // 4 + 1, docs + 1

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaspark.functions.moments import c4, certainty, scale_or_one, unbiased_std
@@ -95,23 +96,62 @@ def predicted(placed: DataFrame, tree: DataFrame, attr: str) -> DataFrame:
     return placed.join(first, ["tree", "concept"], "left").select("inst", F.when(F.col("lack") <= F.col("top"), F.col("val")).alias("val"))
 
 
-def cuts(tree: DataFrame, splits: int) -> DataFrame:
-    """tree, split, concept, label: the leaves of a tree under each of its first cuts.
-
-    Cut 1 is the root's children; each next cut replaces the cluster of the most instances that has children. What is
-    kept on the driver is a cut, as many names as it has clusters.
+def _greedy(frame: pd.DataFrame, splits: int) -> pd.DataFrame:
+    """Which clusters to open, one after another: each time the one whose opening gives the greatest utility."""
+    weight = dict(zip(frame["concept"], frame["w"]))
+    children: dict = {}
+    for c, p in zip(frame["concept"], frame["parent"]):
+        children.setdefault(None if pd.isna(p) else int(p), []).append(c)
+    root = children[None][0]
+    size = frame.loc[frame["concept"] == root, "n"].iloc[0]
+    now = list(children.get(root, [root]))
+    total, out, key = sum(weight[c] for c in now), [], frame["tree"].iloc[0]
+    utility = lambda t, k: (t - weight[root]) / (size * k)
+    out.append((key, int(root), 1, utility(total, len(now))))
+    for step in range(2, splits + 1):
+        options = [(round(utility(total - weight[c] + sum(weight[g] for g in children[c]), len(now) - 1 + len(children[c])), 12), -c) for c in now if c in children]
+        if not options:
+            break
+        score, c = max(options)
+        c = -c
+        total += sum(weight[g] for g in children[c]) - weight[c]
+        now = [k for k in now if k != c] + children[c]
+        out.append((key, int(c), step, score))
+    return pd.DataFrame(out, columns=["tree", "node", "opened", "cu"])
+
+
+def openings(tree: DataFrame, splits: int, scaling: float = 0.5) -> DataFrame:
+    """tree, node, opened, cu: the first ``splits`` clusters that a greedy search opens, and each cut's utility.
+
+    The search sees one number for each concept of a tree; cut 1 opens the root.
     """
-    nodes = tree.select("tree", "concept", "parent", "n", "path", "depth")
+    stats = _stats(tree, scaling).select("tree", F.col("child").alias("concept"), F.col("size").alias("n"), F.coalesce(F.col("s") / F.nullif(F.col("size") * F.size("attrs"), F.lit(0)), F.lit(0.0)).alias("w"))
+    rows = tree.select("tree", "concept", "parent").join(stats, ["tree", "concept"])
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        return _greedy(frame, splits)
+
+    return rows.groupBy("tree").applyInPandas(search, "tree string, node long, opened int, cu double")
+
+
+def cuts(tree: DataFrame, opened: DataFrame) -> DataFrame:
+    """tree, split, concept, label: the cluster of each leaf under each cut of ``opened`` (see ``openings``)."""
+    nodes = tree.select("tree", "concept", "parent", "path")
     leaves = nodes.join(nodes.select("tree", F.col("parent").alias("concept")).distinct(), ["tree", "concept"], "left_anti")
-    order = Window.partitionBy("tree").orderBy(F.col("n").desc(), "concept")
-    inner = nodes.join(nodes.select("tree", F.col("parent").alias("concept")).distinct(), ["tree", "concept"]).filter("depth > 0")
-    ranked = inner.withColumn("opened", F.row_number().over(order) + 1).filter(F.col("opened") <= splits).select("tree", F.col("concept").alias("node"), "opened")
-    steps = leaves.select("tree", "concept", "path", F.explode(F.sequence(F.lit(1), F.lit(splits))).alias("split"))
-    below = steps.select("tree", "concept", "split", "path", F.posexplode("path").alias("at", "node")).join(ranked, ["tree", "node"], "left")
-    # a concept's size is at most its parent's and it is the younger on a tie or not: a cut goes as deep as it is open from the top
-    shut = below.filter((F.col("at") > 0) & (F.col("opened").isNull() | (F.col("opened") > F.col("split"))))
+    splits = opened.select("tree", F.col("opened").alias("split"))
+    steps = leaves.join(splits, "tree").select("tree", "concept", "split", F.posexplode("path").alias("at", "node"))
+    shut = steps.join(opened.select("tree", "node", "opened"), ["tree", "node"], "left").filter(F.col("opened").isNull() | (F.col("opened") > F.col("split")))
     label = shut.groupBy("tree", "split", "concept").agg(F.min_by("node", "at").alias("label"))
-    return steps.select("tree", "split", "concept").join(label, ["tree", "split", "concept"], "left").select("tree", "split", "concept", F.concat(F.lit("Concept"), F.coalesce("label", "concept").cast("string")).alias("label"))
+    every = leaves.join(splits, "tree").select("tree", "split", "concept")
+    return every.join(label, ["tree", "split", "concept"], "left").select("tree", "split", "concept", F.concat(F.lit("Concept"), F.coalesce("label", "concept").cast("string")).alias("label"))
+
+
+def k_clusters(cut: DataFrame, k: int) -> DataFrame:
+    """The largest cut of each tree with at most ``k`` clusters."""
+    if k < 2:
+        raise ValueError("k is under two")
+    many = cut.groupBy("tree", "split").agg(F.count_distinct("label").alias("c")).filter(F.col("c") <= k).groupBy("tree").agg(F.max("split").alias("split"))
+    return cut.join(many, ["tree", "split"])
 
 
 def node_json(tree: DataFrame) -> DataFrame:

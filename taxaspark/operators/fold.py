@@ -238,7 +238,7 @@ def instance(nominal: dict | None, numeric: dict | None) -> dict:
     return {k: v for k, v in (nominal or {}).items() if v is not None} | {k: float(v) for k, v in (numeric or {}).items() if v is not None and not math.isnan(v)}
 
 
-def _fit(frames: Iterator[pd.DataFrame], scaling: float) -> Iterator[pd.DataFrame]:
+def _fit(frames: Iterator[pd.DataFrame], scaling: float, structured: bool = False) -> Iterator[pd.DataFrame]:
     tree, key = None, None
     for frame in frames:
         for k, nominal, numeric in zip(frame["tree"], frame["nominal"], frame["numeric"]):
@@ -246,7 +246,12 @@ def _fit(frames: Iterator[pd.DataFrame], scaling: float) -> Iterator[pd.DataFram
                 if tree is not None:
                     yield pd.DataFrame(list(tree.rows(key)))
                 tree, key = Tree(scaling), k
-            tree.fit(instance(dict(nominal), dict(numeric)))
+            x = instance(dict(nominal), dict(numeric))
+            if structured:
+                from taxaspark.operators.mapping import best_mapping, rename
+
+                x = rename(x, best_mapping(x, tree.root, tree))
+            tree.fit(x)
     if tree is not None:
         yield pd.DataFrame(list(tree.rows(key)))
 
@@ -257,14 +262,15 @@ def ordered(instances: DataFrame) -> DataFrame:
     return instances.repartition(n, "tree").sortWithinPartitions("tree", "order")
 
 
-def fit(instances: DataFrame, scaling: float = 0.5, shards: int = 1) -> DataFrame:
+def fit(instances: DataFrame, scaling: float = 0.5, shards: int = 1, structured: bool = False) -> DataFrame:
     """Trees of ``instances``: tree (string), order, nominal map<string,string>, numeric map<string,double>.
 
     Returns ``TREE`` rows. With ``shards`` above one each tree is learned as that many, named tree#0, tree#1, ...
+    ``structured``: each instance's variables, which no other instance may share, are first mapped to the root's.
     """
     if shards > 1:
         instances = instances.withColumn("tree", F.concat("tree", F.lit("#"), F.pmod(F.xxhash64("order"), F.lit(shards)).cast("string")))
-    return ordered(instances.select("tree", "order", "nominal", "numeric")).mapInPandas(partial(_fit, scaling=scaling), TREE)
+    return ordered(instances.select("tree", "order", "nominal", "numeric")).mapInPandas(partial(_fit, scaling=scaling, structured=structured), TREE)
 
 
 def _prequential(frames: Iterator[pd.DataFrame], scaling: float, attr: str) -> Iterator[pd.DataFrame]:

@@ -121,13 +121,20 @@ def variants(count: DataFrame, size: DataFrame, sub: DataFrame, sub_size: DataFr
     return reduce(DataFrame.unionByName, [p[0] for p in parts]), reduce(DataFrame.unionByName, [p[1] for p in parts])
 
 
-def probabilities(count: DataFrame, size: DataFrame, keys: list[str], with_none: bool = True) -> DataFrame:
-    """keys, attr, val, p of every value; with a null value for what the concept lacks, if anything."""
+def probabilities(count: DataFrame, size: DataFrame, keys: list[str], with_none: bool = True, attrs: list[str] | None = None) -> DataFrame:
+    """keys, attr, val, p of every value; with a null value for what the concept lacks, if anything.
+
+    ``attrs``: attributes that concepts may lack altogether; null has probability 1 there.
+    """
     rows = count.join(size, keys)
     known = rows.select(*keys, "attr", "val", (F.col("n") / F.col("size")).alias("p"))
     if not with_none:
         return known
-    rest = rows.groupBy(*keys, "attr").agg(F.sum("n").alias("n"), F.first("size").alias("size")).filter("n < size")
+    sums = count.groupBy(*keys, "attr").agg(F.sum("n").alias("n"))
+    if attrs:
+        asked = size.select(*keys, F.explode(F.array(*map(F.lit, attrs))).alias("attr"))
+        sums = sums.join(asked, [*keys, "attr"], "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    rest = sums.join(size, keys).filter("n < size")
     return known.unionByName(rest.select(*keys, "attr", F.lit(None).cast("string").alias("val"), ((F.col("size") - F.col("n")) / F.col("size")).alias("p")))
 
 

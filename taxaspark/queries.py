@@ -251,7 +251,7 @@ def part_weights(spark, sf_dir) -> DataFrame:
     """Values of part types in each brand, missing for cheap parts."""
     p = table(spark, sf_dir, "part").withColumn("k", F.col("p_brand"))
     av = long_table(p, "p_partkey", {"type": F.when(F.col("p_retailprice") >= 950, F.col("p_type"))}, None, ["k"])
-    return measures.probabilities(measures.counts(av, ["k"]), measures.sizes(p, ["k"]), ["k"])
+    return measures.probabilities(measures.counts(av, ["k"]), measures.sizes(p, ["k"]), ["k"], attrs=["type"])
 
 
 @query(f"WITH {PART} SELECT k AS concept, val, round(p, 6) AS p FROM w")
