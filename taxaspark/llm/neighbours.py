@@ -69,6 +69,7 @@ def _assign(batches, centers: np.ndarray, probes: int):
 def scan(q: np.ndarray, ids: np.ndarray, x: np.ndarray, blocks: list[np.ndarray], turn: np.ndarray, own: int, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """(ids, distances) of the ``k`` nearest rows of ``x`` to ``q`` but ``own``; ``blocks``: rotated columns of ``x``."""
     rq, dim = q @ turn, len(q)
+    slack = 1e-9 * float(q @ q)  # rotating rounds: equal vectors may lie a little apart
     first = np.flatnonzero(ids != own)
     if not len(first):
         return ids[:0], np.zeros(0)
@@ -79,7 +80,7 @@ def scan(q: np.ndarray, ids: np.ndarray, x: np.ndarray, blocks: list[np.ndarray]
     for b in blocks:
         part = part + ((b[alive] - rq[done : done + b.shape[1]]) ** 2).sum(1)
         done += b.shape[1]
-        limit = bound * (done / dim) * (1 + epsilon / np.sqrt(done)) ** 2 if done < dim else bound * (1 + 1e-9)
+        limit = slack + (bound * (done / dim) * (1 + epsilon / np.sqrt(done)) ** 2 if done < dim else bound * (1 + 1e-9))
         keep = part <= limit
         alive, part = alive[keep], part[keep]
     dist = np.sqrt(((x[alive] - q) ** 2).sum(1))
