@@ -24,6 +24,8 @@ FEATURES = 1024
 MAX_TRAIN = 12_000
 THRESHOLD = 0.7
 LEAST_DOCS = 5
+#: Least difference of an n-gram's shares in both classes, in its standard errors, for a feature.
+LEAST_Z = 4.0
 
 
 def held_out() -> Column:
@@ -128,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, penalt
     s1, s0 = max(1, min(n1, take1)), max(1, min(n0, max_train - take1))
     p1, p0, p = c1 / s1, c0 / s0, (c1 + c0 + 1) / (s1 + s0 + 2)
     z = np.abs(p1 - p0) / np.sqrt(p * (1 - p).clip(1e-9) * (1 / s1 + 1 / s0))
-    best = np.sort(np.lexsort((bucket, -z))[:FEATURES])
+    best = np.sort(np.lexsort((bucket, -z))[: min(FEATURES, int((z >= LEAST_Z).sum()))])
     bucket, ratio = bucket[best], ratio[best]
     table = sample.mapInArrow(partial(_sparse, buckets=bucket), "y int, key long, f array<int>").orderBy("key").toPandas()
     y = table["y"].to_numpy()
