@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaspark.llm.common import stored
@@ -29,3 +29,27 @@ def components(links: DataFrame) -> DataFrame:
         seen = tuple(now)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def first_rows(marked: DataFrame, *more: Column) -> DataFrame:
+    """__node, first (none, id, n) of each class of rows: its smallest doc_id, nulls last, and its rows with that id; and ``more``."""
+    ids = marked.groupBy("__node", "doc_id").agg(F.count(F.lit(1)).alias("n"), *more)
+    names = [c for c in ids.columns if c not in ("__node", "doc_id", "n")]
+    return ids.groupBy("__node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "n")).alias("first"), *[F.first(c).alias(c) for c in names])
+
+
+def keep_least(marked: DataFrame, classes: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
+    """Of each component one row of ``marked``: of those with its smallest doc_id, nulls last, the least (text, ...).
+
+    ``classes`` are the rows' classes (see ``first_rows``), ``roots`` the node and root of those that are linked.
+    """
+    rooted = classes.join(roots, classes["__node"] == roots["node"], "left").select("__node", F.coalesce("root", "__node").alias("__root"), "first")
+    same = rooted.groupBy("__root", "first.none", "first.id").agg(F.sum("first.n").alias("n"), F.collect_list("__node").alias("nodes"))
+    low = same.groupBy("__root").agg(F.min_by(F.struct("id", "n", "nodes"), F.struct("none", "id")).alias("low"))
+    kept = low.select("__root", F.col("low.id").alias("__id"), F.col("low.n").alias("__rows"), F.explode("low.nodes").alias("__at"))
+    kept = stored(kept, "kept")
+    rows = marked.join(kept, (F.col("__node") == F.col("__at")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    once = rows.filter("__rows = 1").select(*columns)
+    order = ["text", *[c for c in columns if c != "text"]]
+    again = rows.filter("__rows > 1").groupBy("__root").agg(F.min(F.struct(*order)).alias("row")).select(*[F.col("row")[c].alias(c) for c in columns])
+    return once.unionByName(again)
