@@ -17,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxaspark.llm.common import stored, text_or_empty
-from taxaspark.llm.components import components
+from taxaspark.llm.components import components, first_rows, keep_least
 
 SHINGLE, SEED, BITS = 4, 42, 4
 BLOCKS = 7
@@ -176,15 +176,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _marks(batches, shingle: int):
+    """The rows with their fingerprint in the place of ``__body``."""
+    for batch in batches:
+        at = batch.schema.get_field_index("__body")
+        prints = np.array([fingerprint(t, shingle) for t in batch["__body"].to_pylist()], dtype=np.uint64).view(np.int64)
+        columns = [c for i, c in enumerate(batch.columns) if i != at]
+        names = [c for i, c in enumerate(batch.schema.names) if i != at]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(prints, pa.int64())], [*names, "__node"])
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is their component's; of repeated ids the least (text, ...) row.
+    """Of each component of near-duplicates one row of ``docs``, all columns.
 
-    Rows with a null doc_id stay only where their component has no other id.
+    It is the row of the smallest doc_id, nulls last; of several such rows the least (text, ...). Documents that share a
+    doc_id, or have none, stay where they are in different components.
     """
-    found = near_duplicates(docs, shingle, bits)
-    kept = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows")), "kept")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
-    once = rows.filter("__rows = 1").select(*docs.columns)
-    least = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    again = rows.filter("__rows > 1").withColumn("__place", F.row_number().over(least)).filter("__place = 1").select(*docs.columns)
-    return once.unionByName(again)
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    marked = stored(docs.withColumn("__body", text_or_empty()).mapInArrow(partial(_marks, shingle=shingle), f"{names}, __node long"), "marked")
+    classes = stored(first_rows(marked), "classes")
+    roots = stored(components(links(classes.select(F.col("__node").alias("fp")), bits)), "roots")
+    return keep_least(marked, classes, roots, docs.columns)

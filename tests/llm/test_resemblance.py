@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from taxaspark.llm import resemblance
+from taxaspark.llm import resemblance, simhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,3 +60,14 @@ def test_keys_find_pairs_at_the_threshold():
         common = [str(rnd.random()) for _ in range(160)]
         a, b = (resemblance.np.unique([resemblance.xxhash.xxh64_intdigest(x) for x in common + [str(rnd.random()) for _ in range(20)]]).astype("uint64") for _ in range(2))
         assert set(resemblance.keys(a)) & set(resemblance.keys(b))
+
+
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, resemblance.keep_one])
+def test_null_and_repeated_ids_keep_unrelated_texts(spark, keep_one):
+    rnd = random.Random(5)
+    text = lambda: " ".join(str(rnd.random()) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, d), (7, e), (8, e), (3, c)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_one(docs).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (3, c), (7, d), (7, e)], key=str)
