@@ -3,7 +3,8 @@
 Card numbers (Luhn), social security numbers, North American phone numbers, IPv4 addresses, calendar dates and
 e-mail addresses are found by one pattern, validated, and replaced by a keyed permutation of their own format: an
 alternating Feistel network over two mixed-radix halves. The same value and key give the same pseudonym in every
-document, distinct values stay distinct, and a pseudonym is again a valid value of its kind.
+document, distinct values stay distinct, and a pseudonym is again a valid value of its kind. A phone number whose area or
+exchange is under 200 has a permutation of its own, among such numbers, if it is written with the country code.
 """
 
 from __future__ import annotations
@@ -130,7 +131,15 @@ def _phone(key: str, m: Column) -> Column:
     area, exchange, line = (_number(F.substr(ten, F.lit(i), F.lit(n))) for i, n in ((1, 3), (4, 3), (7, 4)))
     out = feistel(key, F.lit("phone"), area - 200, F.lit(800), (exchange - 200) * 10000 + line, F.lit(8_000_000))
     new = F.concat(prefix, (out["a"] + 200).cast("string"), (F.floor(out["b"] / 10000) + 200).cast("string"), _padded(out["b"] % 10000, 4))
-    return F.when((area >= 200) & (exchange >= 200), _into(m, new))
+    # numbers outside the plan: areas under 200 with any exchange, then the other areas with exchanges under 200
+    place = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+    odd = feistel(key, F.lit("phone outside"), place, F.lit(360_000), line, F.lit(10_000))
+    rest = odd["a"] - 200_000
+    low = odd["a"] < 200_000
+    odd_area = F.when(low, F.floor(odd["a"] / 1000)).otherwise(F.floor(rest / 200) + 200)
+    odd_exchange = F.when(low, odd["a"] % 1000).otherwise(rest % 200)
+    outside = F.concat(prefix, _padded(odd_area, 3), _padded(odd_exchange, 3), _padded(odd["b"], 4))
+    return F.when((area >= 200) & (exchange >= 200), _into(m, new)).when(F.length(d) == 11, _into(m, outside))
 
 
 def _ssn(key: str, m: Column) -> Column:
@@ -178,7 +187,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     A null text stays null with zero counts; an empty one stays empty. Repeated rows are replaced alike. Other columns
     are kept as they are; columns named ``n_found`` or ``n_replaced`` are replaced. Invalid candidates (a failing
-    check digit, an impossible date, an octet over 255) are counted as found and left as they are.
+    check digit, an impossible date, an octet over 255, a social security number that is never given out) are counted as
+    found and left as they are. So are two kinds that may be real: phone numbers without a country code whose area or
+    exchange is under 200, and dates outside 1900 to 2099.
     """
     body = text_or_empty(text)
     some = body.rlike("[0-9@]")

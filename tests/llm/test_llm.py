@@ -263,6 +263,17 @@ def test_pii(spark, docs, empty):
     assert pii.pseudonymise(empty, PII_KEY).count() == 0 and pii.pseudonymise(docs, PII_KEY).count() == docs.count()
 
 
+def test_phones_outside_the_numbering_plan(spark):
+    rnd = random.Random(2)
+    old = [f"+1 ({rnd.choice([rnd.randint(0, 199), rnd.randint(200, 999)]):03d}) {rnd.randint(0, 199):03d}-{rnd.randint(0, 9999):04d}" for _ in range(150)]
+    old = sorted({*old, "+1 (017) 555-7713", "+1 (132) 555-1352", "1-000-000-0000", "+1 (199) 999-9999", "+1 (999) 199-9999", "+1 (200) 000-0000"})
+    df = spark.createDataFrame([(i, f"call {t} now") for i, t in enumerate(old)], "doc_id long, text string")
+    new = [r["text"][5:-4] for r in pii.pseudonymise(df, PII_KEY).orderBy("doc_id").collect()]
+    assert all(a != b and re.sub("[0-9]", "9", a[2:]) == re.sub("[0-9]", "9", b[2:]) and a[:2] == b[:2] for a, b in zip(old, new)) and len(set(new)) == len(old)
+    ten = [re.sub("[^0-9]", "", t)[-10:] for t in new]
+    assert all(int(t[:3]) < 200 or int(t[3:6]) < 200 for t in ten)
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(17 * 23).select(pii.feistel("k", F.lit("t"), F.floor(F.col("id") / 23), F.lit(17), F.col("id") % 23, F.lit(23)).alias("x"))
     assert df.distinct().count() == 17 * 23 and df.filter("x.a < 0 or x.a >= 17 or x.b < 0 or x.b >= 23").count() == 0
