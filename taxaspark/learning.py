@@ -69,7 +69,7 @@ def cluster_cuts(spark, sf_dir):
 @query()
 def k_cluster(spark, sf_dir):
     """The largest cuts of at most twelve clusters."""
-    return descent.k_clusters(cluster_cuts(spark, sf_dir), 12)
+    return descent.largest_cut(stored(fit_tree_nominal(spark, sf_dir), "tree"), 12)
 
 
 @query()

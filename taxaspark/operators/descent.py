@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaspark.functions.moments import c4, certainty, scale_or_one, unbiased_std
+from taxaspark.storage import stored
 
 
 def nominal_counts(tree: DataFrame) -> DataFrame:
@@ -96,8 +98,11 @@ def predicted(placed: DataFrame, tree: DataFrame, attr: str) -> DataFrame:
     return placed.join(first, ["tree", "concept"], "left").select("inst", F.when(F.col("lack") <= F.col("top"), F.col("val")).alias("val"))
 
 
-def _greedy(frame: pd.DataFrame, splits: int) -> pd.DataFrame:
-    """Which clusters to open, one after another: each time the one whose opening gives the greatest utility."""
+def _greedy(frame: pd.DataFrame, splits: int, most: int | None = None) -> pd.DataFrame:
+    """Which clusters to open, one after another: each time the one whose opening gives the greatest utility.
+
+    It ends after ``splits`` openings or, if ``most`` is given instead, with the last cut of at most ``most`` clusters.
+    """
     weight = dict(zip(frame["concept"], frame["w"]))
     children: dict = {}
     for c, p in zip(frame["concept"], frame["parent"]):
@@ -107,8 +112,9 @@ def _greedy(frame: pd.DataFrame, splits: int) -> pd.DataFrame:
     now = list(children.get(root, [root]))
     total, out, key = sum(weight[c] for c in now), [], frame["tree"].iloc[0]
     utility = lambda t, k: (t - weight[root]) / (size * k)
-    out.append((key, int(root), 1, utility(total, len(now))))
-    for step in range(2, splits + 1):
+    if most is None or len(now) <= most:
+        out.append((key, int(root), 1, utility(total, len(now))))
+    for step in range(2, splits + 1) if most is None else itertools.count(2):
         options = [(round(utility(total - weight[c] + sum(weight[g] for g in children[c]), len(now) - 1 + len(children[c])), 12), -c) for c in now if c in children]
         if not options:
             break
@@ -116,20 +122,23 @@ def _greedy(frame: pd.DataFrame, splits: int) -> pd.DataFrame:
         c = -c
         total += sum(weight[g] for g in children[c]) - weight[c]
         now = [k for k in now if k != c] + children[c]
+        if most is not None and len(now) > most:
+            break
         out.append((key, int(c), step, score))
     return pd.DataFrame(out, columns=["tree", "node", "opened", "cu"])
 
 
-def openings(tree: DataFrame, splits: int, scaling: float = 0.5) -> DataFrame:
+def openings(tree: DataFrame, splits: int, scaling: float = 0.5, most: int | None = None) -> DataFrame:
     """tree, node, opened, cu: the first ``splits`` clusters that a greedy search opens, and each cut's utility.
 
-    The search sees one number for each concept of a tree; cut 1 opens the root.
+    The search sees one number for each concept of a tree; cut 1 opens the root. With ``most``, all openings whose cuts
+    have at most so many clusters, whatever ``splits`` is.
     """
     stats = _stats(tree, scaling).select("tree", F.col("child").alias("concept"), F.col("size").alias("n"), F.coalesce(F.col("s") / F.nullif(F.col("size") * F.size("attrs"), F.lit(0)), F.lit(0.0)).alias("w"))
     rows = tree.select("tree", "concept", "parent").join(stats, ["tree", "concept"])
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        return _greedy(frame, splits)
+        return _greedy(frame, splits, most)
 
     return rows.groupBy("tree").applyInPandas(search, "tree string, node long, opened int, cu double")
 
@@ -154,6 +163,23 @@ def k_clusters(cut: DataFrame, k: int) -> DataFrame:
     return cut.join(many, ["tree", "split"])
 
 
+def largest_cut(tree: DataFrame, k: int) -> DataFrame:
+    """tree, split, concept, label: the largest cut of each tree with at most ``k`` clusters, however many openings it takes.
+
+    Where the root has more than ``k`` children it is the root alone, as split 0.
+    """
+    if k < 2:
+        raise ValueError("k is under two")
+    opened = stored(openings(tree, 1, most=k), "openings")
+    cut = cuts(tree, opened)
+    last = opened.groupBy("tree").agg(F.max("opened").alias("split"))
+    nodes = tree.select("tree", "concept", "parent")
+    leaves = nodes.join(nodes.select("tree", F.col("parent").alias("concept")).distinct(), ["tree", "concept"], "left_anti").join(last, "tree", "left_anti")
+    root = nodes.filter("parent IS NULL").select("tree", F.concat(F.lit("Concept"), F.col("concept").cast("string")).alias("label"))
+    whole = leaves.join(root, "tree").select("tree", F.lit(0).alias("split"), "concept", "label")
+    return cut.join(last, ["tree", "split"]).unionByName(whole)
+
+
 def node_json(tree: DataFrame) -> DataFrame:
     """tree, concept, parent, depth, json of each concept: what a viewer reads, one concept a row."""
     body = F.to_json(F.struct(F.concat(F.lit("Concept"), F.col("concept").cast("string")).alias("name"), F.col("n").alias("size"), F.col("nominal").alias("counts"), F.col("numeric").alias("moments")))

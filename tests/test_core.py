@@ -1,4 +1,5 @@
 import itertools
+import json
 import math
 import random
 
@@ -160,6 +161,50 @@ def test_cuts_grow_and_k_clusters(spark):
         descent.k_clusters(cut, 1)
 
 
+def test_largest_cut_opens_until_k_is_exceeded(spark):
+    wide = [(0, None)] + [(i, 0) for i in range(1, 15)]
+    binary = [(i, (i - 1) // 2 if i else None) for i in range(63)]
+    few = binary[:7]
+    rows = []
+    for name, shape in (("wide", wide), ("binary", binary), ("few", few)):
+        parent, inner = dict(shape), {p for _, p in shape}
+        for c, _ in shape:
+            path = [c]
+            while parent[path[0]] is not None:
+                path.insert(0, parent[path[0]])
+            leaves = [i for i, _ in shape if i not in inner and c in _above(i, parent)]
+            counts = {"a": {f"v{v}": sum(i % 5 == v for i in leaves) for v in {i % 5 for i in leaves}}}
+            rows.append((name, c, parent[c], len(path) - 1, path, len(leaves), json.dumps(counts), "{}"))
+    tree = spark.createDataFrame(rows, "tree string, concept long, parent long, depth int, path array<long>, n long, nominal string, numeric string").persist()
+    weight = {(r[0], r[1]): sum(n * n for n in json.loads(r[6])["a"].values()) / r[5] for r in rows}
+    for k in (2, 7, 12):
+        got = {}
+        for r in descent.largest_cut(tree, k).collect():
+            got.setdefault(r["tree"], set()).add((r["concept"], r["label"]))
+        for name, shape in (("wide", wide), ("binary", binary), ("few", few)):
+            parent, inner = dict(shape), {p for _, p in shape}
+            now = [0]
+            while True:
+                options = []
+                for c in now:
+                    if c in inner:
+                        after = [x for x in now if x != c] + [i for i, p in shape if p == c]
+                        options.append((round((sum(weight[name, x] for x in after) - weight[name, 0]) / len(after), 9), -c, after))
+                after = max(options)[2] if options else now
+                if not options or len(after) > k:
+                    break
+                now = after
+            inside = [i for i, _ in shape if i not in inner]
+            assert got[name] == {(i, f"Concept{c}") for i in inside for c in now if c in _above(i, parent)}
+            assert len(now) == {"wide": 1, "binary": k, "few": min(k, 4)}[name]
+
+
+def _above(i, parent):
+    while i is not None:
+        yield i
+        i = parent[i]
+
+
 def test_assignment_is_cheapest():
     rnd = random.Random(9)
     for n in range(1, 6):
