@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names; an error where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="taxaspark-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
@@ -41,3 +41,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def text_or_empty(name: str = "text") -> Column:
     """A text column, with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+#: Keys that count as heavy, at most: those with over 1 / HEAVY of all rows.
+HEAVY = 1000
+
+
+def by_weight(sizes: DataFrame, size: str = "size", heavy: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(heavy, light) keys of ``sizes`` (one row for each key, with its number of rows).
+
+    A heavy key has more than 1 / ``heavy`` of all rows, so there are under ``heavy`` of them and they may be broadcast.
+    """
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    cut = total / (HEAVY if heavy is None else heavy)
+    return sizes.filter(F.col(size) > cut), sizes.filter(F.col(size) <= cut)
+
+
+def joined(rows: DataFrame, marks: DataFrame, on: list[str], size: str = "size") -> DataFrame:
+    """``rows`` joined with ``marks`` (unique in ``on``; ``size``: the rows of a key, not kept).
+
+    Rows of heavy keys stay where they are and meet a broadcast of under ``HEAVY`` marks; only the others are shuffled,
+    so no task gets more than 1 / ``HEAVY`` of all rows for one key.
+    """
+    heavy, light = (F.broadcast(x.drop(size)) if i == 0 else x.drop(size) for i, x in enumerate(by_weight(marks, size)))
+    return rows.join(heavy, on).unionByName(rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on))
+
+
+def release_memory() -> None:
+    """Gives what a Python worker has freed back to the system; called at the end of a task, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

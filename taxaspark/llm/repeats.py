@@ -1,42 +1,48 @@
-"""Removal of repeated byte strings: ranks of positions at growing lengths, until unique or past the threshold.
-
-Every string of ``LENGTH`` bytes is a window. Ranking all positions of a corpus round by round, as plain prefix doubling
-does, would shuffle each byte many times; so positions are first thinned by content. A window's anchor is its rightmost
-``CORE``-byte string of least hash; equal windows have equal anchors at equal offsets, and the windows of one anchor
-follow one another. Rounds then go on with anchors and double nothing that is settled:
-
-1. rank by the ``CORE`` bytes at the anchor: if no other anchor has them, all its windows are unique and drop out;
-2. rank by the whole span of the anchor's windows (200 to 368 bytes): equal spans are past the threshold, so all those
-   windows repeat; of each set of equal spans one stays on as a witness for the others;
-3. the rest, anchors near the edge of a repeat, are ranked window by window among the anchors of equal core. An anchor
-   whose core is very frequent is ranked by a grouped count of its windows instead, which no single task has to hold.
-
-Ranks are hashes: 64 bits prune, 128 bits settle.
+"""Removal of repeated byte strings by distributed prefix doubling over thinned positions.
+
+Every string of ``LENGTH`` bytes is a window. Plain prefix doubling sorts a (rank, rank) pair for every byte of the
+corpus in every round; here positions are first thinned by content, so that about one in eighty is left. A window's
+anchor is its rightmost ``CORE``-byte string of least hash: equal windows have equal anchors at equal offsets, and the
+windows of one anchor follow one another. From there on it is prefix doubling on (position, rank):
+
+1. Positions are ranked by the ``CORE`` bytes at the anchor, and by the whole stretch of the anchor's windows (200 to 368
+   bytes). A position with a unique core is done: its windows are unique. Equal stretches are past the threshold: their
+   windows repeat, and one position of each set stays on as a witness.
+2. What is left are anchors near an edge of a repeat. Their windows are halved by offset, round by round; the bytes
+   common to a half's windows grow from 73 over 137, 169, ... to 200. Each round ranks the halves anew by their rank so far
+   and the bytes that came to it, drops those of unique rank, and settles those whose whole stretch is equal to another
+   one's. The last round compares single windows, so that nothing is left open.
+
+Ranks are 128-bit hashes, and Spark's shuffles bring equal ones together as counts; members of a set are never compared
+with one another. Texts are known by a 128-bit hash, so rows that share a doc_id, or have none, are told apart.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxaspark.llm.common import stored, text_or_empty
+from taxaspark.llm.common import by_weight, joined, release_memory, stored, text_or_empty
 
 LENGTH, CORE = 200, 32
-CHUNK = 1 << 22
-#: Undecided anchors with one core up to which one task compares them.
-GROUP_ROWS = 1000
-#: Bits of the fixed-size filter that keeps untouched documents out of the text shuffles.
-FILTER_BITS = 1 << 22
-NO_ID = -(1 << 63)
+#: Bytes of a text that are hashed at once.
+CHUNK = 1 << 18
+#: Offsets of a block of windows in each round; the common string of a block has LENGTH + 1 - that many bytes, or more.
+BLOCKS = (128, 64, 32, 16, 8, 4, 2, 1)
+KEY = ["k1", "k2"]
+
+
+def text_key(text: Column) -> list[Column]:
+    """k1, k2: the first 128 bits of the text's SHA-256."""
+    h = F.sha2(text, 256)
+    return [F.conv(F.substring(h, 1 + 16 * i, 16), 16, -10).cast("long").alias(k) for i, k in enumerate(KEY)]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -77,155 +83,142 @@ def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def _mark(data: bytes) -> int:
-    """16 bits of the text's hash: tells rows apart that share a document id."""
-    return xxhash.xxh3_64_intdigest(data) & 0xFFFF
+def _longs(columns: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in columns.values()], list(columns))
 
 
 def _pass_anchors(batches):
-    """core, span, doc, at: position << 32 | mark << 16 | windows before the anchor << 8 | windows."""
+    """k1, k2, core, span, at: first window << 16 | bytes from there to the anchor << 8 | windows - 1."""
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        docs, texts = batch["doc"].to_pylist(), batch["text"].to_pylist()
-        for begin in range(0, len(docs), 256):
-            cores, spans, ids, ats = [], [], [], []
-            for d, t in zip(docs[begin : begin + 256], texts[begin : begin + 256]):
+        for begin in range(0, batch.num_rows, 256):
+            part = batch.slice(begin, 256)
+            out: dict[str, list[np.ndarray]] = {k: [] for k in ("k1", "k2", "core", "span", "at")}
+            for k1, k2, t in zip(part["k1"].to_pylist(), part["k2"].to_pylist(), part["text"].to_pylist()):
                 data = _bytes(t)
                 h, p, lo, hi = anchors(data)
                 if not len(h):
                     continue
-                view, digest = memoryview(data), xxhash.xxh3_64_intdigest
-                spans.append(np.array([digest(view[a : b + LENGTH], seed=c - a) for a, b, c in zip(lo.tolist(), hi.tolist(), p.tolist())], np.uint64))
-                cores.append(h)
-                ids.append(np.full(len(h), d, np.int64))
-                ats.append(p << 32 | _mark(data) << 16 | (p - lo) << 8 | (hi - lo))
-            if cores:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (cores, spans, ids, ats)], ["core", "span", "doc", "at"])
+                view = memoryview(data)
+                out["k1"].append(np.full(len(h), k1, np.int64))
+                out["k2"].append(np.full(len(h), k2, np.int64))
+                out["core"].append(h)
+                out["span"].append(np.fromiter((digest(view[a : b + LENGTH], seed=c - a) for a, b, c in zip(lo.tolist(), hi.tolist(), p.tolist())), np.uint64, len(h)))
+                out["at"].append(lo << 16 | (p - lo) << 8 | (hi - lo))
+            if out["at"]:
+                yield _longs(out)
+    release_memory()
+
+
+SEGMENT = "k1 long, k2 long, lo long, o int, n int, fixed boolean, bytes binary"
+
+
+def _segments(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"o": pa.int32(), "n": pa.int32(), "fixed": pa.bool_(), "bytes": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.int64())) for k, c in zip(names, zip(*rows))], names)
 
 
 def _pass_contexts(batches):
-    """Span bytes of the asked anchors. ``want``: struct(core, at, fixed) of each."""
+    """The stretches of the wanted anchors (``want``: struct(at, fixed) of each). Equal texts come one after the other; one will do."""
+    names, last = ["k1", "k2", "lo", "o", "n", "fixed", "bytes"], None
     for batch in batches:
         for begin in range(0, batch.num_rows, 64):
-            part = batch.slice(begin, 64)
-            rows = []
-            for d, t, want in zip(part["doc"].to_pylist(), part["text"].to_pylist(), part["want"].to_pylist()):
-                data = _bytes(t)
-                mark = _mark(data)
+            part, rows = batch.slice(begin, 64), []
+            for k1, k2, t, want in zip(*(part[c].to_pylist() for c in ("k1", "k2", "text", "want"))):
+                if (k1, k2) == last:
+                    continue
+                data, last = _bytes(t), (k1, k2)
                 for w in want:
-                    at = w["at"]
-                    if at >> 16 & 0xFFFF == mark:
-                        lo = (at >> 32) - (at >> 8 & 0xFF)
-                        rows.append((w["core"], d, mark, lo, w["fixed"], w["hot"], data[lo : lo + (at & 0xFF) + LENGTH]))
+                    lo, o, n = w["at"] >> 16, w["at"] >> 8 & 0xFF, (w["at"] & 0xFF) + 1
+                    rows.append((k1, k2, lo, o, n, w["fixed"], data[lo : lo + n - 1 + LENGTH]))
             if rows:
-                c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.bool_()), pa.array(c[5], pa.bool_()), pa.array(c[6], pa.binary())], ["core", "doc", "mark", "lo", "fixed", "hot", "bytes"])
+                yield _segments(rows, names)
+    release_memory()
 
 
-def _windows(data: bytes) -> list[bytes]:
-    view, digest = memoryview(data), xxhash.xxh3_128_digest
-    return [digest(view[i : i + LENGTH]) for i in range(len(data) - LENGTH + 1)]
+def halves(o: int, n: int, block: int) -> list[tuple[int, int, int, int]]:
+    """A segment's windows dealt to blocks of offsets: (block, first window in the segment, windows, end of the block's offsets).
 
+    ``o``: bytes from the segment's start to the anchor, which is the offset of its first window; ``n``: its windows.
+    """
+    out = []
+    for b in range((o - n + 1) // block, o // block + 1):
+        high, low = min(o, b * block + block - 1), max(o - n + 1, b * block)
+        out.append((b, o - high, high - low + 1, min(b * block + block - 1, LENGTH - CORE)))
+    return out
 
-def _runs(flags: list[bool]) -> list[tuple[int, int]]:
-    """(first, last) of each run of true flags."""
-    f = np.concatenate([[False], flags, [False]])
-    edge = np.flatnonzero(f[1:] != f[:-1])
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
 
+def _halve(batches, block: int):
+    """One row for each block of a segment: its rank (r1, r2), the hash of its whole stretch, and the segment that it is."""
+    names = ["r1", "r2", "span", "k1", "k2", "lo", "o", "n", "fixed", "bytes"]
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 1000):
+            rows, part = [], batch.slice(begin, 1000)
+            for k1, k2, lo, o, n, fixed, data in zip(*(part[c].to_pylist() for c in names[3:])):
+                for b, first, windows, far in halves(o, n, block):
+                    common = data[o - b * block : o - far + LENGTH]
+                    r1, r2 = np.frombuffer(xxhash.xxh3_128_digest(common, seed=b), "<i8").tolist()
+                    own = data[first : first + windows - 1 + LENGTH]
+                    span = xxhash.xxh3_64_intdigest(own, seed=o - first)
+                    rows.append((r1, r2, span - (1 << 64) if span >> 63 else span, k1, k2, lo + first, o - first, windows, fixed, own))
+            if rows:
+                yield _segments(rows, names)
+    release_memory()
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    c = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["doc", "mark", "start", "stop"])
 
+def _range(lo: Column, n: Column) -> Column:
+    """A run of ``n`` windows from ``lo`` on, as one long."""
+    return (F.shiftleft(lo, 8) + n - 1).cast("long").alias("range")
 
-def _compare(batches):
-    """Rows come sorted by core: ranks the windows of each core's anchors, gives the bytes of those that repeat."""
 
-    def settle(group: list[tuple]) -> list[tuple]:
-        ranks = [_windows(g[4]) for g in group]
-        counts: Counter = Counter()
-        for g, r in zip(group, ranks):
-            counts.update(r)
-            if g[3]:
-                counts.update(r)
-        return [(g[0], g[1], g[2] + a, g[2] + b + LENGTH) for g, r in zip(group, ranks) if not g[3] for a, b in _runs([counts[x] > 1 for x in r])]
+def refine(state: DataFrame) -> list[DataFrame]:
+    """k1, k2, range of the windows of the open segments that repeat, from rounds of halving (see above).
 
-    held, core, out = [], None, []
-    for batch in batches:
-        for row in zip(*[batch[c].to_pylist() for c in ("core", "doc", "mark", "lo", "fixed", "bytes")]):
-            if row[0] != core:
-                out += settle(held)
-                held, core = [], row[0]
-                if len(out) > 5000:
-                    yield _found(out)
-                    out = []
-            held.append(row[1:])
-    out += settle(held)
-    if out:
-        yield _found(out)
-
-
-def _explode(batches):
-    """One row for each window: the two halves of its rank, and where it starts; a witness counts twice."""
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 256):
-            part, ranks, meta = batch.slice(begin, 256), [], []
-            for d, m, lo, fixed, data in zip(*[part[c].to_pylist() for c in ("doc", "mark", "lo", "fixed", "bytes")]):
-                r = _windows(data)
-                ranks += r
-                meta += [(d, m, lo + i, 2 if fixed else 1) for i in range(len(r))]
-            halves = np.frombuffer(b"".join(ranks), "<i8").reshape(-1, 2)
-            c = list(zip(*meta))
-            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), *[pa.array(x, pa.int64()) for x in c]], ["r1", "r2", "doc", "mark", "lo", "n"])
-
-
-def _filter_words(keys: DataFrame) -> dict[int, int]:
-    """A fixed-size bit set of document ids: word -> 32 bits. At most ``FILTER_BITS`` / 32 words."""
-    h = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
-    words = keys.select(F.floor(h / 32).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (h % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    return {r["w"]: r["b"] for r in words.collect()}
-
-
-def _touched(words: dict[int, int]) -> Column:
-    """Whether a row's document may be in the bit set."""
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    for w, b in words.items():
-        table[w] = b
-
-    @F.pandas_udf("boolean")
-    def touched(h: pd.Series) -> pd.Series:
-        x = h.to_numpy()
-        return pd.Series((table[x // 32] >> (x % 32).astype(np.uint32) & 1).astype(bool))
-
-    return touched(F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)))
-
-
-def repeats(rows: DataFrame) -> DataFrame:
-    """doc, mark, start, stop: byte ranges of ``rows`` (doc, text) covered by repeated windows; ranges may overlap."""
-    found = rows.mapInArrow(_pass_anchors, "core long, span long, doc long, at long")
-    shared = found.groupBy("core").agg(F.count(F.lit(1)).alias("n"), (F.min("span") == F.max("span")).alias("same")).filter("n > 1")
-    alive = stored(found.join(shared.select("core", "same"), "core"), "alive")
-    mixed = alive.filter("NOT same")
-    spans = stored(mixed.groupBy("core", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("first")), "spans")
-    open_cores = spans.groupBy("core").agg(F.count_if(F.col("n") == 1).alias("open"), F.count(F.lit(1)).alias("members")).filter("open > 0").select("core", (F.col("members") > GROUP_ROWS).alias("hot"))
-    asked = spans.join(open_cores, "core").select("core", "first.doc", "first.at", (F.col("n") > 1).alias("fixed"), "hot")
-    want = stored(asked.groupBy("doc").agg(F.collect_list(F.struct("core", "at", "fixed", "hot")).alias("want")), "asked")  # a document's own anchors
-    touched = rows.filter(_touched(_filter_words(want))).join(want, "doc")
-    contexts = stored(touched.mapInArrow(_pass_contexts, "core long, doc long, mark long, lo long, fixed boolean, hot boolean, bytes binary"), "contexts")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = contexts.filter("NOT hot").repartition(n, "core").sortWithinPartitions("core").mapInArrow(_compare, "doc long, mark long, start long, stop long")
-    each = contexts.filter("hot").mapInArrow(_explode, "r1 long, r2 long, doc long, mark long, lo long, n long")
-    again = each.groupBy("r1", "r2").agg(F.sum("n").alias("total")).filter("total > 1").select("r1", "r2")
-    many = each.filter("n = 1").join(again, ["r1", "r2"]).select("doc", "mark", F.col("lo").alias("start"), (F.col("lo") + LENGTH).alias("stop"))
-    settled = alive.filter("same").select("doc", "at").unionByName(mixed.join(spans.filter("n > 1").select("core", "span"), ["core", "span"]).select("doc", "at"))
-    lo = F.shiftright("at", 32) - F.shiftright("at", 8).bitwiseAND(F.lit(255))
-    whole = settled.select("doc", F.shiftright("at", 16).bitwiseAND(F.lit(65535)).alias("mark"), lo.alias("start"), (lo + F.col("at").bitwiseAND(F.lit(255)) + LENGTH).alias("stop"))
-    return whole.unionByName(few).unionByName(many)
-
-
-def _merged(ranges: list[dict], mark: int) -> list[list[int]]:
+    ``state`` (``SEGMENT``): segments that are open, and fixed ones, whose windows are known to repeat.
+    """
+    found = []
+    for block in BLOCKS:
+        kids = stored(state.mapInArrow(partial(_halve, block=block), f"r1 long, r2 long, span long, {SEGMENT}"), "halves")
+        segment = F.first(F.struct("k1", "k2", "lo", "o", "n", "bytes")).alias("s")
+        sets = kids.groupBy("r1", "r2", "span").agg(F.count(F.lit(1)).alias("size"), F.max("fixed").alias("fixed"), segment)
+        sets = stored(sets.withColumn("fixed", F.col("fixed") | (F.col("size") > 1)), "sets")
+        repeated = sets.filter("fixed").select("r1", "r2", "span", "size")
+        found.append(stored(joined(kids.filter("NOT fixed"), repeated, ["r1", "r2", "span"]).select(*KEY, _range(F.col("lo"), F.col("n"))), "found"))
+        ranks = sets.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("fixed")).alias("open"))
+        going = stored(ranks.filter("size > 1 AND open > 0").drop("open"), "ranks")
+        if block == 1 or going.isEmpty():
+            break
+        state = stored(joined(sets.drop("size"), going, ["r1", "r2"]).select("s.k1", "s.k2", "s.lo", "s.o", "s.n", "fixed", "s.bytes"), "open")
+    return found
+
+
+def repeats(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """k1, k2, ranges: the runs of repeated windows of each text in ``rows`` (k1, k2, text); ``heavy``: the keys of very frequent texts."""
+    found = stored(rows.mapInArrow(_pass_anchors, "k1 long, k2 long, core long, span long, at long"), "anchors")
+    spans = stored(found.groupBy("core", "span").agg(F.count(F.lit(1)).alias("size")), "spans")
+    cores = spans.groupBy("core").agg(F.count(F.lit(1)).alias("spans"), F.count_if(F.col("size") == 1).alias("open"))
+    mixed = stored(cores.filter("open > 0 AND spans > 1").select("core", "spans"), "cores")
+    near = joined(spans, mixed, ["core"], "spans").withColumn("near", F.lit(True))
+    both = near.unionByName(spans.filter("size > 1").withColumn("near", F.lit(False)))
+    marks = stored(both.groupBy("core", "span").agg(F.max("size").alias("size"), F.max("near").alias("near")), "marks")
+    alive = stored(joined(found, marks.withColumn("repeated", F.col("size") > 1), ["core", "span"]), "alive")
+    whole = alive.filter("repeated").select(*KEY, _range(F.shiftright("at", 16), F.col("at").bitwiseAND(F.lit(255)) + 1))
+    witness = alive.filter("near").groupBy("core", "span").agg(F.min(F.struct(*KEY, "at")).alias("w"), F.first("repeated").alias("fixed"))
+    want = witness.groupBy("w.k1", "w.k2").agg(F.collect_list(F.struct("w.at", "fixed")).alias("want"))  # anchors of one text
+    few = rows.join(F.broadcast(heavy), KEY).groupBy(*KEY).agg(F.first("text").alias("text"))
+    one = rows.join(F.broadcast(heavy), KEY, "left_anti").select(*KEY, "text").unionByName(few.select(*KEY, "text"))
+    state = stored(one.join(stored(want, "wanted"), KEY).mapInArrow(_pass_contexts, SEGMENT), "open")
+    every = whole
+    for x in refine(state):
+        every = every.unionByName(x)
+    light = every.join(F.broadcast(heavy), KEY, "left_anti")  # a frequent text repeats as a whole
+    return light.groupBy(*KEY).agg(F.collect_set("range").alias("ranges"))
+
+
+def _merged(ranges: list[int]) -> list[list[int]]:
     out: list[list[int]] = []
-    for a, b in sorted((r["start"], r["stop"]) for r in ranges or () if r["mark"] == mark):
+    for r in sorted(ranges):
+        a, b = r >> 8, (r >> 8) + (r & 0xFF) + LENGTH
         if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:
@@ -235,33 +228,36 @@ def _merged(ranges: list[dict], mark: int) -> list[list[int]]:
 
 def _cut(batches, keep: list[str]):
     for batch in batches:
-        ranges = batch["ranges"].to_pylist() if "ranges" in batch.schema.names else [None] * batch.num_rows
-        cols = [[] for _ in range(6)]
-        for d, t, r in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), ranges):
-            data = _bytes(t)
-            spans = _merged(r, _mark(data)) if r else []
-            ends = [0, *[x for s in spans for x in s], len(data)]
-            kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])) if spans else data
-            for c, v in zip(cols, (d, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if spans else t)):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))] + [batch[c] for c in keep], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *keep])
+        for begin in range(0, batch.num_rows, 1000):
+            part = batch.slice(begin, 1000)
+            cols: list[list] = [[] for _ in range(6)]
+            for d, t, ranges, whole in zip(*(part[c].to_pylist() for c in ("doc_id", "__text", "__ranges", "__whole"))):
+                data = _bytes(t)
+                spans = _merged(ranges) if ranges else [[0, len(data)]] if whole and len(data) >= LENGTH else []
+                ends = [0, *[x for s in spans for x in s], len(data)]
+                kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])) if spans else data
+                for c, v in zip(cols, (d, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if spans else t)):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))] + [part[f"__keep_{c}"] for c in keep], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *keep])
+    release_memory()
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, the kept ``text``, and the
-    columns named in ``keep``.
+    columns named in ``keep``, which must have other names than these.
 
     Every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere is removed, in all places. A null text
     is empty; texts under ``LENGTH`` bytes lose nothing. Repeated rows repeat one another and lose everything that is
-    long enough. ``text`` drops the broken parts of characters that a cut went through; the hash covers the exact
-    bytes. A null doc_id is a document like others. An empty table gives no rows; other columns aren't read.
+    long enough; rows that share a doc_id, or have none, are told apart by their texts. ``text`` drops the broken parts of
+    characters that a cut went through; the hash covers the exact bytes. A text may be of any length: it is hashed
+    ``CHUNK`` bytes at a time. An empty table gives no rows; columns that aren't kept aren't read, whatever their names.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_or_empty().alias("text"), *(keep or []))
-    ranges = stored(repeats(rows.select("doc", "text")).groupBy("doc").agg(F.collect_list(F.struct("mark", "start", "stop")).alias("ranges")), "ranges")  # a document's own ranges
     keep = keep or []
-    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
-    schema = T.StructType([*schema.fields, *[docs.schema[c] for c in keep]])
-    cut_rows = partial(_cut, keep=keep)
-    words = _filter_words(ranges)
-    cut = rows.filter(_touched(words)).join(ranges, "doc", "left").select("doc_id", "text", *keep, "ranges").mapInArrow(cut_rows, schema)
-    return cut.unionByName(rows.filter(~_touched(words)).select("doc_id", "text", *keep).mapInArrow(cut_rows, schema))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("__text"), *[F.col(c).alias(f"__keep_{c}") for c in keep]).select("*", *text_key(F.col("__text")))
+    copies = stored(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "copies")
+    heavy = by_weight(copies)[0].select(*KEY)
+    ranges = stored(repeats(rows.select(*KEY, F.col("__text").alias("text")), heavy), "ranges")
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string").fields, *[docs.schema[c] for c in keep]])
+    often = rows.join(F.broadcast(heavy), KEY).withColumns({"__ranges": F.lit(None).cast("array<long>"), "__whole": F.lit(True)})
+    others = rows.join(F.broadcast(heavy), KEY, "left_anti").join(ranges.withColumnRenamed("ranges", "__ranges"), KEY, "left").withColumn("__whole", F.lit(False))
+    return others.unionByName(often).drop(*KEY).mapInArrow(partial(_cut, keep=keep), schema)

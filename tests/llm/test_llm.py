@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from taxaspark.llm import bytebpe, chat, neighbours, packing, pii, quality, repeats, simhash, tokenfile, toxicity
+from taxaspark.llm import bytebpe, chat, common, neighbours, packing, pii, quality, repeats, simhash, tokenfile, toxicity
 from taxaspark.llm.encoding import WordEncoder
 from taxaspark.llm.queries import PII_KEY
 
@@ -292,20 +292,37 @@ def brute_repeats(texts):
         yield len(b), int(m.sum()), int((np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~m])).hexdigest()
 
 
-@pytest.mark.parametrize("group", [0, 3, 1000])
-def test_repeats(spark, docs, empty, group, monkeypatch):
-    monkeypatch.setattr(repeats, "GROUP_ROWS", group)
+@pytest.mark.parametrize("heavy", [1, 5, 1000])
+def test_repeats(spark, docs, empty, heavy, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", heavy)
     rnd = random.Random(6)
     text = lambda n: " ".join(rnd.choice(WORDS) + str(rnd.randint(0, 99)) for _ in range(n))
     shared, base = text(50), text(200)
-    more = [text(20) + shared[: 150 + 10 * k] + text(20) for k in range(12)] + [base[:k] + "#" + base[k:] for k in range(30, 900, 90)] + ["ab" * 400, "ab" * 130 + text(30), "é" * 300]
+    more = [text(20) + shared[: 150 + 10 * k] + text(20) for k in range(12)] + [base[:k] + "#" + base[k:] for k in range(30, 900, 90)] + ["ab" * 400, "ab" * 130 + text(30), "é" * 300, base, base, base]
     rows = [(r[0], r[1], *r[2:]) for r in corpus()] + [(200 + i, t, "en", "s", 0, "", "", 0) for i, t in enumerate(more)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = sorted((tuple(r) for r in repeats.remove_repeats(df).drop("text").collect()), key=str)
+    got = sorted((tuple(r) for r in repeats.remove_repeats(df, keep=["ranges", "n"]).drop("text", "ranges", "n").collect()), key=str)
     assert got == sorted(((r[0], *b) for r, b in zip(rows, brute_repeats([r[1] for r in rows]))), key=str)
     assert repeats.remove_repeats(empty, keep=["lang"]).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_keep_what_is_theirs(spark):
+    rnd = random.Random(9)
+    text = lambda n: " ".join(rnd.choice(WORDS) + str(rnd.randint(0, 999)) for _ in range(n))
+    shared = text(60)
+    rows = [(None, text(80)) for _ in range(300)] + [(5, text(20) + shared + text(20)), (5, text(90)), (None, shared)]
+    got = sorted((tuple(r) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("text").collect()), key=str)
+    assert got == sorted(((r[0], *b) for r, b in zip(rows, brute_repeats([r[1] for r in rows]))), key=str)
+
+
+def test_halves_cover_each_window_once():
+    for o, n in [(168, 169), (0, 1), (100, 40), (130, 131), (168, 1)]:
+        for block in repeats.BLOCKS:
+            parts = repeats.halves(o, n, block)
+            assert [w for _, first, windows, _ in parts for w in range(first, first + windows)] == list(range(n))[:0] + sorted(range(n), key=lambda w: ((o - w) // block, w))
+            assert all(o - b * block >= 0 and far >= o - first for b, first, _, far in parts)
+
+
 def test_anchors_cover_every_window_across_chunks(monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 512)
     data = bytes(random.Random(2).choices(b"abc ", k=3000))
