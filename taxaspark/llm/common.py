@@ -67,6 +67,34 @@ def joined(rows: DataFrame, marks: DataFrame, on: list[str], size: str = "size")
     return rows.join(heavy, on).unionByName(rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on))
 
 
+#: Most bits of a ``sieve``, which the driver gathers and sends to every task.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(keys: DataFrame, on: list[str]) -> Column:
+    """Whether a row's key may be among ``keys``: a fixed-size bit set of hashed keys.
+
+    It only saves shuffling rows without a partner; with more keys than bits it lets all pass, and no result depends on it.
+    """
+    bits = min(SIEVE_BITS, max(1 << 15, 1 << (16 * keys.count()).bit_length()))
+    place = (F.pmod(F.xxhash64(*on), F.lit(bits)) + 1).cast("long")
+    table = bytearray(bits // 8)
+    for r in keys.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect():
+        at = (r["b"] - 1) * (1 << 12)
+        table[at : at + (1 << 12)] = r["m"]
+    spot = F.pmod(F.xxhash64(*on), F.lit(bits))
+    byte = F.conv(F.hex(F.substr(F.lit(bytes(table)), F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2), spot % 8)) % 2 == 1
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for t in tables:
+        for f in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_memory() -> None:
     """Gives what a Python worker has freed back to the system; called at the end of a task, as workers live on."""
     pa.default_memory_pool().release_unused()

@@ -8,10 +8,10 @@ windows of one anchor follow one another. From there on it is prefix doubling on
 1. Positions are ranked by the ``CORE`` bytes at the anchor, and by the whole stretch of the anchor's windows (200 to 368
    bytes). A position with a unique core is done: its windows are unique. Equal stretches are past the threshold: their
    windows repeat, and one position of each set stays on as a witness.
-2. What is left are anchors near an edge of a repeat. Their windows are halved by offset, round by round; the bytes
-   common to a half's windows grow from 73 over 137, 169, ... to 200. Each round ranks the halves anew by their rank so far
-   and the bytes that came to it, drops those of unique rank, and settles those whose whole stretch is equal to another
-   one's. The last round compares single windows, so that nothing is left open.
+2. What is left are anchors near an edge of a repeat. Round by round their windows are parted by offset into blocks of
+   64, 16, 4 and 1, and the string common to a block's windows grows from 137 over 185 and 197 to 200 bytes. Each round
+   ranks the blocks anew by that string, drops those of unique rank, and settles those whose whole stretch is equal to
+   another one's. The last round ranks single windows, so that nothing is left open.
 
 Ranks are 128-bit hashes, and Spark's shuffles bring equal ones together as counts; members of a set are never compared
 with one another. Texts are known by a 128-bit hash, so rows that share a doc_id, or have none, are told apart.
@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxaspark.llm.common import by_weight, joined, release_memory, stored, text_or_empty
+from taxaspark.llm.common import by_weight, discard, joined, release_memory, sieve, stored, text_or_empty
 
 LENGTH, CORE = 200, 32
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 18
-#: Offsets of a block of windows in each round; the common string of a block has LENGTH + 1 - that many bytes, or more.
-BLOCKS = (128, 64, 32, 16, 8, 4, 2, 1)
+#: Windows of a block in each round; the string common to a block has LENGTH + 1 - that many bytes, or more.
+BLOCKS = (64, 16, 4, 1)
 KEY = ["k1", "k2"]
 
 
@@ -136,7 +136,7 @@ def _pass_contexts(batches):
     release_memory()
 
 
-def halves(o: int, n: int, block: int) -> list[tuple[int, int, int, int]]:
+def parted(o: int, n: int, block: int) -> list[tuple[int, int, int, int]]:
     """A segment's windows dealt to blocks of offsets: (block, first window in the segment, windows, end of the block's offsets).
 
     ``o``: bytes from the segment's start to the anchor, which is the offset of its first window; ``n``: its windows.
@@ -148,14 +148,14 @@ def halves(o: int, n: int, block: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _halve(batches, block: int):
+def _part(batches, block: int):
     """One row for each block of a segment: its rank (r1, r2), the hash of its whole stretch, and the segment that it is."""
     names = ["r1", "r2", "span", "k1", "k2", "lo", "o", "n", "fixed", "bytes"]
     for batch in batches:
         for begin in range(0, batch.num_rows, 1000):
             rows, part = [], batch.slice(begin, 1000)
             for k1, k2, lo, o, n, fixed, data in zip(*(part[c].to_pylist() for c in names[3:])):
-                for b, first, windows, far in halves(o, n, block):
+                for b, first, windows, far in parted(o, n, block):
                     common = data[o - b * block : o - far + LENGTH]
                     r1, r2 = np.frombuffer(xxhash.xxh3_128_digest(common, seed=b), "<i8").tolist()
                     own = data[first : first + windows - 1 + LENGTH]
@@ -172,23 +172,29 @@ def _range(lo: Column, n: Column) -> Column:
 
 
 def refine(state: DataFrame) -> list[DataFrame]:
-    """k1, k2, range of the windows of the open segments that repeat, from rounds of halving (see above).
+    """k1, k2, range of the windows of the open segments that repeat, from rounds of parting and ranking (see above).
 
-    ``state`` (``SEGMENT``): segments that are open, and fixed ones, whose windows are known to repeat.
+    ``state`` (``SEGMENT``): segments that are open, and fixed ones, whose windows are known to repeat. In a round, segments
+    of one rank and one whole stretch are a set, of which one segment goes on, as long as its rank has an open set.
     """
     found = []
     for block in BLOCKS:
-        kids = stored(state.mapInArrow(partial(_halve, block=block), f"r1 long, r2 long, span long, {SEGMENT}"), "halves")
-        segment = F.first(F.struct("k1", "k2", "lo", "o", "n", "bytes")).alias("s")
-        sets = kids.groupBy("r1", "r2", "span").agg(F.count(F.lit(1)).alias("size"), F.max("fixed").alias("fixed"), segment)
+        parts = stored(state.mapInArrow(partial(_part, block=block), f"r1 long, r2 long, span long, {SEGMENT}"), "parts")
+        sets = parts.groupBy("r1", "r2", "span").agg(F.count(F.lit(1)).alias("size"), F.max("fixed").alias("fixed"), F.min(F.struct(*KEY, "lo")).alias("one"))
         sets = stored(sets.withColumn("fixed", F.col("fixed") | (F.col("size") > 1)), "sets")
-        repeated = sets.filter("fixed").select("r1", "r2", "span", "size")
-        found.append(stored(joined(kids.filter("NOT fixed"), repeated, ["r1", "r2", "span"]).select(*KEY, _range(F.col("lo"), F.col("n"))), "found"))
-        ranks = sets.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("fixed")).alias("open"))
-        going = stored(ranks.filter("size > 1 AND open > 0").drop("open"), "ranks")
-        if block == 1 or going.isEmpty():
+        ranks = stored(sets.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("sets"), F.count_if(~F.col("fixed")).alias("open")), "ranks")
+        going = ranks.select("r1", "r2", F.col("sets").alias("weight"), ((F.col("sets") > 1) & (F.col("open") > 0)).alias("going"))
+        marks = joined(sets, going, ["r1", "r2"], "weight").filter("fixed OR going")
+        marks = stored(marks.withColumnRenamed("fixed", "settled"), "marks")
+        met = joined(parts, marks, ["r1", "r2", "span"])
+        goes = F.col("going") & (F.struct(*KEY, "lo") == F.col("one"))
+        ended = F.col("settled") & ~F.col("fixed")
+        met = stored(met.filter(goes | ended).select(*KEY, "lo", "o", "n", F.col("settled").alias("fixed"), F.when(goes, F.col("bytes")).alias("bytes"), goes.alias("goes"), ended.alias("ended")), "round")
+        found.append(met.filter("ended").select(*KEY, _range(F.col("lo"), F.col("n"))))
+        discard(parts, sets, ranks, marks)
+        state = met.filter("goes").drop("goes", "ended")
+        if state.isEmpty():
             break
-        state = stored(joined(sets.drop("size"), going, ["r1", "r2"]).select("s.k1", "s.k2", "s.lo", "s.o", "s.n", "fixed", "s.bytes"), "open")
     return found
 
 
@@ -207,12 +213,15 @@ def repeats(rows: DataFrame, heavy: DataFrame) -> DataFrame:
     want = witness.groupBy("w.k1", "w.k2").agg(F.collect_list(F.struct("w.at", "fixed")).alias("want"))  # anchors of one text
     few = rows.join(F.broadcast(heavy), KEY).groupBy(*KEY).agg(F.first("text").alias("text"))
     one = rows.join(F.broadcast(heavy), KEY, "left_anti").select(*KEY, "text").unionByName(few.select(*KEY, "text"))
-    state = stored(one.join(stored(want, "wanted"), KEY).mapInArrow(_pass_contexts, SEGMENT), "open")
+    want = stored(want, "wanted")
+    state = stored(one.filter(sieve(want, KEY)).join(want, KEY).mapInArrow(_pass_contexts, SEGMENT), "open")
     every = whole
     for x in refine(state):
         every = every.unionByName(x)
     light = every.join(F.broadcast(heavy), KEY, "left_anti")  # a frequent text repeats as a whole
-    return light.groupBy(*KEY).agg(F.collect_set("range").alias("ranges"))
+    out = stored(light.groupBy(*KEY).agg(F.collect_set("range").alias("ranges")), "ranges")
+    discard(found, spans, mixed, marks, alive, want, state)
+    return out
 
 
 def _merged(ranges: list[int]) -> list[list[int]]:
@@ -256,8 +265,10 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("__text"), *[F.col(c).alias(f"__keep_{c}") for c in keep]).select("*", *text_key(F.col("__text")))
     copies = stored(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "copies")
     heavy = by_weight(copies)[0].select(*KEY)
-    ranges = stored(repeats(rows.select(*KEY, F.col("__text").alias("text")), heavy), "ranges")
+    ranges = repeats(rows.select(*KEY, F.col("__text").alias("text")), heavy).withColumnRenamed("ranges", "__ranges")
     schema = T.StructType([*T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string").fields, *[docs.schema[c] for c in keep]])
     often = rows.join(F.broadcast(heavy), KEY).withColumns({"__ranges": F.lit(None).cast("array<long>"), "__whole": F.lit(True)})
-    others = rows.join(F.broadcast(heavy), KEY, "left_anti").join(ranges.withColumnRenamed("ranges", "__ranges"), KEY, "left").withColumn("__whole", F.lit(False))
-    return others.unionByName(often).drop(*KEY).mapInArrow(partial(_cut, keep=keep), schema)
+    others, maybe = rows.join(F.broadcast(heavy), KEY, "left_anti").withColumn("__whole", F.lit(False)), sieve(ranges, KEY)
+    touched = others.filter(maybe).join(ranges, KEY, "left")
+    clean = others.filter(~maybe).withColumn("__ranges", F.lit(None).cast("array<long>"))
+    return touched.unionByName(clean).unionByName(often).drop(*KEY).mapInArrow(partial(_cut, keep=keep), schema)

@@ -315,11 +315,11 @@ def test_rows_that_share_an_id_or_have_none_keep_what_is_theirs(spark):
     assert got == sorted(((r[0], *b) for r, b in zip(rows, brute_repeats([r[1] for r in rows]))), key=str)
 
 
-def test_halves_cover_each_window_once():
+def test_blocks_cover_each_window_once():
     for o, n in [(168, 169), (0, 1), (100, 40), (130, 131), (168, 1)]:
         for block in repeats.BLOCKS:
-            parts = repeats.halves(o, n, block)
-            assert [w for _, first, windows, _ in parts for w in range(first, first + windows)] == list(range(n))[:0] + sorted(range(n), key=lambda w: ((o - w) // block, w))
+            parts = repeats.parted(o, n, block)
+            assert [w for _, first, windows, _ in parts for w in range(first, first + windows)] == sorted(range(n), key=lambda w: ((o - w) // block, w))
             assert all(o - b * block >= 0 and far >= o - first for b, first, _, far in parts)
 
 
