@@ -10,23 +10,27 @@ from functools import lru_cache
 import numpy as np
 
 ODD_SPACE = re.compile(r"[^\S \n]")
+#: Pieces that a worker remembers, at most, and their longest length: some 40 MB in all.
+REMEMBERED, LONGEST = 200_000, 40
 
 
 class WordEncoder:
     """Encodes whole texts with a tokenizer file; ids come back as little-endian unsigned 32-bit bytes.
 
     Both vocabularies used here split a text into words before they merge, and no word reaches across a single space or
-    line break between two other characters. So a text is cut there and each distinct piece is encoded once and
-    remembered, up to ``limit`` pieces; a text with any other run of white space goes to the library as a whole.
-    ``space_joins``: the space before a word, or the line break, belongs to its ids (byte-level vocabularies).
+    line break between two other characters. So a text is cut there and each distinct piece is encoded once and, if
+    short, remembered, up to ``limit`` pieces. A text with any other run of white space, or with the string of one of
+    the vocabulary's special tokens, goes to the library as a whole. ``space_joins``: the space before a word, or the
+    line break, belongs to its ids (byte-level vocabularies).
     """
 
-    def __init__(self, path: str, space_joins: bool, limit: int = 1_000_000):
+    def __init__(self, path: str, space_joins: bool, limit: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         self.space_joins, self.limit, self.memo = space_joins, limit, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -36,7 +40,7 @@ class WordEncoder:
         return " " + piece if self.space_joins and piece[:1] != "\n" else piece
 
     def _pieces(self, text: str) -> list[str] | None:
-        if ODD_SPACE.search(text) or self.space_joins and ("  " in text or " \n" in text or "\n " in text or "\n\n" in text):
+        if ODD_SPACE.search(text) or self.space_joins and ("  " in text or " \n" in text or "\n " in text or "\n\n" in text) or self.special and self.special.search(text):
             return None
         return text.replace("\n", " \n").split(" ") if self.space_joins else ["", *text.split()]
 
@@ -54,13 +58,30 @@ class WordEncoder:
         first = iter(self._whole([p[0] for p in pieces if p]))
         rest, get = iter(self._whole([t for t, p in zip(texts, pieces) if not p])), self.memo.__getitem__
         out = [b"".join([next(first), *map(get, p[1:])]) if p else next(rest) for p in pieces]
-        if len(self.memo) > self.limit:
-            for x in new:
+        full = len(self.memo) > self.limit
+        for x in new:
+            if full or len(x) > LONGEST:
                 del self.memo[x]
         return out
 
+    def forget(self) -> None:
+        """Drops what is remembered; called at the end of a task, as worker processes live on."""
+        self.memo = {}
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str, space_joins: bool) -> WordEncoder:
-    """The worker process's encoder for a file; what it remembers serves later tasks too."""
+    """The worker process's encoder for a file."""
     return WordEncoder(path, space_joins)
+
+
+def batches_of(texts: list[str], rows: int = 500, size: int = 1 << 22) -> Iterable[tuple[int, int]]:
+    """(begin, end) of runs of ``texts`` with at most ``rows`` texts, and ``size`` characters or one text."""
+    begin, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and (i - begin >= rows or held + len(t) > size):
+            yield begin, i
+            begin, held = i, 0
+        held += len(t)
+    if texts:
+        yield begin, len(texts)

@@ -2,7 +2,7 @@
 
 One file holds one shard. Its frames each hold the ids of some whole documents (unsigned 16-bit little-endian where the
 vocabulary allows, else 32-bit). A skippable frame with the shard's index follows (document ids, token counts, frame
-numbers), then the seek table of the public seekable zstandard format: for each frame its compressed and decompressed
+numbers, which ids are null), then the seek table of the public seekable zstandard format: for each frame its compressed and decompressed
 size and the lower half of the XXH64 of its content. A reader takes the footer, the table and the index, and then
 decompresses only the frames of the documents that it wants.
 """
@@ -23,12 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxaspark.llm.common import new_path, stored, text_or_empty
-from taxaspark.llm.encoding import encoder
+from taxaspark.llm.common import new_path, release_memory, stored, text_or_empty
+from taxaspark.llm.encoding import batches_of, encoder
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEK_FRAME_MAGIC, SEEK_FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_TOKENS = 65_536
+MANIFEST = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64())])
 
 
 class ShardWriter:
@@ -44,9 +45,12 @@ class ShardWriter:
         self.doc_ids, self.counts, self.frames = [], [], []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        """``ids``: unsigned 32-bit."""
-        a = np.frombuffer(ids, dtype="<u4").astype(self.dtype)
-        self.doc_ids.append(-1 if doc_id is None else doc_id)
+        """``ids``: unsigned 32-bit; an error if one doesn't fit the shard's width."""
+        wide = np.frombuffer(ids, dtype="<u4")
+        a = wide.astype(self.dtype)
+        if self.width < 4 and len(wide) and int(wide.max()) >> 8 * self.width:
+            raise ValueError(f"token id {wide.max()} needs more than {self.width} bytes")
+        self.doc_ids.append(doc_id)
         self.counts.append(len(a))
         self.frames.append(len(self.table))
         self.pending.append(a)
@@ -63,7 +67,9 @@ class ShardWriter:
 
     def close(self) -> None:
         self._flush()
-        index = struct.pack("<BQ", self.width, len(self.doc_ids)) + np.array(self.doc_ids, "<i8").tobytes() + np.array(self.counts, "<u4").tobytes() + np.array(self.frames, "<u4").tobytes()
+        none = np.array([d is None for d in self.doc_ids], bool)
+        ids = np.array([d or 0 for d in self.doc_ids], "<i8")
+        index = struct.pack("<BQ", self.width, len(ids)) + ids.tobytes() + np.array(self.counts, "<u4").tobytes() + np.array(self.frames, "<u4").tobytes() + np.packbits(none).tobytes()
         z = self.pack.compress(index)
         self.out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(z)) + z)
         self.table.append((len(z) + 8, 0, xxhash.xxh64_intdigest(index) & 0xFFFFFFFF))
@@ -88,7 +94,8 @@ class ShardReader:
         index = self._checked(zstandard.ZstdDecompressor().decompress(self._at(int(self.starts[n - 1]) + 8, int(self.table[n - 1, 0]) - 8)), n - 1)
         width, docs = struct.unpack("<BQ", index[:9])
         self.dtype = np.dtype(f"<u{width}")
-        self.doc_ids = np.frombuffer(index, "<i8", docs, 9)
+        none = np.unpackbits(np.frombuffer(index, np.uint8, -1, 9 + 16 * docs), count=docs).astype(bool)
+        self.doc_ids = [None if x else d for x, d in zip(none.tolist(), np.frombuffer(index, "<i8", docs, 9).tolist())]
         self.counts = np.frombuffer(index, "<u4", docs, 9 + 8 * docs)
         self.frames = np.frombuffer(index, "<u4", docs, 9 + 12 * docs)
 
@@ -106,10 +113,10 @@ class ShardReader:
         raw = zstandard.ZstdDecompressor().decompress(self._at(int(self.starts[k]), int(self.table[k, 0])))
         return np.frombuffer(self._checked(raw, k), self.dtype).astype("<u4")
 
-    def documents(self, wanted: set[int] | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    def documents(self, wanted: set[int] | None = None) -> Iterator[tuple[int, int | None, np.ndarray]]:
         """(place in the shard, document id, ids); with ``wanted`` only those documents, and only their frames are read."""
         last, ids, at = -1, np.zeros(0, "<u4"), 0
-        for i, (d, n, k) in enumerate(zip(self.doc_ids.tolist(), self.counts.tolist(), self.frames.tolist())):
+        for i, (d, n, k) in enumerate(zip(self.doc_ids, self.counts.tolist(), self.frames.tolist())):
             if k != last:
                 last, at, ids = k, 0, None
             if wanted is None or d in wanted:
@@ -123,24 +130,27 @@ def _write(batches, tokenizer: str, end_id: int, uri: str, width: int, space_joi
     shard = TaskContext.get().partitionId()
     path, end = f"{uri}/shard-{shard:08d}.zst", np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            for d, ids in zip(part["doc_id"].to_pylist(), words.encode(part["text"].to_pylist())):
+        texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
+        for a, b in batches_of(texts):
+            for d, ids in zip(doc_ids[a:b], words.encode(texts[a:b])):
                 writer = writer or ShardWriter(path, str(TaskContext.get().taskAttemptId()), width)
                 writer.add(d, ids + end)
                 tokens, docs = tokens + len(ids) // 4 + 1, docs + 1
+    words.forget()
     if writer:
         low, high = writer.doc_ids[0], writer.doc_ids[-1]
         writer.close()
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "docs": [docs], "tokens": [tokens], "first_doc": [low], "last_doc": [high]})
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "docs": [docs], "tokens": [tokens], "first_doc": [low], "last_doc": [high]}, schema=MANIFEST)
+    release_memory()
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, uri: str | None = None, shards: int | None = None, width: int = 2, space_joins: bool = True) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write shards in ascending doc_id order; returns the manifest, one row a shard.
 
     Manifest: shard, path, docs, tokens, first_doc, last_doc, and ``start``, the ids in the shards before. A null text
-    is empty; every document gets ``end_id``. Null document ids come first and are written as -1; repeated ids are kept,
-    ordered by text. An empty table gives an empty manifest. Shards follow the input's own splits in number; rows are
+    is empty; every document gets ``end_id``. Null document ids come first and stay null; repeated ids are kept, ordered
+    by text, and equal rows are alike. A text of any length lies in one frame. An empty table gives an empty manifest;
+    other columns aren't read. ``width``: bytes of an id, an error where one doesn't fit. Shards follow the input's own splits in number; rows are
     dealt by ranges of (doc_id, hash of text), so that no id can swamp a task.
     """
     uri = uri or new_path(docs.sparkSession, "tokens")
@@ -159,7 +169,7 @@ def _read(batches):
         for row in batch.to_pylist():
             reader, out, start = ShardReader(row["path"]), [], row["start"]
             for _, d, ids in reader.documents():
-                out.append((None if d == -1 else d, start, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes() if row["ids"] else None))
+                out.append((d, start, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes() if row["ids"] else None))
                 start += len(ids)
                 if len(out) >= 2000:
                     yield _rows(out)
@@ -192,5 +202,5 @@ def fetch_tokens(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids of the documents in ``wanted`` (doc_id): each shard is opened at its table and only the
     frames of wanted documents are decompressed."""
     want = wanted.select(F.col("doc_id").alias("w")).distinct()
-    pairs = manifest.join(want, F.col("w").between(F.col("first_doc"), F.col("last_doc"))).withColumn("slice", F.pmod(F.xxhash64("w"), F.ceil(F.col("docs") / 50_000)))
+    pairs = manifest.join(want, F.col("w").between(F.coalesce("first_doc", F.lit(-(1 << 63))), F.coalesce("last_doc", F.lit(-(1 << 63))))).withColumn("slice", F.pmod(F.xxhash64("w"), F.ceil(F.col("docs") / 50_000)))
     return pairs.groupBy("path", "slice").agg(F.collect_list("w").alias("wanted")).select("path", "wanted").mapInArrow(_fetch, "doc_id long, n_tokens long, ids binary")
