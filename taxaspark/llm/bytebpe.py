@@ -1,104 +1,201 @@
 """Byte-level BPE as Spark higher-order functions: ranked merges folded over the bytes of distinct words.
 
-The rank file is one literal, laid out in hash buckets, so that a rank is found in constant time. A word is an array
-of its bytes (as hexadecimal text); ``aggregate`` merges, once for each byte, the adjacent pair of least rank. The
-words of the corpus are counted, and the frequent ones, up to ``DICTIONARY``, are encoded once each into a dictionary of
-bounded size that tasks look words up in; any other word is folded where it occurs. Both give the same ids, so the
-dictionary's bound is one of memory, not of results. Decoding concatenates the tokens' bytes.
+A word is an array of byte tokens; ``aggregate`` merges the adjacent pair of least rank again and again. The rank map is
+a literal: an array of 64-bit entries (pair, merged token) placed by a perfect hash, so that a pair's rank takes two array
+reads. All words of the corpus are counted, and the frequent short ones, up to ``DICTIONARY``, are folded once each into a
+dictionary that every task holds; the other distinct words are folded once for each block of documents that has them.
+Both give the same ids, so the dictionary's bound is one of memory, not of results. Tasks in Python only split texts
+into words and put the words' ids together. A fold's arrays are copied at each merge, so words above ``LONG`` bytes are
+merged along a heap in the task instead, in n log n steps. Decoding concatenates the tokens' bytes.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
-
+import heapq
+from array import array
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
+
+import numpy as np
+import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaspark.llm.common import stored, text_or_empty
+from taxaspark.llm.common import release_memory, stored, text_or_empty
+from taxaspark.llm.encoding import batches_of
 
-#: Most words in the dictionary, and its hash buckets.
-DICTIONARY, BUCKETS = 300_000, 1 << 18
-RANK_BUCKETS = 1 << 16
-#: Unicode white space, which Java's ``\s`` doesn't cover.
-WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: Most words in the dictionary, and the most characters of one: some 10 MB at most.
+DICTIONARY, SHORT = 200_000, 24
+#: Bytes up to which a word is folded by Spark.
+LONG = 256
+#: Characters of texts whose words are folded together.
+BLOCK = 1 << 20
+#: Bits of a token id in a pair.
+WIDTH = 20
 
 
-def java_pattern(pattern: str) -> str:
-    """The splitting pattern with Unicode white space, for Java."""
-    return pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
+def rank_file(path: str) -> dict[bytes, int]:
+    """Token -> rank of a rank file (base64 token and rank on each line)."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
 
 
-class Ranks:
-    """Column expressions over a rank file (base64 token and rank on each line).
+def pairs_of(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Pair of token ids (left << WIDTH | right) -> id of the token that has the bytes of both."""
+    return {ranks[t[:i]] << WIDTH | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
-    The literal is an array of hash buckets, each a text of |token=rank entries (tokens in hexadecimal). ``bound``
-    makes it a lambda's variable, so that an expression holds it once however often it looks ranks up.
-    """
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(t).hex().upper(): int(r) for t, r in map(bytes.split, f)}
-        buckets = [""] * RANK_BUCKETS
-        for token, r in ranks.items():
-            buckets[xxhash.xxh64_intdigest(token.encode(), 42) % RANK_BUCKETS] += f"|{token}={r}"
-        tokens = [""] * (max(ranks.values()) + 1)
-        for token, r in ranks.items():
-            tokens[r] = token
-        self.buckets, self.tokens = ",".join(buckets), ",".join(tokens)
+def perfect_hash(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
+    """(displacements, entries): the entry (pair << WIDTH | merged) of a pair of hash h is at (h >> 16 & mask) ^ displacements[h & (their number - 1)]."""
+    groups, size = 1 << max(4, (len(pairs) // 3).bit_length()), 1 << max(8, (2 * len(pairs)).bit_length())
+    held: list[list[tuple[int, int]]] = [[] for _ in range(groups)]
+    for pair in pairs:
+        h = xxhash.xxh64_intdigest(pair.to_bytes(8, "little"), 42)
+        held[h & (groups - 1)].append((h >> 16 & (size - 1), pair))
+    shift, table, free = [0] * groups, [-1] * size, 0
+    for g in sorted(range(groups), key=lambda g: -len(held[g])):
+        d = 0
+        while any(table[slot ^ d] >= 0 for slot, _ in held[g]):
+            d += 1
+            if d == size:
+                raise ValueError("no perfect hash of this size")
+        shift[g] = d
+        for slot, pair in held[g]:
+            if table[slot ^ d] >= 0:
+                raise ValueError("two pairs hash alike")
+            table[slot ^ d] = pair << WIDTH | pairs[pair]
+    return shift, table
 
-    def bound(self, use: Callable[[Column], Column]) -> Column:
-        """``use`` of the rank literal."""
-        return F.transform(F.array(F.split(F.lit(self.buckets), ",")), use)[0]
 
-    def rank(self, table: Column, piece: Column) -> Column:
-        """Rank of a piece (hexadecimal), or null."""
-        bucket = F.get(table, F.pmod(F.xxhash64(piece), F.lit(RANK_BUCKETS)).cast("int"))
-        rest = F.split_part(F.concat(bucket, F.lit("|")), F.concat(F.lit("|"), piece, F.lit("=")), F.lit(2))
-        return F.when(rest != "", F.substring_index(rest, "|", 1).cast("int"))
+def _literal(values: list[int], kind: str) -> Column:
+    """An array literal; the optimizer folds the text into it once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-    def fold(self, table: Column, word: Column) -> Column:
-        """Ids of a word: its pieces after all ranked merges."""
-        none = F.array().cast("array<int>")
 
-        def merge(acc: Column, _: Column) -> Column:
-            p, r = acc["p"], acc["r"]
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value`` as a lambda's variable, so that it is held and computed once."""
+    return F.transform(F.array(value), use)[0]
 
-            def at(i: Column) -> Column:  # the pair of least rank is the pieces i and i + 1
-                def joined(both: Column) -> Column:
-                    left = F.when(i > 1, F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), F.array(self.rank(table, F.concat(F.get(p, i - 2), both))))).otherwise(none)
-                    right = F.when(i < F.size(r), F.concat(F.array(self.rank(table, F.concat(both, F.get(p, i + 1)))), F.slice(r, i + 2, F.size(r)))).otherwise(none)
-                    return F.struct(F.concat(F.slice(p, 1, i - 1), F.array(both), F.slice(p, i + 2, F.size(p))).alias("p"), F.concat(left, right).alias("r"))
 
-                return F.when(i.isNull(), acc).otherwise(F.transform(F.array(F.concat(F.get(p, i - 1), F.get(p, i))), joined)[0])
+class Ranks:
+    """Column expressions over a rank file."""
 
-            return F.transform(F.array(F.array_position(r, F.array_min(r)).cast("int")), at)[0]
+    def __init__(self, path: str):
+        ranks = rank_file(path)
+        self.shift, self.table = perfect_hash(pairs_of(ranks))
+        self.bytes = [ranks.get(bytes([b]), -1) for b in range(256)]
+        tokens = [""] * (max(ranks.values()) + 1)
+        for token, r in ranks.items():
+            tokens[r] = token.decode("latin-1")
+        self.tokens = "Ā".join(tokens)
 
-        def merged(p: Column) -> Column:
-            pairs = F.transform(F.slice(p, 2, F.size(p) - 1), lambda x, i: self.rank(table, F.concat(F.get(p, i), x)))
-            done = F.aggregate(p, F.struct(p.alias("p"), pairs.alias("r")), merge)
-            return F.transform(done["p"], lambda x: self.rank(table, x))
+    def bound(self, use: Callable[[Column, Column, Column], Column]) -> Column:
+        """``use`` of the literals: displacements, entries, tokens of bytes."""
+        return let(_literal(self.shift, "int"), lambda d: let(_literal(self.table, "long"), lambda e: let(_literal(self.bytes, "int"), lambda b: use(d, e, b))))
 
-        def ids(whole: Column) -> Column:
-            pieces = F.transform(F.sequence(F.lit(0), (F.length(whole) / 2 - 1).cast("int")), lambda i: F.substr(whole, 2 * i + 1, F.lit(2)))
-            own = F.transform(F.array(self.rank(table, whole)), lambda r: F.when(r.isNotNull(), F.array(r)))[0]
-            return F.coalesce(own, F.transform(F.array(pieces), merged)[0])
+    def merged(self, shift: Column, table: Column, left: Column, right: Column) -> Column:
+        """The token that a pair merges into, which is its rank too; null for a pair that doesn't merge."""
 
-        return F.transform(F.array(F.hex(F.encode(word, "UTF-8"))), ids)[0]
+        def found(pair: Column) -> Column:
+            def entry(h: Column) -> Column:
+                d = F.get(shift, h.bitwiseAND(F.lit(len(self.shift) - 1)).cast("int"))
+                slot = F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(len(self.table) - 1)).cast("int").bitwiseXOR(d)
+                return let(F.get(table, slot), lambda e: F.when(F.shiftright(e, WIDTH) == pair, e.bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")))
 
+            return let(F.xxhash64(pair), entry)
 
-def words_of(text: Column, pattern: str) -> Column:
-    """The matches of the splitting pattern, in order; together they are the text."""
-    return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), 0)
+        return let(F.shiftleft(left.cast("long"), WIDTH).bitwiseOR(right.cast("long")), found)
 
+    def fold(self, shift: Column, table: Column, single: Column, word: Column) -> Column:
+        """Ids of a word, array<int>: its tokens after all ranked merges."""
+        none = F.array().cast("array<int>")
 
-def dictionary(words: DataFrame, ranks: Ranks, limit: int = DICTIONARY) -> DataFrame:
-    """One row, one column: an array of hash buckets, each a map word -> ids, of the frequent ``words`` (w).
+        def step(acc: Column, _: Column) -> Column:
+            p, r = acc["p"], acc["r"]
 
-    All words are counted; those at least as frequent as a cutoff that at most ``limit`` words reach come in.
+            def at(m: Column) -> Column:  # merge the first pair of least rank: tokens i and i + 1 become m
+                def joined(i: Column) -> Column:
+                    left = F.when(i > 1, F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(self.merged(shift, table, F.get(p, i - 2), m)))).otherwise(none)
+                    right = F.when(i < F.size(r), F.concat(F.array(self.merged(shift, table, m, F.get(p, i + 1))), F.slice(r, i + 2, F.size(r)))).otherwise(none)
+                    return F.struct(F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p))).alias("p"), F.concat(left, right).alias("r"))
+
+                return F.when(m.isNull(), acc).otherwise(let(F.array_position(r, m).cast("int"), joined))
+
+            return let(F.array_min(r), at)
+
+        def ids(p: Column) -> Column:
+            pairs = F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: self.merged(shift, table, F.get(p, i), x))
+            return F.aggregate(p, F.struct(p.alias("p"), pairs.alias("r")), step)["p"]
+
+        latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
+        return let(F.transform(F.filter(F.split(latin, ""), lambda c: c != ""), lambda c: F.get(single, F.ascii(c))), ids)
+
+    def folded(self, words: Column) -> Column:
+        """Ids of each word of an array."""
+        return self.bound(lambda d, e, b: F.transform(words, lambda w: self.fold(d, e, b, w)))
+
+
+@lru_cache(maxsize=1)
+def _ranks(path: str) -> dict[bytes, int]:
+    return rank_file(path)
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word by ranked merges along a heap, first pair first among equal ranks."""
+    n = len(word)
+    after, before, end = array("l", range(1, n + 1)), array("l", range(-1, n - 1)), array("l", range(1, n + 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    gone = bytearray(n)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i]
+        if gone[i] or j >= n or end[j] != stop:
+            continue
+        gone[j], end[i], after[i] = 1, stop, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+            k = after[j]
+            if (r := ranks.get(word[i : end[k]])) is not None:
+                heapq.heappush(heap, (r, i, end[k]))
+        h = before[i]
+        if h >= 0 and (r := ranks.get(word[h:stop])) is not None:
+            heapq.heappush(heap, (r, h, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = after[i]
+    return out
+
+
+def _count(batches, pattern: str):
+    """Short words and their numbers; a word may come more than once."""
+    find, counts = regex.compile(pattern).findall, Counter()
+
+    def rows() -> pa.RecordBatch:
+        short = [(w, n) for w, n in counts.items() if len(w) <= SHORT]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["w", "n"])
+
+    for batch in batches:
+        for t in batch["text"].to_pylist():
+            counts.update(find(t))
+            if len(counts) > DICTIONARY:
+                yield rows()
+                counts.clear()
+    yield rows()
+    release_memory()
+
+
+def dictionary(texts: DataFrame, pattern: str, ranks: Ranks, limit: int = DICTIONARY) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words, numbers of ids, ids one after the other) of the most frequent short words of ``texts`` (text).
+
+    All short words are counted; those at least as frequent as a cutoff that at most ``limit`` words reach come in.
     """
-    counts = stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
+    counts = stored(texts.mapInArrow(partial(_count, pattern=pattern), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     steps = F.floor(F.ln(F.col("n").cast("double")) / 0.02)
     sizes = sorted(((r["s"], r["k"]) for r in counts.groupBy(steps.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
     total, cut = 0, float("inf")
@@ -106,35 +203,80 @@ def dictionary(words: DataFrame, ranks: Ranks, limit: int = DICTIONARY) -> DataF
         if total + k > limit:
             break
         total, cut = total + k, s
-    frequent = counts.filter(steps >= F.lit(cut)).repartition(12, "w").select("w", ranks.bound(lambda table: ranks.fold(table, F.col("w"))).alias("ids"))
-    frequent = stored(frequent, "dictionary")
-    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
-    maps = frequent.groupBy(bucket.alias("b")).agg(F.collect_list(F.struct("w", "ids")).alias("m"))
-    every = words.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "m"))), lambda x: F.map_from_entries(F.coalesce(x["m"], F.array().cast("array<struct<w:string,ids:array<int>>>")))).alias("d"))
+    frequent = counts.filter(steps >= F.lit(cut))
+    n = frequent.sparkSession.sparkContext.defaultParallelism
+    table = frequent.repartition(n, "w").select("w", ranks.bound(lambda d, e, b: ranks.fold(d, e, b, F.col("w"))).alias("ids")).toArrow()
+    ids = table["ids"].combine_chunks()
+    flat = ids.flatten() if len(table) else pa.array([], pa.int32())
+    sizes = np.array([len(x) for x in ids.to_pylist()], np.int64)
+    return table["w"].to_pylist(), sizes, flat.to_numpy(zero_copy_only=False).astype(np.int32)
+
+
+BLOCKS = "docs array<long>, counts array<int>, refs binary, words array<string>, long array<array<int>>"
+
+
+def _split(batches, pattern: str, known: list[str], path: str):
+    """A row for each block of documents: what words each has, as places in ``known``, in ``words`` after it, and in ``long`` after that."""
+    find, place = regex.compile(pattern).findall, {w: i for i, w in enumerate(known)}
+    for batch in batches:
+        texts, docs = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
+        for a, b in batches_of(texts, 10_000, BLOCK):
+            own: dict[str, int] = {}
+            counts, refs = [], []
+            for t in texts[a:b]:
+                words = find(t)
+                counts.append(len(words))
+                for w in set(words).difference(place):
+                    own.setdefault(w, len(own))
+                refs += [place[w] if w in place else -1 - own[w] for w in words]
+            words = list(own)
+            long = [i for i, w in enumerate(words) if len(w) * 4 > LONG and len(w.encode()) > LONG]
+            order = np.full(len(words), 0, np.int64)  # short words first, then long ones
+            is_long = np.zeros(len(words), bool)
+            is_long[long] = True
+            order[~is_long] = np.arange(len(words) - len(long))
+            order[is_long] = np.arange(len(words) - len(long), len(words))
+            r = np.array(refs, np.int64)
+            new = r < 0
+            r[new] = len(known) + order[-1 - r[new]]
+            merged = [merge_long(words[i].encode(), _ranks(path)) for i in long]
+            yield pa.RecordBatch.from_arrays([pa.array([docs[a:b]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([r.astype("<i4").tobytes()], pa.binary()), pa.array([[w for w, x in zip(words, is_long) if not x]], pa.list_(pa.string())), pa.array([merged], pa.list_(pa.list_(pa.int32())))], ["docs", "counts", "refs", "words", "long"])
+    release_memory()
+
+
+def _assemble(batches, sizes: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids of each document of the blocks: the ids of its words one after the other."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one = batch.slice(k, 1)
+            own = [(np.diff(x.offsets.to_numpy()), x.flatten().to_numpy(zero_copy_only=False)) for x in (one["ids"].flatten(), one["long"].flatten())]
+            n = np.concatenate([sizes, *[s.astype(np.int64) for s, _ in own]])
+            ids = np.concatenate([flat, *[v.astype(np.int32) for _, v in own]])
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
+            refs, counts = np.frombuffer(one["refs"][0].as_py(), "<i4"), one["counts"].flatten().to_numpy()
+            lengths = n[refs]
+            ends = np.cumsum(lengths)
+            at = np.repeat(starts[refs] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+            upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+            yield pa.RecordBatch.from_arrays([one["docs"].flatten(), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids[at]))], ["doc_id", "ids"])
+    release_memory()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, limit: int = DICTIONARY) -> DataFrame:
     """doc_id, ids of every whole text; a null text is empty and has no ids.
 
-    Repeated rows are encoded one by one; an empty table gives no rows; other columns aren't read.
+    Repeated rows are encoded one by one; an empty table gives no rows; other columns aren't read, whatever their names.
+    Texts and words may be of any length; a task's memory follows the longest one.
     """
     ranks = Ranks(ranks_path)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(text_or_empty(), pattern).alias("words"))
-    known = dictionary(rows.select(F.explode("words").alias("w")), ranks, limit).scalar()
-
-    def ids(table: Column) -> Column:
-        def one(w: Column) -> Column:
-            found = F.element_at(F.get(F.col("known"), F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), w)
-            return F.coalesce(found, ranks.fold(table, w))
-
-        return F.flatten(F.transform("words", one))
-
-    # ``known`` is a subquery's one value: the optimizer puts it in the place of the column, so no row carries it
-    return rows.select("doc_id", "words", known.alias("known")).select("doc_id", ranks.bound(ids).alias("ids"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    known, sizes, flat = dictionary(rows.select("text"), pattern, ranks, limit)
+    blocks = rows.mapInArrow(partial(_split, pattern=pattern, known=known, path=ranks_path), BLOCKS)
+    folded = blocks.select("docs", "counts", "refs", ranks.folded(F.col("words")).alias("ids"), "long")
+    return folded.mapInArrow(partial(_assemble, sizes=sizes, flat=flat), "doc_id long, ids array<int>")
 
 
 def decode(ids: Column, ranks: Ranks) -> Column:
-    """The bytes of ``ids``: their tokens' bytes concatenated."""
-    tokens = F.split(F.lit(ranks.tokens), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""))
+    """The bytes of ``ids``: their tokens' bytes concatenated. An id that isn't in the vocabulary gives nothing."""
+    tokens = F.split(F.lit(ranks.tokens), "Ā")
+    return F.encode(let(tokens, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")), "ISO-8859-1")
