@@ -2,9 +2,9 @@
 
 Each document gets a few base counts. Their ratios go into mergeable quantile sketches, one for each language, source
 and ratio: counts of logarithmic buckets, whose sum over any parts is the sketch of the whole and whose quantiles have
-a bounded relative error. From a group's quartiles come fences (quartile plus ``SPREAD`` times the range between the
-quartiles), and documents are joined with the fences of their group. Sketches of groups under ``LEAST`` documents are
-merged over the language, and those of small languages over everything.
+a bounded relative error. A group's fence lies beyond its high quantile by ``SPREAD`` times that quantile's distance from
+the median; a small group's fence is drawn towards its language's, and that towards the one of all, in proportion to
+their numbers of documents, so that no size switches a rule. Documents are then joined with the fences of their group.
 """
 
 from __future__ import annotations
@@ -19,17 +19,18 @@ from taxaspark.llm.common import SPACE, stored, text_or_empty
 #: Relative error of a quantile, and the bucket growth that follows from it.
 ERROR = 0.01
 GAMMA = (1 + ERROR) / (1 - ERROR)
-#: Fence: quartile +- SPREAD * max(quartile range, FLOOR of the ratio).
-SPREAD = 3.0
-#: A group with fewer documents takes the merged sketch of its language, or of all.
-LEAST = 50
-#: Ratio -> (expression over base columns, least quartile range, fence below too).
+#: The high quantile (the low one is 1 - HIGH), and the fence's distance from it.
+HIGH, SPREAD = 0.95, 1.0
+#: Documents of the wider group that count towards a group's fence.
+PRIOR = 200.0
+#: Ratio -> (expression over base columns, fence below too).
 RATIOS = {
-    "word_length": ("word_chars / n_words", 0.5, True),
-    "symbols": ("n_symbols / word_chars", 0.02, False),
-    "dup_lines": ("n_dup_lines / n_lines", 0.12, False),
-    "repeats": ("n_repeat_words / n_words", 0.12, False),
+    "word_length": ("word_chars / n_words", True),
+    "symbols": ("n_symbols / word_chars", False),
+    "dup_lines": ("n_dup_lines / n_lines", False),
+    "repeats": ("n_repeat_words / n_words", False),
 }
+BOUNDS = [c for k, (_, below) in RATIOS.items() for c in ([f"{k}_hi", f"{k}_lo"] if below else [f"{k}_hi"])]
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -78,52 +79,59 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ratio, size, q1, q3 from sketches by the nearest rank."""
-    w = Window.partitionBy(*keys, "ratio")
+def edge(bucket: Column, above: bool) -> Column:
+    """The upper or lower end of a bucket, a little further out, so that none of its values lies beyond; 0 where it is null."""
+    out = F.pow(F.lit(GAMMA), bucket.cast("double") - (0 if above else 1)) * (1 + 1e-6 if above else 1 - 1e-6)
+    return F.when(bucket.isNull(), 0.0).otherwise(out)
+
+
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ratio, size, and the bucket ends high, low, mid_above, mid_below, from sketches by the nearest rank."""
+    w = Window.partitionBy(*keys, "ratio")  # rows: buckets, some hundred at most
     ranked = sketch.withColumn("size", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy(F.col("bucket").asc_nulls_first())))
-    mid = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket").cast("double")) / (GAMMA + 1))
 
-    def at(q: float) -> Column:
-        return F.min(F.when(F.col("upto") >= F.ceil(q * F.col("size")), mid))
+    def at(q: float, above: bool) -> Column:
+        return F.min(F.when(F.col("upto") >= F.ceil(q * F.col("size")), edge(F.col("bucket"), above)))
 
-    return ranked.groupBy(*keys, "ratio").agg(F.first("size").alias("size"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return ranked.groupBy(*keys, "ratio").agg(F.first("size").alias("size"), at(HIGH, True).alias("high"), at(1 - HIGH, False).alias("low"), at(0.5, False).alias("mid_below"), at(0.5, True).alias("mid_above"))
 
 
-def fences(quarter: DataFrame, keys: list[str], names: dict) -> DataFrame:
-    """One row for each group: ``size`` and for each ratio ``<ratio>_lo`` and ``<ratio>_hi``."""
-    out = [F.max("size").alias("size")]
-    for k, (_, floor, below) in names.items():
-        spread = SPREAD * F.greatest(F.col("q3") - F.col("q1"), F.lit(floor))
-        out.append(F.max(F.when(F.col("ratio") == k, F.col("q3") + spread)).alias(f"{k}_hi"))
-        if below:
-            out.append(F.max(F.when(F.col("ratio") == k, F.col("q1") - spread)).alias(f"{k}_lo"))
-    return quarter.groupBy(*keys).agg(*out)
+def fences(found: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each group: ``size`` and for each ratio ``<ratio>_hi`` and, where there is one, ``<ratio>_lo``."""
+    high = F.col("high") + SPREAD * (F.col("high") - F.col("mid_below"))
+    low = F.col("low") - SPREAD * (F.col("mid_above") - F.col("low"))
+    out = [F.max("size").cast("double").alias("size")]
+    out += [F.max(F.when(F.col("ratio") == b[:-3], high if b.endswith("_hi") else low)).alias(b) for b in BOUNDS]
+    return found.groupBy(*keys).agg(*out)
+
+
+def drawn(n: Column, own: Column, wider: Column) -> Column:
+    """The fence of a group of ``n`` documents, drawn towards the wider group's."""
+    return (n * own + PRIOR * wider) / (n + PRIOR)
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, the base counts, base_failed, kept.
 
     Null languages and sources form groups of their own. Empty and null texts have no words and so fail the base
-    rules. Repeated rows are judged one by one. An empty table gives no rows. Other columns of ``docs`` are not used.
+    rules. Repeated rows are judged one by one; a value equal to its fence is kept, so a group of alike documents stays
+    whole. A text may be of any length. An empty table gives no rows. Other columns of ``docs`` are not used.
     """
     base = stored(base_counts(docs), "quality")
     names = list(RATIOS)
-    ratios = base.filter("n_words > 0").select("lang", "source", *[F.expr(f"CAST({e} AS DOUBLE)").alias(k) for k, (e, _, _) in RATIOS.items()])
+    ratios = base.filter("n_words > 0").select("lang", "source", *[F.expr(f"CAST({e} AS DOUBLE)").alias(k) for k, (e, _) in RATIOS.items()])
     sketch = stored(sketches(ratios, names), "sketch")
-    bounds = [c for k, (_, _, below) in RATIOS.items() for c in ([f"{k}_hi", f"{k}_lo"] if below else [f"{k}_hi"])]
 
     def renamed(keys: list[str], prefix: str) -> DataFrame:
-        f = fences(quartiles(merged(sketch, keys), keys), keys, RATIOS)
-        return f.select(*[F.col(k).alias(f"{prefix}{k}") for k in [*keys, "size", *bounds]])
+        f = fences(quantiles(merged(sketch, keys), keys), keys)
+        return f.select(*[F.col(k).alias(f"{prefix}{k}") for k in [*keys, "size", *BOUNDS]])
 
     own, lang, whole = renamed(["lang", "source"], "g_"), renamed(["lang"], "l_"), renamed([], "a_")
-    joined = own.join(lang, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(whole), F.lit(True), "left")
-    chosen = [F.when(F.col("g_size") >= LEAST, F.col(f"g_{b}")).when(F.col("l_size") >= LEAST, F.col(f"l_{b}")).otherwise(F.col(f"a_{b}")).alias(b) for b in bounds]
-    groups = joined.select("g_lang", "g_source", *chosen)
+    each = own.join(lang, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(whole), F.lit(True), "left")  # whole: one row
+    groups = each.select("g_lang", "g_source", *[drawn(F.col("g_size"), F.col(f"g_{b}"), drawn(F.col("l_size"), F.col(f"l_{b}"), F.col(f"a_{b}"))).alias(b) for b in BOUNDS])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = F.lit(True)
-    for k, (e, _, below) in RATIOS.items():
+    for k, (e, below) in RATIOS.items():
         fine &= F.expr(e) <= F.col(f"{k}_hi")
         if below:
             fine &= F.expr(e) >= F.col(f"{k}_lo")
