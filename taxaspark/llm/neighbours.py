@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by inverted lists and an adaptive dimension scan.
 
 Vectors are rotated by a fixed random orthogonal matrix, so that any first ``d`` coordinates estimate a squared distance
-as (D/d) times their part, with an error that shrinks as d grows. Every row goes to the list of its nearest centroid
-(centroids come from a bounded sample); a query visits the ``PROBES`` lists nearest to it. Within a list, stored as
-column blocks, candidates are scanned block by block: one whose partial distance already exceeds the query's current
-bound by the test's margin is abandoned. What is left is measured exactly on the original vectors in double precision.
-Lists are dealt in slices of bounded size, so a list of any share of the rows is scanned by many tasks.
+as (D/d) times their part, with an error that shrinks as d grows. Every row goes to the list of its nearest centroid,
+stored as its rotated column blocks beside the original vector. There are about as many lists as the root of the number
+of rows; centroids come from a bounded sample, and the sample also tells how many of the lists nearest to a query hold
+``RECALL`` of its neighbours: few where vectors lie in clusters, many where they lie evenly. Within a probed list
+candidates are scanned block by block: one whose partial distance already exceeds the query's current bound by the
+test's margin is abandoned; what is left is measured exactly on the original vectors in double precision, and tightens
+the bound for the rows after it. Lists and their queries are dealt in slices of bounded size, so a list of any share of
+the rows or queries is scanned by many tasks.
 """
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -18,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxaspark.llm.common import stored
+from taxaspark.llm.common import release_memory, stored
 
-#: Rows that centroids are fitted on, at most; lists; lists that a query visits; rows of a slice.
-SAMPLE, LISTS, PROBES, SLICE = 20_000, 64, 44, 2048
-#: Coordinates of a block, and the margin of the abandon test (in its standard errors).
-BLOCK, EPSILON = 16, 2.1
+#: Rows that centroids are fitted on, at most; lists, at most; rows and queries of a slice.
+SAMPLE, LISTS, SLICE, QUERIES = 20_000, 1024, 4096, 1024
+#: Share of a sample query's neighbours in the sample that the probed lists must hold, and the sample queries.
+RECALL, ASKED = 0.95, 500
+#: Coordinates of a block, rows that are scanned under one bound, and the margin of the abandon test (in its standard errors).
+BLOCK, STEP, EPSILON = 16, 512, 2.1
 SEED = 20
 
 
@@ -33,13 +39,22 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def centroids(sample: np.ndarray, lists: int = LISTS, rounds: int = 12) -> np.ndarray:
+def _nearest_lists(x: np.ndarray, centers: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` nearest centroids of each row, nearest first."""
+    out = [np.zeros((0, probes), np.int32)]
+    for at in range(0, len(x), 2000):
+        d = (centers**2).sum(1) - 2 * x[at : at + 2000] @ centers.T
+        out.append((d.argmin(1)[:, None] if probes == 1 else np.argsort(d, axis=1, kind="stable")[:, :probes]).astype(np.int32))
+    return np.concatenate(out)
+
+
+def centroids(sample: np.ndarray, lists: int = LISTS, rounds: int = 8) -> np.ndarray:
     """k-means centroids of ``sample``; fewer distinct rows than lists give that many centroids."""
     distinct = np.unique(sample, axis=0)
     k = min(lists, len(distinct))
     c = distinct[np.sort(np.random.default_rng(SEED).choice(len(distinct), k, replace=False))]
     for _ in range(rounds):
-        near = ((sample**2).sum(1)[:, None] - 2 * sample @ c.T + (c**2).sum(1)).argmin(1)
+        near = _nearest_lists(sample, c, 1)[:, 0]
         sums = np.zeros_like(c)
         np.add.at(sums, near, sample)
         n = np.bincount(near, minlength=k)
@@ -47,80 +62,124 @@ def centroids(sample: np.ndarray, lists: int = LISTS, rounds: int = 12) -> np.nd
     return c
 
 
+def probes_for(sample: np.ndarray, centers: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """How many lists a query must visit for ``recall`` of its ``k`` neighbours, judged by rows of the sample among the sample.
+
+    Neighbours in the whole table lie closer than those in a sample, and so more often in the nearest lists.
+    """
+    asked, k = sample[:: max(1, len(sample) // ASKED)], min(k, len(sample) - 1)
+    if k < 1:
+        return len(centers)
+    home, step, ranks = _nearest_lists(sample, centers, 1)[:, 0], max(1, len(sample) // ASKED), []
+    for i, q in enumerate(asked):
+        d = ((sample - q) ** 2).sum(1)
+        d[i * step] = np.inf
+        place = np.empty(len(centers), np.int64)
+        place[_nearest_lists(q[None], centers, len(centers))[0] if len(centers) > 1 else [0]] = np.arange(len(centers))
+        ranks.append(place[home[np.argpartition(d, k - 1)[:k]]])
+    return int(np.sort(np.concatenate(ranks))[math.ceil(recall * k * len(asked)) - 1]) + 1
+
+
 def valid(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vec_id, v (array<double>) of the rows that take part: no null, non-finite or all-zero vector, no null vec_id."""
+    """vec_id, v (array<double>) of the rows that take part: no null, non-finite or all-zero vector, no null vec_id.
+
+    Vectors of another length than the most frequent one (of equally frequent ones the shortest) take no part either.
+    """
     v = F.col(vector).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
-    return rows.filter(~bad & F.exists("v", lambda x: x != 0))
+    rows = rows.filter(~bad & F.exists("v", lambda x: x != 0))
+    most = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    return rows.filter(F.size("v") == (most["d"] if most else 0))
 
 
-def _assign(batches, centers: np.ndarray, probes: int):
-    """vec_id, v, list of each row and its nearest ``probes`` lists."""
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _file(batches, centers: np.ndarray, turn: np.ndarray):
+    """vec_id, list, v (the vector's bytes) and blocks (the bytes of its rotated blocks) of each row."""
+    for batch in batches:
+        if batch.num_rows:
+            x = _rows(batch)
+            r = x @ turn
+            blocks = [pa.array([row.tobytes() for row in np.ascontiguousarray(r[:, a : a + BLOCK])], pa.binary()) for a in range(0, x.shape[1], BLOCK)]
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(_nearest_lists(x, centers, 1)[:, 0]), pa.array([row.tobytes() for row in x], pa.binary()), *blocks], ["vec_id", "list", "v", *[f"block{i}" for i in range(len(blocks))]])
+    release_memory()
+
+
+def _ask(batches, centers: np.ndarray, probes: int):
+    """vec_id, v (bytes), lists: the lists that each query visits."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = batch["v"].values.to_numpy(zero_copy_only=False)[batch["v"].offsets[0].as_py() :].reshape(batch.num_rows, -1)
-        d = (centers**2).sum(1) - 2 * x @ centers.T
-        near = np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(list(near), pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
+        if batch.num_rows:
+            x = _rows(batch)
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array([row.tobytes() for row in x], pa.binary()), pa.array(list(_nearest_lists(x, centers, probes)), pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
 
 
 def scan(q: np.ndarray, ids: np.ndarray, x: np.ndarray, blocks: list[np.ndarray], turn: np.ndarray, own: int, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """(ids, distances) of the ``k`` nearest rows of ``x`` to ``q`` but ``own``; ``blocks``: rotated columns of ``x``."""
     rq, dim = q @ turn, len(q)
     slack = 1e-9 * float(q @ q)  # rotating rounds: equal vectors may lie a little apart
-    first = np.flatnonzero(ids != own)
-    if not len(first):
-        return ids[:0], np.zeros(0)
-    probe = first[:: max(1, len(first) // (4 * k))]  # a first bound from a few rows
-    near = np.sort(((x[probe] - q) ** 2).sum(1))
-    bound = near[k - 1] if len(near) >= k else np.inf
-    alive, part, done = first, np.zeros(len(first)), 0
-    for b in blocks:
-        part = part + ((b[alive] - rq[done : done + b.shape[1]]) ** 2).sum(1)
-        done += b.shape[1]
-        limit = slack + (bound * (done / dim) * (1 + epsilon / np.sqrt(done)) ** 2 if done < dim else bound * (1 + 1e-9))
-        keep = part <= limit
-        alive, part = alive[keep], part[keep]
-    dist = np.sqrt(((x[alive] - q) ** 2).sum(1))
-    order = np.lexsort((ids[alive], dist))[:k]
-    return ids[alive][order], dist[order]
-
-
-def _search(key, rows: pd.DataFrame, queries: pd.DataFrame, turn: np.ndarray, k: int) -> pd.DataFrame:
+    best_ids, best = ids[:0], np.zeros(0)
+    for at in range(0, len(ids), STEP):
+        alive = at + np.flatnonzero(ids[at : at + STEP] != own)
+        bound = best[-1] ** 2 if len(best) == k else np.inf
+        if bound < np.inf:
+            part, done = np.zeros(len(alive)), 0
+            for b in blocks:
+                part = part + ((b[alive] - rq[done : done + b.shape[1]]) ** 2).sum(1)
+                done += b.shape[1]
+                keep = part <= slack + (bound * (done / dim) * (1 + epsilon / np.sqrt(done)) ** 2 if done < dim else bound * (1 + 1e-9))
+                alive, part = alive[keep], part[keep]
+        dist = np.concatenate([best, np.sqrt(((x[alive] - q) ** 2).sum(1))])
+        found = np.concatenate([best_ids, ids[alive]])
+        order = np.lexsort((found, dist))[:k]
+        best_ids, best = found[order], dist[order]
+    return best_ids, best
+
+
+def _search(rows: pd.DataFrame, queries: pd.DataFrame, turn: np.ndarray, k: int) -> pd.DataFrame:
     out = []
     if len(rows) and len(queries):
-        ids, x = rows["vec_id"].to_numpy(), np.stack(rows["v"])
-        rotated = x @ turn
-        blocks = [np.ascontiguousarray(rotated[:, a : a + BLOCK]) for a in range(0, x.shape[1], BLOCK)]
+        ids, n = rows["vec_id"].to_numpy(), len(rows)
+        matrix = lambda c: np.frombuffer(b"".join(c), np.float64).reshape(n, -1)
+        x, blocks = matrix(rows["v"]), [matrix(rows[c]) for c in rows.columns if c.startswith("block")]
         for own, q in zip(queries["vec_id"], queries["v"]):
-            found, dist = scan(np.asarray(q), ids, x, blocks, turn, own, k)
+            found, dist = scan(np.frombuffer(q, np.float64), ids, x, blocks, turn, own, k)
             out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": dist}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = LISTS, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest rows found for each query, its own row left out.
 
     ``vectors`` and ``queries``: vec_id, v as ``valid`` gives them, all of one length. Ties go to the smaller vec_id.
-    Repeated vectors are candidates like others; of rows with one vec_id the nearest counts. No rows give no rows.
+    Repeated vectors are candidates like others; of rows with one vec_id the nearest counts. No rows give no rows; other
+    columns aren't read. ``lists`` and ``probes``: see above; as many probes as lists, and an abandon test without a miss,
+    would be exact.
     """
     fit = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
     if not len(fit):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    centers = centroids(np.stack(fit["v"]), lists)
+    fitted = np.stack(fit["v"])
+    centers = centroids(fitted, lists or max(1, min(LISTS, round(math.sqrt(vectors.count())))))
+    probes = min(len(centers), probes or probes_for(fitted, centers, k))
     turn = rotation(centers.shape[1])
-    schema = "vec_id long, v array<double>, lists array<int>"
-    filed = vectors.mapInArrow(partial(_assign, centers=centers, probes=1), schema).select("vec_id", "v", F.col("lists")[0].alias("list"))
-    filed = stored(filed, "lists")
-    sizes = filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int")).select("list", "slices")
-    sizes = F.broadcast(sizes)  # one row a list
-    rows = filed.join(sizes, "list").withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int")).drop("slices")
-    asked = queries.mapInArrow(partial(_assign, centers=centers, probes=probes), schema).select("vec_id", "v", F.explode("lists").alias("list"))
-    asked = asked.join(sizes, "list").select("vec_id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    blocks = ", ".join(f"block{i} binary" for i in range(-(-len(turn) // BLOCK)))
+    filed = stored(vectors.select("vec_id", "v").mapInArrow(partial(_file, centers=centers, turn=turn), f"vec_id long, list int, v binary, {blocks}"), "lists")
+    asked = stored(queries.select("vec_id", "v").mapInArrow(partial(_ask, centers=centers, probes=probes), "vec_id long, v binary, lists array<int>").select("vec_id", "v", F.explode("lists").alias("list")), "asked")
+
+    def slices(table: DataFrame, rows: int, name: str) -> DataFrame:  # one row a list, under LISTS rows
+        return F.broadcast(table.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name)))
+
+    def dealt(table: DataFrame, own: str, other: str) -> DataFrame:
+        slice_ = F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int").alias(own[:-1])
+        return table.join(slices(filed, SLICE, "rows_"), "list").join(slices(asked, QUERIES, "asked_"), "list").select(*table.columns, slice_, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[:-1]))
+
+    keys = ["list", "rows", "asked"]
     search = partial(_search, turn=turn, k=k)
-    found = rows.groupBy("list", "slice").cogroup(asked.groupBy("list", "slice")).applyInPandas(lambda key, a, b: search(key, a, b), "query_id long, vec_id long, score double")
+    pairs = dealt(filed, "rows_", "asked_").groupBy(*keys).cogroup(dealt(asked, "asked_", "rows_").groupBy(*keys))
+    found = pairs.applyInPandas(lambda a, b: search(a, b), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
