@@ -182,21 +182,34 @@ def pseudonym(key: str, m: Column) -> Column:
     return reduce(lambda got, kind: got.when(m.rlike(f"^(?:{kind[0]})$"), kind[1](key, m)), kinds[1:], F.when(m.rlike(f"^(?:{kinds[0][0]})$"), kinds[0][1](key, m)))
 
 
+def _free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` doesn't have."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and ``n_found``, ``n_replaced`` (long) added.
 
     A null text stays null with zero counts; an empty one stays empty. Repeated rows are replaced alike. Other columns
-    are kept as they are; columns named ``n_found`` or ``n_replaced`` are replaced. Invalid candidates (a failing
+    are kept as they are, whatever their names; columns named ``n_found`` or ``n_replaced`` are replaced. Invalid candidates (a failing
     check digit, an impossible date, an octet over 255, a social security number that is never given out) are counted as
     found and left as they are. So are two kinds that may be real: phone numbers without a country code whose area or
-    exchange is under 200, and dates outside 1900 to 2099.
+    exchange is under 200, and dates outside 1900 to 2099. Out of scope, neither found nor counted: other countries' phone
+    and account numbers, IPv6 addresses, and secrets such as access tokens. A text may be of any length.
+    ``key`` is a secret: who has it can undo the pseudonyms.
     """
     body = text_or_empty(text)
     some = body.rlike("[0-9@]")
     none = F.array().cast("array<string>")
-    found = docs.drop("n_found", "n_replaced", "__old", "__new").withColumn("__old", F.when(some, F.regexp_extract_all(body, F.lit(PATTERN), 0)).otherwise(none))
-    new = found.withColumn("__new", F.transform("__old", lambda m: pseudonym(key, m)))
+    old, new = _free_names(docs, "old", "new")
+    found = docs.drop("n_found", "n_replaced").withColumn(old, F.when(some, F.regexp_extract_all(body, F.lit(PATTERN), 0)).otherwise(none))
+    replaced = found.withColumn(new, F.transform(old, lambda m: pseudonym(key, m)))
     gaps = F.split(body, PATTERN, -1)
-    joined = F.array_join(F.zip_with(gaps, F.zip_with("__old", "__new", lambda o, n: F.coalesce(n, o)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    counts = {"n_found": F.size("__old").cast("long"), "n_replaced": F.size(F.filter("__new", lambda x: x.isNotNull())).cast("long")}
-    return new.withColumns({text: F.when(F.size("__old") > 0, joined).otherwise(F.col(text)), **counts}).drop("__old", "__new")
+    joined = F.array_join(F.zip_with(gaps, F.zip_with(old, new, lambda o, n: F.coalesce(n, o)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    counts = {"n_found": F.size(old).cast("long"), "n_replaced": F.size(F.filter(new, lambda x: x.isNotNull())).cast("long")}
+    return replaced.withColumns({text: F.when(F.size(old) > 0, joined).otherwise(F.col(text)), **counts}).drop(old, new)
