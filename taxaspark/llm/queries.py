@@ -27,7 +27,7 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows mixed by source."""
+    """Pieces of all documents in windows mixed by source; small sources get more than they hold of it, until they are dry."""
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1)
 
 

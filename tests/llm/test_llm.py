@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from taxaspark.llm import bytebpe, chat, common, neighbours, packing, pii, quality, repeats, simhash, tokenfile, toxicity
 from taxaspark.llm.encoding import WordEncoder
@@ -45,27 +46,38 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def whole_ids(name, texts):
+    """Ids by the library alone, as the contract calls it."""
+    fresh = Tokenizer.from_file(public_tokenizers.path(name))
+    return [np.array(e.ids, "<u4") for e in fresh.encode_batch(texts, add_special_tokens=False)]
+
+
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>x", "A<|ENDOFTEXT|>"]
+
+
 @pytest.mark.parametrize("name,joins", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_words_encode_as_whole_texts(name, joins):
     rnd = random.Random(1)
-    texts = ["".join(rnd.choice([" ", "\n", "a", "B1", "é", "'s", "\t", "!", "  ", "\n\n", " ", "́", "Σ", "<|endoftext|>"]) for _ in range(rnd.randint(0, 12))) for _ in range(2000)]
+    texts = ["".join(rnd.choice([" ", "\n", "a", "B1", "é", "'s", "\t", "!", "  ", "\n\n", " ", "́", "Σ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "x" * 50]) for _ in range(rnd.randint(0, 12))) for _ in range(2000)] + SPECIAL
     e = WordEncoder(public_tokenizers.path(name), joins, limit=200)
-    assert e.encode(texts) == e._whole(texts)
+    assert e.encode(texts) == [i.tobytes() for i in whole_ids(name, texts)]
+    assert len(e.memo) <= 200 and all(len(x) <= 40 for x in e.memo)
 
 
-def test_token_files(spark, docs, empty, tmp_path):
+def test_token_files(spark, empty, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    manifest = tokenfile.write_tokens(docs, path, 2, f"file://{tmp_path}/t", shards=3).persist()
+    rows = [*corpus(), *[(200 + i, t, "en", "s", 0, "", "", 0) for i, t in enumerate(SPECIAL)], (-1, "minus one", "en", "s", 0, "", "", 0), (300, "Σ" * 90_000, "en", "s", 0, "", "", 0), (301, " ".join(["word"] * 70_000), "en", "s", 0, "", "", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    manifest = tokenfile.write_tokens(df, path, 2, f"file://{tmp_path}/t", shards=3).persist()
     got = tokenfile.read_tokens(manifest).orderBy("start").collect()
-    e = WordEncoder(path, True)
-    rows = sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start = 0
-    for r, g in zip(rows, got, strict=True):
-        ids = e.encode([r[1] or ""])[0] + np.array([2], "<u4").tobytes()
+    for r, g, ids in zip(rows, got, whole_ids("byte_bpe_50k.json", [r[1] or "" for r in rows]), strict=True):
+        ids = ids.tobytes() + np.array([2], "<u4").tobytes()
         assert (g["doc_id"], g["start"], g["n_tokens"], g["ids_crc32"], bytes(g["ids"])) == (r[0], start, len(ids) // 4, zlib.crc32(ids), ids)
         start += len(ids) // 4
-    some = tokenfile.fetch_tokens(manifest, spark.createDataFrame([(7,), (3,), (12345,)], "doc_id long")).collect()
-    assert sorted(r["doc_id"] for r in some) == [3, 7]
+    some = tokenfile.fetch_tokens(manifest, spark.createDataFrame([(7,), (3,), (-1,), (12345,)], "doc_id long")).collect()
+    assert sorted(r["doc_id"] for r in some) == [-1, 3, 7]
     assert tokenfile.read_tokens(tokenfile.write_tokens(empty, path, 2)).count() == 0
     one = sorted((tmp_path / "t").iterdir())[0]
     data = bytearray(one.read_bytes())
@@ -75,57 +87,78 @@ def test_token_files(spark, docs, empty, tmp_path):
         list(tokenfile.ShardReader(f"file://{one}").documents())
 
 
-def check_pieces(rows, pieces, e):
-    by_window = collections.defaultdict(list)
-    left = collections.Counter()
-    for r in rows:
-        left[r[0], len(e.encode([r[1] or ""])[0]) // 4 + 1] += 1
-    for p in pieces:
-        by_window[p["sequence_id"]].append((p["offset"], p["length"]))
-    for w in by_window.values():
-        at = 0
-        for offset, length in sorted(w):
-            assert offset == at
-            at += length
-    total = sum(p["length"] for p in pieces)
-    assert total == sum(k[1] * n for k, n in left.items())
-    return by_window
-
-
-def test_packing(docs, empty):
-    path = public_tokenizers.path("word_bpe_49k.json")
-    e = WordEncoder(path, False)
-    pieces = packing.pack(docs, path, 1, size=64, parts=3).collect()
-    windows = check_pieces(corpus(), pieces, e)
-    assert all(sum(n for _, n in w) == 64 for k, w in windows.items() if k != max(windows))
-    for r in corpus():
-        if r[0] is not None and r[0] not in (4,):
-            ids = np.frombuffer(e.encode([r[1] or ""])[0] + np.array([1], "<u4").tobytes(), "<u4")
-            mine = sorted((p["start"], p["length"], p["ids_crc32"], p["doc_tokens"]) for p in pieces if p["doc_id"] == r[0])
-            at = 0
-            for start, length, crc, n in mine:
-                assert (start, n, crc) == (at, len(ids), zlib.crc32(ids[at : at + length].tobytes()))
-                at += length
-            assert at == len(ids)
-    check_pieces(corpus(), packing.pack(docs, path, 1, {"s0": 3, "s1": 1}, size=64).collect(), e)
+def test_ids_that_do_not_fit_are_an_error(tmp_path):
+    writer = tokenfile.ShardWriter(f"file://{tmp_path}/x", "0", width=2)
+    with pytest.raises(ValueError):
+        writer.add(1, np.array([65_536], "<u4").tobytes())
+
+
+def brute_round_robin(rows, weights, size):
+    """Rows in the order in which round-robin serves them, played round by round."""
+    queues = collections.defaultdict(collections.deque)
+    for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"])):
+        queues[r["source"]].append(r)
+    out, deficit, turn = [], collections.Counter(), 0
+    total = sum(weights[s] for s in queues)
+    while any(queues.values()):
+        turn += 1
+        for s in sorted(queues):
+            deficit[s] += weights[s] * size / total
+            while queues[s] and queues[s][0]["n"] <= deficit[s] + 1e-9:
+                r = queues[s].popleft()
+                deficit[s] -= r["n"]
+                out.append((turn, r))
+    return out
+
+
+@pytest.mark.parametrize("flatten,weights", [(0.7, None), (1.0, None), (None, {"s0": 3, "s1": 1, "": 2, "s": 1})])
+def test_packing(spark, empty, flatten, weights):
+    name, size = "word_bpe_49k.json", 64
+    rows = [*corpus(), *[(200 + i, t, "en", "s", 0, "", "", 0) for i, t in enumerate(SPECIAL)]]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    path = public_tokenizers.path(name)
+    pieces = packing.pack(df, path, 1, weights, size=size, parts=3, **({"flatten": flatten} if flatten else {})).collect()
+    ids = [np.append(i, 1).astype("<u4") for i in whole_ids(name, [r[1] or "" for r in rows])]
+    signed = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    held = [{"doc_id": r[0], "source": r[3] or "", "h": (h := signed(r[1] or "")) - (1 << 64 if h >> 63 else 0), "n": len(i), "ids": i} for r, i in zip(rows, ids)]
+    tokens = collections.Counter()
+    for h in held:
+        tokens[h["source"]] += h["n"]
+    want, at = [], 0
+    for turn, r in brute_round_robin(held, weights or {s: n**flatten for s, n in tokens.items()}, size):
+        done = 0
+        while done < r["n"]:
+            w, offset = divmod(at + done, size)
+            take = min(size - offset, r["n"] - done)
+            want.append((w, offset, take, r["doc_id"], done, zlib.crc32(r["ids"][done : done + take].tobytes()), r["n"], r["source"], turn))
+            done += take
+        at += r["n"]
+    got = [(p["sequence_id"], p["offset"], p["length"], p["doc_id"], p["start"], p["ids_crc32"], p["doc_tokens"], p["source"], p["round"]) for p in pieces]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    last = (at - 1) // size
+    assert all(p["padded_to"] == size or p["sequence_id"] == last and p["padded_to"] & (p["padded_to"] - 1) == 0 for p in pieces)
     assert packing.pack(empty, path, 1).count() == 0
 
 
-def test_mixture_keeps_deficits_under_a_token():
-    totals = [5000, 300, 41, 1]
-    m = packing.Mixture(totals, totals)
-    for w in range(-(-m.total // 50)):
-        for s, t in enumerate(totals):
-            assert abs(m.place(w, s, 50)[0] - min(w * 50, m.total) * t / m.total) < 1
-    m = packing.Mixture(totals, [1, 1, 1, 0])
-    served = [0] * 4
-    for w in range(-(-m.total // 50)):
-        offset = 0
-        for s in range(4):
-            a, b, o = m.place(w, s, 50)
-            assert a == served[s] and o == offset and b >= a
-            served[s], offset = b, offset + b - a
-    assert served == totals and m.place(0, 0, 30)[1] == m.place(0, 1, 30)[1] == 10
+def test_sources_without_a_weight_come_last(spark, docs):
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, {"s1": 5}, size=64).collect()
+    first = {p["source"] for p in pieces if p["sequence_id"] < 1}
+    assert first == {"s1"} and {p["source"] for p in pieces} == {"", "s0", "s1"}
+
+
+def test_windows_keep_to_the_shares(spark):
+    rnd = random.Random(3)
+    text = lambda: " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 40)))
+    rows = [(i, text(), None, f"s{min(i % 7, 2)}", 0, "", "", 0) for i in range(900)]
+    share = {"s0": 5, "s1": 3, "s2": 2}
+    pieces = packing.pack(spark.createDataFrame(rows, SCHEMA), public_tokenizers.path("word_bpe_49k.json"), 1, share, size=128).collect()
+    dry = min(max(p["sequence_id"] for p in pieces if p["source"] == s) for s in share)
+    for upto in range(1, dry, 5):
+        for s, w in share.items():
+            served = sum(p["length"] for p in pieces if p["source"] == s and p["sequence_id"] < upto)
+            assert abs(served - upto * 128 * w / 10) < 400
+    assert all(0 <= p["deficit"] for p in pieces)
+    assert max(collections.Counter(p["doc_id"] for p in pieces).values()) <= 2
 
 
 def brute_fingerprint(text):
@@ -219,26 +252,71 @@ def test_neighbours(spark):
         if 50 <= q < 90:
             assert [i for i, _ in got[q]] == want
     assert hit >= 0.95 * 400
+    odd = spark.createDataFrame([(5000, [1.0, 2.0]), *[(i, [float(c) for c in x[i]]) for i in range(4)]], "vec_id long, embedding array<float>")
+    assert neighbours.valid(odd.withColumn("score", F.lit("x"))).count() == 4
     few = v.filter("vec_id < 4")
     assert neighbours.nearest(few, few.filter("vec_id = 0")).count() == 3
     assert neighbours.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [0, 20, 1000])
-def test_byte_bpe(docs, empty, limit):
+@pytest.mark.parametrize("rows,dim,spread", [(300, 16, 1.0), (1500, 32, 1.0), (5000, 64, 1.0), (4000, 48, 0.05)])
+def test_recall_with_the_registered_parameters(spark, rows, dim, spread):
+    rng = np.random.default_rng(rows)
+    x = rng.standard_normal((40, dim))[rng.integers(0, 40, rows)] * (1 - spread) + spread * rng.standard_normal((rows, dim))
+    v = neighbours.valid(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(v, v.filter("vec_id % 20 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in range(0, rows, 20):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 10 * len(range(0, rows, 20))
+
+
+def test_clustered_vectors_need_few_probes():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((100, 32))[rng.integers(0, 100, 8000)] + 0.02 * rng.standard_normal((8000, 32))
+    assert neighbours.probes_for(x, neighbours.centroids(x, 89), 10) <= 10
+
+
+def library_bpe():
     import tiktoken
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    df = bytebpe.encode(docs, path, public_tokenizers.PATTERN, limit)
+    ranks = bytebpe.rank_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
+
+
+@pytest.mark.parametrize("limit", [0, 20, 1000])
+def test_byte_bpe(spark, empty, limit):
+    enc, _ = library_bpe()
+    path, rnd = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(11)
+    odd = ["".join(rnd.choice(" \n\t\x1c\x85\u00a0\u2003\u3000aB1é中'sll!ß́") for _ in range(60)) for _ in range(150)]
+    odd += ["".join(rnd.choice("abcdefghij") for _ in range(n)) for n in (100, 256, 257, 3000)] + ["é" * 128 + "x", "x" * 257, " " * 300 + "a"]
+    rows = [*corpus(), *[(400 + i, t, "en", "s", 0, "", "", 0) for i, t in enumerate(odd)]]
+    df = bytebpe.encode(spark.createDataFrame(rows, SCHEMA).repartition(3), path, public_tokenizers.PATTERN, limit)
     got = sorted(((r["doc_id"], list(r["ids"]), bytes(r["d"]).decode()) for r in df.withColumn("d", bytebpe.decode(F.col("ids"), bytebpe.Ranks(path))).collect()), key=str)
-    assert got == sorted(((r[0], enc.encode_ordinary(r[1] or ""), r[1] or "") for r in corpus()), key=str)
+    assert got == sorted(((r[0], enc.encode_ordinary(r[1] or ""), r[1] or "") for r in rows), key=str)
     if not limit:
         assert bytebpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_words_merge_alike():
+    enc, ranks = library_bpe()
+    rnd = random.Random(12)
+    for n, letters in [(1, "a"), (2, "ab"), (300, "ab"), (2000, "the"), (100_000, "abcdefghijklmnopqrstuvwxyz")]:
+        word = "".join(rnd.choice(letters) for _ in range(n))
+        assert bytebpe.merge_long(word.encode(), ranks) == enc.encode_ordinary(word)
+
+
+def test_a_word_of_100_000_characters(spark):
+    enc, _ = library_bpe()
+    word = "".join(random.Random(13).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    df = spark.createDataFrame([(1, word)], "doc_id long, text string")
+    assert list(bytebpe.encode(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).first()["ids"]) == enc.encode_ordinary(word)
+
+
 def luhn(number):
     d = [int(c) for c in number if c.isdigit()][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
@@ -355,8 +433,19 @@ def test_quality(spark, docs, empty):
 
 def test_sketches_merge(spark):
     df = spark.range(2000).select(F.lit("en").alias("lang"), (F.col("id") % 2).cast("string").alias("source"), (F.col("id") + 1.0).alias("word_length"))
-    whole = quality.quartiles(quality.merged(quality.sketches(df, ["word_length"]), ["lang"]), ["lang"]).first()
-    assert whole["q1"] == pytest.approx(500, rel=0.011) and whole["q3"] == pytest.approx(1500, rel=0.011) and whole["size"] == 2000
+    whole = quality.quantiles(quality.merged(quality.sketches(df, ["word_length"]), ["lang"]), ["lang"]).first()
+    assert whole["high"] == pytest.approx(1900, rel=0.021) and whole["low"] == pytest.approx(100, rel=0.021) and whole["size"] == 2000
+    assert whole["mid_below"] <= 1000 <= whole["mid_above"]
+
+
+def test_alike_documents_stay_and_long_texts_are_judged(spark):
+    rnd = random.Random(15)
+    alike = " ".join(f"w{i}" for i in range(60))
+    long = " ".join(rnd.choice(WORDS) + str(rnd.randint(0, 10**6)) for _ in range(60_000))
+    df = spark.createDataFrame([(i, alike, "en", "a") for i in range(40)] + [(100, long, "en", "b"), (101, None, None, None)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality(df).collect()}
+    assert all(got[i]["kept"] for i in range(40)) and not got[101]["kept"] and not got[101]["n_words"]
+    assert got[100]["n_words"] == 60_000 and got[100]["word_chars"] == len(long) - 59_999 and not got[100]["base_failed"]
 
 
 def test_chat(spark):
