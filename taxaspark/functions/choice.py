@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ def most_likely(weighted: DataFrame, keys: list[str], weight: str = "p", value:
 
 
 def sampled(weighted: DataFrame, keys: list[str], seed: int, weight: str = "p", value: str = "val") -> DataFrame:
-    """One row for each key, drawn in proportion to its weight by a number that ``seed`` and the key determine."""
+    """One row for each key, drawn in proportion to its weight by a number that ``seed`` and the key determine; a negative weight is an error."""
+    weighted = weighted.withColumn(weight, F.when(F.col(weight) < 0, F.raise_error(F.lit("a weight is negative")).cast("double")).otherwise(F.col(weight)))
     w = Window.partitionBy(*keys)
     upto = F.sum(weight).over(w.orderBy(F.col(value).asc_nulls_last()))
     draw = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / float(1 << 53)
@@ -21,5 +24,7 @@ def sampled(weighted: DataFrame, keys: list[str], seed: int, weight: str = "p",
     return rows.withColumn("_r", F.row_number().over(w.orderBy("_u"))).filter("_r = 1").drop("_u", "_d", "_r")
 
 
-def checked_weight(weight: Column) -> Column:
-    return F.when(weight < 0, F.raise_error(F.lit("a weight is negative")).cast("double")).otherwise(weight)
+def drawn_normal(seed: int, *keys: str) -> Column:
+    """A standard normal number that ``seed`` and the keys determine, from two uniform ones."""
+    u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), *keys), F.lit(1 << 53)) + 1) / float((1 << 53) + 1) for i in (1, 2)]
+    return F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * math.pi * u[1])

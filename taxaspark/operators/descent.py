@@ -6,10 +6,12 @@ import itertools
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taxaspark.functions.moments import c4, certainty, scale_or_one, unbiased_std
+from taxaspark.plans import measures
 from taxaspark.storage import stored
 
 
@@ -45,12 +47,13 @@ def _stats(tree: DataFrame, scaling: float) -> DataFrame:
     return rows.select("tree", F.col("concept").alias("child"), F.col("parent").alias("node"), F.col("n").alias("size"), (F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0))).alias("s"), attrs.alias("attrs"), "counts", "moments")
 
 
-def _gain() -> Column:
-    """Change of size * guesses if the row's instance joined the row's concept."""
-    nominal = F.aggregate(F.map_entries("nominal"), F.lit(0.0), lambda acc, e: acc + 2 * F.coalesce(F.element_at("counts", F.concat_ws("\u0001", e["key"], e["value"])), F.lit(0)) + 1)
+def _gain_of(c: Column) -> Column:
+    """Change of size * guesses if the row's instance joined the concept ``c`` (a struct of ``_stats``)."""
+    counts = F.coalesce(c["counts"], F.create_map().cast("map<string,bigint>"))
+    nominal = F.aggregate(F.map_entries("nominal"), F.lit(0.0), lambda acc, e: acc + 2 * F.coalesce(F.element_at(counts, F.concat_ws("\u0001", e["key"], e["value"])), F.lit(0)) + 1)
 
     def number(acc: Column, e: Column) -> Column:
-        old = F.element_at("moments", e["key"])
+        old = F.element_at(c["moments"], e["key"])
         n, mean = F.coalesce(old["num"], F.lit(0)), F.coalesce(old["mean"], F.lit(0.0))
         step = e["value"] - mean
         m2 = F.coalesce(old["m2"], F.lit(0.0)) + step * (step - step / (n + 1))
@@ -63,30 +66,30 @@ def _gain() -> Column:
 
     numeric = F.aggregate(F.map_entries("numeric"), F.lit(0.0), number)
     names = F.array_union(F.map_keys("nominal"), F.map_keys("numeric"))
-    new = F.size(F.array_except(names, "attrs"))
-    a = F.size("attrs")
-    before = F.coalesce(F.col("s") / F.nullif(F.col("size") * a, F.lit(0)), F.lit(0.0))
-    return (F.col("s") + nominal + numeric) / F.nullif((F.col("size") + 1) * (a + new), F.lit(0)) - before
+    new, a = F.size(F.array_except(names, c["attrs"])), F.size(c["attrs"])
+    before = F.coalesce(c["s"] / F.nullif(c["size"] * a, F.lit(0)), F.lit(0.0))
+    return (c["s"] + nominal + numeric) / F.nullif((c["size"] + 1) * (a + new), F.lit(0)) - before
 
 
 def categorize(instances: DataFrame, tree: DataFrame, scaling: float = 0.5) -> DataFrame:
     """inst, tree, concept: the leaf of each instance (inst, tree, nominal, numeric) by greedy descent.
 
-    Each level joins the instances' current concepts with the children's statistics and keeps the best child. Hidden
-    attributes must not be in the instances' maps. Levels are as many as the tree is deep; the plan is cut by
-    checkpoints where ``spark.checkpoint.dir`` is set.
+    A concept's children are one array, stored once; each level is one join of the instances with the children of the
+    concepts that they are in (a broadcast as long as Spark finds the table small enough) and takes the best child within
+    the row. Only trees that are deep below a level's concepts go on: levels are as many as the tree is deep. Hidden
+    attributes must not be in the instances' maps.
     """
-    stats = _stats(tree, scaling)
+    child = F.struct("child", "size", "s", "attrs", "counts", "moments")
+    stats = _stats(tree, scaling).filter("node IS NOT NULL").groupBy("tree", "node").agg(F.collect_list(child).alias("children"))  # a concept's own children
+    stats = stored(stats, "children")
     root = tree.filter("parent IS NULL").select("tree", F.col("concept").alias("node"))
     depth = tree.agg(F.max("depth")).first()[0] or 0
     at = instances.select("inst", "tree", "nominal", "numeric").join(root, "tree")
-    checkpoints = instances.sparkSession.conf.get("spark.checkpoint.dir", None)
+    best = F.array_max(F.transform("children", lambda c: F.struct(F.round(_gain_of(c), 9).alias("rel"), c["size"].alias("size"), (-c["child"]).alias("minus"))))
     for level in range(depth):
-        scored = at.join(stats, ["tree", "node"]).withColumn("rel", _gain())
-        best = scored.groupBy("inst", "tree").agg(F.max_by("child", F.struct(F.round("rel", 9), "size", -F.col("child"))).alias("next"))
-        at = at.join(best, ["inst", "tree"], "left").withColumn("node", F.coalesce("next", "node")).drop("next")
-        if checkpoints and level % 4 == 3:
-            at = at.checkpoint()
+        at = at.join(stats, ["tree", "node"], "left").withColumn("node", F.coalesce(-best["minus"], "node")).drop("children")
+        if level % 4 == 3:
+            at = stored(at, "descent")
     return at.select("inst", "tree", F.col("node").alias("concept"))
 
 
@@ -180,6 +183,111 @@ def largest_cut(tree: DataFrame, k: int) -> DataFrame:
     return cut.join(last, ["tree", "split"]).unionByName(whole)
 
 
+def from_paths(placed: DataFrame, levels: list[str], nominal: dict[str, Column], numeric: dict[str, Column] | None = None, name: str = "tree") -> DataFrame:
+    """The concepts of a fixed hierarchy of columns with their statistics, as a fitted tree's rows.
+
+    A concept's number is its place in depth and name order; ``placed`` holds one row for each instance.
+    """
+    parts = F.array(F.lit(""), *[F.col(c).cast("string") for c in levels])
+    each = placed.select(F.explode(F.sequence(F.lit(1), F.size(parts))).alias("_d"), parts.alias("_p"), *[c.cast("string").alias(f"n_{i}") for i, c in enumerate(nominal.values())], *[c.cast("double").alias(f"m_{i}") for i, c in enumerate((numeric or {}).values())])
+    each = stored(each.withColumn("_k", F.concat_ws("/", F.slice("_p", F.lit(1), F.col("_d")))).drop("_p"), "placed")
+    nodes = each.groupBy("_k", "_d").agg(F.count(F.lit(1)).alias("n"))
+    nodes = stored(nodes.withColumn("concept", F.row_number().over(Window.orderBy("_d", "_k")).cast("long")), "concepts")  # one row a concept
+    none = F.lit(None).cast("map<string,map<string,bigint>>")
+    counts = None
+    for i, a in enumerate(nominal):
+        part = each.filter(f"n_{i} IS NOT NULL").groupBy("_k", F.col(f"n_{i}").alias("v")).agg(F.count(F.lit(1)).alias("c")).groupBy("_k").agg(F.struct(F.lit(a).alias("a"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("v", "c")))).alias("m")).alias("e"))
+        counts = part if counts is None else counts.unionByName(part)
+    tables = nodes.join(counts.groupBy("_k").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("e.a"), F.to_json("e.m").alias("j"))))).alias("nominal")), "_k", "left") if counts is not None else nodes.withColumn("nominal", none)
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("nominal"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    tables = tables.withColumn("nominal", F.coalesce(text, F.lit("{}")))
+    values = [F.struct(F.lit(a).alias("a"), F.array(F.count(f"m_{i}").cast("double"), F.avg(f"m_{i}"), F.var_pop(f"m_{i}") * F.count(f"m_{i}")).alias("m")) for i, a in enumerate(numeric or {})]
+    if values:
+        moments = each.groupBy("_k").agg(F.array(*values).alias("ms"))
+        moments = moments.select("_k", F.to_json(F.map_from_entries(F.filter("ms", lambda e: e["m"][0] > 0))).alias("numeric"))
+        tables = tables.join(moments, "_k", "left")
+    else:
+        tables = tables.withColumn("numeric", F.lit("{}"))
+    up = nodes.select(F.col("_k").alias("_a"), F.col("concept").alias("_c"))
+    steps = nodes.select("_k", F.explode(F.transform(F.sequence(F.lit(1), F.col("_d")), lambda d: F.concat_ws("/", F.slice(F.split("_k", "/"), F.lit(1), d)))).alias("_a")).join(up, "_a")
+    paths = steps.groupBy("_k").agg(F.array_sort(F.collect_list("_c")).alias("path"))
+    rows = tables.join(paths, "_k")
+    return rows.select(F.lit(name).alias("tree"), "concept", F.get("path", F.size("path") - 2).alias("parent"), (F.col("_d") - 1).cast("int").alias("depth"), "n", "path", "nominal", "numeric", F.substr("_k", F.lit(2)).alias("label"))
+
+
+def infer(instances: DataFrame, tree: DataFrame, attrs: list[str] | None = None, allow_none: bool = True, seed: int | None = None) -> DataFrame:
+    """inst, attr, sval, nval: what each placed instance (inst, tree, concept, nominal, numeric) lacks, by its concept.
+
+    All of the concept's attributes that the instance hasn't are inferred, or those of ``attrs``: the likeliest choice, or
+    one drawn by ``seed`` for each concept. An attribute that is likeliest to be missing has neither value; with
+    ``allow_none`` false being missing is no choice.
+    """
+    count, number, size = nominal_counts(tree), numeric_moments(tree), tree.select("tree", "concept", F.col("n").alias("size"))
+    if attrs is not None:
+        count, number = count.filter(F.col("attr").isin(attrs)), number.filter(F.col("attr").isin(attrs))
+    keys = ["tree", "concept"]
+    guess = measures.predicted_values(measures.weighted_values(count, number, size, keys), keys, allow_none, seed)
+    rows = instances.join(guess, keys)
+    has = F.array_contains(F.map_keys("nominal"), F.col("attr")) | F.array_contains(F.map_keys("numeric"), F.col("attr"))
+    return rows.filter(~has).select("inst", "attr", "sval", "nval")
+
+
+def scored(instances: DataFrame, tree: DataFrame, attr: str, actual: str) -> DataFrame:
+    """inst, error, absolute, squared: of predicting ``attr`` in the concept of each placed instance (inst, tree, concept).
+
+    ``actual`` names the column of the true value. A number's error is the difference to the mean; a name's is 0 or 1, and
+    a missing value's too, which is right where being missing is likeliest.
+    """
+    guess = measures.predicted_values(measures.weighted_values(nominal_counts(tree).filter(F.col("attr") == attr), numeric_moments(tree).filter(F.col("attr") == attr), tree.select("tree", "concept", F.col("n").alias("size")), ["tree", "concept"]), ["tree", "concept"])
+    rows = instances.join(guess, ["tree", "concept"], "left")
+    number = isinstance(instances.schema[actual].dataType, T.NumericType)
+    error = (F.col(actual) - F.col("nval")) if number else F.when(F.col(actual).eqNullSafe(F.col("sval")), 0.0).otherwise(1.0)
+    return rows.select("inst", error.alias("error"), F.abs(error).alias("absolute"), (error * error).alias("squared"))
+
+
+def cut_criteria(tree: DataFrame, cut: DataFrame, leaves: DataFrame) -> DataFrame:
+    """tree, split, clusters, aic, aicc, bic of each cut (``cuts``): how well its clusters explain the instances in their leaves.
+
+    ``leaves``: tree, concept, n of the leaves. An instance's likelihood is its leaf's under its cluster.
+    """
+    size = tree.select("tree", "concept", F.col("n").alias("size"))
+    weighted = stored(measures.weighted_values(nominal_counts(tree), numeric_moments(tree), size, ["tree", "concept"]), "weighted")
+    named = weighted.select(F.concat_ws("/", "tree", F.col("concept").cast("string")).alias("key"), "attr", "val", "p", "mean", "std")
+    cluster = F.concat_ws("/", "tree", F.regexp_extract("label", r"(\d+)$", 1))
+    placed = cut.select("tree", "split", cluster.alias("parent_key"), F.concat_ws("/", "tree", F.col("concept").cast("string")).alias("child_key"), "concept").join(leaves, ["tree", "concept"])
+    ll = measures.log_likelihood_mixed(named, named, placed.select("parent_key", "child_key").distinct())
+    total = placed.join(ll, ["parent_key", "child_key"]).groupBy("tree", "split").agg(F.sum(F.col("ll") * F.col("n")).alias("ll"), F.sum("n").alias("n"))
+    k = measures.parameters(nominal_counts(tree), numeric_moments(tree), ["tree", "concept"]).select(F.concat_ws("/", "tree", F.col("concept").cast("string")).alias("parent_key"), "k")
+    clusters = placed.select("tree", "split", "parent_key").distinct().join(k, "parent_key").groupBy("tree", "split").agg(F.sum("k").alias("k"), F.count(F.lit(1)).alias("clusters"))
+    score = measures.criteria(F.col("ll"), F.col("k"), F.col("n"))
+    return total.join(clusters, ["tree", "split"]).select("tree", "split", "clusters", *[c.alias(name) for name, c in score.items()])
+
+
+def nested_json(tree: DataFrame) -> DataFrame:
+    """tree, json: each tree as one nested JSON text (name, size, children, counts), built from the leaves up.
+
+    A tree's text is one value; large trees are better exported as rows (``node_json``).
+    """
+    number = F.transform_values(F.from_json("numeric", "map<string,array<double>>"), lambda k, m: F.struct(m[1].alias("mean"), F.sqrt(m[2] / m[0]).alias("std"), m[0].cast("long").alias("n")))
+    moments = F.transform(F.map_entries(number), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":{"#ContinuousValue#":'), F.to_json(e["value"]), F.lit("}")))
+    counts = F.transform(F.map_entries(F.from_json("nominal", "map<string,map<string,bigint>>")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.to_json(e["value"])))
+    own = F.concat(F.lit('"name":"Concept'), F.col("concept").cast("string"), F.lit('","size":'), F.col("n").cast("string"), F.lit(',"counts":{'), F.array_join(F.concat(counts, moments), ","), F.lit("}"))
+    rows = stored(tree.select("tree", "concept", "parent", "depth", own.alias("own")), "export")
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    below = rows.filter(F.col("depth") == deepest).select("tree", "concept", "parent", F.concat(F.lit("{"), "own", F.lit(',"children":[]}')).alias("json"))
+    for depth in range(deepest - 1, -1, -1):
+        kids = below.groupBy("tree", F.col("parent").alias("concept")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("concept", "json"))), lambda x: x["json"]), ",").alias("kids"))
+        level = rows.filter(F.col("depth") == depth).join(kids, ["tree", "concept"], "left")
+        below = stored(level.select("tree", "concept", "parent", F.concat(F.lit("{"), "own", F.lit(',"children":['), F.coalesce("kids", F.lit("")), F.lit("]}")).alias("json")), "export")
+    return below.select("tree", "json")
+
+
+def printed(tree: DataFrame) -> DataFrame:
+    """tree, place, line: a readable line for each concept, indented by its depth, in the order of their paths."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("|-Concept"), F.col("concept").cast("string"), F.lit(" ("), F.col("n").cast("string"), F.lit(") "), "nominal", F.lit(" "), "numeric")
+    return tree.select("tree", F.array_join(F.transform("path", lambda x: F.lpad(x.cast("string"), 19, "0")), "/").alias("place"), line.alias("line"))
+
+
 def node_json(tree: DataFrame) -> DataFrame:
     """tree, concept, parent, depth, json of each concept: what a viewer reads, one concept a row."""
     body = F.to_json(F.struct(F.concat(F.lit("Concept"), F.col("concept").cast("string")).alias("name"), F.col("n").alias("size"), F.col("nominal").alias("counts"), F.col("numeric").alias("moments")))

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxaspark.functions.moments import certainty, merge, moments, scale_or_one, unbiased_std
+from taxaspark.functions.choice import drawn_normal, most_likely, sampled
+from taxaspark.functions.moments import certainty, merge, moments, overlap, scale_or_one, unbiased_std
 from taxaspark.schema import inner_attr, is_hidden
 
 
@@ -68,13 +69,53 @@ def utility(count: DataFrame, size: DataFrame, by: list[str], child: str, number
     return joined.groupBy(*by).agg(F.count(F.lit(1)).alias("children"), F.first("parent_ecg").alias("parent_ecg"), cu.alias("cu"))
 
 
+#: Values of all concepts together up to which their tables go to every task as one row.
+CONCEPT_VALUES = 50_000
+SEP = "\u0001"
+
+
+def _concept_row(count: DataFrame, size: DataFrame, key: str) -> DataFrame:
+    """One row, ``concepts``: array of struct(key, size, s, attrs, counts by attribute and value), ordered by key."""
+    seen = count.filter(~is_hidden(F.col("attr")))
+    entry = F.struct(F.concat_ws(SEP, "attr", "val"), "n")
+    held = seen.groupBy(key).agg(F.sum(F.col("n").cast("double") ** 2).alias("s"), F.collect_set("attr").alias("attrs"), F.map_from_entries(F.collect_list(entry)).alias("counts"))
+    rows = size.join(held, key, "left").select(F.struct(F.col(key).alias("key"), F.col("size"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("attrs", F.array().cast("array<string>")).alias("attrs"), F.coalesce("counts", F.create_map().cast("map<string,bigint>")).alias("counts")).alias("c"))
+    return rows.agg(F.array_sort(F.collect_list("c"), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)).alias("concepts"))
+
+
+def scored_concepts(probes: DataFrame, count: DataFrame, size: DataFrame, key: str) -> DataFrame:
+    """``probes`` (inst, nominal: map attribute -> value) with ``scores``: array of struct(rel, size, key) of every concept.
+
+    Nothing is shuffled: the concepts' tables are one row that every task holds, so they must be few (``CONCEPT_VALUES``).
+    """
+    x = probes.select("*", F.map_entries(F.map_filter("nominal", lambda a, v: v.isNotNull() & ~is_hidden(a))).alias("_x"))
+
+    def score(c: Column) -> Column:
+        gain = F.aggregate("_x", F.lit(0).cast("long"), lambda acc, e: acc + 2 * F.coalesce(F.element_at(c["counts"], F.concat_ws(SEP, e["key"], e["value"])), F.lit(0)) + 1)
+        a = F.size(c["attrs"])
+        new = F.size(F.array_except(F.transform("_x", lambda e: e["key"]), c["attrs"]))
+        before = F.coalesce(c["s"] / F.nullif(c["size"] * a, F.lit(0)), F.lit(0.0))
+        rel = (c["s"] + gain) / F.nullif((c["size"] + 1) * (a + new), F.lit(0)) - before
+        return F.struct(rel.alias("rel"), c["size"].alias("size"), c["key"].alias(key))
+
+    return x.join(F.broadcast(_concept_row(count, size, key)), F.lit(True)).withColumn("scores", F.transform("concepts", score)).drop("_x", "concepts")
+
+
 def relative_utility(probes: DataFrame, count: DataFrame, size: DataFrame, key: str) -> DataFrame:
     """inst, key, size, rel: change of size * ECG of each concept if the nominal instance went there.
 
-    ``probes``: inst, attr, sval. With S = sum of squared counts and A attributes in a concept of N, an instance adds
-    2n + 1 for each value with n there and its unknown attributes to A, so every pair costs one lookup for each
-    attribute. Concepts are few beside instances: their side is what joins spread.
+    ``probes``: inst, nominal (map attribute -> value). With S = sum of squared counts and A attributes in a concept of N,
+    an instance adds 2n + 1 for each value with n there and its unknown attributes to A, so every pair costs one lookup
+    for each attribute. Concepts with many values in all meet the instances by joins instead.
     """
+    if count.count() <= CONCEPT_VALUES:
+        each = scored_concepts(probes, count, size, key).select("inst", F.explode("scores").alias("c"))
+        return each.select("inst", f"c.{key}", "c.size", "c.rel").filter("rel IS NOT NULL")
+    return _relative_by_joins(probes.select("inst", F.explode("nominal").alias("attr", "sval")), count, size, key)
+
+
+def _relative_by_joins(probes: DataFrame, count: DataFrame, size: DataFrame, key: str) -> DataFrame:
+    """The same from long rows inst, attr, sval, for concepts of any number."""
     seen = count.filter(~is_hidden(F.col("attr")))
     total = seen.groupBy(key).agg(F.sum(F.col("n").cast("double") ** 2).alias("s"), F.count_distinct("attr").alias("a"))
     base = size.join(total, key, "left").select(key, "size", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("a", F.lit(0)).alias("a"))
@@ -89,8 +130,18 @@ def relative_utility(probes: DataFrame, count: DataFrame, size: DataFrame, key:
     return rows.select("inst", key, "size", (after - before).alias("rel"))
 
 
-def best_children(rel: DataFrame, key: str, k: int = 2) -> DataFrame:
+def best_children(probes: DataFrame, count: DataFrame, size: DataFrame, key: str, k: int = 2) -> DataFrame:
     """inst, rank, key, rel of the ``k`` best concepts: greatest utility, then size, then name."""
+    if count.count() <= CONCEPT_VALUES:
+
+        def before(x: Column, y: Column) -> Column:
+            a, b = F.round(x["rel"], 9), F.round(y["rel"], 9)
+            return F.when(a > b, -1).when(a < b, 1).when(x["size"] > y["size"], -1).when(x["size"] < y["size"], 1).when(x[key] < y[key], -1).when(x[key] > y[key], 1).otherwise(0)
+
+        scored = scored_concepts(probes, count, size, key).withColumn("_s", F.filter("scores", lambda c: c["rel"].isNotNull()))
+        rows = scored.select("inst", F.posexplode(F.slice(F.array_sort("_s", before), 1, k)).alias("rank", "c"))
+        return rows.select("inst", (F.col("rank") + 1).alias("rank"), f"c.{key}", "c.rel")
+    rel = relative_utility(probes, count, size, key)
     order = Window.partitionBy("inst").orderBy(F.round("rel", 9).desc(), F.col("size").desc(), F.col(key))
     return rel.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("inst", "rank", key, "rel")
 
@@ -176,13 +227,70 @@ def criteria(ll: Column, k: Column, n: Column) -> dict[str, Column]:
     return {"aic": aic, "aicc": F.when(n - k <= 1, float("inf")).otherwise(aic + 2 * k * (k + 1) / F.nullif(n - k - 1, F.lit(0))), "bic": k * F.ln(n) - 2 * ll}
 
 
-def exact_match(probes: DataFrame, count: DataFrame, size: DataFrame, key: str) -> DataFrame:
-    """inst, key, exact: every visible attribute on either side has the same value in all of the concept's instances."""
-    seen = count.filter(~is_hidden(F.col("attr"))).join(size, key)
-    sure = seen.filter("n = size").select(key, "attr", "val")
-    attrs = seen.groupBy(key).agg(F.count_distinct("attr").alias("a"))
-    x = probes.filter("sval IS NOT NULL").filter(~is_hidden(F.col("attr")))
-    mine = x.groupBy("inst").agg(F.count(F.lit(1)).alias("m"))
-    hits = x.join(sure, (x["attr"] == sure["attr"]) & (x["sval"] == sure["val"])).groupBy("inst", key).agg(F.count(F.lit(1)).alias("h"))
-    pairs = mine.crossJoin(F.broadcast(attrs))  # one row a concept
-    return pairs.join(hits, ["inst", key], "left").select("inst", key, ((F.coalesce("h", F.lit(0)) == F.col("m")) & (F.col("m") == F.col("a"))).alias("exact"))
+def weighted_values(count: DataFrame, number: DataFrame, size: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, attr, val, p, mean, std: the choices of each attribute, nominal or numeric, and of its being missing.
+
+    A numeric attribute is one choice, ``NUMBER``, with its mean and corrected deviation; being missing is a null value.
+    """
+    none = F.lit(None).cast("double")
+    nominal = count.select(*keys, "attr", "val", "n", none.alias("mean"), none.alias("std"))
+    numeric = number.select(*keys, "attr", F.lit(NUMBER).alias("val"), F.col("num").alias("n"), "mean", unbiased_std(F.col("num"), F.col("m2")).alias("std"))
+    known = nominal.unionByName(numeric)
+    rest = known.groupBy(*keys, "attr").agg(F.sum("n").alias("n")).join(size, keys).filter("n < size")
+    lack = rest.select(*keys, "attr", F.lit(None).cast("string").alias("val"), (F.col("size") - F.col("n")).alias("n"), none.alias("mean"), none.alias("std"))
+    rows = known.unionByName(lack).join(size, keys)
+    return rows.select(*keys, "attr", "val", (F.col("n") / F.col("size")).alias("p"), "mean", "std")
+
+
+#: The choice that stands for a numeric attribute's distribution.
+NUMBER = "\u0001number"
+
+
+def predicted_values(weighted: DataFrame, keys: list[str], allow_none: bool = True, seed: int | None = None) -> DataFrame:
+    """keys, attr, sval, nval: the likeliest choice of each attribute (``weighted_values``), or one drawn by ``seed``.
+
+    A number is predicted by its mean, or drawn from its normal distribution. With ``allow_none`` false, being missing is
+    no choice.
+    """
+    rows = weighted if allow_none else weighted.filter("val IS NOT NULL")
+    rows = most_likely(rows, [*keys, "attr"]) if seed is None else sampled(rows, [*keys, "attr"], seed)
+    number = F.col("val") == NUMBER
+    value = F.col("mean") if seed is None else F.col("mean") + F.col("std") * drawn_normal(seed, *keys, "attr")
+    return rows.select(*keys, "attr", F.when(~number, F.col("val")).alias("sval"), F.when(number, value).alias("nval"))
+
+
+def log_likelihood_mixed(parent: DataFrame, child: DataFrame, pairs: DataFrame) -> DataFrame:
+    """parent_key, child_key, ll as ``log_likelihood``, with numeric attributes.
+
+    ``parent`` and ``child``: key, attr, val, p, mean, std from ``weighted_values``. Where both sides have an attribute's
+    numbers, the pair of distributions adds the logarithm of their overlap and of both shares; else numbers add nothing.
+    """
+    visible = lambda t: t.filter("p > 0").filter(~is_hidden(F.col("attr")))
+    c = visible(child).select(F.col("key").alias("child_key"), "attr", "val", F.col("p").alias("cp"), F.col("mean").alias("cm"), F.col("std").alias("cs"))
+    p = visible(parent).select(F.col("key").alias("parent_key"), "attr", F.coalesce("val", F.lit("\u0001none")).alias("_v"), F.col("p").alias("pp"), F.col("mean").alias("pm"), F.col("std").alias("ps"))
+    c = c.withColumn("_v", F.coalesce("val", F.lit("\u0001none")))
+    both = pairs.join(c, "child_key").join(p, ["parent_key", "attr", "_v"], "left")
+    number = F.col("_v") == NUMBER
+    each = F.ln(F.col("pp") * F.col("cp")) + F.when(number, F.ln(overlap(F.col("pm"), F.col("ps"), F.col("cm"), F.col("cs")))).otherwise(0.0)
+    found = both.groupBy("parent_key", "child_key").agg(F.sum(each).alias("ll"), F.count_if(F.col("pp").isNull() & ~number).alias("lost"))
+    return found.select("parent_key", "child_key", F.when(F.col("lost") == 0, F.coalesce("ll", F.lit(0.0))).alias("ll"))
+
+
+def _signature(attr: Column, sval: Column, nval: Column) -> Column:
+    """Attributes and values in one comparable array; the rows are an instance's, or a concept's attributes."""
+    return F.array_sort(F.collect_list(F.struct(attr.alias("a"), sval.alias("s"), nval.alias("v"))))
+
+
+def exact_match(probes: DataFrame, count: DataFrame, size: DataFrame, key: str, number: DataFrame | None = None) -> DataFrame:
+    """inst, key of the pairs where each visible attribute on either side has one value, the instance's, in all of the concept's instances.
+
+    ``probes``: inst, attr, sval, nval. A concept can match only if all its attributes are sure; it then matches the
+    instances of the same values, which one equality join finds.
+    """
+    none = F.lit(None).cast("double")
+    seen = count.filter(~is_hidden(F.col("attr"))).select(key, "attr", F.col("val").alias("sval"), none.alias("nval"), F.col("n"), F.lit(0.0).alias("m2"))
+    if number is not None:
+        seen = seen.unionByName(number.filter(~is_hidden(F.col("attr"))).select(key, "attr", F.lit(None).cast("string").alias("sval"), F.col("mean").alias("nval"), F.col("num").alias("n"), "m2"))
+    sure = seen.join(size, key).groupBy(key).agg(F.bool_and((F.col("n") == F.col("size")) & (F.col("m2") == 0)).alias("sure"), _signature(F.col("attr"), F.col("sval"), F.col("nval")).alias("sig"))
+    mine = probes.filter("sval IS NOT NULL OR nval IS NOT NULL").filter(~is_hidden(F.col("attr"))).groupBy("inst").agg(_signature(F.col("attr"), F.col("sval"), F.col("nval")).alias("sig"))
+    return mine.join(sure.filter("sure"), "sig").select("inst", key)

@@ -172,18 +172,49 @@ def nominal_to_numeric(df: DataFrame, columns: list[str] | None = None, on_fail:
     return df.withColumns({c: F.when(failed[c], F.raise_error(F.concat(F.lit("not a number: "), F.col(c))).cast("double")).otherwise(number[c]) for c in hit})
 
 
+def unflattened(av: DataFrame, inst: str) -> DataFrame:
+    """inst, json: inverse of ``flatten``, each instance as nested JSON text, built from the innermost names outwards.
+
+    Numbers and names keep their kinds; keys are in text order. ``F.from_json`` with the nested schema gives the struct
+    back. A row's own attributes are gathered; instances are dealt over tasks.
+    """
+    path = F.filter(F.reverse(F.when(F.col("attr").startswith("["), F.regexp_extract_all("attr", F.lit(r'"([^"]*)"'), 1)).otherwise(F.array("attr"))), lambda x: x != "_")
+    value = F.coalesce(F.col("nval").cast("string"), F.get(F.split(F.to_json(F.struct(F.col("sval").alias("v"))), '"v":', 2), F.lit(1)))
+    value = F.when(F.col("nval").isNull(), F.regexp_replace(value, r"\}$", "")).otherwise(value)
+    rows = av.select(F.col(inst), path.alias("_p"), value.alias("_j"))
+    deepest = rows.agg(F.max(F.size("_p"))).first()[0] or 1
+    for depth in range(deepest, 0, -1):
+        here = rows.filter(F.size("_p") == depth)
+        key = F.concat(F.lit('"'), F.element_at("_p", -1), F.lit('":'), "_j")
+        up = here.groupBy(inst, F.slice("_p", 1, depth - 1).alias("_p")).agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(key)), ","), F.lit("}")).alias("_j"))
+        rows = rows.filter(F.size("_p") < depth).unionByName(up)
+    return rows.select(inst, F.col("_j").alias("json"))
+
+
 def sanitized(df: DataFrame, keep_structs: bool = True) -> DataFrame:
     """Lists and maps as key-ordered JSON text, and structs too unless they stay as components."""
     kinds = (T.ArrayType, T.MapType) if keep_structs else (T.ArrayType, T.MapType, T.StructType)
-    return df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, kinds)})
 
+    def text(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))) if isinstance(f.dataType, T.MapType) else c)
+
+    return df.withColumns({f.name: text(f) for f in df.schema.fields if isinstance(f.dataType, kinds)})
 
-def pipeline(*stages):
-    """One transformation from several, in order."""
 
-    def run(df: DataFrame) -> DataFrame:
-        for stage in stages:
-            df = df.transform(stage)
+class Pipeline:
+    """One transformation from several, each a function or a pair of a function and its inverse."""
+
+    def __init__(self, *stages):
+        self.stages = [s if isinstance(s, tuple) else (s, None) for s in stages]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for do, _ in self.stages:
+            df = df.transform(do)
         return df
 
-    return run
+    def undo(self, df: DataFrame) -> DataFrame:
+        """The inverses in the opposite order; a stage without one changes nothing."""
+        for _, undo in reversed(self.stages):
+            df = df.transform(undo) if undo else df
+        return df

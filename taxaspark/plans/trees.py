@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxaspark.plans.evaluate import in_ranges
+
 
 def from_levels(df: DataFrame, levels: list[str], root: str = "world") -> DataFrame:
     """The tree of a fixed hierarchy of columns; a concept is named by its path."""
@@ -48,8 +50,10 @@ def trimmed_to(tree: DataFrame, concepts: list[str]) -> DataFrame:
     return tree.filter(~below)
 
 
-def find(tree: DataFrame, name) -> DataFrame:
-    return tree.filter(F.col("concept") == name)
+def find(tree: DataFrame, name: str) -> DataFrame:
+    """The concept of a name, with those on the way to it from the root."""
+    steps = tree.filter(F.col("concept") == name).select(F.explode("path").alias("concept"))
+    return tree.join(steps, "concept")
 
 
 def attribute_kinds(av: DataFrame) -> DataFrame:
@@ -61,9 +65,19 @@ def attribute_kinds(av: DataFrame) -> DataFrame:
     return rows.select("attr", "distinct_values", kind.alias("kind"))
 
 
+def attribute_type(attr: Column) -> Column:
+    """What a name says about its attribute: constant, hidden or variable; or the same of a relation.
+
+    A relation is hidden if its first part is, and a component relation if any other part is a variable.
+    """
+    relation = F.when(attr.rlike(r'^\["_'), "hidden-relation").when(attr.rlike(r',"\?'), "component-relation").otherwise("constant-relation")
+    return F.when(attr.startswith("["), relation).when(attr.startswith("?"), "variable").when(attr.startswith("_"), "hidden").otherwise("constant")
+
+
 def attribute_tags(attr: Column) -> Column:
-    """What an attribute's name says about it: hidden, relation, component."""
-    tags = F.array(F.when(attr.rlike(r'^(\["?)?_'), "hidden"), F.when(attr.startswith("["), "relation"), F.when(attr.contains("?"), "component"))
+    """The tags by which a viewer filters attributes: hidden, relation, component."""
+    kind = attribute_type(attr)
+    tags = F.array(F.when(kind.isin("hidden", "hidden-relation"), "hidden"), F.when(kind.endswith("-relation"), "relation"), F.when(kind == "component-relation", "component"))
     return F.filter(tags, lambda t: t.isNotNull())
 
 
@@ -74,7 +88,7 @@ def ranked_by_reversed_text(df: DataFrame, name: str, key: str) -> DataFrame:
     end, so no single task sees all of them.
     """
     text = F.reverse(F.lower(F.regexp_replace(name, "[()]", "")))
-    rows = df.select(key, text.alias("_t")).repartitionByRange("_t", key).sortWithinPartitions("_t", key).withColumn("_p", F.spark_partition_id())
+    rows = in_ranges(df.select(key, text.alias("_t")), "_t", key)
     held = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     starts = held.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
     own = F.row_number().over(Window.partitionBy("_p").orderBy("_t", key))

@@ -189,27 +189,30 @@ rel AS (SELECT inst, k, size, (s + g) / ((size + 1) * a) - s / (size * a) AS rel
 best AS (SELECT inst, k, rel, row_number() OVER (PARTITION BY inst ORDER BY round(rel, 9) DESC, size DESC, k) AS rank FROM rel)"""
 
 
-def _relative(spark, sf_dir) -> DataFrame:
+def _probes(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as instances with a map of values; counts and sizes of the priorities."""
     av = orders_av(spark, sf_dir)
-    return measures.relative_utility(av, measures.counts(av, ["k"]), measures.sizes(one(av), ["k"]), "k")
+    nominal = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("year"), F.year("o_orderdate").cast("string"))
+    probes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("inst"), nominal.alias("nominal"))
+    return probes, measures.counts(av, ["k"]), measures.sizes(one(av), ["k"])
 
 
 @query(f"WITH {REL} SELECT inst, k AS concept, round(rel, 6) AS rel FROM rel")
 def relative_cu(spark, sf_dir):
     """Change of each concept's weighted guesses if an order joined it."""
-    return _relative(spark, sf_dir).select("inst", F.col("k").alias("concept"), F.round("rel", 6).alias("rel"))
+    return measures.relative_utility(*_probes(spark, sf_dir), "k").select("inst", F.col("k").alias("concept"), F.round("rel", 6).alias("rel"))
 
 
 @query(f"WITH {REL} SELECT inst, rank, k AS concept, round(rel, 6) AS rel FROM best WHERE rank <= 2")
 def two_best(spark, sf_dir):
     """The two concepts that suit each order best."""
-    return measures.best_children(_relative(spark, sf_dir), "k").select("inst", F.col("rank").cast("long").alias("rank"), F.col("k").alias("concept"), F.round("rel", 6).alias("rel"))
+    return measures.best_children(*_probes(spark, sf_dir), "k").select("inst", F.col("rank").cast("long").alias("rank"), F.col("k").alias("concept"), F.round("rel", 6).alias("rel"))
 
 
 @query(f"WITH {REL} SELECT k AS concept, count(*) AS n FROM best WHERE rank = 1 GROUP BY k")
 def categorize_flat(spark, sf_dir):
     """How many orders each concept would get."""
-    return measures.best_children(_relative(spark, sf_dir), "k", 1).groupBy(F.col("k").alias("concept")).agg(F.count(F.lit(1)).alias("n"))
+    return measures.best_children(*_probes(spark, sf_dir), "k", 1).groupBy(F.col("k").alias("concept")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {ORDERS_AV}, o AS (SELECT o_orderkey AS inst, o_orderstatus AS s, CAST(EXTRACT(year FROM o_orderdate) AS VARCHAR) AS y FROM orders),
@@ -219,8 +222,11 @@ def exact_match(spark, sf_dir):
     av = orders_av(spark, sf_dir).filter("sval IS NOT NULL").drop("k")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("inst"), F.concat_ws("/", "o_orderstatus", F.year("o_orderdate").cast("string")).alias("k"))
     grouped = av.join(o, "inst")
-    m = measures.exact_match(av, measures.counts(grouped, ["k"]), measures.sizes(one(grouped), ["k"]), "k")
-    return m.groupBy(F.col("k").alias("concept")).agg(F.count_if("exact").alias("exact"), F.count_if(~F.col("exact")).alias("other"))
+    size = measures.sizes(one(grouped), ["k"])
+    hits = measures.exact_match(av, measures.counts(grouped, ["k"]), size, "k").groupBy("k").agg(F.count(F.lit(1)).alias("exact"))
+    whole = o.agg(F.count(F.lit(1)).alias("all"))
+    exact = F.coalesce("exact", F.lit(0))
+    return size.join(hits, "k", "left").join(whole, F.lit(True)).select(F.col("k").alias("concept"), exact.alias("exact"), (F.col("all") - exact).alias("other"))
 
 
 @query(f"WITH {ORDERS_AV}, z AS (SELECT o_orderpriority AS k, count(*) AS size FROM orders GROUP BY 1) SELECT k AS concept, attr, val, round(CAST(count(*) AS DOUBLE) / max(size), 6) AS p FROM av JOIN z USING (k) GROUP BY k, attr, val")
@@ -394,7 +400,8 @@ def list_relations(spark, sf_dir):
 @query("SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, round(CAST(unnest(embedding) AS DOUBLE), 6) AS nval FROM embeddings")
 def list_elements(spark, sf_dir):
     """List values as elements with their positions."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", "pos", F.round(F.col("v").cast("double"), 6).alias("nval"))
+    e = transforms.list_elements(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return e.select("vec_id", (F.regexp_extract("element", r"(\d+)$", 1).cast("int") - 1).alias("pos"), F.round(F.col("val").cast("double"), 6).alias("nval"))
 
 
 @query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS size FROM part")
@@ -494,11 +501,15 @@ def moving_average(spark, sf_dir):
     return evaluate.moving_average(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value", 5).select("event_id", F.round("average", 6).alias("average"))
 
 
-@query("SELECT CAST(EXTRACT(hour FROM ts) AS INTEGER) AS hour, count(*) AS n, round(avg(value), 6) AS mean, round(1.959963984540054 * stddev_samp(value) / sqrt(count(*)), 5) AS half_width FROM events GROUP BY 1")
+#: Hill's expansion of the t quantile at 0.975 in 1 / (n - 1); good to six digits from ten degrees of freedom on.
+T_975 = "(1.959963984540054 + 2.372271283 / {v} + 2.822497872 / {v} ** 2 + 2.555848780 / {v} ** 3 + 1.589535586 / {v} ** 4)"
+
+
+@query(f"SELECT CAST(EXTRACT(hour FROM ts) AS INTEGER) AS hour, count(*) AS n, round(avg(value), 6) AS mean, round({T_975.format(v='(count(*) - 1.0)')} * stddev_samp(value) / sqrt(count(*)), 3) AS half_width FROM events GROUP BY 1")
 def avg_lines(spark, sf_dir):
-    """Mean and confidence interval for each hour, by the normal quantile."""
+    """Mean and confidence interval for each hour, by Student's quantile."""
     e = table(spark, sf_dir, "events").withColumn("hour", F.hour("ts"))
-    return evaluate.mean_interval(e, ["hour"], "value").select("hour", "n", F.round("mean", 6).alias("mean"), F.round("half_width", 5).alias("half_width"))
+    return evaluate.mean_interval(e, ["hour"], "value").select("hour", "n", F.round("mean", 6).alias("mean"), F.round("half_width", 3).alias("half_width"))
 
 
 LABELLED = "WITH x AS (SELECT lang AS a, CAST(quality AS VARCHAR) AS b FROM documents JOIN labels USING (doc_id)), c AS (SELECT a, b, count(*) AS n FROM x GROUP BY ALL)"

@@ -41,9 +41,3 @@ def checked(av: DataFrame) -> DataFrame:
     """``av`` with a runtime error for a row without attribute name or value."""
     bad = F.col("attr").isNull() | (F.col("attr") == "") | (F.col("sval").isNull() & F.col("nval").isNull())
     return av.withColumn("attr", F.when(bad, F.raise_error(F.lit("an instance needs named attributes with values")).cast("string")).otherwise(F.col("attr")))
-
-
-def tagged(value: Column, kind: str) -> Column:
-    """A nominal value that can't be taken for one of another type: s: for text, b: for booleans, n: for numbers."""
-    prefix = {"string": "s:", "boolean": "b:", "number": "n:"}[kind]
-    return F.concat(F.lit(prefix), (value.cast("double") if kind == "number" else value).cast("string"))

@@ -11,15 +11,14 @@ SCHEMAS = {
     "forest_fires": "month string, day string, DC double, DMC double, FFMC double, ISI double, RH double, area double, rain double, temp double, wind double, `x-axis` double, `y-axis` double",
     "towers": "_guid string, _human_cluster_label string, success string",
 }
-#: Parts of generated animals: height, radius and texture ranges by species, in the order of SPECIES.
-SPECIES = ("dog", "cat", "horse", "giraffe")
-PARTS = {
-    "torso": (((22, 28), (15, 22), (50, 60), (60, 72)), ((5, 8), (2, 5), (10, 15), (12, 17)), ((170, 180), (170, 180), (170, 180), (170, 180))),
-    "neck": (((5, 7), (3, 4), (12, 20), (40, 55)), ((2, 3), (1, 2), (5, 7), (5, 9)), ((170, 180), (170, 180), (170, 180), (170, 180))),
-    "head": (((9, 13), (5, 8), (18, 25), (18, 22)), ((2, 4), (1, 3), (4, 6), (4, 6)), ((170, 180), (170, 180), (170, 180), (170, 180))),
-    "tail": (((10, 15), (10, 18), (25, 35), (20, 30)), ((1, 2), (0.5, 1), (1, 2), (0.5, 1.5)), ((170, 180), (170, 180), (160, 170), (160, 170))),
-    "leg": (((10, 15), (4, 9), (40, 50), (70, 80)), ((0.8, 1.2), (0.4, 0.8), (2, 3.5), (2, 3.5)), ((170, 180), (170, 180), (170, 180), (170, 180))),
-}
+#: Generated animals: the length of a body, and of each part in units of it; a part's radius in units of its length.
+BODIES = {"badger": 60.0, "boar": 110.0, "camel": 210.0, "hare": 40.0}
+PROPORTIONS = {"torso": (1.0, 0.3), "neck": (0.35, 0.25), "head": (0.3, 0.4), "tail": (0.25, 0.08), "leg": (0.6, 0.1)}
+#: How far a draw lies from its middle at most, in units of the middle; textures are between 0 and 1.
+VARIATION = 0.2
+#: Where a part is attached (along, across and up, in units of the body), and the direction in which it points.
+PLACES = {"torso": (0.0, 0.0, 0.6), "leg1": (0.4, 0.15, 0.3), "leg2": (0.4, -0.15, 0.3), "leg3": (-0.4, 0.15, 0.3), "leg4": (-0.4, -0.15, 0.3), "neck": (0.5, 0.0, 0.8), "head": (0.7, 0.0, 1.0), "tail": (-0.5, 0.0, 0.6)}
+AXES = {"torso": (1.0, 0.0, 0.0), "leg": (0.0, 0.0, -1.0), "neck": (0.6, 0.0, 0.8), "head": (1.0, 0.0, 0.0), "tail": (-0.8, 0.0, -0.6)}
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
@@ -44,26 +43,24 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True)
 
 
-def _between(low: Column, high: Column, seed: int) -> Column:
-    """A draw from a normal around the middle of a range, redrawn until it lies in it (sixteen tries, then the middle)."""
-    tries = F.array(*[F.randn(seed * 100 + k) for k in range(16)])
-    z = F.coalesce(F.get(F.filter(tries, lambda v: F.abs(v) <= 1), F.lit(0)), F.lit(0.0))
-    return low + (high - low) / 2 * (1 + z)
+def _around(middle: Column, seed: int) -> Column:
+    """A draw around ``middle``, dense there: the mean of three uniform ones within ``VARIATION`` of it."""
+    return middle * (1 + VARIATION * ((F.rand(seed) + F.rand(seed + 1) + F.rand(seed + 2)) / 1.5 - 1))
 
 
 def animals(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     """``n`` generated four-legged animals: id, _type, and a struct for each part (torso, legs, neck, head, tail)."""
-    df = spark.range(n).withColumn("k", F.floor(F.rand(seed) * len(SPECIES)).cast("int"))
-    df = df.withColumn("_type", F.get(F.array(*[F.lit(s) for s in SPECIES]), F.col("k")))
-    number = 0
-    for part in ("torso", "leg1", "leg2", "leg3", "leg4", "neck", "head", "tail"):
-        sizes = []
-        for name, ranges in zip(("height", "radius", "texture"), PARTS["leg" if part.startswith("leg") else part]):
-            low, high = (F.get(F.array(*[F.lit(float(r[i])) for r in ranges]), F.col("k")) for i in (0, 1))
-            number += 1
-            sizes.append(_between(low, high, seed * 1000 + number).alias(name))
-        df = df.withColumn(part, F.struct(F.lit(part).alias("_type"), *sizes))
-    return df.drop("k")
+    kinds = F.create_map(*[F.lit(x) for kind in BODIES.items() for x in kind])
+    df = spark.range(n).withColumn("_type", F.get(F.array(*[F.lit(s) for s in BODIES]), F.floor(F.rand(seed) * len(BODIES)).cast("int")))
+    df = df.withColumn("body", _around(F.element_at(kinds, F.col("_type")), seed + 1))
+    for i, (part, place) in enumerate(PLACES.items()):
+        kind = "leg" if part.startswith("leg") else part
+        length, thickness = PROPORTIONS[kind]
+        height, radius = (_around(F.col("body") * x, seed + 10 * i + j) for j, x in ((100, length), (103, length * thickness)))
+        where = [(F.col("body") * x).alias(f"location{c}") for c, x in zip("XYZ", place)]
+        axis = [F.lit(x).alias(f"axis{c}") for c, x in zip("XYZ", AXES[kind])]
+        df = df.withColumn(part, F.struct(F.lit(kind).alias("_type"), *where, *axis, height.alias("height"), radius.alias("radius"), F.rand(seed + 10 * i + 106).alias("texture")))
+    return df.drop("body")
 
 
 def write_tree(nodes: DataFrame, path: str) -> None:

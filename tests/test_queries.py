@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from taxaspark import learning, queries
+from taxaspark import fixed, learning, queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
