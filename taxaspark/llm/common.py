@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxaspark.storage import discard, shared_path as new_path, stored
+
+__all__ = ["by_weight", "discard", "joined", "new_path", "read", "release_memory", "sieve", "stored", "text_or_empty"]
+
 #: ASCII white space that separates words, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -18,26 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names; an error where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     """A text column, with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -87,14 +70,6 @@ def sieve(keys: DataFrame, on: list[str]) -> Column:
     return F.floor(byte / F.pow(F.lit(2), spot % 8)) % 2 == 1
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing will read again."""
-    for t in tables:
-        for f in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release_memory() -> None:
     """Gives what a Python worker has freed back to the system; called at the end of a task, as workers live on."""
     pa.default_memory_pool().release_unused()

@@ -186,7 +186,7 @@ def refine(state: DataFrame) -> list[DataFrame]:
         going = ranks.select("r1", "r2", F.col("sets").alias("weight"), ((F.col("sets") > 1) & (F.col("open") > 0)).alias("going"))
         marks = joined(sets, going, ["r1", "r2"], "weight").filter("fixed OR going")
         marks = stored(marks.withColumnRenamed("fixed", "settled"), "marks")
-        met = joined(parts, marks, ["r1", "r2", "span"])
+        met = joined(parts.filter(sieve(marks, ["r1", "r2", "span"])), marks, ["r1", "r2", "span"])
         goes = F.col("going") & (F.struct(*KEY, "lo") == F.col("one"))
         ended = F.col("settled") & ~F.col("fixed")
         met = stored(met.filter(goes | ended).select(*KEY, "lo", "o", "n", F.col("settled").alias("fixed"), F.when(goes, F.col("bytes")).alias("bytes"), goes.alias("goes"), ended.alias("ended")), "round")
@@ -207,7 +207,7 @@ def repeats(rows: DataFrame, heavy: DataFrame) -> DataFrame:
     near = joined(spans, mixed, ["core"], "spans").withColumn("near", F.lit(True))
     both = near.unionByName(spans.filter("size > 1").withColumn("near", F.lit(False)))
     marks = stored(both.groupBy("core", "span").agg(F.max("size").alias("size"), F.max("near").alias("near")), "marks")
-    alive = stored(joined(found, marks.withColumn("repeated", F.col("size") > 1), ["core", "span"]), "alive")
+    alive = stored(joined(found.filter(sieve(marks, ["core", "span"])), marks.withColumn("repeated", F.col("size") > 1), ["core", "span"]), "alive")
     whole = alive.filter("repeated").select(*KEY, _range(F.shiftright("at", 16), F.col("at").bitwiseAND(F.lit(255)) + 1))
     witness = alive.filter("near").groupBy("core", "span").agg(F.min(F.struct(*KEY, "at")).alias("w"), F.first("repeated").alias("fixed"))
     want = witness.groupBy("w.k1", "w.k2").agg(F.collect_list(F.struct("w.at", "fixed")).alias("want"))  # anchors of one text
