@@ -1,12 +1,13 @@
 """Byte-level BPE as Spark higher-order functions: ranked merges folded over the bytes of distinct words.
 
 A word is an array of byte tokens; ``aggregate`` merges the adjacent pair of least rank again and again. The rank map is
-a literal: an array of 64-bit entries (pair, merged token) placed by a perfect hash, so that a pair's rank takes two array
-reads. All words of the corpus are counted, and the frequent short ones, up to ``DICTIONARY``, are folded once each into a
-dictionary that every task holds; the other distinct words are folded once for each block of documents that has them.
-Both give the same ids, so the dictionary's bound is one of memory, not of results. Tasks in Python only split texts
-into words and put the words' ids together. A fold's arrays are copied at each merge, so words above ``LONG`` bytes are
-merged along a heap in the task instead, in n log n steps. Decoding concatenates the tokens' bytes.
+a literal: the sparse matrix (left token, right token) -> merged token with its rows shifted into one array, so that a
+pair's rank takes two array reads. All words of the corpus are counted, and the frequent short ones, up to
+``DICTIONARY``, are folded once each into a dictionary in the shared folder, which each worker reads; the other distinct
+words are folded once for each block of documents that has them. Both give the same ids, so the dictionary's bound is one
+of memory, not of results. Tasks in Python only split texts into words and put the words' ids together. A fold's arrays
+are copied at each merge, so words above ``LONG`` bytes are merged along a heap in the task instead, in n log n steps.
+Decoding concatenates the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -20,22 +21,26 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import regex
 import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaspark.llm.common import release_memory, stored, text_or_empty
 from taxaspark.llm.encoding import batches_of
 
-#: Most words in the dictionary, and the most characters of one: some 10 MB at most.
-DICTIONARY, SHORT = 200_000, 24
+#: Most words in the dictionary, and the most characters of one: some 50 MB in a worker at most.
+DICTIONARY, SHORT = 1_000_000, 24
 #: Bytes up to which a word is folded by Spark.
 LONG = 256
-#: Characters of texts whose words are folded together.
-BLOCK = 1 << 20
-#: Bits of a token id in a pair.
+#: Characters of texts whose words are folded together, and pieces of texts that are counted before they are split into words.
+BLOCK, COUNTED = 1 << 22, 300_000
+#: Bits of a token id, the id that stands for no token, and bits of a place in a word that Spark folds.
 WIDTH = 20
+NO_RANK, PLACE = (1 << WIDTH) - 1, 8
 
 
 def rank_file(path: str) -> dict[bytes, int]:
@@ -49,26 +54,32 @@ def pairs_of(ranks: dict[bytes, int]) -> dict[int, int]:
     return {ranks[t[:i]] << WIDTH | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
 
-def perfect_hash(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
-    """(displacements, entries): the entry (pair << WIDTH | merged) of a pair of hash h is at (h >> 16 & mask) ^ displacements[h & (their number - 1)]."""
-    groups, size = 1 << max(4, (len(pairs) // 3).bit_length()), 1 << max(8, (2 * len(pairs)).bit_length())
-    held: list[list[tuple[int, int]]] = [[] for _ in range(groups)]
-    for pair in pairs:
-        h = xxhash.xxh64_intdigest(pair.to_bytes(8, "little"), 42)
-        held[h & (groups - 1)].append((h >> 16 & (size - 1), pair))
-    shift, table, free = [0] * groups, [-1] * size, 0
-    for g in sorted(range(groups), key=lambda g: -len(held[g])):
-        d = 0
-        while any(table[slot ^ d] >= 0 for slot, _ in held[g]):
-            d += 1
-            if d == size:
-                raise ValueError("no perfect hash of this size")
-        shift[g] = d
-        for slot, pair in held[g]:
-            if table[slot ^ d] >= 0:
-                raise ValueError("two pairs hash alike")
-            table[slot ^ d] = pair << WIDTH | pairs[pair]
-    return shift, table
+def shifted_rows(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
+    """(shift, entries): the entry (left << WIDTH | merged) of a pair is at shift[left] + right; other places hold other lefts, or -1.
+
+    Rows go, longest first, to the first place after the last row of like length where all their entries fit.
+    """
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for pair, merged in pairs.items():
+        rows.setdefault(pair >> WIDTH, []).append((pair & (1 << WIDTH) - 1, merged))
+    most = max((p >> WIDTH for p in pairs), default=0) + 1
+    shift, table = [0] * most, np.full(4 * len(pairs) + (1 << WIDTH), -1, np.int64)
+    free, used, at, held = np.ones(len(table), bool), 0, 0, 0
+    for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
+        right = np.array(sorted(rows[left]), np.int64)
+        steps = right[:, 0] - right[0, 0]
+        at, held = (at if len(right).bit_length() == held else 0), len(right).bit_length()
+        while True:
+            open_ = at + np.flatnonzero(free[at : at + 128])
+            fits = free[open_[:, None] + steps].all(axis=1)
+            if fits.any():
+                place = at = int(open_[np.argmax(fits)])
+                break
+            at += 128
+        spots = place + right[:, 0] - right[0, 0]
+        free[spots], table[spots], shift[left] = False, left << WIDTH | right[:, 1], place - int(right[0, 0])
+        used = max(used, int(spots[-1]) + 1)
+    return shift, table[:used].tolist()
 
 
 def _literal(values: list[int], kind: str) -> Column:
@@ -86,7 +97,7 @@ class Ranks:
 
     def __init__(self, path: str):
         ranks = rank_file(path)
-        self.shift, self.table = perfect_hash(pairs_of(ranks))
+        self.shift, self.table = shifted_rows(pairs_of(ranks))
         self.bytes = [ranks.get(bytes([b]), -1) for b in range(256)]
         tokens = [""] * (max(ranks.values()) + 1)
         for token, r in ranks.items():
@@ -99,46 +110,53 @@ class Ranks:
 
     def merged(self, shift: Column, table: Column, left: Column, right: Column) -> Column:
         """The token that a pair merges into, which is its rank too; null for a pair that doesn't merge."""
+        entry = F.get(table, F.get(shift, left) + right)
+        return F.when(F.shiftright(entry, WIDTH) == left, entry.bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int"))
 
-        def found(pair: Column) -> Column:
-            def entry(h: Column) -> Column:
-                d = F.get(shift, h.bitwiseAND(F.lit(len(self.shift) - 1)).cast("int"))
-                slot = F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(len(self.table) - 1)).cast("int").bitwiseXOR(d)
-                return let(F.get(table, slot), lambda e: F.when(F.shiftright(e, WIDTH) == pair, e.bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")))
-
-            return let(F.xxhash64(pair), entry)
+    def fold(self, shift: Column, table: Column, single: Column, word: Column) -> Column:
+        """Ids of a word that isn't empty, array<int>: its tokens after all ranked merges.
 
-        return let(F.shiftleft(left.cast("long"), WIDTH).bitwiseOR(right.cast("long")), found)
+        The fold's one array has an element for each token: the rank of its pair with the next token, its first byte's
+        place in the word, the token itself; so the least element is the first pair of least rank.
+        """
+        token = lambda x: x.bitwiseAND(F.lit(NO_RANK)).cast("int")
+        rest = (1 << WIDTH + PLACE) - 1
 
-    def fold(self, shift: Column, table: Column, single: Column, word: Column) -> Column:
-        """Ids of a word, array<int>: its tokens after all ranked merges."""
-        none = F.array().cast("array<int>")
+        def ranked(left: Column, right: Column) -> Column:
+            return F.shiftleft(F.coalesce(self.merged(shift, table, left, right), F.lit(NO_RANK)).cast("long"), WIDTH + PLACE)
 
         def step(acc: Column, _: Column) -> Column:
-            p, r = acc["p"], acc["r"]
+            def at(v: Column) -> Column:
+                merged = F.shiftright(v, WIDTH + PLACE).cast("int")
 
-            def at(m: Column) -> Column:  # merge the first pair of least rank: tokens i and i + 1 become m
-                def joined(i: Column) -> Column:
-                    left = F.when(i > 1, F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(self.merged(shift, table, F.get(p, i - 2), m)))).otherwise(none)
-                    right = F.when(i < F.size(r), F.concat(F.array(self.merged(shift, table, m, F.get(p, i + 1))), F.slice(r, i + 2, F.size(r)))).otherwise(none)
-                    return F.struct(F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p))).alias("p"), F.concat(left, right).alias("r"))
+                def joined(i: Column) -> Column:  # elements i and i + 1 become one
+                    left = F.get(acc, i - 2)
+                    one = ranked(merged, token(F.get(acc, i + 1))).bitwiseOR(v.bitwiseAND(F.lit(rest - NO_RANK))).bitwiseOR(merged.cast("long"))
+                    before = ranked(token(left), merged).bitwiseOR(left.bitwiseAND(F.lit(rest)))
+                    return F.concat(F.slice(acc, F.lit(1), F.greatest(i - 2, F.lit(0))), F.when(i > 1, F.array(before, one)).otherwise(F.array(one)), F.slice(acc, i + 2, F.size(acc)))
 
-                return F.when(m.isNull(), acc).otherwise(let(F.array_position(r, m).cast("int"), joined))
+                return F.when(merged == NO_RANK, acc).otherwise(let(F.array_position(acc, v).cast("int"), joined))
 
-            return let(F.array_min(r), at)
+            return let(F.array_min(acc), at)
 
         def ids(p: Column) -> Column:
-            pairs = F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: self.merged(shift, table, F.get(p, i), x))
-            return F.aggregate(p, F.struct(p.alias("p"), pairs.alias("r")), step)["p"]
+            start = F.transform(p, lambda x, i: ranked(x, F.get(p, i + 1)).bitwiseOR(F.shiftleft(i, WIDTH).cast("long")).bitwiseOR(x.cast("long")))
+            return F.transform(F.aggregate(F.slice(p, F.lit(2), F.size(p)), start, step), token)
 
         latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
-        return let(F.transform(F.filter(F.split(latin, ""), lambda c: c != ""), lambda c: F.get(single, F.ascii(c))), ids)
+        return let(F.transform(F.split(latin, ""), lambda c: F.get(single, F.ascii(c))), ids)
 
     def folded(self, words: Column) -> Column:
         """Ids of each word of an array."""
         return self.bound(lambda d, e, b: F.transform(words, lambda w: self.fold(d, e, b, w)))
 
 
+@lru_cache(maxsize=2)
+def ranks_of(path: str) -> Ranks:
+    """The expressions over a rank file, made once."""
+    return Ranks(path)
+
+
 @lru_cache(maxsize=1)
 def _ranks(path: str) -> dict[bytes, int]:
     return rank_file(path)
@@ -172,26 +190,47 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+ODD = regex.compile(r"[^\S \n]|  | \n|\n |\n\n")
+
+
+class Splitter:
+    """Splits texts by a pattern: first at single spaces and line breaks, which no match reaches across, then each distinct piece."""
+
+    def __init__(self, pattern: str):
+        self.words = regex.compile(pattern).findall
+
+    def pieces(self, text: str) -> list[str]:
+        """Pieces that make up the text; a text with any other run of white space comes as its words."""
+        if ODD.search(text):
+            return self.words(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return ([first] if first else []) + [x if x[:1] == "\n" else f" {x}" for x in rest]
+
+
 def _count(batches, pattern: str):
     """Short words and their numbers; a word may come more than once."""
-    find, counts = regex.compile(pattern).findall, Counter()
+    split, counts = Splitter(pattern), Counter()
 
     def rows() -> pa.RecordBatch:
-        short = [(w, n) for w, n in counts.items() if len(w) <= SHORT]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["w", "n"])
+        words: dict[str, int] = {}
+        for piece, n in counts.items():
+            for w in split.words(piece):
+                if len(w) <= SHORT:
+                    words[w] = words.get(w, 0) + n
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["w", "n"])
 
     for batch in batches:
         for t in batch["text"].to_pylist():
-            counts.update(find(t))
-            if len(counts) > DICTIONARY:
+            counts.update(split.pieces(t))
+            if len(counts) > COUNTED:
                 yield rows()
                 counts.clear()
     yield rows()
     release_memory()
 
 
-def dictionary(texts: DataFrame, pattern: str, ranks: Ranks, limit: int = DICTIONARY) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(words, numbers of ids, ids one after the other) of the most frequent short words of ``texts`` (text).
+def dictionary(texts: DataFrame, pattern: str, ranks: Ranks, limit: int = DICTIONARY) -> DataFrame:
+    """w, h (its hash), ids of the most frequent short words of ``texts`` (text), stored.
 
     All short words are counted; those at least as frequent as a cutoff that at most ``limit`` words reach come in.
     """
@@ -204,61 +243,103 @@ def dictionary(texts: DataFrame, pattern: str, ranks: Ranks, limit: int = DICTIO
             break
         total, cut = total + k, s
     frequent = counts.filter(steps >= F.lit(cut))
-    n = frequent.sparkSession.sparkContext.defaultParallelism
-    table = frequent.repartition(n, "w").select("w", ranks.bound(lambda d, e, b: ranks.fold(d, e, b, F.col("w"))).alias("ids")).toArrow()
-    ids = table["ids"].combine_chunks()
-    flat = ids.flatten() if len(table) else pa.array([], pa.int32())
-    sizes = np.array([len(x) for x in ids.to_pylist()], np.int64)
-    return table["w"].to_pylist(), sizes, flat.to_numpy(zero_copy_only=False).astype(np.int32)
-
-
-BLOCKS = "docs array<long>, counts array<int>, refs binary, words array<string>, long array<array<int>>"
+    n = 4 * frequent.sparkSession.sparkContext.defaultParallelism
+    return stored(frequent.repartition(n, "w").select("w", F.xxhash64("w").alias("h"), ranks.bound(lambda d, e, b: ranks.fold(d, e, b, F.col("w"))).alias("ids")), "dictionary")
 
 
-def _split(batches, pattern: str, known: list[str], path: str):
-    """A row for each block of documents: what words each has, as places in ``known``, in ``words`` after it, and in ``long`` after that."""
-    find, place = regex.compile(pattern).findall, {w: i for i, w in enumerate(known)}
+@lru_cache(maxsize=1)
+def _dictionary(files: tuple[str, ...]) -> tuple[np.ndarray, pa.Table]:
+    """(hashes in order, words and ids in that order) of a stored dictionary."""
+    parts = []
+    for f in files:
+        system, path = fs.FileSystem.from_uri(f)
+        parts.append(pq.read_table(path, filesystem=system))
+    table = pa.concat_tables(parts)
+    order = np.argsort(table["h"].to_numpy(), kind="stable")
+    return table["h"].to_numpy()[order], table.select(["w", "ids"]).take(pa.array(order)).combine_chunks()
+
+
+def _looked_up(words: list[str], files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether each word is in the dictionary, their numbers of ids, those ids one after the other)."""
+    none = np.zeros(len(words), bool), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    if not files or not words:
+        return none
+    hashes, table = _dictionary(files)
+    if not len(hashes):
+        return none
+    h = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in words), np.uint64, len(words)).view(np.int64)
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    hit = (hashes[at] == h) & pc.equal(table["w"].take(pa.array(at)), pa.array(words, pa.string())).to_numpy(zero_copy_only=False).astype(bool)
+    ids = table["ids"].take(pa.array(at[hit])).combine_chunks()
+    return hit, pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+
+
+BLOCKS = "docs array<long>, counts array<int>, refs binary, ends binary, parts binary, place binary, sizes binary, flat binary, words array<string>, long array<array<int>>"
+
+
+def _split(batches, pattern: str, files: tuple[str, ...], path: str):
+    """A row for each block of documents.
+
+    ``refs``: the pieces of its texts, ``counts`` of them for each of ``docs``; ``parts``: the words of each piece, up to
+    ``ends``; ``place``: where each word's ids are: first those in the dictionary (``sizes``, ``flat``), then ``words``,
+    then the ``long`` ones.
+    """
+    split = Splitter(pattern)
     for batch in batches:
         texts, docs = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-        for a, b in batches_of(texts, 10_000, BLOCK):
-            own: dict[str, int] = {}
+        for a, b in batches_of(texts, 100_000, BLOCK):
+            pieces: dict[str, int] = {}
             counts, refs = [], []
             for t in texts[a:b]:
-                words = find(t)
-                counts.append(len(words))
-                for w in set(words).difference(place):
-                    own.setdefault(w, len(own))
-                refs += [place[w] if w in place else -1 - own[w] for w in words]
-            words = list(own)
-            long = [i for i, w in enumerate(words) if len(w) * 4 > LONG and len(w.encode()) > LONG]
-            order = np.full(len(words), 0, np.int64)  # short words first, then long ones
-            is_long = np.zeros(len(words), bool)
-            is_long[long] = True
-            order[~is_long] = np.arange(len(words) - len(long))
-            order[is_long] = np.arange(len(words) - len(long), len(words))
-            r = np.array(refs, np.int64)
-            new = r < 0
-            r[new] = len(known) + order[-1 - r[new]]
-            merged = [merge_long(words[i].encode(), _ranks(path)) for i in long]
-            yield pa.RecordBatch.from_arrays([pa.array([docs[a:b]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([r.astype("<i4").tobytes()], pa.binary()), pa.array([[w for w, x in zip(words, is_long) if not x]], pa.list_(pa.string())), pa.array([merged], pa.list_(pa.list_(pa.int32())))], ["docs", "counts", "refs", "words", "long"])
+                own = split.pieces(t)
+                counts.append(len(own))
+                for x in set(own).difference(pieces):
+                    pieces[x] = len(pieces)
+                refs.append(np.fromiter(map(pieces.__getitem__, own), np.int32, len(own)))
+            seen: dict[str, int] = {}
+            parts, ends = [], []
+            for x in pieces:
+                for w in split.words(x):
+                    parts.append(seen.setdefault(w, len(seen)))
+                ends.append(len(parts))
+            words = list(seen)
+            known, sizes, flat = _looked_up(words, files)
+            long = np.fromiter((len(w) * 4 > LONG and len(w.encode()) > LONG for w in words), bool, len(words)) & ~known
+            kind = np.where(known, 0, np.where(long, 2, 1))
+            place = np.empty(len(words), np.int32)
+            place[np.argsort(kind, kind="stable")] = np.arange(len(words), dtype=np.int32)
+            merged = [merge_long(words[i].encode(), _ranks(path)) for i in np.flatnonzero(long)]
+            blob = lambda x, t: pa.array([np.asarray(x, t).tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([docs[a:b]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), blob(np.concatenate(refs), "<i4"), blob(ends, "<i4"), blob(parts, "<i4"), blob(place, "<i4"), blob(sizes, "<i4"), blob(flat, "<i4"), pa.array([[words[i] for i in np.flatnonzero(kind == 1)]], pa.list_(pa.string())), pa.array([merged], pa.list_(pa.list_(pa.int32())))],
+                ["docs", "counts", "refs", "ends", "parts", "place", "sizes", "flat", "words", "long"],
+            )
     release_memory()
 
 
-def _assemble(batches, sizes: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """doc_id, ids of each document of the blocks: the ids of its words one after the other."""
+def _gathered(which: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, items) of the runs ``which`` among the runs of ``sizes`` items each in ``flat``."""
+    starts, n = np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.cumsum(n)
+    return n, flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _assemble(batches) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids of each document of the blocks: the ids of its pieces' words one after the other."""
     for batch in batches:
         for k in range(batch.num_rows):
             one = batch.slice(k, 1)
-            own = [(np.diff(x.offsets.to_numpy()), x.flatten().to_numpy(zero_copy_only=False)) for x in (one["ids"].flatten(), one["long"].flatten())]
-            n = np.concatenate([sizes, *[s.astype(np.int64) for s, _ in own]])
-            ids = np.concatenate([flat, *[v.astype(np.int32) for _, v in own]])
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
-            refs, counts = np.frombuffer(one["refs"][0].as_py(), "<i4"), one["counts"].flatten().to_numpy()
-            lengths = n[refs]
-            ends = np.cumsum(lengths)
-            at = np.repeat(starts[refs] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-            upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-            yield pa.RecordBatch.from_arrays([one["docs"].flatten(), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids[at]))], ["doc_id", "ids"])
+            get = lambda c: np.frombuffer(one[c][0].as_py(), "<i4").astype(np.int64)
+            own = [(np.diff(x.offsets.to_numpy()).astype(np.int64), x.flatten().to_numpy(zero_copy_only=False)) for x in (one["ids"].flatten(), one["long"].flatten())]
+            sizes = np.concatenate([get("sizes"), *[s for s, _ in own]])
+            flat = np.concatenate([np.frombuffer(one["flat"][0].as_py(), "<i4"), *[v.astype(np.int32) for _, v in own]])
+            word_sizes, word_ids = _gathered(get("place"), sizes, flat)  # in the order of the block's words
+            n, ids = _gathered(get("parts"), word_sizes, word_ids)  # in the order of the pieces
+            upto = np.concatenate([[0], np.cumsum(n)])
+            piece_sizes = np.diff(np.concatenate([[0], upto[get("ends")]]))
+            n, ids = _gathered(get("refs"), piece_sizes, ids)  # in the order of the texts
+            ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(one["counts"].flatten().to_numpy(), dtype=np.int64)])]
+            yield pa.RecordBatch.from_arrays([one["docs"].flatten(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
     release_memory()
 
 
@@ -268,12 +349,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, limit: int = DICTIONA
     Repeated rows are encoded one by one; an empty table gives no rows; other columns aren't read, whatever their names.
     Texts and words may be of any length; a task's memory follows the longest one.
     """
-    ranks = Ranks(ranks_path)
+    ranks = ranks_of(ranks_path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    known, sizes, flat = dictionary(rows.select("text"), pattern, ranks, limit)
-    blocks = rows.mapInArrow(partial(_split, pattern=pattern, known=known, path=ranks_path), BLOCKS)
-    folded = blocks.select("docs", "counts", "refs", ranks.folded(F.col("words")).alias("ids"), "long")
-    return folded.mapInArrow(partial(_assemble, sizes=sizes, flat=flat), "doc_id long, ids array<int>")
+    known = dictionary(rows.select("text"), pattern, ranks, limit)
+    blocks = rows.mapInArrow(partial(_split, pattern=pattern, files=tuple(known.inputFiles()), path=ranks_path), BLOCKS)
+    folded = blocks.withColumn("ids", ranks.folded(F.col("words")))
+    return folded.mapInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def decode(ids: Column, ranks: Ranks) -> Column:
