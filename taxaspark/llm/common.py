@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,7 +72,9 @@ def sieve(keys: DataFrame, on: list[str]) -> Column:
 
 
 def release_memory() -> None:
-    """Gives what a Python worker has freed back to the system; called at the end of a task, as workers live on."""
+    """Gives what a Python worker has freed, and its tokenizer, back; called at the end of a task that needs none, as workers live on."""
+    if encoding := sys.modules.get("taxaspark.llm.encoding"):
+        encoding.encoder.cache_clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

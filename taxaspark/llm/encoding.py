@@ -10,8 +10,8 @@ from functools import lru_cache
 import numpy as np
 
 ODD_SPACE = re.compile(r"[^\S \n]")
-#: Pieces that a worker remembers, at most, and their longest length: some 40 MB in all.
-REMEMBERED, LONGEST = 200_000, 40
+#: Pieces that a worker remembers, at most, and their longest length: some 250 MB in all.
+REMEMBERED, LONGEST = 1_000_000, 40
 
 
 class WordEncoder:
@@ -64,14 +64,10 @@ class WordEncoder:
                 del self.memo[x]
         return out
 
-    def forget(self) -> None:
-        """Drops what is remembered; called at the end of a task, as worker processes live on."""
-        self.memo = {}
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str, space_joins: bool) -> WordEncoder:
-    """The worker process's encoder for a file."""
+    """The worker process's encoder for a file; it serves later tasks too, until ``release_memory`` drops it."""
     return WordEncoder(path, space_joins)
 
 

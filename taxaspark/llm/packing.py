@@ -47,8 +47,6 @@ def _encode(batches, tokenizer: str, end_id: int):
             some = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays([pa.array([part] * (b - a), pa.int32()), pa.array(range(row, row + b - a), pa.int64()), some["doc_id"], some["source"], some["h"], pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["part", "row", "doc_id", "source", "h", "n", "ids"])
             row += b - a
-    words.forget()
-    release_memory()
 
 
 def _running(batches, by: list[str]):
