@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from taxaspark.llm import bytebpe, chat, neighbours, packing, pii, quality, repeats, simhash, tokenfile, toxicity
 from taxaspark.llm.common import read
 
-PII_KEY = "taxaspark-pseudonyms-1"
+#: Setting of the session that holds the secret key of pseudonyms, and a key for trials, which is no secret.
+PII_SETTING, TRIAL_KEY = "spark.taxaspark.pseudonyms.key", "trial"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The key of pseudonyms that the session names."""
+    return spark.conf.get(PII_SETTING, TRIAL_KEY)
 
 
 def vocabulary(name: str) -> str:
@@ -55,13 +61,13 @@ def op6_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.tiktoken")
     encoded = bytebpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    decoded = bytebpe.decode(F.col("ids"), bytebpe.Ranks(path))
+    decoded = bytebpe.decode(F.col("ids"), bytebpe.ranks_of(path))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data pseudonymised."""
-    return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_found", "n_replaced")
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_found", "n_replaced")
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

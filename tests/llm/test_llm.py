@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 
 from taxaspark.llm import bytebpe, chat, common, neighbours, packing, pii, quality, repeats, simhash, tokenfile, toxicity
 from taxaspark.llm.encoding import WordEncoder
-from taxaspark.llm.queries import PII_KEY
 
+PII_KEY = "of the tests"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, ranges string, n long"
 WORDS = "the a of and river stone light over under quick brown fox jumps lazy dog walks home early morning cloud été naïve".split()
 
@@ -296,7 +296,7 @@ def test_byte_bpe(spark, empty, limit):
     odd += ["".join(rnd.choice("abcdefghij") for _ in range(n)) for n in (100, 256, 257, 3000)] + ["é" * 128 + "x", "x" * 257, " " * 300 + "a"]
     rows = [*corpus(), *[(400 + i, t, "en", "s", 0, "", "", 0) for i, t in enumerate(odd)]]
     df = bytebpe.encode(spark.createDataFrame(rows, SCHEMA).repartition(3), path, public_tokenizers.PATTERN, limit)
-    got = sorted(((r["doc_id"], list(r["ids"]), bytes(r["d"]).decode()) for r in df.withColumn("d", bytebpe.decode(F.col("ids"), bytebpe.Ranks(path))).collect()), key=str)
+    got = sorted(((r["doc_id"], list(r["ids"]), bytes(r["d"]).decode()) for r in df.withColumn("d", bytebpe.decode(F.col("ids"), bytebpe.ranks_of(path))).collect()), key=str)
     assert got == sorted(((r[0], enc.encode_ordinary(r[1] or ""), r[1] or "") for r in rows), key=str)
     if not limit:
         assert bytebpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0

@@ -31,3 +31,23 @@ def test_stages(spark, tmp_path):
     assert private.columns == now.columns or private.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r["doc_id"] for r in packed.collect()} == set(by_id)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def test_stages_take_empty_tables_repeats_and_other_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_removed string, score int, `__node` string"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None, None, None, None, "a", 1, "n"), (None, "", "en", "s", 0, "b", 2, "n"), (2, "one two", "en", "s", 7, "c", 3, "n"), (2, "one two", "en", "s", 7, "c", 3, "n"), (None, long, "en", "s", len(long), "d", 4, "n")]
+    for data in ([], rows):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            n = len(out.collect())
+            assert (n > 0) == (len(data) > 0)
+            if name != "packing":
+                assert out.columns == docs.columns
+            if name in ("toxicity", "repeats", "pii"):
+                assert n == len(data)
+                assert sorted(r["n_removed"] for r in out.collect()) == sorted(r[5] for r in data)
+            if name == "near_duplicates" and data:
+                assert n == 3
