@@ -51,8 +51,8 @@ def joined(rows: DataFrame, marks: DataFrame, on: list[str], size: str = "size")
     return rows.join(heavy, on).unionByName(rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on))
 
 
-#: Most bits of a ``sieve``, which the driver gathers and sends to every task.
-SIEVE_BITS = 1 << 26
+#: Most bits of a ``sieve``, which the driver gathers and every plan and task holds.
+SIEVE_BITS = 1 << 21
 
 
 def sieve(keys: DataFrame, on: list[str]) -> Column:

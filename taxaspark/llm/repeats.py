@@ -20,7 +20,7 @@ with one another. Texts are known by a 128-bit hash, so rows that share a doc_id
 from __future__ import annotations
 
 import hashlib
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -180,20 +180,20 @@ def refine(state: DataFrame) -> list[DataFrame]:
     found = []
     for block in BLOCKS:
         parts = stored(state.mapInArrow(partial(_part, block=block), f"r1 long, r2 long, span long, {SEGMENT}"), "parts")
+        discard(state)
         sets = parts.groupBy("r1", "r2", "span").agg(F.count(F.lit(1)).alias("size"), F.max("fixed").alias("fixed"), F.min(F.struct(*KEY, "lo")).alias("one"))
         sets = stored(sets.withColumn("fixed", F.col("fixed") | (F.col("size") > 1)), "sets")
         ranks = stored(sets.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("sets"), F.count_if(~F.col("fixed")).alias("open")), "ranks")
         going = ranks.select("r1", "r2", F.col("sets").alias("weight"), ((F.col("sets") > 1) & (F.col("open") > 0)).alias("going"))
         marks = joined(sets, going, ["r1", "r2"], "weight").filter("fixed OR going")
         marks = stored(marks.withColumnRenamed("fixed", "settled"), "marks")
-        met = joined(parts.filter(sieve(marks, ["r1", "r2", "span"])), marks, ["r1", "r2", "span"])
-        goes = F.col("going") & (F.struct(*KEY, "lo") == F.col("one"))
-        ended = F.col("settled") & ~F.col("fixed")
-        met = stored(met.filter(goes | ended).select(*KEY, "lo", "o", "n", F.col("settled").alias("fixed"), F.when(goes, F.col("bytes")).alias("bytes"), goes.alias("goes"), ended.alias("ended")), "round")
-        found.append(met.filter("ended").select(*KEY, _range(F.col("lo"), F.col("n"))))
+        ended = joined(parts.filter("NOT fixed").drop("bytes"), marks.filter("settled"), ["r1", "r2", "span"])
+        found.append(stored(ended.select(*KEY, _range(F.col("lo"), F.col("n"))), "found"))
+        on = joined(parts.drop("fixed"), marks.filter("going"), ["r1", "r2", "span"]).filter(F.struct(*KEY, "lo") == F.col("one"))
+        state = stored(on.select(*KEY, "lo", "o", "n", F.col("settled").alias("fixed"), "bytes"), "open")
         discard(parts, sets, ranks, marks)
-        state = met.filter("goes").drop("goes", "ended")
         if state.isEmpty():
+            discard(state)
             break
     return found
 
@@ -207,7 +207,8 @@ def repeats(rows: DataFrame, heavy: DataFrame) -> DataFrame:
     near = joined(spans, mixed, ["core"], "spans").withColumn("near", F.lit(True))
     both = near.unionByName(spans.filter("size > 1").withColumn("near", F.lit(False)))
     marks = stored(both.groupBy("core", "span").agg(F.max("size").alias("size"), F.max("near").alias("near")), "marks")
-    alive = stored(joined(found.filter(sieve(marks, ["core", "span"])), marks.withColumn("repeated", F.col("size") > 1), ["core", "span"]), "alive")
+    alive = stored(joined(found, marks.withColumn("repeated", F.col("size") > 1), ["core", "span"]), "alive")
+    discard(found, spans, mixed, marks)
     whole = alive.filter("repeated").select(*KEY, _range(F.shiftright("at", 16), F.col("at").bitwiseAND(F.lit(255)) + 1))
     witness = alive.filter("near").groupBy("core", "span").agg(F.min(F.struct(*KEY, "at")).alias("w"), F.first("repeated").alias("fixed"))
     want = witness.groupBy("w.k1", "w.k2").agg(F.collect_list(F.struct("w.at", "fixed")).alias("want"))  # anchors of one text
@@ -215,12 +216,12 @@ def repeats(rows: DataFrame, heavy: DataFrame) -> DataFrame:
     one = rows.join(F.broadcast(heavy), KEY, "left_anti").select(*KEY, "text").unionByName(few.select(*KEY, "text"))
     want = stored(want, "wanted")
     state = stored(one.filter(sieve(want, KEY)).join(want, KEY).mapInArrow(_pass_contexts, SEGMENT), "open")
-    every = whole
-    for x in refine(state):
-        every = every.unionByName(x)
+    discard(want)
+    parts = refine(state)
+    every = reduce(DataFrame.unionByName, parts, whole)
     light = every.join(F.broadcast(heavy), KEY, "left_anti")  # a frequent text repeats as a whole
     out = stored(light.groupBy(*KEY).agg(F.collect_set("range").alias("ranges")), "ranges")
-    discard(found, spans, mixed, marks, alive, want, state)
+    discard(alive, *parts)
     return out
 
 
