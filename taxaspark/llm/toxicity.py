@@ -3,7 +3,8 @@
 A text's features are which hashed n-grams of its lower-cased characters it has. From labelled rows each n-gram gets
 the logarithm of the ratio of its shares in both classes; a logistic regression learns on presence times that ratio.
 Training takes at most ``MAX_TRAIN`` labelled rows, the first by a hash of doc_id, up to half of them toxic, weighted
-back to the labels' own shares; this is the operator's only bound, and every text is scored whole.
+back to the labels' own shares; this is the operator's only bound, and every text is scored whole. The other settings
+(``SETTINGS``) were chosen by ``search`` on an inner split of the rows that aren't held out.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from taxaspark.llm.common import stored, text_or_empty
 
 ORDERS = (3, 4, 5, 6)
 DIMENSIONS = 1 << 20
-FEATURES = 1024
 MAX_TRAIN = 12_000
 THRESHOLD = 0.7
-LEAST_DOCS = 5
-#: Least difference of an n-gram's shares in both classes, in its standard errors, for a feature.
-LEAST_Z = 4.0
+#: ``features``: n-grams that become features, at most, by the difference of their shares in both classes;
+#: ``least_docs``: training rows that such an n-gram must occur in; ``least_z``: its least difference, in standard errors;
+#: ``penalty`` on squared weights.
+SETTINGS = {"features": 1024, "least_docs": 10, "least_z": 4.0, "penalty": 1e-4}
 
 
 def held_out() -> Column:
@@ -108,14 +109,39 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarr
     return w * scale, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, penalty: float = 1e-4) -> Model:
+def _known(labels: DataFrame) -> DataFrame:
+    """doc_id, y, key of the labelled rows that may be learned from."""
+    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    return known.filter(~held_out()).withColumn("key", F.xxhash64("doc_id"))
+
+
+def search(docs: DataFrame, labels: DataFrame, grid: list[dict], parts: int = 4) -> list[dict]:
+    """Each setting of ``grid`` with its ``loss`` (mean logarithmic loss) and ``wrong`` (at ``THRESHOLD``) on an inner split.
+
+    One in ``parts`` of the rows that aren't held out, by a hash of their ids, is judged by a model of the others; held-out
+    rows are neither learned from nor looked at.
+    """
+    known = stored(_known(labels), "inner")
+    inner = F.pmod("key", F.lit(parts)) == 0
+    rest = known.filter(~inner).select("doc_id", F.col("y").alias("toxic"))
+    judged = stored(docs.join(known.filter(inner).select("doc_id", "y"), "doc_id").select("doc_id", "text", "y"), "judged")
+    out = []
+    for setting in grid:
+        rows = score(judged, train(docs, rest, **setting)).join(judged.select("doc_id", "y"), "doc_id")
+        p = F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6))
+        loss = F.avg(F.when(F.col("y") == 1, -F.ln(p)).otherwise(-F.ln(1 - p)))
+        out.append(setting | rows.agg(loss.alias("loss"), F.count_if(F.col("predicted") != F.col("y")).alias("wrong")).first().asDict())
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, features: int = SETTINGS["features"], least_docs: int = SETTINGS["least_docs"], least_z: float = SETTINGS["least_z"], penalty: float = SETTINGS["penalty"]) -> Model:
     """A model from at most ``max_train`` rows of ``labels`` (doc_id, toxic) that aren't held out.
 
     Rows with a null doc_id or label are left out; of several labels of a document the largest counts. Without rows of
-    both classes every text scores the share of toxic ones, or 0.5 if there are none.
+    both classes every text scores the share of toxic ones, or 0.5 if there are none. Texts may be of any length; equal
+    rows of ``docs`` with a label count one by one; other columns aren't read.
     """
-    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y")).filter(~held_out()).withColumn("key", F.xxhash64("doc_id"))
-    known = stored(known, "labels")
+    known = stored(_known(labels), "labels")
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = shares.get(0, 0), shares.get(1, 0)
     take1 = min(n1, max(max_train // 2, max_train - n0))
@@ -124,13 +150,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, penalt
     sample = stored(text.join(F.broadcast(picked), "doc_id").select("text", "y", "key"), "sample")  # at most max_train ids
     if not (n0 and n1):
         return Model(np.full(DIMENSIONS, -1), np.zeros(1), float(np.log((n1 + 0.5) / (n0 + 0.5))) if n0 + n1 else 0.0)
-    counts = sample.mapInArrow(_count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= LEAST_DOCS).toPandas().sort_values("bucket")
+    counts = sample.mapInArrow(_count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= least_docs).toPandas().sort_values("bucket")
     bucket, c0, c1 = (counts[c].to_numpy() for c in ("bucket", "n0", "n1"))
     ratio = np.log((c1 + 1) / (c1.sum() + len(c1))) - np.log((c0 + 1) / (c0.sum() + len(c0)))
     s1, s0 = max(1, min(n1, take1)), max(1, min(n0, max_train - take1))
     p1, p0, p = c1 / s1, c0 / s0, (c1 + c0 + 1) / (s1 + s0 + 2)
     z = np.abs(p1 - p0) / np.sqrt(p * (1 - p).clip(1e-9) * (1 / s1 + 1 / s0))
-    best = np.sort(np.lexsort((bucket, -z))[: min(FEATURES, int((z >= LEAST_Z).sum()))])
+    best = np.sort(np.lexsort((bucket, -z))[: min(features, int((z >= least_z).sum()))])
     bucket, ratio = bucket[best], ratio[best]
     table = sample.mapInArrow(partial(_sparse, buckets=bucket), "y int, key long, f array<int>").orderBy("key").toPandas()
     y = table["y"].to_numpy()
@@ -173,7 +199,8 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text; null counts as empty and scores the bias alone.
 
-    Repeated rows are scored one by one; an empty table gives no rows; other columns aren't read.
+    Repeated rows are scored one by one, equal texts alike; a text may be of any length. An empty table gives no rows; other
+    columns, whatever their names, aren't read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
     scored = rows.mapInArrow(partial(_score, **_parts(model)), "doc_id long, held_out boolean, score double")
