@@ -6,11 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from taxaspark.functions import choice
 from taxaspark.functions import moments as M
 from taxaspark.functions.choice import most_likely, sampled
 from taxaspark.operators import descent, fold, mapping
-from taxaspark.plans import measures, transforms, trees
+from taxaspark.plans import evaluate, measures, transforms, trees
 from taxaspark.schema import checked, inner_attr, is_hidden, long_table
+from taxaspark.sources import files
 
 
 def rows(df):
@@ -60,13 +62,17 @@ def test_utility_and_empty_concepts(spark):
     assert {r["ecg"] for r in measures.guesses(measures.counts(hidden, ["k"]), measures.sizes(hidden, ["k"]), ["k"]).collect()} == {0.0}
 
 
-def test_relative_utility_equals_the_direct_form(spark):
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_relative_utility_equals_the_direct_form(spark, most, monkeypatch):
+    monkeypatch.setattr(measures, "CONCEPT_VALUES", most)
     rnd = random.Random(3)
     data = [(i, rnd.choice("xyz"), {a: rnd.choice("123") for a in "abc" if rnd.random() < 0.8}) for i in range(60)]
     cells = [(i, k, a, v) for i, k, x in data for a, v in x.items()]
     av = spark.createDataFrame(cells, "inst long, k string, attr string, sval string")
     sizes = spark.createDataFrame([(k, sum(d[1] == k for d in data)) for k in "xyz"], "k string, size long")
-    got = {(r["inst"], r["k"]): r["rel"] for r in measures.relative_utility(av, measures.counts(av, ["k"]), sizes, "k").collect()}
+    probes = spark.createDataFrame([(i, x) for i, _, x in data if x], "inst long, nominal map<string,string>")
+    got = {(r["inst"], r["k"]): r["rel"] for r in measures.relative_utility(probes, measures.counts(av, ["k"]), sizes, "k").collect()}
+    two = measures.best_children(probes, measures.counts(av, ["k"]), sizes, "k").collect()
 
     def weighted(group):
         n, counts = len(group), {}
@@ -80,6 +86,11 @@ def test_relative_utility_equals_the_direct_form(spark):
             group = [d[2] for d in data if d[1] == k]
             if x:
                 assert got[i, k] == pytest.approx(weighted([*group, x]) - weighted(group))
+    size = {k: sum(d[1] == k for d in data) for k in "xyz"}
+    for i, _, x in data:
+        if x:
+            best = sorted("xyz", key=lambda k: (-round(got[i, k], 9), -size[k], k))[:2]
+            assert [r["k"] for r in sorted(two, key=lambda r: r["rank"]) if r["inst"] == i] == best
 
 
 def naive_counts(tree):
@@ -269,3 +280,78 @@ def test_tree_trims(spark):
     assert rows(trees.without_leaves(t, 1).select("concept")) == [("w",), ("w/r",), ("w/s",)]
     assert rows(trees.trimmed_to(t, ["w/r"]).select("concept")) == [("w",), ("w/r",), ("w/s",), ("w/s/o",)]
     assert dict(rows(trees.subtree_sizes(t)))["w"] == 6
+
+
+def test_t_quantiles_are_the_published_ones():
+    for v, t in {1: 12.7062, 2: 4.3027, 5: 2.5706, 10: 2.2281, 29: 2.0452, 60: 2.0003, 100: 1.9840}.items():
+        assert evaluate.t_quantile(0.975, v) == pytest.approx(t, abs=1e-4)
+
+
+def test_intervals_need_two_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("b", 3.0)], "k string, v double")
+    got = {r["k"]: r["half_width"] for r in evaluate.mean_interval(df, ["k"], "v").collect()}
+    assert got["a"] is None and got["b"] == pytest.approx(12.7062, abs=1e-3)
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "iris.json").write_text('[{"class": "x", "petal length": 1.5, "petal width": 0.2, "sepal length": 5, "sepal width": 3.1},\n{"class": "y", "petal length": 4, "petal width": 1, "sepal length": 6.5, "sepal width": 3}]\n')
+    rows = files.json_lines(spark, str(tmp_path / "iris.json"), files.SCHEMAS["iris"]).orderBy("class").collect()
+    assert [(r["class"], r["petal length"], r["sepal width"]) for r in rows] == [("x", 1.5, 3.1), ("y", 4.0, 3.0)]
+    assert files.json_lines(spark, str(tmp_path / "iris.json"), files.SCHEMAS["iris"], 1).count() == 1
+    names = files.variant_lines(spark, str(tmp_path / "iris.json")).select(F.try_variant_get("instance", "$.class", "string").alias("c")).collect()
+    assert sorted(r["c"] for r in names) == ["x", "y"]
+    assert files.text_lines(spark, str(tmp_path / "iris.json")).count() == 2
+    (tmp_path / "p.csv").write_text("user_id,instance_guid,time,order,prediction,correctness\n1,g,0,1,yes,true\n")
+    assert files.predictions(spark, str(tmp_path / "p.csv")).first()["prediction"] == "yes"
+
+
+def fixed_tree(spark):
+    rows = [("a", "x", "1", 2.0), ("a", "x", "1", 4.0), ("a", "y", "2", 1.0), ("b", "z", None, None)]
+    df = spark.createDataFrame(rows, "p string, q string, v string, w double")
+    return descent.from_paths(df, ["p", "q"], {"v": F.col("v")}, {"w": F.col("w")})
+
+
+def test_fixed_trees_and_their_exports(spark, tmp_path):
+    tree = fixed_tree(spark)
+    nodes = {r["label"]: r for r in tree.collect()}
+    assert {k: (r["n"], r["depth"]) for k, r in nodes.items()} == {"": (4, 0), "a": (3, 1), "b": (1, 1), "a/x": (2, 2), "a/y": (1, 2), "b/z": (1, 2)}
+    whole = json.loads(descent.nested_json(tree).first()["json"])
+    assert whole["size"] == 4 and [c["size"] for c in whole["children"]] == [3, 1] and whole["counts"]["v"] == {"1": 2, "2": 1}
+    numbers = whole["children"][0]["children"][0]["counts"]["w"]["#ContinuousValue#"]
+    assert (numbers["mean"], numbers["std"], numbers["n"]) == (3.0, 1.0, 2)
+    lines = [r["line"] for r in descent.printed(tree).orderBy("place").collect()]
+    assert len(lines) == 6 and lines[0].startswith("|-Concept1 (4)") and lines[1].startswith("  |-Concept2 (3)")
+    files.write_tree(descent.node_json(tree), str(tmp_path / "tree"))
+    assert spark.read.text(str(tmp_path / "tree")).count() == 6
+
+
+def test_drawn_values_follow_the_seed(spark):
+    tree = fixed_tree(spark)
+    size = tree.select("tree", "concept", F.col("n").alias("size"))
+    w = measures.weighted_values(descent.nominal_counts(tree), descent.numeric_moments(tree), size, ["tree", "concept"])
+    draw = lambda seed: sorted(map(str, measures.predicted_values(w, ["tree", "concept"], seed=seed).collect()))
+    assert draw(3) == draw(3) and any(draw(3) != draw(s) for s in range(4, 9))
+    never = measures.predicted_values(w, ["tree", "concept"], allow_none=False).collect()
+    assert all(r["sval"] is not None or r["nval"] is not None for r in never)
+    with pytest.raises(Exception):
+        choice.sampled(spark.createDataFrame([("k", "v", -1.0)], "k string, val string, p double"), ["k"], 1).collect()
+
+
+def test_transformations_and_their_inverses(spark):
+    df = spark.createDataFrame([(1, ([1, 2], {"b": 2, "a": 1}), [3, 1], {"z": 1, "y": 2})], "id int, part struct<l:array<int>,m:map<string,int>>, l array<int>, m map<string,int>")
+    named = transforms.variablized(df)
+    assert named.columns == ["id", "?part", "l", "m"]
+    clean = transforms.sanitized(df, keep_structs=False).first()
+    assert (clean["l"], clean["m"]) == ("[3,1]", '{"y":2,"z":1}') and isinstance(clean["part"], str)
+    add = transforms.Pipeline((lambda d: d.withColumn("id", F.col("id") + 1), lambda d: d.withColumn("id", F.col("id") - 1)), lambda d: d.withColumn("seen", F.lit(True)))
+    done = add.transform(df)
+    assert done.first()["id"] == 2 and add.undo(done).first()["id"] == 1
+
+
+def test_generated_animals(spark):
+    rows = files.animals(spark, 200, seed=3).collect()
+    assert {r["_type"] for r in rows} == set(files.BODIES)
+    for r in rows:
+        body = files.BODIES[r["_type"]]
+        assert 0.6 * body <= r["torso"]["height"] <= 1.5 * body and r["leg1"]["axisZ"] == -1 and 0 <= r["tail"]["texture"] <= 1
+    assert len(rows[0]["torso"]) == 10
