@@ -30,8 +30,8 @@ def event_instances(spark, sf_dir) -> DataFrame:
 
 
 def as_events(e: DataFrame) -> DataFrame:
-    nominal = F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), (F.col("user_id") % 8).cast("string"))
-    return e.select(F.hour("ts").cast("string").alias("tree"), F.col("event_id").alias("order"), F.col("event_id").alias("inst"), nominal.alias("nominal"), F.create_map(F.lit("value"), F.round("value", -1)).alias("numeric"))
+    nominal = F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
+    return e.select(F.hour("ts").cast("string").alias("tree"), F.col("event_id").alias("order"), F.col("event_id").alias("inst"), nominal.alias("nominal"), F.create_map(F.lit("value"), F.col("value")).alias("numeric"))
 
 
 @query()

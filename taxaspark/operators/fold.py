@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaspark.functions.moments import c4_value
@@ -44,12 +44,15 @@ def _both(a: tuple[int, float, float], b: tuple[int, float, float]) -> tuple[int
 
 
 class Concept:
-    """Counts ``nominal[attr][value]``, moments ``numeric[attr]``, and the children."""
+    """Counts ``nominal[attr][value]``, moments ``numeric[attr]``, and the children.
 
-    __slots__ = ("id", "n", "nominal", "numeric", "children", "parent")
+    ``squares`` is the sum of squared counts of visible values, ``attrs`` the number of visible attributes.
+    """
+
+    __slots__ = ("id", "n", "nominal", "numeric", "squares", "attrs", "children", "parent")
 
     def __init__(self, number: int):
-        self.id, self.n, self.nominal, self.numeric, self.children, self.parent = number, 0, {}, {}, [], None
+        self.id, self.n, self.nominal, self.numeric, self.squares, self.attrs, self.children, self.parent = number, 0, {}, {}, 0, 0, [], None
 
 
 class Tree:
@@ -74,23 +77,13 @@ class Tree:
         s = _std(m) / self.scale(attr)
         return m[0] * m[0] * ROOT_SCALE / math.sqrt(s * s + 1 / (4 * math.pi))
 
-    def squares(self, nominal: dict, numeric: dict) -> tuple[float, int]:
-        """Sum of squared counts over visible attributes, and how many there are."""
-        total, attrs = 0.0, set()
-        for a, values in nominal.items():
-            if a[:1] != "_":
-                attrs.add(a)
-                total += sum(v * v for v in values.values())
-        for a, m in numeric.items():
-            if a[:1] != "_":
-                attrs.add(a)
-                total += self._certainty(a, m)
-        return total, len(attrs)
+    def _whole(self, c: Concept) -> float:
+        """Sum of squared counts, and of numbers' certainties, over visible attributes."""
+        return c.squares + sum(self._certainty(a, m) for a, m in c.numeric.items() if a[:1] != "_")
 
     def guesses(self, c: Concept, x: dict | None = None) -> float:
         """Size times expected correct guesses of a concept, with ``x`` in it."""
-        s, a = self.squares(c.nominal, c.numeric)
-        n = c.n
+        s, a, n = self._whole(c), c.attrs, c.n
         if x is not None:
             n += 1
             for k, v in x.items():
@@ -105,21 +98,51 @@ class Tree:
                     s += 2 * c.nominal.get(k, {}).get(v, 0) + 1
         return s / (n * a) if n and a else 0.0
 
+    def fused_guesses(self, c: Concept, other: Concept, x: dict) -> float:
+        """``guesses`` of two concepts as one, with ``x`` in it; looks only at what they share."""
+        s = c.squares + other.squares
+        for k, values in other.nominal.items():
+            mine = c.nominal.get(k)
+            if mine and k[:1] != "_":
+                few, many = (values, mine) if len(values) < len(mine) else (mine, values)
+                s += 2 * sum(n * many[v] for v, n in few.items() if v in many)
+        moments = dict(c.numeric)
+        for k, m in other.numeric.items():
+            moments[k] = _both(moments[k], m) if k in moments else m
+        names = {k for t in (c.nominal, other.nominal, moments, x) for k in t if k[:1] != "_"}
+        for k, v in x.items():
+            if k[:1] == "_":
+                continue
+            if isinstance(v, float):
+                moments[k] = _with(moments.get(k, (0, 0.0, 0.0)), v)
+            else:
+                s += 2 * (c.nominal.get(k, {}).get(v, 0) + other.nominal.get(k, {}).get(v, 0)) + 1
+        s += sum(self._certainty(k, m) for k, m in moments.items() if k[:1] != "_")
+        return s / ((c.n + other.n + 1) * len(names)) if names else 0.0
+
     def add(self, c: Concept, x: dict) -> None:
         c.n += 1
         for k, v in x.items():
+            shown = k[:1] != "_"
+            if shown and k not in c.nominal and k not in c.numeric:
+                c.attrs += 1
             if isinstance(v, float):
                 c.numeric[k] = _with(c.numeric.get(k, (0, 0.0, 0.0)), v)
             else:
                 values = c.nominal.setdefault(k, {})
-                values[v] = values.get(v, 0) + 1
+                n = values.get(v, 0)
+                values[v] = n + 1
+                c.squares += 2 * n + 1 if shown else 0
 
     def absorb(self, c: Concept, other: Concept) -> None:
         c.n += other.n
+        c.attrs += sum(k[:1] != "_" and k not in c.nominal and k not in c.numeric for k in {*other.nominal, *other.numeric})
         for k, values in other.nominal.items():
-            mine = c.nominal.setdefault(k, {})
+            mine, shown = c.nominal.setdefault(k, {}), k[:1] != "_"
             for v, n in values.items():
-                mine[v] = mine.get(v, 0) + n
+                old = mine.get(v, 0)
+                mine[v] = old + n
+                c.squares += n * (2 * old + n) if shown else 0
         for k, m in other.numeric.items():
             c.numeric[k] = _both(c.numeric[k], m) if k in c.numeric else m
 
@@ -149,10 +172,7 @@ class Tree:
         single = Concept(0)
         scores["new"] = (total + self.guesses(single, x) - up) / (n * (k + 1))
         if k > 2 and len(best) > 1:
-            fused = Concept(0)
-            self.absorb(fused, best[0])
-            self.absorb(fused, best[1])
-            scores["merge"] = (total - old[best[0].id] - old[best[1].id] + self.guesses(fused, x) - up) / (n * (k - 1))
+            scores["merge"] = (total - old[best[0].id] - old[best[1].id] + self.fused_guesses(*best, x) - up) / (n * (k - 1))
         if best[0].children:
             inner_total = sum(self.guesses(g) for g in best[0].children)
             scores["split"] = (total - old[best[0].id] + inner_total - up_plain) / (c.n * (k - 1 + len(best[0].children)))
@@ -262,15 +282,23 @@ def ordered(instances: DataFrame) -> DataFrame:
     return instances.repartition(n, "tree").sortWithinPartitions("tree", "order")
 
 
-def fit(instances: DataFrame, scaling: float = 0.5, shards: int = 1, structured: bool = False) -> DataFrame:
+def fit(instances: DataFrame, scaling: float = 0.5, shards: int = 1, structured: bool = False, passes: int = 1, shuffle_first: bool = False, seed: int = 0) -> DataFrame:
     """Trees of ``instances``: tree (string), order, nominal map<string,string>, numeric map<string,double>.
 
     Returns ``TREE`` rows. With ``shards`` above one each tree is learned as that many, named tree#0, tree#1, ...
     ``structured``: each instance's variables, which no other instance may share, are first mapped to the root's.
+    Instances are learned in ``passes`` passes, all but the first (or that too, with ``shuffle_first``) in an order that
+    ``seed`` determines.
     """
     if shards > 1:
         instances = instances.withColumn("tree", F.concat("tree", F.lit("#"), F.pmod(F.xxhash64("order"), F.lit(shards)).cast("string")))
-    return ordered(instances.select("tree", "order", "nominal", "numeric")).mapInPandas(partial(_fit, scaling=scaling, structured=structured), TREE)
+    rows = instances.select("tree", "order", "nominal", "numeric")
+    if passes > 1 or shuffle_first:
+        rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+        place = F.xxhash64(F.lit(seed), "_pass", "order")
+        place = place if shuffle_first else F.when(F.col("_pass") == 0, F.lit(0).cast("long")).otherwise(place)
+        rows = rows.select("tree", F.struct("_pass", place.alias("place"), "order").alias("order"), "nominal", "numeric")
+    return ordered(rows).mapInPandas(partial(_fit, scaling=scaling, structured=structured), TREE)
 
 
 def _prequential(frames: Iterator[pd.DataFrame], scaling: float, attr: str) -> Iterator[pd.DataFrame]:
@@ -289,6 +317,19 @@ def _prequential(frames: Iterator[pd.DataFrame], scaling: float, attr: str) -> I
         yield pd.DataFrame(out, columns=["tree", "position", "score"])
 
 
-def prequential(instances: DataFrame, attr: str, scaling: float = 0.5) -> DataFrame:
-    """tree, position, score: probability of each instance's own nominal ``attr`` before it is learned."""
+def prequential(instances: DataFrame, attr: str, scaling: float = 0.5, runs: int | None = None, run_length: int | None = None, shuffle_first: bool = False, seed: int = 0) -> DataFrame:
+    """tree, position, score: probability of each instance's own nominal ``attr`` before it is learned.
+
+    With ``runs``, each tree is learned anew so many times, as tree#0, tree#1, ..., on ``run_length`` + 2 of its instances
+    (all, if None) in an order that ``seed`` and the run determine; the first run goes by ``order`` unless ``shuffle_first``.
+    """
+    if runs is not None:
+        rows = instances.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+        place = F.xxhash64(F.lit(seed), "_run", "order")
+        place = place if shuffle_first else F.when(F.col("_run") == 0, F.lit(0).cast("long")).otherwise(place)
+        rows = rows.select(F.concat("tree", F.lit("#"), F.col("_run").cast("string")).alias("tree"), F.struct(place.alias("place"), "order").alias("order"), "nominal", "numeric")
+        if run_length is not None:
+            first = Window.partitionBy("tree").orderBy("order")
+            rows = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= run_length + 2).drop("_n")
+        instances = rows
     return ordered(instances).mapInPandas(partial(_prequential, scaling=scaling, attr=attr), "tree string, position long, score double")

@@ -355,3 +355,31 @@ def test_generated_animals(spark):
         body = files.BODIES[r["_type"]]
         assert 0.6 * body <= r["torso"]["height"] <= 1.5 * body and r["leg1"]["axisZ"] == -1 and 0 <= r["tail"]["texture"] <= 1
     assert len(rows[0]["torso"]) == 10
+
+
+def test_passes_and_runs(spark):
+    rnd = random.Random(2)
+    data = [("t", i, {"a": rnd.choice("123"), "b": rnd.choice("12")}, {"w": float(rnd.randint(0, 3))}) for i in range(30)]
+    df = spark.createDataFrame(data, "tree string, order long, nominal map<string,string>, numeric map<string,double>")
+    by = lambda t: sorted((r["concept"], r["n"], r["nominal"]) for r in t.collect())
+    assert max(n for _, n, _ in by(fold.fit(df, passes=3))) == 90
+    assert by(fold.fit(df, shuffle_first=True, seed=1)) == by(fold.fit(df, shuffle_first=True, seed=1)) != by(fold.fit(df))
+    runs = fold.prequential(df, "a", runs=3, run_length=10).collect()
+    assert {r["tree"] for r in runs} == {"t#0", "t#1", "t#2"} and len(runs) == 36
+    plain = {r["position"]: r["score"] for r in fold.prequential(df, "a").collect()}
+    assert all(plain[r["position"]] == r["score"] for r in runs if r["tree"] == "t#0")
+
+
+def test_kept_sums_are_those_of_the_counts():
+    rnd, tree = random.Random(6), fold.Tree()
+    for _ in range(300):
+        x = {"a": rnd.choice("1234"), "b": rnd.choice("12"), "_h": rnd.choice("xyz"), "w": float(rnd.randint(0, 9))}
+        tree.fit({k: v for k, v in x.items() if rnd.random() < 0.8 or k == "a"})
+    for c in naive_counts(tree):
+        assert c.squares == sum(n * n for a, v in c.nominal.items() if a != "_h" for n in v.values())
+        assert c.attrs == len({a for a in [*c.nominal, *c.numeric] if a != "_h"})
+        for d in c.children[1:]:
+            fused, x = fold.Concept(0), {"a": "1", "w": 4.0}
+            tree.absorb(fused, c.children[0])
+            tree.absorb(fused, d)
+            assert tree.fused_guesses(c.children[0], d, x) == pytest.approx(tree.guesses(fused, x))
