@@ -36,9 +36,10 @@ def perspectives(conversations: DataFrame) -> DataFrame:
     conv_id, perspective, turn, place (from 0, among turns of the same number), speaker, role (assistant, user or
     system), segment, start, stop (character offsets of the segment in the rendering), learn_start, learn_stop (of the
     part to learn from; equal where there is none). The system is no participant and stays the system for everyone. A
-    null conv_id is a conversation of its own, null turns come first, turns of one number are ordered by speaker and
+    null conv_id is a conversation of its own, control marks within texts and names are parted (``<|`` to ``< |``, with no
+    way back, so that none can be taken for the format's), a text may be empty or of any length, null turns come first, turns of one number are ordered by speaker and
     text, and repeated rows are repeated turns. A conversation of the system alone has no perspective. Extra columns
-    aren't read; an empty table gives no rows.
+    aren't read, whatever their names; an empty table gives no rows.
     """
     turns = stored(_turns(conversations), "turns")
     people = turns.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()

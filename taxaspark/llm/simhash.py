@@ -160,8 +160,7 @@ def links(classes: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable), n_class (rows with the
-    same fingerprint's smallest id).
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable).
 
     Null and empty texts share fingerprint 0 and are linked like any others. Repeated rows get the same component. Rows
     with a null doc_id are linked too; a component of only such rows has a null id. An empty table gives no rows.
