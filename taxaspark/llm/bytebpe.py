@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaspark.llm.common import release_memory, stored, text_or_empty
-from taxaspark.llm.encoding import batches_of
+from taxaspark.llm.encoding import ODD_SPACE, batches_of
 
-#: Most words in the dictionary, and the most characters of one: some 50 MB in a worker at most.
-DICTIONARY, SHORT = 1_000_000, 24
+#: Most words in the dictionary, and the most characters of one: some 25 MB in a worker at most.
+DICTIONARY, SHORT = 400_000, 24
 #: Bytes up to which a word is folded by Spark.
 LONG = 256
 #: Characters of texts whose words are folded together, and pieces of texts that are counted before they are split into words.
-BLOCK, COUNTED = 1 << 22, 300_000
+BLOCK, COUNTED = 1 << 21, 150_000
 #: Bits of a token id, the id that stands for no token, and bits of a place in a word that Spark folds.
 WIDTH = 20
 NO_RANK, PLACE = (1 << WIDTH) - 1, 8
@@ -190,21 +190,29 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-ODD = regex.compile(r"[^\S \n]|  | \n|\n |\n\n")
-
-
 class Splitter:
     """Splits texts by a pattern: first at single spaces and line breaks, which no match reaches across, then each distinct piece."""
 
     def __init__(self, pattern: str):
-        self.words = regex.compile(pattern).findall
+        self.match = regex.compile(pattern).findall
 
     def pieces(self, text: str) -> list[str]:
-        """Pieces that make up the text; a text with any other run of white space comes as its words."""
-        if ODD.search(text):
-            return self.words(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return ([first] if first else []) + [x if x[:1] == "\n" else f" {x}" for x in rest]
+        """Pieces that make up the text. The space before a piece is left out; one without is marked by a NUL before it.
+
+        A text with any other run of white space, or a NUL, comes as its words.
+        """
+        if ODD_SPACE.search(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text:
+            return [f"\0{w}" for w in self.match(text)]
+        out = text.replace("\n", " \n").split(" ")
+        if out[0]:
+            out[0] = f"\0{out[0]}"
+            return out
+        return out[1:]
+
+    def words(self, piece: str) -> list[str]:
+        """The words of a piece."""
+        first = piece[:1]
+        return self.match(piece[1:] if first == "\0" else piece if first == "\n" else f" {piece}")
 
 
 def _count(batches, pattern: str):
