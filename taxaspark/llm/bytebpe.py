@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaspark.llm.common import release_memory, stored, text_or_empty
+from taxaspark.llm.common import let, release_memory, stored, text_or_empty
 from taxaspark.llm.encoding import ODD_SPACE, batches_of
 
 #: Most words in the dictionary, and the most characters of one: some 25 MB in a worker at most.
@@ -87,11 +87,6 @@ def _literal(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of ``value`` as a lambda's variable, so that it is held and computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 class Ranks:
     """Column expressions over a rank file."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import sys
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from taxaspark.storage import discard, shared_path as new_path, stored
 
-__all__ = ["by_weight", "discard", "joined", "new_path", "read", "release_memory", "sieve", "stored", "text_or_empty"]
+__all__ = ["by_weight", "discard", "joined", "let", "new_path", "read", "release_memory", "sieve", "stored", "text_or_empty"]
 
 #: ASCII white space that separates words, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -27,6 +28,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value`` as a lambda's variable, so that it is held and computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 #: Keys that count as heavy, at most: those with over 1 / HEAVY of all rows.
 HEAVY = 1000
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaspark.llm import bytebpe, chat, neighbours, oracle, packing, pii, quality, repeats, simhash, tokenfile, toxicity
+from taxaspark.llm import bytebpe, chat, neighbours, oracle, packing, pii, quality, repeats, simhash, tokenfile, toxicity, winnowing
 from taxaspark.llm.common import read
 
 #: Setting of the session that holds the secret key of pseudonyms, and a key for trials, which is no secret.
@@ -85,6 +85,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(read(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_packing, op3_simhash, op4_toxicity, op5_neighbours, op6_bytebpe, op7_pii, op8_repeats, op9_quality, op10_chat)}
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of each document and of its edited text, and how alike they are."""
+    return winnowing.edited_likeness(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_packing, op3_simhash, op4_toxicity, op5_neighbours, op6_bytebpe, op7_pii, op8_repeats, op9_quality, op10_chat, op11_winnowing)}
 
 ORACLE: dict[str, str] = oracle.ORACLE
