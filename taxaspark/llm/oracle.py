@@ -71,4 +71,16 @@ o AS (SELECT *, CAST(length(segment) AS BIGINT) AS size, CAST(row_number() OVER
 CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s)
 SELECT conv_id, perspective, turn, place, speaker, role, segment, start, start + size AS stop, CAST(CASE WHEN role = 'assistant' THEN start + length(head) ELSE start END AS BIGINT) AS learn_start, CAST(CASE WHEN role = 'assistant' THEN start + size ELSE start END AS BIGINT) AS learn_stop FROM o"""
 
-ORACLE = {"op8_repeats": OP8_REPEATS, "op9_quality": OP9_QUALITY, "op10_chat": OP10_CHAT}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12_SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS t FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS t FROM benchmark),
+total AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS words FROM d WHERE len(t) > 0),
+asked AS (SELECT iid, term, count(*) AS q FROM (SELECT iid, unnest(t) AS term FROM i) GROUP BY ALL),
+tf AS (SELECT rid, n, term, count(*) AS tf FROM (SELECT rid, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * max(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+scored AS (SELECT iid, rid, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score FROM asked JOIN tf USING (term) JOIN weight USING (term), total GROUP BY ALL),
+ranked AS (SELECT iid, doc_id, score, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank FROM scored JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN i USING (iid) WHERE rank <= 10"""
+
+ORACLE = {"op8_repeats": OP8_REPEATS, "op9_quality": OP9_QUALITY, "op10_chat": OP10_CHAT, "op12_search": OP12_SEARCH}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaspark.llm import bytebpe, chat, neighbours, oracle, packing, periods, pii, quality, repeats, simhash, tokenfile, toxicity, winnowing
+from taxaspark.llm import bytebpe, chat, neighbours, oracle, packing, periods, pii, quality, repeats, search, simhash, tokenfile, toxicity, winnowing
 from taxaspark.llm.common import read
 
 #: Setting of the session that holds the secret key of pseudonyms, and a key for trials, which is no secret.
@@ -90,11 +90,16 @@ def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_likeness(read(spark, sf_dir, "documents"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in each document, every tenth of which is made to repeat."""
     return periods.run_digests(periods.find_runs(periods.with_planted(read(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_packing, op3_simhash, op4_toxicity, op5_neighbours, op6_bytebpe, op7_pii, op8_repeats, op9_quality, op10_chat, op11_winnowing, op13_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_packing, op3_simhash, op4_toxicity, op5_neighbours, op6_bytebpe, op7_pii, op8_repeats, op9_quality, op10_chat, op11_winnowing, op12_search, op13_runs)}
 
 ORACLE: dict[str, str] = oracle.ORACLE
