@@ -69,81 +69,50 @@ def utility(count: DataFrame, size: DataFrame, by: list[str], child: str, number
     return joined.groupBy(*by).agg(F.count(F.lit(1)).alias("children"), F.first("parent_ecg").alias("parent_ecg"), cu.alias("cu"))
 
 
-#: Values of all concepts together up to which their tables go to every task as one row.
-CONCEPT_VALUES = 50_000
-SEP = "\u0001"
+def _patterns(probes: DataFrame) -> DataFrame:
+    """``probes`` (inst, nominal: map attribute -> value) as inst, pattern: their visible values, in order.
 
-
-def _concept_row(count: DataFrame, size: DataFrame, key: str) -> DataFrame:
-    """One row, ``concepts``: array of struct(key, size, s, attrs, counts by attribute and value), ordered by key."""
-    seen = count.filter(~is_hidden(F.col("attr")))
-    entry = F.struct(F.concat_ws(SEP, "attr", "val"), "n")
-    held = seen.groupBy(key).agg(F.sum(F.col("n").cast("double") ** 2).alias("s"), F.collect_set("attr").alias("attrs"), F.map_from_entries(F.collect_list(entry)).alias("counts"))
-    rows = size.join(held, key, "left").select(F.struct(F.col(key).alias("key"), F.col("size"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("attrs", F.array().cast("array<string>")).alias("attrs"), F.coalesce("counts", F.create_map().cast("map<string,bigint>")).alias("counts")).alias("c"))
-    return rows.agg(F.array_sort(F.collect_list("c"), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)).alias("concepts"))
-
-
-def scored_concepts(probes: DataFrame, count: DataFrame, size: DataFrame, key: str) -> DataFrame:
-    """``probes`` (inst, nominal: map attribute -> value) with ``scores``: array of struct(rel, size, key) of every concept.
-
-    Nothing is shuffled: the concepts' tables are one row that every task holds, so they must be few (``CONCEPT_VALUES``).
+    Instances of equal values have equal patterns, so what depends on values alone is found once for each pattern.
     """
-    x = probes.select("*", F.map_entries(F.map_filter("nominal", lambda a, v: v.isNotNull() & ~is_hidden(a))).alias("_x"))
+    visible = F.map_filter(F.coalesce("nominal", F.create_map().cast("map<string,string>")), lambda a, v: v.isNotNull() & ~is_hidden(a))
+    return probes.select("inst", F.array_sort(F.map_entries(visible)).alias("pattern"))
 
-    def score(c: Column) -> Column:
-        gain = F.aggregate("_x", F.lit(0).cast("long"), lambda acc, e: acc + 2 * F.coalesce(F.element_at(c["counts"], F.concat_ws(SEP, e["key"], e["value"])), F.lit(0)) + 1)
-        a = F.size(c["attrs"])
-        new = F.size(F.array_except(F.transform("_x", lambda e: e["key"]), c["attrs"]))
-        before = F.coalesce(c["s"] / F.nullif(c["size"] * a, F.lit(0)), F.lit(0.0))
-        rel = (c["s"] + gain) / F.nullif((c["size"] + 1) * (a + new), F.lit(0)) - before
-        return F.struct(rel.alias("rel"), c["size"].alias("size"), c["key"].alias(key))
 
-    return x.join(F.broadcast(_concept_row(count, size, key)), F.lit(True)).withColumn("scores", F.transform("concepts", score)).drop("_x", "concepts")
+def _pattern_utility(patterns: DataFrame, count: DataFrame, size: DataFrame, key: str) -> DataFrame:
+    """pattern, key, size, rel for every distinct pattern and every concept, also where they share nothing."""
+    seen = count.filter(~is_hidden(F.col("attr")))
+    total = seen.groupBy(key).agg(F.sum(F.col("n").cast("double") ** 2).alias("s"), F.count_distinct("attr").alias("a"))
+    base = size.join(total, key, "left").select(key, "size", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("a", F.lit(0)).alias("a"))
+    distinct = patterns.select("pattern").distinct()
+    values = distinct.select("pattern", F.explode("pattern").alias("e")).select("pattern", F.col("e.key").alias("attr"), F.col("e.value").alias("val"))
+    known = values.join(seen.select(key, "attr").distinct(), "attr").select("pattern", key, F.lit(1).alias("known"), F.lit(0).cast("long").alias("n"))
+    counted = values.join(seen.select(key, "attr", "val", "n"), ["attr", "val"]).select("pattern", key, F.lit(0).alias("known"), "n")
+    shared = known.unionByName(counted).groupBy("pattern", key).agg(F.sum("known").alias("known"), F.sum("n").alias("n"))
+    rows = distinct.join(base, F.lit(True)).join(shared, ["pattern", key], "left")  # every pattern with every concept is what is asked for
+    values_in = F.size("pattern")
+    new = values_in - F.coalesce("known", F.lit(0))
+    before = F.coalesce(F.col("s") / F.nullif(F.col("size") * F.col("a"), F.lit(0)), F.lit(0.0))
+    after = F.coalesce((F.col("s") + 2 * F.coalesce("n", F.lit(0)) + values_in) / F.nullif((F.col("size") + 1) * (F.col("a") + new), F.lit(0)), F.lit(0.0))
+    return rows.select("pattern", key, "size", (after - before).alias("rel"))
 
 
 def relative_utility(probes: DataFrame, count: DataFrame, size: DataFrame, key: str) -> DataFrame:
     """inst, key, size, rel: change of size * ECG of each concept if the nominal instance went there.
 
-    ``probes``: inst, nominal (map attribute -> value). With S = sum of squared counts and A attributes in a concept of N,
-    an instance adds 2n + 1 for each value with n there and its unknown attributes to A, so every pair costs one lookup
-    for each attribute. Concepts with many values in all meet the instances by joins instead.
+    ``probes``: inst, nominal (map attribute -> value); one without visible values, or null, has a row for each concept too.
+    With S = sum of squared counts and A attributes in a concept of N, an instance adds 2n + 1 for each value with n there
+    and its unknown attributes to A; so a pattern of values meets only the counts of its own values, by joins.
     """
-    if count.count() <= CONCEPT_VALUES:
-        each = scored_concepts(probes, count, size, key).select("inst", F.explode("scores").alias("c"))
-        return each.select("inst", f"c.{key}", "c.size", "c.rel").filter("rel IS NOT NULL")
-    return _relative_by_joins(probes.select("inst", F.explode("nominal").alias("attr", "sval")), count, size, key)
-
-
-def _relative_by_joins(probes: DataFrame, count: DataFrame, size: DataFrame, key: str) -> DataFrame:
-    """The same from long rows inst, attr, sval, for concepts of any number."""
-    seen = count.filter(~is_hidden(F.col("attr")))
-    total = seen.groupBy(key).agg(F.sum(F.col("n").cast("double") ** 2).alias("s"), F.count_distinct("attr").alias("a"))
-    base = size.join(total, key, "left").select(key, "size", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("a", F.lit(0)).alias("a"))
-    x = probes.filter("sval IS NOT NULL").filter(~is_hidden(F.col("attr"))).select("inst", "attr", "sval")
-    known = seen.select(key, "attr").distinct().withColumn("known", F.lit(1))
-    grid = base.select(key).join(x.select("attr").distinct(), F.lit(True)).join(known, [key, "attr"], "left")  # concepts times attribute names
-    hits = x.join(grid, "attr").join(seen.select(key, "attr", F.col("val").alias("sval"), "n"), [key, "attr", "sval"], "left")
-    per = hits.groupBy("inst", key).agg(F.sum(2 * F.coalesce("n", F.lit(0)) + 1).alias("g"), F.sum(1 - F.coalesce("known", F.lit(0))).alias("u"))
-    rows = per.join(base, key)
-    before = F.coalesce(F.col("s") / F.nullif(F.col("size") * F.col("a"), F.lit(0)), F.lit(0.0))
-    after = (F.col("s") + F.col("g")) / F.nullif((F.col("size") + 1) * (F.col("a") + F.col("u")), F.lit(0))
-    return rows.select("inst", key, "size", (after - before).alias("rel"))
+    patterns = _patterns(probes)
+    return patterns.join(_pattern_utility(patterns, count, size, key), "pattern").select("inst", key, "size", "rel")
 
 
 def best_children(probes: DataFrame, count: DataFrame, size: DataFrame, key: str, k: int = 2) -> DataFrame:
     """inst, rank, key, rel of the ``k`` best concepts: greatest utility, then size, then name."""
-    if count.count() <= CONCEPT_VALUES:
-
-        def before(x: Column, y: Column) -> Column:
-            a, b = F.round(x["rel"], 9), F.round(y["rel"], 9)
-            return F.when(a > b, -1).when(a < b, 1).when(x["size"] > y["size"], -1).when(x["size"] < y["size"], 1).when(x[key] < y[key], -1).when(x[key] > y[key], 1).otherwise(0)
-
-        scored = scored_concepts(probes, count, size, key).withColumn("_s", F.filter("scores", lambda c: c["rel"].isNotNull()))
-        rows = scored.select("inst", F.posexplode(F.slice(F.array_sort("_s", before), 1, k)).alias("rank", "c"))
-        return rows.select("inst", (F.col("rank") + 1).alias("rank"), f"c.{key}", "c.rel")
-    rel = relative_utility(probes, count, size, key)
-    order = Window.partitionBy("inst").orderBy(F.round("rel", 9).desc(), F.col("size").desc(), F.col(key))
-    return rel.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("inst", "rank", key, "rel")
+    patterns = _patterns(probes)
+    order = Window.partitionBy("pattern").orderBy(F.round("rel", 9).desc(), F.col("size").desc(), F.col(key))
+    best = _pattern_utility(patterns, count, size, key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return patterns.join(best, "pattern").select("inst", "rank", key, "rel")
 
 
 def variants(count: DataFrame, size: DataFrame, sub: DataFrame, sub_size: DataFrame, probe: dict[str, str], best: str, second: str) -> tuple[DataFrame, DataFrame]:

@@ -62,9 +62,19 @@ def test_utility_and_empty_concepts(spark):
     assert {r["ecg"] for r in measures.guesses(measures.counts(hidden, ["k"]), measures.sizes(hidden, ["k"]), ["k"]).collect()} == {0.0}
 
 
-@pytest.mark.parametrize("most", [0, 50_000])
-def test_relative_utility_equals_the_direct_form(spark, most, monkeypatch):
-    monkeypatch.setattr(measures, "CONCEPT_VALUES", most)
+def test_probes_without_visible_values_meet_every_concept(spark):
+    av = spark.createDataFrame([(1, "x", "a", "1"), (2, "x", "a", "2"), (3, "y", "a", "2"), (4, "z", "_h", "2")], "inst long, k string, attr string, sval string")
+    sizes = spark.createDataFrame([("x", 2), ("y", 1), ("z", 1)], "k string, size long")
+    probes = spark.createDataFrame([(1, {}), (2, {"_h": "1"}), (3, None), (4, {"a": None}), (5, {"b": "1"})], "inst long, nominal map<string,string>")
+    got = {(r["inst"], r["k"]): r["rel"] for r in measures.relative_utility(probes, measures.counts(av, ["k"]), sizes, "k").collect()}
+    for i in (1, 2, 3, 4):
+        assert got[i, "x"] == pytest.approx(2 / 3 - 1) and got[i, "y"] == pytest.approx(1 / 2 - 1) and got[i, "z"] == 0.0
+    assert got[5, "x"] == pytest.approx(3 / 6 - 1) and got[5, "y"] == pytest.approx(2 / 4 - 1) and got[5, "z"] == pytest.approx(1 / 2)
+    best = sorted((r["inst"], r["rank"], r["k"]) for r in measures.best_children(probes, measures.counts(av, ["k"]), sizes, "k").collect())
+    assert best == [(i, r, k) for i in (1, 2, 3, 4) for r, k in ((1, "z"), (2, "x"))] + [(5, 1, "z"), (5, 2, "x")]
+
+
+def test_relative_utility_equals_the_direct_form(spark):
     rnd = random.Random(3)
     data = [(i, rnd.choice("xyz"), {a: rnd.choice("123") for a in "abc" if rnd.random() < 0.8}) for i in range(60)]
     cells = [(i, k, a, v) for i, k, x in data for a, v in x.items()]
