@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaspark.llm.common import stored
+from taxaspark.llm.common import discard, joined, stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root for every node of ``links`` (a, b); root is the smallest node of its component.
+    """node, root for every node of ``links`` (a, b), stored; root is the smallest node of its component.
 
     Each step makes a node point to the smallest neighbour that it has seen, which halves chains; steps go on until the
-    links stop changing. Every step's links are written to the shared folder, never to the driver.
+    links stop changing. Every step's links are written to the shared folder, never to the driver, and deleted after the
+    next one. The neighbours of a node with many of them meet it where they are (``joined``).
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(small_low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "links")
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size")), "low")
+        large = stored(joined(both, low, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        small_low = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")), "low")
+        small = joined(large, small_low, ["u"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = stored(small.unionByName(small_low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "links")
+        discard(edges, low, large, small_low)
+        edges = after
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
@@ -43,11 +46,12 @@ def keep_least(marked: DataFrame, classes: DataFrame, roots: DataFrame, columns:
 
     ``classes`` are the rows' classes (see ``first_rows``), ``roots`` the node and root of those that are linked.
     """
-    rooted = classes.join(roots, classes["__node"] == roots["node"], "left").select("__node", F.coalesce("root", "__node").alias("__root"), "first")
-    same = rooted.groupBy("__root", "first.none", "first.id").agg(F.sum("first.n").alias("n"), F.collect_list("__node").alias("nodes"))
-    low = same.groupBy("__root").agg(F.min_by(F.struct("id", "n", "nodes"), F.struct("none", "id")).alias("low"))
-    kept = low.select("__root", F.col("low.id").alias("__id"), F.col("low.n").alias("__rows"), F.explode("low.nodes").alias("__at"))
-    kept = stored(kept, "kept")
+    rooted = stored(classes.join(roots, classes["__node"] == roots["node"], "left").select(F.col("__node").alias("__at"), F.coalesce("root", "__node").alias("__root"), F.struct("first.none", "first.id").alias("__first"), F.col("first.n").alias("__n")), "rooted")
+    low = rooted.groupBy("__root").agg(F.min("__first").alias("__low"), F.count(F.lit(1)).alias("size"))
+    mine = joined(rooted, low, ["__root"]).filter(F.col("__first") == F.col("__low"))  # a null id is equal within a struct
+    several = mine.groupBy("__root").agg(F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("size"))
+    mine = stored(mine.select("__root", "__at", F.col("__first.id").alias("__id")), "mine")
+    kept = stored(joined(mine, stored(several, "several"), ["__root"]), "kept")
     rows = marked.join(kept, (F.col("__node") == F.col("__at")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     once = rows.filter("__rows = 1").select(*columns)
     order = ["text", *[c for c in columns if c != "text"]]
