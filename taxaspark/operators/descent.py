@@ -199,7 +199,7 @@ def from_paths(placed: DataFrame, levels: list[str], nominal: dict[str, Column],
         part = each.filter(f"n_{i} IS NOT NULL").groupBy("_k", F.col(f"n_{i}").alias("v")).agg(F.count(F.lit(1)).alias("c")).groupBy("_k").agg(F.struct(F.lit(a).alias("a"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("v", "c")))).alias("m")).alias("e"))
         counts = part if counts is None else counts.unionByName(part)
     tables = nodes.join(counts.groupBy("_k").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("e.a"), F.to_json("e.m").alias("j"))))).alias("nominal")), "_k", "left") if counts is not None else nodes.withColumn("nominal", none)
-    text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("nominal"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("nominal"), lambda e: F.concat(F.lit('"'), F.replace(e["key"], F.lit('"'), F.lit('\\"')), F.lit('":'), e["value"])), ","), F.lit("}"))
     tables = tables.withColumn("nominal", F.coalesce(text, F.lit("{}")))
     values = [F.struct(F.lit(a).alias("a"), F.array(F.count(f"m_{i}").cast("double"), F.avg(f"m_{i}"), F.var_pop(f"m_{i}") * F.count(f"m_{i}")).alias("m")) for i, a in enumerate(numeric or {})]
     if values:

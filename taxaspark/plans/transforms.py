@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from taxaspark.storage import discard, stored
+
 
 def _nested(name: str, outer: Column | None) -> Column:
     """Name of an inner attribute: [inner, outer]; a hidden one is marked by a leading underscore part."""
@@ -59,16 +61,45 @@ def subcomponents(flat: DataFrame, inst: str) -> DataFrame:
     return flat.withColumn("attr", hoisted).unionByName(relations.withColumn("sval", F.lit("true")).withColumn("nval", F.lit(None).cast("double")))
 
 
-def embedded(rows: DataFrame, inst: str) -> DataFrame:
-    """Inverse of ``subcomponents``, one level: attributes of inner variables under their parent, relations dropped."""
-    has = F.col("attr").startswith('["has-component"')
+def component_paths(rows: DataFrame, inst: str) -> DataFrame:
+    """inst, var, path: each inner variable with all variables around it, ["?inner",["?mid","?outer"]].
+
+    Read off has-component relations, the greatest parent where there are several. Chains are followed by doubling: in
+    each round a variable takes over the chain of the one that its own chain ends in, so depth d takes log d joins. A
+    variable within itself is an error.
+    """
     parts = F.from_json("attr", "array<string>")
-    parents = rows.filter(has).select(F.col(inst).alias("_i"), parts[2].alias("_inner"), parts[1].alias("_outer")).groupBy("_i", "_inner").agg(F.max("_outer").alias("_outer"))
-    flat = rows.filter(~has).withColumn("_last", F.regexp_extract("attr", r'"(\?[^"]*)"\]+$', 1))
-    joined = flat.join(parents, (flat[inst] == F.col("_i")) & (F.col("_last") == F.col("_inner")), "left")
-    tail = F.concat(F.lit('["'), F.col("_last"), F.lit('","'), F.col("_outer"), F.lit('"]'))
-    whole = F.concat(F.substr("attr", F.lit(1), F.length("attr") - F.length("_last") - 3), tail, F.lit("]"))
-    return joined.withColumn("attr", F.when(F.col("_outer").isNull(), F.col("attr")).otherwise(whole)).drop("_last", "_i", "_inner", "_outer")
+    pairs = rows.filter(F.col("attr").startswith('["has-component"')).select(F.col(inst).alias("inst"), parts[2].alias("var"), parts[1].alias("next"))
+    chains = pairs.groupBy("inst", "var").agg(F.max("next").alias("next")).select("inst", "var", F.concat(F.lit("["), _quoted(F.col("var")), F.lit(",")).alias("head"), F.lit(1).cast("long").alias("steps"), "next")
+    chains = stored(chains.join(chains.groupBy("inst").agg(F.count(F.lit(1)).alias("most")), "inst"), "chains")
+    while True:
+        on = chains.select("inst", F.col("var").alias("next"), F.col("head").alias("_h"), F.col("steps").alias("_s"), F.col("next").alias("_n"))
+        longer = chains.join(on, ["inst", "next"], "left")
+        steps = F.col("steps") + F.coalesce("_s", F.lit(0))
+        looped = F.raise_error(F.concat(F.lit("a component lies within itself: "), F.col("var"))).cast("long")
+        after = stored(longer.select("inst", "var", F.concat("head", F.coalesce("_h", F.lit(""))).alias("head"), F.when(steps > F.col("most"), looped).otherwise(steps).alias("steps"), F.coalesce("_n", "next").alias("next"), "most", F.col("_n").isNotNull().alias("grew")), "chains")
+        grew = not after.filter("grew").isEmpty()
+        discard(chains)
+        chains = after.drop("grew")
+        if not grew:
+            return chains.select(F.col("inst").alias(inst), "var", F.concat("head", _quoted(F.col("next")), F.repeat(F.lit("]"), F.col("steps").cast("int"))).alias("path"))
+
+
+def _quoted(name: Column) -> Column:
+    return F.concat(F.lit('"'), name, F.lit('"'))
+
+
+def embedded(rows: DataFrame, inst: str) -> DataFrame:
+    """Inverse of ``subcomponents`` at any depth: inner variables with all their parents around them, relations dropped.
+
+    Variables within relations get their parents as well.
+    """
+    flat = rows.filter(~F.col("attr").startswith('["has-component"'))
+    maps = component_paths(rows, inst).groupBy(inst).agg(F.map_from_entries(F.collect_list(F.struct("var", "path"))).alias("_m"))  # an instance's own variables
+    joined = flat.join(maps, inst, "left")
+    inside = F.array_join(F.transform(F.split("attr", '"'), lambda x, i: F.when(i % 2 == 1, F.coalesce(F.element_at("_m", x), _quoted(x))).otherwise(x)), "")
+    whole = F.when(F.col("attr").startswith("["), inside).otherwise(F.coalesce(F.element_at("_m", F.col("attr")), F.col("attr")))
+    return joined.withColumn("attr", F.when(F.col("_m").isNull(), F.col("attr")).otherwise(whole)).drop("_m")
 
 
 def list_elements(df: DataFrame, inst: str, column: str) -> DataFrame:
