@@ -196,6 +196,52 @@ def split_search_fixed(spark, sf_dir):
     return best.select("split", F.round(1e6 * F.col("cu"), 3).alias("cu_millionths"))
 
 
+CRITERIA = {"aic": "2 * p - 2 * ll", "aicc": "CASE WHEN n - p <= 1 THEN CAST('inf' AS DOUBLE) ELSE 2 * p - 2 * ll + 2 * p * (p + 1) / (n - p - 1) END", "bic": "p * ln(n) - 2 * ll"}
+
+
+def _searched_sql(heuristic: str) -> str:
+    """SQL for the openings by a criterion, as ``st`` (opened, node, score)."""
+    after = CRITERIA[heuristic].replace("ll", "(t - reg.ll + cl)").replace("p ", "(k - reg.p + cp) ").replace("- p", "- (k - reg.p + cp)").replace("(p + 1)", "(k - reg.p + cp + 1)")
+    own = "-ln(sqrt(2 * pi() * (2 * s * s + 1 / (2 * pi()))))"
+    return f"""{MIXED}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM x),
+own AS (SELECT lz.r, lz.l, z * (sum(2 * ln(lp.n / z)) + any_value({own})) AS ll, CAST(count(val) + 2 AS DOUBLE) AS p FROM lz JOIN lp ON lp.l = lz.l GROUP BY lz.r, lz.l, z),
+reg AS (SELECT r, sum(ll.ll * ll.z) AS ll, (SELECT count(val) + 2 FROM rp WHERE rp.r = ll.r) AS p, (SELECT sum(ll) FROM own WHERE own.r = ll.r) AS cl, (SELECT sum(p) FROM own WHERE own.r = ll.r) AS cp FROM ll GROUP BY r),
+st AS (SELECT 1 AS opened, CAST([] AS VARCHAR[]) AS done, '' AS node, sum(ll) AS t, CAST(sum(p) AS DOUBLE) AS k FROM reg
+UNION ALL SELECT opened + 1, list_append(done, r), r, t - ll + cl, k - p + cp FROM (SELECT st.*, reg.r, reg.ll, reg.p, reg.cl, reg.cp, row_number() OVER (ORDER BY round({after}, 12), reg.r) AS rn FROM st JOIN reg ON NOT list_contains(done, reg.r) CROSS JOIN n WHERE opened < 6) WHERE rn = 1),
+found AS (SELECT opened, node, {CRITERIA[heuristic]} AS score FROM (SELECT opened, node, t AS ll, k AS p FROM st), n)"""
+
+
+def _searched(spark, sf_dir, heuristic: str) -> DataFrame:
+    tree = mixed_tree(spark, sf_dir)
+    found = descent.openings(tree, 10, heuristic=heuristic).join(tree.select("tree", F.col("concept").alias("node"), "label"), ["tree", "node"])
+    return found.select("opened", F.regexp_replace("label", "^/", "").alias("node"), F.round("score", 1).alias("score"))
+
+
+@query(f"WITH RECURSIVE {_searched_sql('aic')} SELECT CAST(opened AS INTEGER) AS opened, node, round(score, 1) AS score FROM found")
+def openings_aic(spark, sf_dir):
+    """The concepts that a search by Akaike's criterion opens, one after another, and each cut's criterion."""
+    return _searched(spark, sf_dir, "aic")
+
+
+@query(f"WITH RECURSIVE {_searched_sql('aicc')} SELECT CAST(opened AS INTEGER) AS opened, node, round(score, 1) AS score FROM found")
+def openings_aicc(spark, sf_dir):
+    """The same by the criterion corrected for size."""
+    return _searched(spark, sf_dir, "aicc")
+
+
+@query(f"WITH RECURSIVE {_searched_sql('bic')} SELECT CAST(opened AS INTEGER) AS opened, node, round(score, 1) AS score FROM found")
+def openings_bic(spark, sf_dir):
+    """The same by Bayes' criterion."""
+    return _searched(spark, sf_dir, "bic")
+
+
+@query(f"WITH RECURSIVE {_searched_sql('bic')} SELECT CAST(opened AS INTEGER) AS split, round(score, 1) AS score FROM found ORDER BY round(found.score, 12), opened LIMIT 1")
+def split_search_bic(spark, sf_dir):
+    """The cut of the least Bayes' criterion."""
+    tree = mixed_tree(spark, sf_dir)
+    return descent.split_search(descent.openings(tree, 10, heuristic="bic"), "bic").select("split", F.round("score", 1).alias("score"))
+
+
 @query(f"WITH RECURSIVE {OPENED}, last AS (SELECT done FROM st WHERE k <= 12 ORDER BY opened DESC LIMIT 1) SELECT DISTINCT l AS leaf, CASE WHEN list_contains(done, r) THEN l ELSE r END AS cluster FROM x, last")
 def k_cluster_fixed(spark, sf_dir):
     """The largest cut of at most twelve clusters: the cluster of each nation."""

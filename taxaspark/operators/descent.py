@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import itertools
 import math
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxaspark.functions.moments import c4, certainty, scale_or_one, unbiased_std
 from taxaspark.plans import measures
-from taxaspark.storage import stored
+from taxaspark.storage import discard, stored
 
 
 def nominal_counts(tree: DataFrame) -> DataFrame:
@@ -101,49 +100,86 @@ def predicted(placed: DataFrame, tree: DataFrame, attr: str) -> DataFrame:
     return placed.join(first, ["tree", "concept"], "left").select("inst", F.when(F.col("lack") <= F.col("top"), F.col("val")).alias("val"))
 
 
-def _greedy(frame: pd.DataFrame, splits: int, most: int | None = None) -> pd.DataFrame:
-    """Which clusters to open, one after another: each time the one whose opening gives the greatest utility.
+#: What a search for cuts may go by: category utility, to be great, or an information criterion, to be small.
+HEURISTICS = ("cu", "aic", "aicc", "bic")
 
-    It ends after ``splits`` openings or, if ``most`` is given instead, with the last cut of at most ``most`` clusters.
-    """
-    weight = dict(zip(frame["concept"], frame["w"]))
-    children: dict = {}
-    for c, p in zip(frame["concept"], frame["parent"]):
-        children.setdefault(None if pd.isna(p) else int(p), []).append(c)
-    root = children[None][0]
-    size = frame.loc[frame["concept"] == root, "n"].iloc[0]
-    now = list(children.get(root, [root]))
-    total, out, key = sum(weight[c] for c in now), [], frame["tree"].iloc[0]
-    utility = lambda t, k: (t - weight[root]) / (size * k)
-    if most is None or len(now) <= most:
-        out.append((key, int(root), 1, utility(total, len(now))))
-    for step in range(2, splits + 1) if most is None else itertools.count(2):
-        options = [(round(utility(total - weight[c] + sum(weight[g] for g in children[c]), len(now) - 1 + len(children[c])), 12), -c) for c in now if c in children]
-        if not options:
-            break
-        score, c = max(options)
-        c = -c
-        total += sum(weight[g] for g in children[c]) - weight[c]
-        now = [k for k in now if k != c] + children[c]
-        if most is not None and len(now) > most:
-            break
-        out.append((key, int(c), step, score))
-    return pd.DataFrame(out, columns=["tree", "node", "opened", "cu"])
 
+def cut_weights(tree: DataFrame, scaling: float = 0.5, likelihoods: bool = True) -> DataFrame:
+    """tree, concept, parent, n, w, l, p of each concept as a cluster.
 
-def openings(tree: DataFrame, splits: int, scaling: float = 0.5, most: int | None = None) -> DataFrame:
-    """tree, node, opened, cu: the first ``splits`` clusters that a greedy search opens, and each cut's utility.
-
-    The search sees one number for each concept of a tree; cut 1 opens the root. With ``most``, all openings whose cuts
-    have at most so many clusters, whatever ``splits`` is.
+    ``w``: size times expected correct guesses. ``l``: log likelihood of the instances of the leaves below it, itself
+    included, under it. ``p``: its parameters. The measures of a cut are sums of its clusters' numbers, so opening a
+    cluster changes them by its children's sum less its own. Each leaf meets each of its ancestors once.
     """
-    stats = _stats(tree, scaling).select("tree", F.col("child").alias("concept"), F.col("size").alias("n"), F.coalesce(F.col("s") / F.nullif(F.col("size") * F.size("attrs"), F.lit(0)), F.lit(0.0)).alias("w"))
-    rows = tree.select("tree", "concept", "parent").join(stats, ["tree", "concept"])
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        return _greedy(frame, splits, most)
-
-    return rows.groupBy("tree").applyInPandas(search, "tree string, node long, opened int, cu double")
+    keys = ["tree", "concept"]
+    w = _stats(tree, scaling).select("tree", F.col("child").alias("concept"), F.coalesce(F.col("s") / F.nullif(F.col("size") * F.size("attrs"), F.lit(0)), F.lit(0.0)).alias("w"))
+    nodes = tree.select("tree", "concept", "parent", "n").join(w, keys)
+    if not likelihoods:
+        return nodes.withColumns({"l": F.lit(0.0), "p": F.lit(0).cast("long")})
+    count, number = nominal_counts(tree), numeric_moments(tree)
+    name = lambda c: F.concat_ws("/", "tree", F.col(c).cast("string"))
+    weighted = stored(measures.weighted_values(count, number, tree.select(*keys, F.col("n").alias("size")), keys).select(name("concept").alias("key"), "attr", "val", "p", "mean", "std"), "weighted")
+    leaves = tree.join(tree.select("tree", F.col("parent").alias("concept")).distinct(), keys, "left_anti")
+    pairs = stored(leaves.select("tree", F.col("concept").alias("leaf"), "n", F.explode("path").alias("concept")).select(*keys, "n", name("concept").alias("parent_key"), name("leaf").alias("child_key")), "pairs")
+    ll = measures.log_likelihood_mixed(weighted, weighted, pairs.select("parent_key", "child_key"))
+    total = pairs.join(ll, ["parent_key", "child_key"], "left").groupBy(*keys).agg(F.sum(F.coalesce("ll", F.lit(0.0)) * F.col("n")).alias("l"))
+    k = measures.parameters(count, number, keys).withColumnRenamed("k", "p")
+    return nodes.join(total, keys, "left").join(k, keys, "left").select(*nodes.columns, "l", F.coalesce("p", F.lit(0)).alias("p"))
+
+
+def openings(tree: DataFrame, splits: int, scaling: float = 0.5, most: int | None = None, heuristic: str = "cu") -> DataFrame:
+    """tree, node, opened, cu, score: the first ``splits`` clusters that a greedy search opens, and each cut's measures.
+
+    Each time the cluster is opened whose opening gives the best score by ``heuristic`` (``HEURISTICS``; ties: the
+    smallest concept). Cut 1 opens the root. With ``most``, all openings whose cuts have at most so many clusters,
+    whatever ``splits`` is. A step is a join and a small aggregation over the open clusters of all trees at once.
+    """
+    if heuristic not in HEURISTICS:
+        raise ValueError(f"no such heuristic: {heuristic}")
+    weights = stored(cut_weights(tree, scaling, heuristic != "cu"), "weights")
+    parts = ["w", "l", "p"]
+    below = weights.filter("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("concept")).agg(*[F.sum(c).alias(f"k{c}") for c in parts], F.count(F.lit(1)).alias("children"))
+    change = stored(weights.join(below, ["tree", "concept"]).select("tree", "concept", "parent", *[(F.col(f"k{c}") - F.col(c)).alias(f"d{c}") for c in parts], (F.col("children") - 1).alias("dk")), "changes")
+    root = weights.filter("parent IS NULL").join(change.drop("parent"), ["tree", "concept"], "left")
+    start = [(F.col(c) + F.coalesce(f"d{c}", F.lit(0))).alias(c) for c in parts]
+    cut = root.select("tree", F.col("concept").alias("node"), F.col("w").alias("w0"), F.col("n").alias("size"), *start, (1 + F.coalesce("dk", F.lit(0))).alias("k"))
+    sign = -1.0 if heuristic == "cu" else 1.0
+
+    def measured(w: Column, ll: Column, p: Column, k: Column) -> tuple[Column, Column]:
+        """(utility, score)"""
+        cu = (w - F.col("w0")) / (F.col("size") * k)
+        return cu, cu if heuristic == "cu" else measures.criteria(ll, p, F.col("size"))[heuristic]
+
+    step = 1
+    cut = stored(cut.filter(F.lit(most is None) | (F.col("k") <= (most or 0))), "cut")
+    frontier = stored(change.join(cut.select("tree", F.col("node").alias("parent")), ["tree", "parent"]).drop("parent"), "frontier")
+    rows = []
+    while True:
+        cu, score = measured(F.col("w"), F.col("l"), F.col("p"), F.col("k"))
+        rows.append(cut.select("tree", "node", F.lit(step).alias("opened"), cu.alias("cu"), score.alias("score")))
+        step += 1
+        if most is None and step > splits:
+            break
+        options = frontier.join(cut.drop("node"), "tree")
+        _, score = measured(*[F.col(c) + F.col(f"d{c}") for c in parts], F.col("k") + F.col("dk"))
+        first = F.struct(F.round(sign * score, 12).alias("score"), "concept")
+        kept = F.struct("concept", "w0", "size", *[(F.col(c) + F.col(f"d{c}")).alias(c) for c in parts], (F.col("k") + F.col("dk")).alias("k"))
+        best = options.groupBy("tree").agg(F.min_by(kept, first).alias("b")).select("tree", F.col("b.concept").alias("node"), "b.w0", "b.size", *[f"b.{c}" for c in [*parts, "k"]])
+        cut = stored(best.filter(F.lit(most is None) | (F.col("k") <= (most or 0))), "cut")
+        if cut.isEmpty():
+            break
+        going = frontier.join(cut.select("tree", F.col("node")), "tree").filter("concept <> node").drop("node")
+        new = change.join(cut.select("tree", F.col("node").alias("parent")), ["tree", "parent"]).drop("parent")
+        frontier, spent = stored(going.unionByName(new), "frontier"), frontier
+        discard(spent)
+    return reduce(DataFrame.unionByName, rows)
+
+
+def split_search(opened: DataFrame, heuristic: str = "cu") -> DataFrame:
+    """tree, split, score: of the cuts of ``openings`` by the same ``heuristic`` the best one, the smaller among equals."""
+    sign = -1.0 if heuristic == "cu" else 1.0
+    best = F.min_by(F.struct("opened", "score"), F.struct(F.round(sign * F.col("score"), 12), "opened"))
+    return opened.groupBy("tree").agg(best.alias("b")).select("tree", F.col("b.opened").alias("split"), "b.score")
 
 
 def cuts(tree: DataFrame, opened: DataFrame) -> DataFrame:
