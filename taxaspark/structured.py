@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taxaspark.fixed import BASE, customers, debt
 from taxaspark.operators import descent, structured
-from taxaspark.plans import measures
+from taxaspark.plans import measures, records as shapes, transforms
 from taxaspark.queries import query, table
 from taxaspark.schema import long_table
 from taxaspark.storage import stored
@@ -98,3 +98,47 @@ def structure_mapped(spark, sf_dir):
     base = structured.base_table(measures.counts(part_rows(spark, sf_dir, "?c2", "?c1"), []))
     size = table(spark, sf_dir, "part").count()
     return structured.mapped(part_rows(spark, sf_dir, "?o1", "?o2"), base, size)[1]
+
+
+def conversation_records(spark, sf_dir) -> DataFrame:
+    """conv_id, record: each conversation as JSON, every turn within the one before, so depths differ."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("size")))).alias("t"))  # a conversation's own turns
+    piece = F.transform("t", lambda x: F.concat(F.lit('"?t'), x["turn"].cast("string"), F.lit('":{"role":"'), x["role"], F.lit('","size":'), x["size"].cast("string")))
+    return turns.select("conv_id", F.concat(F.lit("{"), F.array_join(piece, ","), F.repeat(F.lit("}"), F.size("t") + 1)).alias("record"))
+
+
+@query("""WITH p AS (SELECT a.conv_id, a.turn, a.role, length(a.text) AS size, string_agg(CASE WHEN b.turn = f THEN '"?t' || b.turn || '"' ELSE '["?t' || b.turn || '",' END, '' ORDER BY b.turn DESC) || repeat(']', count(*) - 1) AS path
+FROM conversations a JOIN (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS f FROM conversations) b ON b.conv_id = a.conv_id AND b.turn <= a.turn GROUP BY ALL)
+SELECT conv_id, '["' || unnest(['role', 'size']) || '",' || path || ']' AS attr, unnest([role, NULL]) AS sval, unnest([NULL, CAST(size AS DOUBLE)]) AS nval FROM p""")
+def flatten_any(spark, sf_dir):
+    """Conversations as records of differing depth, flattened."""
+    return shapes.flatten_records(conversation_records(spark, sf_dir), "conv_id", "record")
+
+
+@query("SELECT event_id, k AS attr, CAST(json_extract_string(props, '$.' || k) AS DOUBLE) AS nval FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def flatten_variant(spark, sf_dir):
+    """Properties of events, whatever they are, from VARIANT values."""
+    e = table(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("props"))
+    return shapes.flatten_records(e, "event_id", "props").select("event_id", "attr", "nval")
+
+
+@query("""WITH o AS (SELECT o_orderkey, left(o_orderpriority, 1) AS p FROM orders)
+SELECT o_orderkey, '["note","of"]' AS attr, 'none' AS fault FROM o WHERE p = '1' UNION ALL SELECT o_orderkey, '["all","of"]', 'value' FROM o WHERE p = '2' UNION ALL SELECT o_orderkey, '["on","?a",["b",3]]', 'part' FROM o WHERE p = '3'
+UNION ALL SELECT o_orderkey, NULL, 'record' FROM o WHERE p = '4'""")
+def record_faults(spark, sf_dir):
+    """Illegal fields of orders' records: a null, a list, a relation with a number, and what isn't a record."""
+    kind = F.substr("o_orderpriority", F.lit(1), F.lit(1))
+    text = F.when(kind == "1", '{"of":{"note":null,"x":1}}').when(kind == "2", '{"of":{"all":[1]}}').when(kind == "3", '{"[\\"on\\",\\"?a\\",[\\"b\\",3]]":true,"[\\"r\\",[\\"b\\",\\"?c\\"]]":true}').when(kind == "4", "[]").otherwise('{"a":{"b":{"c":"d"}}}')
+    return shapes.faults(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("record")), "o_orderkey", "record")
+
+
+@query("""SELECT c_custkey AS inst, '["segment",["?c' || c_custkey || '",["?n' || n_nationkey || '","?r' || n_regionkey || '"]]]' AS attr, c_mktsegment AS sval FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT c_custkey, '["name",["?n' || n_nationkey || '","?r' || n_regionkey || '"]]', n_name FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def embedded_levels(spark, sf_dir):
+    """Customers within nations within regions, hoisted to components of their own and embedded again."""
+    names = [F.concat(F.lit(p), F.col(c).cast("string")) for p, c in (("?c", "c_custkey"), ("?n", "n_nationkey"), ("?r", "n_regionkey"))]
+    outer = F.concat(F.lit('["'), names[1], F.lit('","'), names[2], F.lit('"]'))
+    deep = F.concat(F.lit('["segment",["'), names[0], F.lit('",'), outer, F.lit("]]"))
+    cells = F.array(F.struct(deep.alias("attr"), F.col("c_mktsegment").alias("sval")), F.struct(F.concat(F.lit('["name",'), outer, F.lit("]")).alias("attr"), F.col("n_name").alias("sval")))
+    rows = customers(spark, sf_dir).select(F.col("c_custkey").alias("inst"), F.explode(cells).alias("c")).select("inst", "c.*").withColumn("nval", F.lit(None).cast("double"))
+    return transforms.embedded(transforms.subcomponents(rows, "inst"), "inst").select("inst", "attr", "sval")
