@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaspark.fixed import BASE, customers, debt
 from taxaspark.operators import descent, structured
-from taxaspark.plans import measures, records as shapes, transforms
+from taxaspark.plans import chains, measures, records as shapes, transforms
 from taxaspark.queries import query, table
 from taxaspark.schema import long_table
 from taxaspark.storage import stored
@@ -142,3 +142,40 @@ def embedded_levels(spark, sf_dir):
     cells = F.array(F.struct(deep.alias("attr"), F.col("c_mktsegment").alias("sval")), F.struct(F.concat(F.lit('["name",'), outer, F.lit("]")).alias("attr"), F.col("n_name").alias("sval")))
     rows = customers(spark, sf_dir).select(F.col("c_custkey").alias("inst"), F.explode(cells).alias("c")).select("inst", "c.*").withColumn("nval", F.lit(None).cast("double"))
     return transforms.embedded(transforms.subcomponents(rows, "inst"), "inst").select("inst", "attr", "sval")
+
+
+def pointers(spark, sf_dir) -> DataFrame:
+    """concept, parent: customers under nations under regions, by pointers alone."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    rows = r.select(name("r", "r_regionkey").alias("concept"), F.lit("world").alias("parent"))
+    rows = rows.unionByName(n.select(name("n", "n_nationkey"), name("r", "n_regionkey")).toDF("concept", "parent")).unionByName(c.select(name("c", "c_custkey"), name("n", "c_nationkey")).toDF("concept", "parent"))
+    return rows.unionByName(spark.createDataFrame([("world", None)], "concept string, parent string"))
+
+
+POINTERS = """t AS (SELECT 'world' AS concept, CAST(NULL AS VARCHAR) AS parent UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+up AS (SELECT concept, concept AS a, parent AS p, 0 AS d FROM t UNION ALL SELECT up.concept, t.concept, t.parent, d + 1 FROM up JOIN t ON t.concept = up.p)"""
+
+
+@query(f"WITH RECURSIVE {POINTERS} SELECT a.concept, max(a.d) AS depth, any_value(s.size) AS size FROM up a JOIN (SELECT a AS concept, count(*) AS size FROM up GROUP BY 1) s ON s.concept = a.concept GROUP BY a.concept")
+def pointer_sizes(spark, sf_dir):
+    """Depth and number of concepts below, for each concept of a tree held by pointers to parents."""
+    return chains.tour(pointers(spark, sf_dir)).select("concept", "depth", "size")
+
+
+@query(f"WITH RECURSIVE {POINTERS} SELECT 'r' || r_regionkey AS \"upper\", 'c' || c_custkey AS \"lower\", EXISTS (SELECT 1 FROM up WHERE up.concept = 'c' || c_custkey AND up.a = 'r' || r_regionkey) AS below FROM customer JOIN region ON r_regionkey = c_custkey % 5")
+def pointer_ancestors(spark, sf_dir):
+    """Whether a customer lies below a region, one for each customer."""
+    c, r = table(spark, sf_dir, "customer"), table(spark, sf_dir, "region")
+    pairs = c.join(r, F.col("r_regionkey") == F.col("c_custkey") % 5).select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("upper"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("lower"))
+    return chains.lies_below(pairs, chains.tour(pointers(spark, sf_dir)))
+
+
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, md5(conv_id || '-' || turn) AS element FROM conversations")
+def lists_ranked(spark, sf_dir):
+    """Conversations' turns, known only by relations between two, in order again."""
+    e = table(spark, sf_dir, "conversations").withColumn("e", F.md5(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))))
+    after = F.lead("e").over(Window.partitionBy("conv_id").orderBy("turn"))
+    has, pair = (F.struct(F.lit(r).alias("relation"), F.col("e").alias("a"), b.alias("b")) for r, b in (("has-element", F.lit(None).cast("string")), ("ordered-list", F.col("n"))))
+    rows = e.withColumn("n", after).select("conv_id", F.explode(F.array(has, pair)).alias("r")).select("conv_id", "r.*").filter("relation = 'has-element' OR b IS NOT NULL")
+    return chains.list_places(rows.orderBy(F.xxhash64("a", "relation")), ["conv_id"])
