@@ -18,29 +18,31 @@ from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import regex
-import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaspark.llm.common import let, release_memory, stored, text_or_empty
-from taxaspark.llm.encoding import ODD_SPACE, batches_of
+from taxaspark.llm.encoding import batches_of
 
-#: Most words in the dictionary, and the most characters of one: some 25 MB in a worker at most.
+#: Most words in the dictionary, and the most characters of one: some 80 MB in a worker at most.
 DICTIONARY, SHORT = 400_000, 24
 #: Bytes up to which a word is folded by Spark.
 LONG = 256
-#: Characters of texts whose words are folded together, and pieces of texts that are counted before they are split into words.
-BLOCK, COUNTED = 1 << 21, 150_000
+#: Characters of texts whose words are folded together, and distinct words that a task counts before it hands them on.
+BLOCK, COUNTED = 1 << 21, 300_000
 #: Bits of a token id, the id that stands for no token, and bits of a place in a word that Spark folds.
 WIDTH = 20
 NO_RANK, PLACE = (1 << WIDTH) - 1, 8
+#: The entry of no pair: its left token is none.
+EMPTY = NO_RANK << WIDTH
 
 
 def rank_file(path: str) -> dict[bytes, int]:
@@ -55,7 +57,7 @@ def pairs_of(ranks: dict[bytes, int]) -> dict[int, int]:
 
 
 def shifted_rows(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
-    """(shift, entries): the entry (left << WIDTH | merged) of a pair is at shift[left] + right; other places hold other lefts, or -1.
+    """(shift, entries): the entry (left << WIDTH | merged) of a pair is at shift[left] + right; other places hold other lefts, or ``EMPTY``.
 
     Rows go, longest first, to the first place after the last row of like length where all their entries fit.
     """
@@ -63,7 +65,7 @@ def shifted_rows(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
     for pair, merged in pairs.items():
         rows.setdefault(pair >> WIDTH, []).append((pair & (1 << WIDTH) - 1, merged))
     most = max((p >> WIDTH for p in pairs), default=0) + 1
-    shift, table = [0] * most, np.full(4 * len(pairs) + (1 << WIDTH), -1, np.int64)
+    shift, table = [0] * most, np.full(4 * len(pairs) + (1 << WIDTH), EMPTY, np.int64)
     free, used, at, held = np.ones(len(table), bool), 0, 0, 0
     for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
         right = np.array(sorted(rows[left]), np.int64)
@@ -104,9 +106,12 @@ class Ranks:
         return let(_literal(self.shift, "int"), lambda d: let(_literal(self.table, "long"), lambda e: let(_literal(self.bytes, "int"), lambda b: use(d, e, b))))
 
     def merged(self, shift: Column, table: Column, left: Column, right: Column) -> Column:
-        """The token that a pair merges into, which is its rank too; null for a pair that doesn't merge."""
+        """The token that a pair merges into, which is its rank too; ``NO_RANK`` for a pair that doesn't merge.
+
+        An entry of another left token keeps some of its upper bits, so it is above any token.
+        """
         entry = F.get(table, F.get(shift, left) + right)
-        return F.when(F.shiftright(entry, WIDTH) == left, entry.bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int"))
+        return F.least(entry.bitwiseXOR(F.shiftleft(left.cast("long"), WIDTH)), F.lit(NO_RANK))
 
     def fold(self, shift: Column, table: Column, single: Column, word: Column) -> Column:
         """Ids of a word that isn't empty, array<int>: its tokens after all ranked merges.
@@ -118,7 +123,7 @@ class Ranks:
         rest = (1 << WIDTH + PLACE) - 1
 
         def ranked(left: Column, right: Column) -> Column:
-            return F.shiftleft(F.coalesce(self.merged(shift, table, left, right), F.lit(NO_RANK)).cast("long"), WIDTH + PLACE)
+            return F.shiftleft(self.merged(shift, table, left, right), WIDTH + PLACE)
 
         def step(acc: Column, _: Column) -> Column:
             def at(v: Column) -> Column:
@@ -185,46 +190,17 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Splitter:
-    """Splits texts by a pattern: first at single spaces and line breaks, which no match reaches across, then each distinct piece."""
-
-    def __init__(self, pattern: str):
-        self.match = regex.compile(pattern).findall
-
-    def pieces(self, text: str) -> list[str]:
-        """Pieces that make up the text. The space before a piece is left out; one without is marked by a NUL before it.
-
-        A text with any other run of white space, or a NUL, comes as its words.
-        """
-        if ODD_SPACE.search(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text:
-            return [f"\0{w}" for w in self.match(text)]
-        out = text.replace("\n", " \n").split(" ")
-        if out[0]:
-            out[0] = f"\0{out[0]}"
-            return out
-        return out[1:]
-
-    def words(self, piece: str) -> list[str]:
-        """The words of a piece."""
-        first = piece[:1]
-        return self.match(piece[1:] if first == "\0" else piece if first == "\n" else f" {piece}")
-
-
 def _count(batches, pattern: str):
     """Short words and their numbers; a word may come more than once."""
-    split, counts = Splitter(pattern), Counter()
+    words_of, counts = regex.compile(pattern).findall, Counter()
 
     def rows() -> pa.RecordBatch:
-        words: dict[str, int] = {}
-        for piece, n in counts.items():
-            for w in split.words(piece):
-                if len(w) <= SHORT:
-                    words[w] = words.get(w, 0) + n
-        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["w", "n"])
+        words = [w for w in counts if len(w) <= SHORT]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["w", "n"])
 
     for batch in batches:
         for t in batch["text"].to_pylist():
-            counts.update(split.pieces(t))
+            counts.update(words_of(t))
             if len(counts) > COUNTED:
                 yield rows()
                 counts.clear()
@@ -233,7 +209,7 @@ def _count(batches, pattern: str):
 
 
 def dictionary(texts: DataFrame, pattern: str, ranks: Ranks, limit: int = DICTIONARY) -> DataFrame:
-    """w, h (its hash), ids of the most frequent short words of ``texts`` (text), stored.
+    """w, ids of the most frequent short words of ``texts`` (text), stored.
 
     All short words are counted; those at least as frequent as a cutoff that at most ``limit`` words reach come in.
     """
@@ -247,75 +223,66 @@ def dictionary(texts: DataFrame, pattern: str, ranks: Ranks, limit: int = DICTIO
         total, cut = total + k, s
     frequent = counts.filter(steps >= F.lit(cut))
     n = 4 * frequent.sparkSession.sparkContext.defaultParallelism
-    return stored(frequent.repartition(n, "w").select("w", F.xxhash64("w").alias("h"), ranks.bound(lambda d, e, b: ranks.fold(d, e, b, F.col("w"))).alias("ids")), "dictionary")
+    return stored(frequent.repartition(n, "w").select("w", ranks.bound(lambda d, e, b: ranks.fold(d, e, b, F.col("w"))).alias("ids")), "dictionary")
 
 
-@lru_cache(maxsize=1)
-def _dictionary(files: tuple[str, ...]) -> tuple[np.ndarray, pa.Table]:
-    """(hashes in order, words and ids in that order) of a stored dictionary."""
+def _stored(files: tuple[str, ...], column: str) -> pa.ChunkedArray:
+    """A column of the stored dictionary, in the order of its files."""
     parts = []
     for f in files:
         system, path = fs.FileSystem.from_uri(f)
-        parts.append(pq.read_table(path, filesystem=system))
-    table = pa.concat_tables(parts)
-    order = np.argsort(table["h"].to_numpy(), kind="stable")
-    return table["h"].to_numpy()[order], table.select(["w", "ids"]).take(pa.array(order)).combine_chunks()
+        parts += pq.read_table(path, filesystem=system, columns=[column])[column].chunks
+    return pa.chunked_array(parts, pa.string() if column == "w" else pa.list_(pa.int32()))
 
 
-def _looked_up(words: list[str], files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(whether each word is in the dictionary, their numbers of ids, those ids one after the other)."""
-    none = np.zeros(len(words), bool), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    if not files or not words:
-        return none
-    hashes, table = _dictionary(files)
-    if not len(hashes):
-        return none
-    h = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in words), np.uint64, len(words)).view(np.int64)
-    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-    hit = (hashes[at] == h) & pc.equal(table["w"].take(pa.array(at)), pa.array(words, pa.string())).to_numpy(zero_copy_only=False).astype(bool)
-    ids = table["ids"].take(pa.array(at[hit])).combine_chunks()
-    return hit, pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+@lru_cache(maxsize=1)
+def _numbers(files: tuple[str, ...]) -> dict[str, int]:
+    """Number of each of the dictionary's words."""
+    return {w: i for i, w in enumerate(_stored(files, "w").to_pylist())} if files else {}
+
+
+@lru_cache(maxsize=1)
+def _known_ids(files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of ids, ids one after the other) of the dictionary's words."""
+    if not files:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    ids = _stored(files, "ids").combine_chunks()
+    return pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
-BLOCKS = "docs array<long>, counts array<int>, refs binary, ends binary, parts binary, place binary, sizes binary, flat binary, words array<string>, long array<array<int>>"
+BLOCKS = "docs array<long>, counts array<int>, refs binary, words array<string>, long array<array<int>>"
 
 
 def _split(batches, pattern: str, files: tuple[str, ...], path: str):
     """A row for each block of documents.
 
-    ``refs``: the pieces of its texts, ``counts`` of them for each of ``docs``; ``parts``: the words of each piece, up to
-    ``ends``; ``place``: where each word's ids are: first those in the dictionary (``sizes``, ``flat``), then ``words``,
-    then the ``long`` ones.
+    ``refs``: the words of its texts, ``counts`` of them for each of ``docs``: numbers in the dictionary, and beyond them
+    in ``words``, the block's other distinct words, and in ``long``, the ids of those that Spark doesn't fold.
     """
-    split = Splitter(pattern)
+    words_of, known = regex.compile(pattern).findall, _numbers(files)
     for batch in batches:
         texts, docs = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
         for a, b in batches_of(texts, 100_000, BLOCK):
-            pieces: dict[str, int] = {}
-            counts, refs = [], []
+            counts, refs, others = [], [], {}
             for t in texts[a:b]:
-                own = split.pieces(t)
+                own = words_of(t)
+                found = np.fromiter(map(known.get, own, repeat(-1)), np.int32, len(own))
+                for i in np.flatnonzero(found < 0).tolist():
+                    found[i] = len(known) + others.setdefault(own[i], len(others))
                 counts.append(len(own))
-                for x in set(own).difference(pieces):
-                    pieces[x] = len(pieces)
-                refs.append(np.fromiter(map(pieces.__getitem__, own), np.int32, len(own)))
-            seen: dict[str, int] = {}
-            parts, ends = [], []
-            for x in pieces:
-                for w in split.words(x):
-                    parts.append(seen.setdefault(w, len(seen)))
-                ends.append(len(parts))
-            words = list(seen)
-            known, sizes, flat = _looked_up(words, files)
-            long = np.fromiter((len(w) * 4 > LONG and len(w.encode()) > LONG for w in words), bool, len(words)) & ~known
-            kind = np.where(known, 0, np.where(long, 2, 1))
-            place = np.empty(len(words), np.int32)
-            place[np.argsort(kind, kind="stable")] = np.arange(len(words), dtype=np.int32)
+                refs.append(found)
+            words = list(others)
+            long = np.fromiter((len(w) * 4 > LONG and len(w.encode()) > LONG for w in words), bool, len(words))
+            flat = np.concatenate([np.zeros(0, np.int32), *refs])
+            if long.any():  # the long ones come last
+                place = np.empty(len(words), np.int32)
+                place[np.argsort(long, kind="stable")] = np.arange(len(words), dtype=np.int32)
+                beyond = flat >= len(known)
+                flat[beyond] = len(known) + place[flat[beyond] - len(known)]
             merged = [merge_long(words[i].encode(), _ranks(path)) for i in np.flatnonzero(long)]
-            blob = lambda x, t: pa.array([np.asarray(x, t).tobytes()], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([docs[a:b]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), blob(np.concatenate(refs), "<i4"), blob(ends, "<i4"), blob(parts, "<i4"), blob(place, "<i4"), blob(sizes, "<i4"), blob(flat, "<i4"), pa.array([[words[i] for i in np.flatnonzero(kind == 1)]], pa.list_(pa.string())), pa.array([merged], pa.list_(pa.list_(pa.int32())))],
-                ["docs", "counts", "refs", "ends", "parts", "place", "sizes", "flat", "words", "long"],
+                [pa.array([docs[a:b]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([flat.astype("<i4").tobytes()], pa.binary()), pa.array([[w for w, x in zip(words, long.tolist()) if not x]], pa.list_(pa.string())), pa.array([merged], pa.list_(pa.list_(pa.int32())))],
+                ["docs", "counts", "refs", "words", "long"],
             )
     release_memory()
 
@@ -327,22 +294,16 @@ def _gathered(which: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[n
     return n, flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _assemble(batches) -> Iterator[pa.RecordBatch]:
-    """doc_id, ids of each document of the blocks: the ids of its pieces' words one after the other."""
+def _assemble(batches, files: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids of each document of the blocks: the ids of its words one after the other."""
+    sizes, flat = _known_ids(files)
     for batch in batches:
         for k in range(batch.num_rows):
             one = batch.slice(k, 1)
-            get = lambda c: np.frombuffer(one[c][0].as_py(), "<i4").astype(np.int64)
-            own = [(np.diff(x.offsets.to_numpy()).astype(np.int64), x.flatten().to_numpy(zero_copy_only=False)) for x in (one["ids"].flatten(), one["long"].flatten())]
-            sizes = np.concatenate([get("sizes"), *[s for s, _ in own]])
-            flat = np.concatenate([np.frombuffer(one["flat"][0].as_py(), "<i4"), *[v.astype(np.int32) for _, v in own]])
-            word_sizes, word_ids = _gathered(get("place"), sizes, flat)  # in the order of the block's words
-            n, ids = _gathered(get("parts"), word_sizes, word_ids)  # in the order of the pieces
-            upto = np.concatenate([[0], np.cumsum(n)])
-            piece_sizes = np.diff(np.concatenate([[0], upto[get("ends")]]))
-            n, ids = _gathered(get("refs"), piece_sizes, ids)  # in the order of the texts
+            own = [(np.diff(x.offsets.to_numpy()).astype(np.int64), x.flatten().to_numpy(zero_copy_only=False).astype(np.int32)) for x in (one["ids"].flatten(), one["long"].flatten())]
+            n, ids = _gathered(np.frombuffer(one["refs"][0].as_py(), "<i4").astype(np.int64), np.concatenate([sizes, *[x for x, _ in own]]), np.concatenate([flat, *[x for _, x in own]]))
             ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(one["counts"].flatten().to_numpy(), dtype=np.int64)])]
-            yield pa.RecordBatch.from_arrays([one["docs"].flatten(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([one["docs"].flatten(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
     release_memory()
 
 
@@ -355,9 +316,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, limit: int = DICTIONA
     ranks = ranks_of(ranks_path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     known = dictionary(rows.select("text"), pattern, ranks, limit)
-    blocks = rows.mapInArrow(partial(_split, pattern=pattern, files=tuple(known.inputFiles()), path=ranks_path), BLOCKS)
-    folded = blocks.withColumn("ids", ranks.folded(F.col("words")))
-    return folded.mapInArrow(_assemble, "doc_id long, ids array<int>")
+    files = tuple(sorted(known.inputFiles()))
+    blocks = rows.mapInArrow(partial(_split, pattern=pattern, files=files, path=ranks_path), BLOCKS)
+    folded = blocks.select("docs", "counts", "refs", "long", ranks.folded(F.col("words")).alias("ids"))
+    return folded.mapInArrow(partial(_assemble, files=files), "doc_id long, ids array<int>")
 
 
 def decode(ids: Column, ranks: Ranks) -> Column:
