@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 from collections.abc import Callable
 
@@ -10,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaspark.storage import discard, shared_path as new_path, stored
+from taxaspark import storage
+from taxaspark.storage import shared_path as new_path, stored
 
 __all__ = ["by_weight", "discard", "joined", "let", "new_path", "read", "release_memory", "sieve", "stored", "text_or_empty"]
 
@@ -23,6 +25,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again, and lets the driver's JVM drop the plans and code of the jobs that read them.
+
+    Rounds run some dozen jobs each, and the driver would hold on to what they left until its heap is full.
+    """
+    storage.discard(*tables)
+    gc.collect()
+    for t in tables[:1]:
+        t.sparkSession._jvm.java.lang.System.gc()
+
+
 def text_or_empty(name: str = "text") -> Column:
     """A text column, with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
