@@ -275,6 +275,46 @@ def test_recall_with_the_registered_parameters(spark, rows, dim, spread):
     assert hit >= 0.9 * 10 * len(range(0, rows, 20))
 
 
+@pytest.mark.parametrize("rows", [2000, 50_000])
+def test_candidates_are_abandoned_and_recall_holds(rows):
+    """With the registered parameters, on vectors that lie evenly on a sphere."""
+    rng = np.random.default_rng(rows)
+    x = rng.standard_normal((rows, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    turn, ids = neighbours.rotation(64), np.arange(rows)
+    turned = x @ turn
+    blocks = [turned[:, a : a + neighbours.BLOCK] for a in range(0, 64, neighbours.BLOCK)]
+    asked, picked = ids[::100][:60], rng.permutation(rows)[: min(rows, neighbours.SAMPLE)]
+    bound = neighbours._sample_bounds(x[asked], asked, x[picked], picked, 10)
+    i, j, abandoned = neighbours.survivors(blocks, turned[asked], bound)
+    assert abandoned > 0.8 * rows * len(asked)
+    hit = 0
+    for n, q in enumerate(asked):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        near = np.argsort(d)[:10]
+        assert np.sqrt(d[near[-1]]) <= bound[n] + 1e-12
+        hit += len(set(near.tolist()) & set(i[j == n].tolist()))
+    assert hit >= 0.99 * 10 * len(asked)
+
+
+def test_queries_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 20))
+    v = neighbours.valid(spark.createDataFrame([(i % 590, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")).repartition(3)
+    whole = neighbours.nearest(v, v.filter("vec_id % 20 = 1"), lists=5, probes=5).collect()
+    monkeypatch.setattr(neighbours, "QUERIES", 7)
+    monkeypatch.setattr(neighbours, "PAIRS", 50)
+    assert sorted(neighbours.nearest(v, v.filter("vec_id % 20 = 1"), lists=5, probes=5).collect()) == sorted(whole)
+    for q in sorted({r["query_id"] for r in whole}):
+        d = {}
+        for i in range(600):
+            if i % 590 != q:
+                for own in range(q, 600, 590):  # a query's rows count as one
+                    d[i % 590] = min(d.get(i % 590, np.inf), np.sqrt(((x[i] - x[own]) ** 2).sum()))
+        assert [r["vec_id"] for r in sorted(whole, key=lambda r: r["rank"]) if r["query_id"] == q] == sorted(d, key=lambda i: (d[i], i))[:10]
+
+
 def test_clustered_vectors_need_few_probes():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((100, 32))[rng.integers(0, 100, 8000)] + 0.02 * rng.standard_normal((8000, 32))
