@@ -130,12 +130,13 @@ class Ranks:
                 merged = F.shiftright(v, WIDTH + PLACE).cast("int")
 
                 def joined(i: Column) -> Column:  # elements i and i + 1 become one
-                    left = F.get(acc, i - 2)
-                    one = ranked(merged, token(F.get(acc, i + 1))).bitwiseOR(v.bitwiseAND(F.lit(rest - NO_RANK))).bitwiseOR(merged.cast("long"))
+                    left = F.get(acc, i - 1)
+                    one = ranked(merged, token(F.get(acc, i + 2))).bitwiseOR(v.bitwiseAND(F.lit(rest - NO_RANK))).bitwiseOR(merged.cast("long"))
                     before = ranked(token(left), merged).bitwiseOR(left.bitwiseAND(F.lit(rest)))
-                    return F.concat(F.slice(acc, F.lit(1), F.greatest(i - 2, F.lit(0))), F.when(i > 1, F.array(before, one)).otherwise(F.array(one)), F.slice(acc, i + 2, F.size(acc)))
+                    fresh = F.transform(acc, lambda x, k: F.when(k == i, one).when(k == i - 1, before).otherwise(x))
+                    return F.filter(fresh, lambda x, k: k != i + 1)
 
-                return F.when(merged == NO_RANK, acc).otherwise(let(F.array_position(acc, v).cast("int"), joined))
+                return F.when(merged == NO_RANK, acc).otherwise(let(F.array_position(acc, v).cast("int") - 1, joined))
 
             return let(F.array_min(acc), at)
 
