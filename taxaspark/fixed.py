@@ -272,29 +272,11 @@ def unflatten(spark, sf_dir):
     return chain.undo(chain.transform(p))
 
 
-KINDS = {0: ("p_type", "constant"), 1: ("_p_type", "hidden"), 2: ("?part", "variable"), 3: ('["made-by","x"]', "constant-relation"), 4: ('["made-by","?x","y"]', "component-relation"), 5: ('["_made","?x"]', "hidden-relation")}
-
-
-@query("SELECT p_partkey, CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v) in KINDS.items()) + " END AS kind FROM part")
-def attribute_types(spark, sf_dir):
-    """What attributes' names say about them."""
-    names = F.array(*[F.lit(a) for a, _ in KINDS.values()])
-    return table(spark, sf_dir, "part").select("p_partkey", trees.attribute_type(F.get(names, (F.col("p_partkey") % 6).cast("int"))).alias("kind"))
-
-
-@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 1 THEN 'hidden' WHEN 3 THEN 'relation' WHEN 4 THEN 'relation,component' WHEN 5 THEN 'hidden,relation' ELSE '' END AS tags FROM part")
-def attribute_filters(spark, sf_dir):
-    """The tags by which a viewer filters attributes."""
-    names = F.array(*[F.lit(a) for a, _ in KINDS.values()])
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(trees.attribute_tags(F.get(names, (F.col("p_partkey") % 6).cast("int"))), ",").alias("tags"))
-
-
 @query("SELECT unnest(['world', 'world/ASIA', 'world/ASIA/' || n_name]) AS concept FROM nation WHERE n_name = (SELECT min(n_name) FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA')")
 def find_concept(spark, sf_dir):
     """A concept by its name, with those on the way to it."""
     g = geography(spark, sf_dir)
-    name = g.filter("depth = 2 AND parent = 'world/ASIA'").agg(F.min("concept")).first()[0]
-    return trees.find(g, name).select("concept")
+    return trees.find_all(g, g.filter("depth = 2 AND parent = 'world/ASIA'").agg(F.min("concept").alias("concept"))).select("concept")
 
 
 @query()

@@ -50,10 +50,15 @@ def trimmed_to(tree: DataFrame, concepts: list[str]) -> DataFrame:
     return tree.filter(~below)
 
 
+def find_all(tree: DataFrame, names: DataFrame) -> DataFrame:
+    """The concepts of ``names`` (concept), with those on the way to them from the root, each once."""
+    steps = tree.join(names.select("concept").distinct(), "concept", "left_semi").select(F.explode("path").alias("concept")).distinct()
+    return tree.join(steps, "concept")
+
+
 def find(tree: DataFrame, name: str) -> DataFrame:
     """The concept of a name, with those on the way to it from the root."""
-    steps = tree.filter(F.col("concept") == name).select(F.explode("path").alias("concept"))
-    return tree.join(steps, "concept")
+    return find_all(tree, tree.sparkSession.createDataFrame([(name,)], "concept string"))
 
 
 def attribute_kinds(av: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taxaspark.fixed import BASE, customers, debt
 from taxaspark.operators import descent, structured
-from taxaspark.plans import chains, measures, records as shapes, transforms
+from taxaspark.plans import chains, measures, records as shapes, transforms, trees
 from taxaspark.queries import query, table
 from taxaspark.schema import long_table
 from taxaspark.storage import stored
@@ -179,3 +179,28 @@ def lists_ranked(spark, sf_dir):
     has, pair = (F.struct(F.lit(r).alias("relation"), F.col("e").alias("a"), b.alias("b")) for r, b in (("has-element", F.lit(None).cast("string")), ("ordered-list", F.col("n"))))
     rows = e.withColumn("n", after).select("conv_id", F.explode(F.array(has, pair)).alias("r")).select("conv_id", "r.*").filter("relation = 'has-element' OR b IS NOT NULL")
     return chains.list_places(rows.orderBy(F.xxhash64("a", "relation")), ["conv_id"])
+
+
+def named_attributes(spark, sf_dir) -> DataFrame:
+    """inst, attr: the names that customers' records have, flat, nested, hidden and hoisted to components of their own."""
+    flat = records(spark, sf_dir).select("inst", "attr", "sval", "nval")
+    key = F.col("c_custkey").cast("string")
+    own = F.explode(F.array(F.lit("_note"), F.lit("phone"), F.concat(F.lit("?q"), key), F.to_json(F.array(F.lit("buys-from"), F.lit("us"))), F.concat(F.lit('["_",["_tel","?p'), key, F.lit('"]]')))).alias("attr")
+    more = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("inst"), own)
+    return transforms.subcomponents(flat, "inst").select("inst", "attr").unionByName(more)
+
+
+NAMED = """n AS (SELECT c_custkey AS inst, unnest(['["segment","?p' || c_custkey || '"]', '["debt","?p' || c_custkey || '"]', '["region","?q' || c_custkey || '"]', '["has-component","?q' || c_custkey || '","?p' || c_custkey || '"]', '_note', 'phone', '?q' || c_custkey, '["buys-from","us"]', '["_",["_tel","?p' || c_custkey || '"]]']) AS attr,
+unnest(['component-relation', 'component-relation', 'component-relation', 'component-relation', 'hidden', 'constant', 'variable', 'constant-relation', 'hidden-relation']) AS kind FROM customer)"""
+
+
+@query(f"WITH {NAMED} SELECT inst, attr, kind FROM n")
+def attribute_types(spark, sf_dir):
+    """What the names of customers' attributes say about them."""
+    return named_attributes(spark, sf_dir).select("inst", "attr", trees.attribute_type(F.col("attr")).alias("kind"))
+
+
+@query(f"WITH {NAMED} SELECT inst, attr, CASE kind WHEN 'component-relation' THEN 'relation,component' WHEN 'constant-relation' THEN 'relation' WHEN 'hidden' THEN 'hidden' WHEN 'hidden-relation' THEN 'hidden,relation' ELSE '' END AS tags FROM n")
+def attribute_filters(spark, sf_dir):
+    """The tags by which a viewer filters customers' attributes."""
+    return named_attributes(spark, sf_dir).select("inst", "attr", F.array_join(trees.attribute_tags(F.col("attr")), ",").alias("tags"))
