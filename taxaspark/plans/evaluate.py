@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaspark.storage import stored
@@ -74,11 +74,15 @@ def t_quantile(p: float, v: int) -> float:
 TABLED = 100
 
 
-def mean_interval(df: DataFrame, by: list[str], value: str, confidence: float = 0.95) -> DataFrame:
-    """by, n, mean, half_width of a confidence interval by Student's quantile; no half_width for a single value."""
-    p = 0.5 + confidence / 2
-    z, v = NormalDist().inv_cdf(p), F.col("n") - 1
+def student_quantile(v: Column, p: float) -> Column:
+    """``t_quantile`` of a column of degrees of freedom."""
+    z = NormalDist().inv_cdf(p)
     tabled = F.get(F.array(*[F.lit(t_quantile(p, k)) for k in range(1, TABLED + 1)]), (v - 1).cast("int"))
     far = z + (z**3 + z) / 4 / v + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / v**2 + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / v**3
+    return F.when(v <= TABLED, tabled).otherwise(far)
+
+
+def mean_interval(df: DataFrame, by: list[str], value: str, confidence: float = 0.95) -> DataFrame:
+    """by, n, mean, half_width of a confidence interval by Student's quantile; no half_width for a single value."""
     rows = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"))
-    return rows.select(*by, "n", "mean", F.when(F.col("n") > 1, F.when(v <= TABLED, tabled).otherwise(far) * F.col("_s") / F.sqrt("n")).alias("half_width"))
+    return rows.select(*by, "n", "mean", F.when(F.col("n") > 1, student_quantile(F.col("n") - 1, 0.5 + confidence / 2) * F.col("_s") / F.sqrt("n")).alias("half_width"))
