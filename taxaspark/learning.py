@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaspark import fixed, smoothing, structured  # noqa: F401  register their queries
+from taxaspark import fixed, incremental, smoothing, structured  # noqa: F401  register their queries
 from taxaspark.functions.choice import sampled
 from taxaspark.operators import descent, fold, mapping
 from taxaspark.plans import transforms, trees
