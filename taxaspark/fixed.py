@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from taxaspark.operators import descent
 from taxaspark.plans import measures, transforms, trees
 from taxaspark.queries import geography, query, std_sql, table
-from taxaspark.storage import stored
+from taxaspark.sources import nested
+from taxaspark.storage import shared_path, stored
 
 NUMERIC = "map<string,double>"
 
@@ -291,3 +292,29 @@ def tree_printed(spark, sf_dir):
     return descent.printed(mixed_tree(spark, sf_dir))
 
 
+
+
+NESTED = f"""{BASE}, p AS (SELECT 1 AS d, '' AS k, NULL AS up, attr, val FROM av UNION ALL SELECT 2, '/' || r, '', attr, val FROM av UNION ALL SELECT 3, '/' || l, '/' || r, attr, val FROM av),
+c AS (SELECT d, k, any_value(up) AS up, attr, val, count(*) AS n FROM p GROUP BY d, k, attr, val), a AS (SELECT d, k, any_value(up) AS up, attr, '"' || attr || '":{{' || string_agg('"' || val || '":' || n, ',' ORDER BY val) || '}}' AS j, CAST(sum(n) AS BIGINT) AS size FROM c GROUP BY d, k, attr),
+t AS (SELECT *, '{{"name":"Concept' || id || '","size":' || size || ',"counts":{{' || counts || '}},"children":[' AS head FROM (SELECT d, k, any_value(up) AS up, max(size) AS size, string_agg(j, ',' ORDER BY attr) AS counts, row_number() OVER (ORDER BY d, k) AS id FROM a GROUP BY d, k)),
+b AS (SELECT up, string_agg(head || ']}}', ',' ORDER BY id) AS kids FROM t WHERE d = 3 GROUP BY up), m AS (SELECT string_agg(head || kids || ']}}', ',' ORDER BY t.id) AS kids FROM t JOIN b ON b.up = t.k WHERE d = 2)"""
+
+
+@query(f"WITH {NESTED} SELECT head || kids || ']}}' AS json FROM t, m WHERE d = 1")
+def tree_nested_nominal(spark, sf_dir):
+    """The nominal tree as one nested JSON text."""
+    return descent.nested_json(nominal_tree(spark, sf_dir)).select("json")
+
+
+@query(f"WITH {NESTED} SELECT head || kids || ']}}' AS json FROM t, m WHERE d = 1")
+def tree_sink(spark, sf_dir):
+    """The same written by many tasks through the nested sink, and read back."""
+    path = shared_path(spark, "nested")
+    nested.write_nested(descent.nested_nodes(nominal_tree(spark, sf_dir)), path)
+    return nested.read_nested(spark, path)
+
+
+@query(f"WITH {NESTED}, q AS (SELECT d, k, id, max(size) AS size, '{{' || string_agg(j, ',' ORDER BY attr) || '}}' AS j FROM (SELECT a.d, a.k, t.id, a.size, a.attr, a.j FROM a JOIN t ON t.k = a.k AND t.d = a.d) GROUP BY ALL) SELECT repeat('  ', CAST(d - 1 AS INTEGER)) || '|-Concept' || id || ' (' || size || ') ' || j || ' {{}}' AS line FROM q")
+def tree_printed_nominal(spark, sf_dir):
+    """The nominal tree as indented lines."""
+    return descent.printed(nominal_tree(spark, sf_dir)).select("line")

@@ -299,16 +299,25 @@ def cut_criteria(tree: DataFrame, cut: DataFrame, leaves: DataFrame) -> DataFram
     return total.join(clusters, ["tree", "split"]).select("tree", "split", "clusters", *[c.alias(name) for name, c in score.items()])
 
 
+def _own_json() -> Column:
+    """A concept's name, size and counts as JSON, without braces."""
+    number = F.transform_values(F.from_json("numeric", "map<string,array<double>>"), lambda k, m: F.struct(m[1].alias("mean"), F.sqrt(m[2] / m[0]).alias("std"), m[0].cast("long").alias("n")))
+    moments = F.transform(F.map_entries(number), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":{"#ContinuousValue#":'), F.to_json(e["value"]), F.lit("}")))
+    counts = F.transform(F.map_entries(F.from_json("nominal", "map<string,map<string,bigint>>")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.to_json(e["value"])))
+    return F.concat(F.lit('"name":"Concept'), F.col("concept").cast("string"), F.lit('","size":'), F.col("n").cast("string"), F.lit(',"counts":{'), F.array_join(F.concat(counts, moments), ","), F.lit("}"))
+
+
+def nested_nodes(tree: DataFrame) -> DataFrame:
+    """tree, concept, depth, path, own: what the nested sink writes (``sources.nested``)."""
+    return tree.select("tree", "concept", "depth", "path", _own_json().alias("own"))
+
+
 def nested_json(tree: DataFrame) -> DataFrame:
     """tree, json: each tree as one nested JSON text (name, size, children, counts), built from the leaves up.
 
     A tree's text is one value; large trees are better exported as rows (``node_json``).
     """
-    number = F.transform_values(F.from_json("numeric", "map<string,array<double>>"), lambda k, m: F.struct(m[1].alias("mean"), F.sqrt(m[2] / m[0]).alias("std"), m[0].cast("long").alias("n")))
-    moments = F.transform(F.map_entries(number), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":{"#ContinuousValue#":'), F.to_json(e["value"]), F.lit("}")))
-    counts = F.transform(F.map_entries(F.from_json("nominal", "map<string,map<string,bigint>>")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.to_json(e["value"])))
-    own = F.concat(F.lit('"name":"Concept'), F.col("concept").cast("string"), F.lit('","size":'), F.col("n").cast("string"), F.lit(',"counts":{'), F.array_join(F.concat(counts, moments), ","), F.lit("}"))
-    rows = stored(tree.select("tree", "concept", "parent", "depth", own.alias("own")), "export")
+    rows = stored(tree.select("tree", "concept", "parent", "depth", _own_json().alias("own")), "export")
     deepest = rows.agg(F.max("depth")).first()[0] or 0
     below = rows.filter(F.col("depth") == deepest).select("tree", "concept", "parent", F.concat(F.lit("{"), "own", F.lit(',"children":[]}')).alias("json"))
     for depth in range(deepest - 1, -1, -1):
