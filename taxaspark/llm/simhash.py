@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaspark.llm.common import stored, text_or_empty
+from taxaspark.llm.common import joined, stored, text_or_empty
 from taxaspark.llm.components import components, first_rows, keep_least
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -150,7 +150,7 @@ def links(classes: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFra
     choices = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(blocks, bits))])).alias("c")
     filed = classes.select("fp", choices).select("fp", "c.choice", "c.key")
     shared = filed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = filed.join(shared, ["choice", "key"]).withColumn("g", F.ceil(F.col("n") / BLOCK_ROWS))
+    members = joined(filed, shared.withColumn("size", F.col("n")), ["choice", "key"]).withColumn("g", F.ceil(F.col("n") / BLOCK_ROWS))
     mine = F.pmod(F.xxhash64("fp"), F.col("g"))
     dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     dealt = dealt.select("choice", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "fp")
@@ -166,12 +166,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     with a null doc_id are linked too; a component of only such rows has a null id. An empty table gives no rows.
     """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "classes")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("size")), "classes")
     roots = stored(components(links(classes.select("fp"), bits)), "roots")
     lowest = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("first_doc").alias("component_id"))
     linked = roots.join(lowest, "root").select(F.col("node").alias("fp"), "component_id")
-    full = stored(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")), "components")
-    out = prints.join(full, "fp", "left")
+    full = stored(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"), "size"), "components")
+    out = joined(prints, full, ["fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
