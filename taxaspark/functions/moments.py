@@ -25,9 +25,13 @@ def c4(n: Column) -> Column:
 
 
 def moments(value: str = "nval") -> list[Column]:
-    """Aggregates num, mean, m2 over a column."""
+    """Aggregates num, mean, m2 over a column.
+
+    Where all values are one, the mean is that value and ``m2`` is 0; merged partial results would be off by a rounding.
+    """
     v = F.col(value)
-    return [F.count(v).alias("num"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2")]
+    one = (F.min(v) == F.max(v)) & (F.abs(F.min(v)) < float("inf"))
+    return [F.count(v).alias("num"), F.when(one, F.min(v).cast("double")).otherwise(F.avg(v)).alias("mean"), F.when(one, 0.0).otherwise(F.var_pop(v) * F.count(v)).alias("m2")]
 
 
 def merge(parts: DataFrame, keys: list[str]) -> DataFrame:

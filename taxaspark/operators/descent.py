@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxaspark.functions.moments import c4, certainty, scale_or_one, unbiased_std
+from taxaspark.functions.moments import c4, certainty, moments as moments_of, scale_or_one, unbiased_std
 from taxaspark.plans import measures
 from taxaspark.storage import discard, stored
 
@@ -237,7 +237,7 @@ def from_paths(placed: DataFrame, levels: list[str], nominal: dict[str, Column],
     tables = nodes.join(counts.groupBy("_k").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("e.a"), F.to_json("e.m").alias("j"))))).alias("nominal")), "_k", "left") if counts is not None else nodes.withColumn("nominal", none)
     text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("nominal"), lambda e: F.concat(F.lit('"'), F.replace(e["key"], F.lit('"'), F.lit('\\"')), F.lit('":'), e["value"])), ","), F.lit("}"))
     tables = tables.withColumn("nominal", F.coalesce(text, F.lit("{}")))
-    values = [F.struct(F.lit(a).alias("a"), F.array(F.count(f"m_{i}").cast("double"), F.avg(f"m_{i}"), F.var_pop(f"m_{i}") * F.count(f"m_{i}")).alias("m")) for i, a in enumerate(numeric or {})]
+    values = [F.struct(F.lit(a).alias("a"), F.array(*[m.cast("double") for m in moments_of(f"m_{i}")]).alias("m")) for i, a in enumerate(numeric or {})]
     if values:
         moments = each.groupBy("_k").agg(F.array(*values).alias("ms"))
         moments = moments.select("_k", F.to_json(F.map_from_entries(F.filter("ms", lambda e: e["m"][0] > 0))).alias("numeric"))

@@ -29,6 +29,11 @@ def test_moments_are_exact_and_merge(spark):
     assert rows(std) == [("a", pytest.approx(math.sqrt(0.5) / M.c4_value(2))), ("b", 0.0)]
 
 
+def test_moments_of_equal_values_over_many_partitions_are_exact(spark):
+    df = spark.range(0, 4100, 1, 7).select((F.col("id") % 50 + 0.1).alias("k"), (F.col("id") % 50 + 0.1).alias("nval"))
+    assert all(r["mean"] == r["k"] and r["m2"] == 0 for r in df.groupBy("k").agg(*M.moments()).collect())
+
+
 def test_c4_and_overlap(spark):
     assert M.c4_value(2) == pytest.approx(0.7978845608) and M.c4_value(10) == pytest.approx(0.9726592741) and M.c4_value(30) == 1
     with pytest.raises(ValueError):
