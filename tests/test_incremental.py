@@ -59,3 +59,15 @@ def test_what_unifies(spark):
         assert [r["consistent"] for r in got] == ([] if want is None else [want]), attr
     has = spark.createDataFrame([('["relation","?c2",["a","?c1"]]', "?c1"), ('["before","?c1","?c2"]', "?c3"), ("?c1", "?c1"), ("c", "?c1")], "a string, n string")
     assert [r[0] for r in has.select(unify.contains_component(F.col("a"), F.col("n"))).collect()] == [True, False, True, False]
+
+
+def test_matches_of_many_concepts_come_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(unify, "BLOCK", 3)
+    target = spark.createDataFrame([(i, f'["r","?o1","{"?o1" if i % 3 else "?o2"}"]') for i in range(40)], "inst long, attr string")
+    base = spark.createDataFrame([(c if c % 7 else None, f'["r","?c1","{"?c1" if c % 2 else "?c2"}"]') for c in range(30)], "concept long, attr string")
+    got = unify.partial_matches(target, base)
+    want = [(i, c if c % 7 else None, bool(i % 3) == bool(c % 2)) for i in range(40) for c in range(30)]
+    key = lambda x: (x[0], x[1] is not None, x[1] or 0, x[2])
+    assert sorted(map(tuple, got.select("inst", "concept", "consistent").collect()), key=key) == sorted(want, key=key)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("regexp_extract_all") > plan.index("Aggregate")  # names are taken apart once for each distinct attribute
