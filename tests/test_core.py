@@ -398,3 +398,49 @@ def test_kept_sums_are_those_of_the_counts():
             tree.absorb(fused, c.children[0])
             tree.absorb(fused, d)
             assert tree.fused_guesses(c.children[0], d, x) == pytest.approx(tree.guesses(fused, x))
+
+
+def row_by_row(data):
+    tree = fold.Tree()
+    for x in data:
+        tree.fit(x)
+    return list(tree.rows("t"))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_many_rows_at_a_time_give_the_same_tree(monkeypatch, seed):
+    monkeypatch.setattr(fold.Bulk, "START", 20)
+    monkeypatch.setattr(fold, "MANY", 1 if seed % 2 else 64)
+    rnd, data = random.Random(seed), []
+    for i in range(2500):
+        z = rnd.choices("abcdef", [1, 2, 3, 5, 8, 13 if i < 1500 else 1])[0]
+        data.append({"a": z, "b": z if rnd.random() < 0.8 else rnd.choice("xy"), "c": rnd.choice("12"), "_h": rnd.choice("pq")})
+    tree = fold.Tree()
+    bulk, fits, fit = fold.Bulk(tree), [], tree.fit
+    tree.fit = lambda x: (fits.append(1), fit(x))[1]
+    codes = fold.np.array([bulk.number(json.dumps(x)) for x in data])
+    for at in range(0, len(codes), 700):
+        bulk.learn(codes[at : at + 700])
+    assert list(tree.rows("t")) == row_by_row(data)
+    bulk.fit({"a": "a", "d": "1"})
+    assert list(tree.rows("t")) == row_by_row([*data, {"a": "a", "d": "1"}])
+
+
+def test_most_rows_are_learned_many_at_a_time():
+    rnd = random.Random(3)
+    data = [{"a": rnd.choice("xyz"), "b": rnd.choice("12"), "c": rnd.choice("pq")} for _ in range(30_000)]
+    tree = fold.Tree()
+    bulk, fits, fit = fold.Bulk(tree), [], tree.fit
+    tree.fit = lambda x: (fits.append(1), fit(x))[1]
+    bulk.learn(fold.np.array([bulk.number(json.dumps(x)) for x in data]))
+    assert len(fits) < 10_000 and list(tree.rows("t")) == row_by_row(data)
+
+
+@pytest.mark.parametrize("wide", [2, 1000])
+def test_children_scored_as_arrays_are_placed_alike(monkeypatch, wide):
+    rnd = random.Random(9)
+    data = [{"a": rnd.choice("123456789"), "b": str(rnd.randrange(40)), "v": round(rnd.expovariate(0.05), 2)} for _ in range(300)]
+    want = row_by_row(data)
+    monkeypatch.setattr(fold, "WIDE", wide)
+    monkeypatch.setattr(fold, "MANY", 1)
+    assert row_by_row(data) == want
