@@ -29,9 +29,9 @@ def list_ranks(links: DataFrame, by: list[str], weights: list[str] | None = None
         if going.isEmpty():
             break
         ahead = state.select(*by, F.col("id").alias("next"), F.col("next").alias("_n"), F.col("last").alias("_l"), F.col("after").alias("_a"), *[F.col(w).alias(f"_{w}") for w in weights])
-        moved = going.join(ahead, [*by, "next"]).select(*by, "id", F.col("_n").alias("next"), F.col("_l").alias("last"), (F.col("after") + F.col("_a")).alias("after"), *[(F.col(w) + F.col(f"_{w}")).alias(w) for w in weights])
-        lost = going.join(ahead.select(*by, "next"), [*by, "next"], "left_anti").select(*by, "id", F.lit(None).cast(state.schema["next"].dataType).alias("next"), F.lit(None).cast(state.schema["id"].dataType).alias("last"), "after", *weights)
-        state, spent = stored(state.filter("next IS NULL").unionByName(moved).unionByName(lost), "chain"), state
+        # no round's table goes to the driver to be broadcast; one that leads to none of the elements has lost its end
+        moved = going.join(ahead.hint("merge"), [*by, "next"], "left").select(*by, "id", F.col("_n").alias("next"), F.col("_l").alias("last"), *[(F.col(w) + F.coalesce(v, F.lit(0))).alias(w) for w, v in [("after", "_a"), *[(w, f"_{w}") for w in weights]]])
+        state, spent = stored(state.filter("next IS NULL").unionByName(moved), "chain"), state
         discard(spent)
     return state.select(*by, "id", F.when(F.col("next").isNull(), F.col("last")).alias("last"), "after", *weights)
 
