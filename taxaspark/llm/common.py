@@ -50,23 +50,24 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 HEAVY = 1000
 
 
-def by_weight(sizes: DataFrame, size: str = "size", heavy: int | None = None) -> tuple[DataFrame, DataFrame]:
+def by_weight(sizes: DataFrame, size: str = "size", heavy: int | None = None, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(heavy, light) keys of ``sizes`` (one row for each key, with its number of rows).
 
     A heavy key has more than 1 / ``heavy`` of all rows, so there are under ``heavy`` of them and they may be broadcast.
+    ``total``: all rows, or a bound above, if known already; else a job counts them.
     """
-    total = sizes.agg(F.sum(size)).first()[0] or 0
+    total = (sizes.agg(F.sum(size)).first()[0] or 0) if total is None else total
     cut = total / (HEAVY if heavy is None else heavy)
     return sizes.filter(F.col(size) > cut), sizes.filter(F.col(size) <= cut)
 
 
-def joined(rows: DataFrame, marks: DataFrame, on: list[str], size: str = "size") -> DataFrame:
+def joined(rows: DataFrame, marks: DataFrame, on: list[str], size: str = "size", total: int | None = None) -> DataFrame:
     """``rows`` joined with ``marks`` (unique in ``on``; ``size``: the rows of a key, not kept).
 
     Rows of heavy keys stay where they are and meet a broadcast of under ``HEAVY`` marks; only the others are shuffled,
-    so no task gets more than 1 / ``HEAVY`` of all rows for one key.
+    so no task gets more than 1 / ``HEAVY`` of all rows (of ``total``, if given) for one key.
     """
-    heavy, light = (F.broadcast(x.drop(size)) if i == 0 else x.drop(size) for i, x in enumerate(by_weight(marks, size)))
+    heavy, light = (F.broadcast(x.drop(size)) if i == 0 else x.drop(size) for i, x in enumerate(by_weight(marks, size, total=total)))
     return rows.join(heavy, on).unionByName(rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on))
 
 

@@ -12,17 +12,17 @@ def components(links: DataFrame) -> DataFrame:
     """node, root for every node of ``links`` (a, b), stored; root is the smallest node of its component.
 
     Each step makes a node point to the smallest neighbour that it has seen, which halves chains; steps go on until the
-    links stop changing. Every step's links are written to the shared folder, never to the driver, and deleted after the
+    links stop changing; each edge gives one link at most to the next table, so their number bounds the next ones. Every step's links are written to the shared folder, never to the driver, and deleted after the
     next one. The neighbours of a node with many of them meet it where they are (``joined``).
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    seen = None
-    while True:
+    now, seen = (edges.count(),), None
+    while now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size")), "low")
-        large = stored(joined(both, low, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        large = stored(joined(both, low, ["u"], total=2 * now[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         small_low = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")), "low")
-        small = joined(large, small_low, ["u"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = joined(large, small_low, ["u"], total=now[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stored(small.unionByName(small_low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "links")
         discard(edges, low, large, small_low)
         edges = after
