@@ -1,8 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: candidates by minima of hashes, verified exactly.
+"""Near-duplicates by the Jaccard similarity of word shingles: candidates by SimHash and pivot tables, and by minima of hashes.
 
-Rows of equal shingle sets collapse into one class first. Each class is filed under 30 keys of five minima, so a pair of
-similarity 0.8 is missed with probability (1 - 0.8^5)^30, under 7 in a million, and a more similar one more rarely.
-Classes that any chain of keys connects are compared with one another by their whole shingle sets; a set of many classes
+Rows of equal shingle sets collapse into one class first. A class has a SimHash fingerprint of its shingles; fingerprints
+that differ in at most four bits are found by pivot distance tables (``simhash.links``). Most pairs of similarity 0.8 differ
+in more, so each class is filed under 30 keys of five minima too: a pair of 0.8 is missed by these with probability
+(1 - 0.8^5)^30, under 7 in a million, and a more similar one more rarely. Classes that any chain of close fingerprints and shared keys connects are compared with one another by their whole shingle sets; a set of many classes
 is dealt to block pairs, so no task holds more than two blocks of it, and each task gives a spanning forest of its links.
 """
 
@@ -16,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxaspark.llm import simhash
 from taxaspark.llm.common import discard, joined, stored, text_or_empty
 from taxaspark.llm.components import components, first_rows, keep_least
 
@@ -64,7 +66,8 @@ def _marks(batches, shingle: int):
         at = batch.schema.get_field_index("__body")
         columns = [c for i, c in enumerate(batch.columns) if i != at]
         names = [c for i, c in enumerate(batch.schema.names) if i != at]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*names, "__node", "__keys"])
+        prints = np.array([simhash.majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(prints, pa.int64())], [*names, "__node", "__keys", "__print"])
 
 
 def forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -122,11 +125,22 @@ def _sets(batches, shingle: int):
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """node, root: the classes that share a key with another one, and what chains of shared keys connect."""
+    """node, root: the classes that share a key with another one or have a close fingerprint, and what chains of these connect.
+
+    Classes without words have no keys, and no part here.
+    """
+    prints = classes.filter(F.size("__keys") > 0).select("__node", F.col("__print").alias("fp"))
+    firsts = stored(prints.groupBy("fp").agg(F.min("__node").alias("a"), F.max("__node").alias("top"), F.count(F.lit(1)).alias("size")), "prints")
+    equal = joined(prints, firsts.filter("a < top").select("fp", "a", "size"), ["fp"]).filter("a <> __node").select("a", F.col("__node").alias("b"))
+    close = simhash.links(firsts.select("fp"))
+    end = lambda old, new: firsts.select(F.col("fp").alias(old), F.col("a").alias(new))
+    close = close.select(F.col("a").alias("x"), F.col("b").alias("y")).join(end("x", "a"), "x").join(end("y", "b"), "y").select("a", "b")
     filed = classes.select("__node", F.explode("__keys").alias("key"))
     heads = filed.groupBy("key").agg(F.min("__node").alias("a"), F.max("__node").alias("top"), F.count(F.lit(1)).alias("size")).filter("a < top").select("key", "a", "size")
     stars = joined(filed, heads, ["key"]).filter("a <> __node").select("a", F.col("__node").alias("b")).distinct()
-    return components(stars)
+    found = components(stars.unionByName(equal).unionByName(close))
+    discard(firsts)
+    return found
 
 
 def links(texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -153,7 +167,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> D
     null ones too, are alike. Documents that share a doc_id, or have none, stay where their texts aren't alike.
     """
     marked = stored(_marked(docs, shingle), "marked")
-    classes = stored(first_rows(marked, F.first("__keys").alias("__keys")), "classes")
+    classes = stored(first_rows(marked, F.first("__keys").alias("__keys"), F.first("__print").alias("__print")), "classes")
     near = candidates(classes)
     firsts = near.join(classes, near["node"] == classes["__node"]).select("node", "root", F.col("first.id").alias("__id"))
     body = marked.select("__node", "doc_id", text_or_empty().alias("text"))
@@ -166,6 +180,6 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> D
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs`` with ``__node`` (the hash of the shingle set) and ``__keys``."""
+    """``docs`` with ``__node`` (the hash of the shingle set), ``__keys`` and ``__print`` (its fingerprint)."""
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__body", text_or_empty()).mapInArrow(partial(_marks, shingle=shingle), f"{names}, __node long, __keys array<long>")
+    return docs.withColumn("__body", text_or_empty()).mapInArrow(partial(_marks, shingle=shingle), f"{names}, __node long, __keys array<long>, __print long")

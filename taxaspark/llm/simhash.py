@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaspark.llm.common import joined, stored, text_or_empty
+from taxaspark.llm.common import discard, joined, stored, text_or_empty
 from taxaspark.llm.components import components, first_rows, keep_least
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -46,6 +46,14 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in range(n)], dtype=np.uint64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        counts += np.unpackbits(hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """SimHash of a text: a bit is set if more than half of the shingles' hashes have it."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -167,10 +175,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("size")), "classes")
-    roots = stored(components(links(classes.select("fp"), bits)), "roots")
+    found = stored(links(classes.select("fp"), bits), "near")
+    roots = components(found)
+    discard(found)
     lowest = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("first_doc").alias("component_id"))
     linked = roots.join(lowest, "root").select(F.col("node").alias("fp"), "component_id")
     full = stored(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"), "size"), "components")
+    discard(classes)
     out = joined(prints, full, ["fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

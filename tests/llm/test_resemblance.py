@@ -71,3 +71,17 @@ def test_null_and_repeated_ids_keep_unrelated_texts(spark, keep_one):
     docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], SCHEMA)
     got = sorted(((r["doc_id"], r["text"]) for r in keep_one(docs).collect()), key=str)
     assert got == sorted([(None, a), (None, b), (3, c), (7, d), (7, e)], key=str)
+
+
+def test_close_fingerprints_are_candidates_without_a_common_key(spark):
+    rows = [(5, [1], 0b1111), (3, [2], 0b0011), (9, [3], -1), (7, [4], 0b0011), (1, [], 0b0011), (8, [5], 1 << 40)]
+    classes = spark.createDataFrame(rows, "__node long, __keys array<long>, __print long")
+    assert sorted(map(tuple, resemblance.candidates(classes).select("node", "root").collect())) == [(3, 3), (5, 3), (7, 3), (8, 3)]
+    far = spark.createDataFrame([(1, [1], 0), (2, [2], 0b11111)], "__node long, __keys array<long>, __print long")
+    assert resemblance.candidates(far).isEmpty()
+
+
+def test_stage_takes_fingerprints_of_the_shingles(spark):
+    text = " ".join(f"w{i % 31}" for i in range(70))
+    r = resemblance._marked(spark.createDataFrame([(1, text, "e", "s", 1), (2, None, "e", "s", 0)], SCHEMA), 5).orderBy("doc_id").collect()
+    assert r[0]["__print"] % (1 << 64) == simhash.majority(resemblance.shingles(text)) and r[1]["__print"] == 0
