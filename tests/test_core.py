@@ -1,6 +1,7 @@
 import itertools
 import json
 import math
+import pickle
 import random
 
 import pytest
@@ -444,3 +445,14 @@ def test_children_scored_as_arrays_are_placed_alike(monkeypatch, wide):
     monkeypatch.setattr(fold, "WIDE", wide)
     monkeypatch.setattr(fold, "MANY", 1)
     assert row_by_row(data) == want
+
+
+def test_a_pickled_tree_goes_on_alike(monkeypatch):
+    monkeypatch.setattr(fold, "MANY", 1)
+    rnd = random.Random(4)
+    data = [{"a": rnd.choice("123456789"), "b": str(rnd.randrange(40)), "v": rnd.random()} for _ in range(300)]
+    tree = fold.Tree()
+    for i, x in enumerate(data):
+        tree = pickle.loads(pickle.dumps(tree)) if i % 50 == 0 else tree
+        tree.fit(x)
+    assert list(tree.rows("t")) == row_by_row(data) and not pickle.loads(pickle.dumps(tree)).root.shared
