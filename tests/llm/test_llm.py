@@ -64,6 +64,16 @@ def test_words_encode_as_whole_texts(name, joins):
     assert len(e.memo) <= 200 and all(len(x) <= 40 for x in e.memo)
 
 
+def test_new_words_go_to_the_library_together():
+    name = "word_bpe_49k.json"
+    e = WordEncoder(public_tokenizers.path(name), False)
+    texts = [" ".join(f"w{i}x{j}'s" for j in range(100)) for i in range(20)] + ["a\x01b \x01 c", "w0x0's a\tb  w0x1's", "\x1c a\x1cb", "a\x85b \x01", "", " \n "]
+    given, library = [], e.tokenizer
+    e.tokenizer = type("Counted", (), {"encode_batch_fast": lambda self, t, **k: given.append(len(t)) or library.encode_batch_fast(t, **k)})()
+    assert e.encode(texts[:20]) + e.encode(texts[20:]) + e.encode(texts) == [i.tobytes() for i in whole_ids(name, texts + texts)]
+    assert given[0] <= 2000 / 16
+
+
 def test_token_files(spark, empty, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [*corpus(), *[(200 + i, t, "en", "s", 0, "", "", 0) for i, t in enumerate(SPECIAL)], (-1, "minus one", "en", "s", 0, "", "", 0), (300, "Σ" * 90_000, "en", "s", 0, "", "", 0), (301, " ".join(["word"] * 70_000), "en", "s", 0, "", "", 0)]
