@@ -76,20 +76,25 @@ def categorize(instances: DataFrame, tree: DataFrame, scaling: float = 0.5) -> D
     A concept's children are one array, stored once; each level is one join of the instances with the children of the
     concepts that they are in (a broadcast as long as Spark finds the table small enough) and takes the best child within
     the row. Only trees that are deep below a level's concepts go on: levels are as many as the tree is deep. Hidden
-    attributes must not be in the instances' maps.
+    attributes must not be in the instances' maps. Instances of the same tree and values end in the same leaf, so each
+    such pattern descends once and its leaf is joined to its instances.
     """
+    pattern = F.struct("tree", F.array_sort(F.map_entries("nominal")).alias("nominal"), F.array_sort(F.map_entries("numeric")).alias("numeric"))
+    instances = instances.select("inst", "tree", "nominal", "numeric", pattern.alias("pattern"))
+    kinds = stored(instances.groupBy("pattern").agg(F.first("tree").alias("tree"), F.first("nominal").alias("nominal"), F.first("numeric").alias("numeric")), "patterns")
     child = F.struct("child", "size", "s", "attrs", "counts", "moments")
     stats = _stats(tree, scaling).filter("node IS NOT NULL").groupBy("tree", "node").agg(F.collect_list(child).alias("children"))  # a concept's own children
     stats = stored(stats, "children")
     root = tree.filter("parent IS NULL").select("tree", F.col("concept").alias("node"))
     depth = tree.agg(F.max("depth")).first()[0] or 0
-    at = instances.select("inst", "tree", "nominal", "numeric").join(root, "tree")
+    at = kinds.join(root, "tree")
     best = F.array_max(F.transform("children", lambda c: F.struct(F.round(_gain_of(c), 9).alias("rel"), c["size"].alias("size"), (-c["child"]).alias("minus"))))
     for level in range(depth):
         at = at.join(stats, ["tree", "node"], "left").withColumn("node", F.coalesce(-best["minus"], "node")).drop("children")
         if level % 4 == 3:
             at = stored(at, "descent")
-    return at.select("inst", "tree", F.col("node").alias("concept"))
+    leaves = stored(at.select("pattern", F.col("node").alias("concept")), "leaves")  # its size is known, so few of them are broadcast
+    return instances.select("inst", "tree", "pattern").join(leaves, "pattern").select("inst", "tree", "concept")
 
 
 def predicted(placed: DataFrame, tree: DataFrame, attr: str) -> DataFrame:

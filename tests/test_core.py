@@ -177,6 +177,20 @@ def test_descent_equals_the_folds_own(spark):
     assert got == {i: own.categorize({**nominal, **numeric}).id for _, i, nominal, numeric in data}
 
 
+def test_equal_instances_descend_once(spark, monkeypatch):
+    data = [("t", i, {"a": "xyz"[i % 3], "b": "u"}, {}) for i in range(60)]
+    df = spark.createDataFrame(data, "tree string, order long, nominal map<string,string>, numeric map<string,double>")
+    tree, own = fold.fit(df).persist(), fold.Tree()
+    for _, _, nominal, _ in data:
+        own.fit(nominal)
+    made = {}
+    monkeypatch.setattr(descent, "stored", lambda d, name: made.setdefault(name, d.persist()))
+    rows = df.select(F.col("order").alias("inst"), "tree", F.when(F.col("order") % 2 == 0, F.map_from_arrays(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("u"), F.col("nominal")["a"]))).otherwise(F.col("nominal")).alias("nominal"), "numeric")
+    got = {r["inst"]: r["concept"] for r in descent.categorize(rows.unionByName(rows.limit(0)), tree).collect()}
+    assert got == {i: own.categorize(nominal).id for _, i, nominal, _ in data}
+    assert made["patterns"].count() == 3
+
+
 def test_cuts_grow_and_k_clusters(spark):
     _, _, tree = fitted(spark)
     tree = tree.persist()
