@@ -90,18 +90,31 @@ def _sparse(batches, buckets: np.ndarray):
     column = np.full(DIMENSIONS, -1, np.int64)
     column[buckets] = np.arange(len(buckets))
     for batch in batches:
-        rows = [present(t, column).astype(np.int32) for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["y"], batch["key"], pa.array(rows, pa.list_(pa.int32()))], ["y", "key", "f"])
+        rows = [present(t, column).astype("<i4").tobytes() for t in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["y"], batch["key"], pa.array(rows, pa.binary())], ["y", "key", "f"])
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam; a feature's value is ``scale`` where present."""
-    w, b, n, k = np.zeros(len(scale)), float(np.log((sample_weight[y == 1].sum() + 1e-9) / (sample_weight[y == 0].sum() + 1e-9))), len(y), len(scale)
+#: Present features that a step of training looks at together.
+AT_ONCE = 1 << 18
+
+
+def _logistic(lengths: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch Adam; a feature's value is ``scale`` where present: row i has ``lengths[i]`` of ``cols``."""
+    w, b, k = np.zeros(len(scale)), float(np.log((sample_weight[y == 1].sum() + 1e-9) / (sample_weight[y == 0].sum() + 1e-9))), len(scale)
     m, v, mb, vb, total = np.zeros(k), np.zeros(k), 0.0, 0.0, sample_weight.sum()
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    cuts = [0]
+    while cuts[-1] < len(y):  # blocks of rows, so that a step needs little memory
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + AT_ONCE, "right")) - 1))
     for t in range(1, steps + 1):
-        z = np.bincount(rows, weights=(w * scale)[cols], minlength=n) + b
-        g = sample_weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / total
-        gw, gb = np.bincount(cols, weights=g[rows], minlength=k) * scale + penalty * w, g.sum()
+        here, gw, gb = w * scale, np.zeros(k), 0.0
+        for i, j in zip(cuts, cuts[1:]):
+            own, row = cols[ends[i] : ends[j]], np.repeat(np.arange(j - i), lengths[i:j])
+            z = np.bincount(row, weights=here[own], minlength=j - i) + b
+            g = sample_weight[i:j] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[i:j]) / total
+            gw += np.bincount(own, weights=g[row], minlength=k)
+            gb += g.sum()
+        gw = gw * scale + penalty * w
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         rate = 0.05 / np.sqrt(t) * 3
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -150,20 +163,21 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, featur
     sample = stored(text.join(F.broadcast(picked), "doc_id").select("text", "y", "key"), "sample")  # at most max_train ids
     if not (n0 and n1):
         return Model(np.full(DIMENSIONS, -1), np.zeros(1), float(np.log((n1 + 0.5) / (n0 + 0.5))) if n0 + n1 else 0.0)
-    counts = sample.mapInArrow(_count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= least_docs).toPandas().sort_values("bucket")
-    bucket, c0, c1 = (counts[c].to_numpy() for c in ("bucket", "n0", "n1"))
-    ratio = np.log((c1 + 1) / (c1.sum() + len(c1))) - np.log((c0 + 1) / (c0.sum() + len(c0)))
+    counts = stored(sample.mapInArrow(_count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= least_docs), "grams")
+    whole = counts.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n0"), F.lit(0)).alias("t0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("t1")).first()
     s1, s0 = max(1, min(n1, take1)), max(1, min(n0, max_train - take1))
-    p1, p0, p = c1 / s1, c0 / s0, (c1 + c0 + 1) / (s1 + s0 + 2)
-    z = np.abs(p1 - p0) / np.sqrt(p * (1 - p).clip(1e-9) * (1 / s1 + 1 / s0))
-    best = np.sort(np.lexsort((bucket, -z))[: min(features, int((z >= least_z).sum()))])
-    bucket, ratio = bucket[best], ratio[best]
-    table = sample.mapInArrow(partial(_sparse, buckets=bucket), "y int, key long, f array<int>").orderBy("key").toPandas()
+    p1, p0, p = F.col("n1") / s1, F.col("n0") / s0, (F.col("n1") + F.col("n0") + 1) / (s1 + s0 + 2)
+    z = F.abs(p1 - p0) / F.sqrt(p * F.greatest(1 - p, F.lit(1e-9)) * F.lit(1 / s1 + 1 / s0))
+    # only the features themselves come to the driver, as Arrow
+    best = counts.withColumn("z", z).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "bucket").limit(features).select("bucket", "n0", "n1").toArrow().sort_by("bucket")
+    bucket, c0, c1 = (best[c].to_numpy() for c in ("bucket", "n0", "n1"))
+    ratio = np.log((c1 + 1) / (whole["t1"] + whole["k"])) - np.log((c0 + 1) / (whole["t0"] + whole["k"]))
+    table = sample.mapInArrow(partial(_sparse, buckets=bucket), "y int, key long, f binary").orderBy("key").toArrow()
     y = table["y"].to_numpy()
-    lengths = np.array([len(f) for f in table["f"]])
-    rows, cols = np.repeat(np.arange(len(y)), lengths), np.concatenate([np.asarray(f, np.int64) for f in table["f"]]) if lengths.sum() else np.zeros(0, np.int64)
+    lengths = np.array([len(f.as_buffer()) // 4 for c in table["f"].chunks for f in c], np.int64)
+    cols = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(f.as_buffer(), "<i4") for c in table["f"].chunks for f in c if f.as_buffer().size]])
     weight = np.where(y == 1, n1 / max(1, (y == 1).sum()), n0 / max(1, (y == 0).sum()))
-    w, bias = _logistic(rows, cols, ratio, y, weight, penalty)
+    w, bias = _logistic(lengths, cols, ratio, y, weight, penalty)
     column = np.full(DIMENSIONS, -1, np.int64)
     column[bucket] = np.arange(len(bucket))
     return Model(column, w, bias)

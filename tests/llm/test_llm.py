@@ -243,6 +243,26 @@ def test_toxicity(spark, docs, empty):
     assert np.allclose(toxicity.train(text, swapped).weights, model.weights)
 
 
+def test_toxicity_sends_the_driver_features_alone(spark, monkeypatch):
+    rows = [(i, f"text number {i} " + ("vile words " if i % 4 == 0 else "kind words ") * 3) for i in range(400)]
+    text = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    kind, sent = type(text), []
+    whole = kind.toArrow
+    monkeypatch.setattr(kind, "toPandas", lambda self: pytest.fail("rows as Python objects"))
+    monkeypatch.setattr(kind, "toArrow", lambda self: sent.append(whole(self)) or sent[-1])
+    model = toxicity.train(text, labels, features=16)
+    assert [t.num_rows for t in sent] == [16, sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in rows)]
+    assert model.score(rows[0][1]) > 0.7 > model.score(rows[1][1])
+    rnd = np.random.default_rng(1)
+    lengths = rnd.integers(0, 9, 200)
+    given = lengths, rnd.integers(0, 50, lengths.sum()), rnd.random(50), rnd.integers(0, 2, 200), rnd.random(200), 1e-4
+    one = toxicity._logistic(*given)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 7)
+    many = toxicity._logistic(*given)
+    assert np.allclose(one[0], many[0]) and np.isclose(one[1], many[1])
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 24)).astype("float32")
