@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaspark.llm.common import let, release_memory, stored, text_or_empty
-from taxaspark.llm.encoding import batches_of
+from taxaspark.llm.encoding import ODD_SPACE, batches_of
 
 #: Most words in the dictionary, and the most characters of one: some 80 MB in a worker at most.
 DICTIONARY, SHORT = 400_000, 24
@@ -41,6 +41,8 @@ BLOCK, COUNTED = 1 << 21, 300_000
 #: Bits of a token id, the id that stands for no token, and bits of a place in a word that Spark folds.
 WIDTH = 20
 NO_RANK, PLACE = (1 << WIDTH) - 1, 8
+#: The pattern whose matches never go on over a single space, or line break, between two other characters.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The entry of no pair: its left token is none.
 EMPTY = NO_RANK << WIDTH
 
@@ -133,8 +135,8 @@ class Ranks:
                     left = F.get(acc, i - 1)
                     one = ranked(merged, token(F.get(acc, i + 2))).bitwiseOR(v.bitwiseAND(F.lit(rest - NO_RANK))).bitwiseOR(merged.cast("long"))
                     before = ranked(token(left), merged).bitwiseOR(left.bitwiseAND(F.lit(rest)))
-                    fresh = F.transform(acc, lambda x, k: F.when(k == i, one).when(k == i - 1, before).otherwise(x))
-                    return F.filter(fresh, lambda x, k: k != i + 1)
+                    after = F.slice(acc, i + 3, F.size(acc))
+                    return F.when(i == 0, F.concat(F.array(one), after)).otherwise(F.concat(F.slice(acc, F.lit(1), i - 1), F.array(before, one), after))
 
                 return F.when(merged == NO_RANK, acc).otherwise(let(F.array_position(acc, v).cast("int") - 1, joined))
 
@@ -191,20 +193,44 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _pieces(text: str, pattern: str) -> list[str] | None:
+    """The text cut at its spaces and before its line breaks, if that is no place within a match; pieces may still hold other white space.
+
+    All pieces but the first lack the space before them, unless they begin with a line break.
+    """
+    if pattern != SPACED or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return None
+    return text.replace("\n", " \n").split(" ")
+
+
+def _as_found(piece: str) -> str:
+    return piece if piece[:1] == "\n" else " " + piece
+
+
 def _count(batches, pattern: str):
-    """Short words and their numbers; a word may come more than once."""
-    words_of, counts = regex.compile(pattern).findall, Counter()
+    """Short words and their numbers; a word may come more than once. Each distinct piece of texts is split once for many."""
+    words_of, words, pieces = regex.compile(pattern).findall, Counter(), Counter()
 
     def rows() -> pa.RecordBatch:
-        words = [w for w in counts if len(w) <= SHORT]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["w", "n"])
+        for piece, n in pieces.items():
+            for w in words_of(_as_found(piece)):
+                words[w] += n
+        short = [w for w in words if len(w) <= SHORT]
+        out = pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array([words[w] for w in short], pa.int64())], ["w", "n"])
+        words.clear()
+        pieces.clear()
+        return out
 
     for batch in batches:
         for t in batch["text"].to_pylist():
-            counts.update(words_of(t))
-            if len(counts) > COUNTED:
+            own = _pieces(t, pattern)
+            if own is None or ODD_SPACE.search(own[0]):
+                words.update(words_of(t))
+            else:
+                words.update(words_of(own[0]))
+                pieces.update(own[1:])
+            if len(words) + len(pieces) > COUNTED:
                 yield rows()
-                counts.clear()
     yield rows()
     release_memory()
 

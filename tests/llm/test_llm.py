@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -351,6 +352,27 @@ def test_clustered_vectors_need_few_probes():
     assert neighbours.probes_for(x, neighbours.centroids(x, 89), 10) <= 10
 
 
+def test_words_are_counted_by_pieces(monkeypatch):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice([" ", "\n", "a", "b1", "é", "'s", ", ", "!", "ab cd ", " x\ny "]) for _ in range(rnd.randint(0, 30))) for _ in range(500)] * 4
+    words = bytebpe.regex.compile(public_tokenizers.PATTERN).findall
+    want = collections.Counter(w for t in texts for w in words(t))
+    asked = []
+    counted = type("Counted", (), {"findall": lambda self, t: asked.append(t) or words(t)})()
+    monkeypatch.setattr(bytebpe.regex, "compile", lambda pattern: counted)
+    got = collections.Counter()
+    for batch in bytebpe._count(iter([pa.RecordBatch.from_pydict({"text": texts[i : i + 100]}) for i in range(0, 2000, 100)]), public_tokenizers.PATTERN):
+        for w, n in zip(batch["w"].to_pylist(), batch["n"].to_pylist()):
+            got[w] += n
+    assert got == want
+    simple = sum(bytebpe._pieces(t, public_tokenizers.PATTERN) is not None for t in texts)
+    assert simple and len(set(asked)) < len(asked)
+    long = [" ".join(f"w{i % 50}," for i in range(5000))] * 20
+    asked.clear()
+    list(bytebpe._count(iter([pa.RecordBatch.from_pydict({"text": long})]), public_tokenizers.PATTERN))
+    assert sum(map(len, asked)) < sum(map(len, long)) / 100
+
+
 def library_bpe():
     import tiktoken
 
