@@ -53,9 +53,8 @@ def standardized(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
     z, y = (F.concat(F.lit(p), key) for p in ("?z", "?y"))
     names = F.array(F.to_json(F.array(F.lit("a"), z)), F.to_json(F.array(F.lit("b"), y)), F.to_json(F.array(F.lit("of"), y, z)), F.lit("plain"))
-    rows, mapping = transforms.standardized(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("inst"), F.posexplode(names).alias("at", "attr")), "inst")
-    own = transforms.restored(rows, mapping, "inst").select("inst", "at", F.col("attr").alias("own"))
-    return rows.join(own, ["inst", "at"]).select("inst", "attr", "own")
+    rows, mapping = transforms.standardized(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("inst"), F.explode(names).alias("attr")), "inst")
+    return transforms.restored(rows.withColumn("standard", F.col("attr")), mapping, "inst").select("inst", F.col("standard").alias("attr"), F.col("attr").alias("own"))
 
 
 @query("""SELECT p_partkey, '["' || p_brand || '","' || p_type || '"]' AS l, '{"brand":"' || p_brand || '","type":"' || p_type || '"}' AS m, p_size AS n FROM part""")

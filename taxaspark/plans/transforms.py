@@ -152,12 +152,13 @@ def renamed(attr: Column, mapping: Column) -> Column:
 
 def standardized(av: DataFrame, inst: str) -> tuple[DataFrame, DataFrame]:
     """(rows with every variable renamed ?o1, ?o2, ... by first use in attribute order, mapping inst, old, new)."""
-    seen = av.select(inst, "attr", F.posexplode(variables(F.col("attr"))).alias("_p", "old"))
-    first = seen.groupBy(inst, "old").agg(F.min(F.struct("attr", "_p")).alias("_f"))
-    number = F.row_number().over(Window.partitionBy(inst).orderBy("_f"))
-    mapping = first.select(inst, "old", F.concat(F.lit("?o"), number.cast("string")).alias("new"))
-    maps = mapping.groupBy(inst).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("_m"))  # an instance's own names
-    rows = av.join(maps, inst, "left").withColumn("attr", F.when(F.col("_m").isNull(), F.col("attr")).otherwise(renamed(F.col("attr"), F.col("_m")))).drop("_m")
+    own = F.struct("attr", F.coalesce(variables(F.col("attr")), F.array().cast("array<string>")).alias("v"))
+    by_use = lambda uses: F.array_distinct(F.flatten(F.transform(F.array_sort(uses), lambda u: u["v"])))  # noqa: E731  an instance's own names
+    new = lambda i: F.concat(F.lit("?o"), (i + 1).cast("string"))
+    held = av.withColumn("_v", by_use(F.collect_list(own).over(Window.partitionBy(inst))))  # one shuffle and one sort, no join
+    maps = F.map_from_arrays("_v", F.transform("_v", lambda x, i: new(i)))
+    rows = held.withColumn("attr", F.when((F.size("_v") == 0) | F.col(inst).isNull(), F.col("attr")).otherwise(renamed(F.col("attr"), maps))).drop("_v")
+    mapping = av.groupBy(inst).agg(by_use(F.collect_list(own)).alias("_v")).select(inst, F.posexplode("_v").alias("_i", "old")).select(inst, "old", new(F.col("_i")).alias("new"))
     return rows, mapping
 
 

@@ -280,6 +280,17 @@ def test_transforms_round_trip(spark):
     assert rows(transforms.restored(std, names, "inst").select("inst", "attr")) == rows(av.select("inst", "attr"))
 
 
+def test_names_are_standardized_by_one_shuffle(spark):
+    data = [(1, '["on","?q","?p"]', "t"), (1, '["c","?p"]', "r"), (1, '["c","?p"]', "s"), (1, None, "n"), (2, "x", "1"), (None, '["c","?z"]', "n"), (3, '["b","?k","?k"]', "u"), (3, '["a","?l",["?k"]]', "v")]
+    av = spark.createDataFrame(data, "inst long, attr string, sval string")
+    std, names = transforms.standardized(av, "inst")
+    got = {(r["inst"], r["sval"]): r["attr"] for r in std.collect()}
+    assert got == {(1, "t"): '["on","?o2","?o1"]', (1, "r"): '["c","?o1"]', (1, "s"): '["c","?o1"]', (1, "n"): None, (2, "1"): "x", (None, "n"): '["c","?z"]', (3, "u"): '["b","?o2","?o2"]', (3, "v"): '["a","?o1",["?o2"]]'}
+    assert sorted(r[1:] for r in names.filter("inst = 3").collect()) == [("?k", "?o2"), ("?l", "?o1")]
+    plan = std.select("attr")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_lists(spark):
     df = spark.createDataFrame([(1, ["x", "y", "z"]), (2, ["q"])], "id long, l array<string>")
     e = transforms.list_elements(df, "id", "l")
