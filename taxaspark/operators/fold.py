@@ -351,6 +351,8 @@ class Bulk:
     def __init__(self, tree: Tree):
         self.tree, self.names, self.numbers, self.possible = tree, None, {}, tree.operations == ("best", "new", "merge", "split")
         self.instances: list[dict] = []
+        self.values: dict[str, dict[str, int]] = {}  # attribute -> value -> its number
+        self.columns: dict[str, list[int]] = {}  # attribute -> each instance's value, by number
         self.paths: dict[int, list[Concept]] = {}
         self.changes, self.wait, self.size = 0, self.START, self.FEW
 
@@ -364,6 +366,9 @@ class Bulk:
             names = sorted(k for k, _ in _visible(x))
             self.names = names if self.names is None else self.names
             self.possible = self.possible and bool(names) and names == self.names and found < self.MOST
+            for k in self.names if self.possible else ():
+                values = self.values.setdefault(k, {})
+                self.columns.setdefault(k, []).append(values.setdefault(x[k], len(values)))
         return found
 
     def fit(self, x: dict) -> None:
@@ -399,6 +404,28 @@ class Bulk:
                 values[v] = n + times
                 c.squares += times * (2 * n + times) if k[:1] != "_" else 0
 
+    def _first(self, gain: np.ndarray, n: np.ndarray, ids: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """For each row and child, whether the row's own child surely comes before it: by its rounded gain, then size, then age.
+
+        Gains are the same numbers as row by row (sums below 2 ** 53); a rounding that is a close call settles nothing.
+        """
+        rows = np.arange(len(child))
+        mine = lambda v: v[rows, child][:, None]
+        units = gain * 10.0**DIGITS
+        whole, clear = np.rint(units), np.abs(units - np.floor(units) - 0.5) > 1e-3
+        both = clear & mine(clear)
+        equal = (gain == mine(gain)) | both & (whole == mine(whole))
+        return (mine(gain) - gain > self.GAP) | both & (mine(whole) > whole) | equal & ((mine(n) > n) | (mine(n) == n) & (ids[child][:, None] < ids))
+
+    def _stays(self, best: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether ``best`` surely is the operation, not the other one: its rounded utility is no smaller.
+
+        Utilities may differ from those of row by row by some 1e-15, a thousandth of the last digit that is kept.
+        """
+        mine, its = (v * 10.0 ** (DIGITS + 3) for v in (best, other))
+        clear = lambda v: np.abs(v - np.floor(v) - 0.5) > 0.02
+        return (best - other > self.UTILITY_GAP) | clear(mine) & clear(its) & (np.rint(mine) >= np.rint(its))
+
     def _level(self, c: Concept, codes: np.ndarray, child: np.ndarray, inner_total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For rows that go through ``c`` into its children of places ``child``: whether each is sure to, and the children's guesses before it.
 
@@ -411,13 +438,14 @@ class Bulk:
         before = lambda v: np.cumsum(v, axis=0) - v
         own, mine = np.zeros((m, len(kids)), np.int64), np.zeros(m, np.int64)  # counts of the row's values in the children, in c
         for name in self.names:
-            values, code = np.unique(np.array([self.instances[p][name] for p in range(len(self.instances))])[codes], return_inverse=True)
+            values, code = self.values[name], np.array(self.columns[name], np.int16)[codes]
             order = np.argsort(code, kind="stable")
-            starts = np.searchsorted(code[order], np.arange(len(values)))
+            code = code[order]
+            first = np.searchsorted(code, np.arange(len(values)))[code]
             runs = before(into[order])
-            held = np.array([[k.nominal.get(name, {}).get(v, 0) for k in kids] for v in values.tolist()], np.int64)
-            own[order] += runs - runs[starts][code[order]] + held[code[order]]
-            mine[order] += rows - starts[code[order]] + np.array([c.nominal.get(name, {}).get(v, 0) for v in values.tolist()], np.int64)[code[order]]
+            held = np.array([[k.nominal.get(name, {}).get(v, 0) for k in kids] for v in values], np.int64)
+            own[order] += runs - runs[first] + held[code]
+            mine[order] += rows - first + np.array([c.nominal.get(name, {}).get(v, 0) for v in values], np.int64)[code]
         n = np.array([k.n for k in kids]) + before(into)
         s = np.array([k.squares for k in kids]) + before(into * (2 * own + a))
         plain, new = s / (n * a), (s + 2 * own + a) / ((n + 1) * a)
@@ -426,12 +454,12 @@ class Bulk:
         gain, total, k = new - plain, plain.sum(axis=1), len(kids)
         others = into == 0
         other = np.where(others, gain, -np.inf)
-        sure = gain[rows, child] - other.max(axis=1) > self.GAP
+        sure = (self._first(gain, n, np.array([d.id for d in kids]), child) | ~others).all(axis=1)
         best = (total - plain[rows, child] + new[rows, child] - up) / ((n_c + 1) * k)
-        sure &= best - (total + 1.0 - up) / ((n_c + 1) * (k + 1)) > self.UTILITY_GAP
+        sure &= self._stays(best, (total + 1.0 - up) / ((n_c + 1) * (k + 1)))
         with np.errstate(invalid="ignore"):
             split = (total - plain[rows, child] + inner_total - up_plain) / (n_c * (k - 1 + np.array([len(d.children) for d in kids])[child]))
-            sure &= ~(best - split <= self.UTILITY_GAP)
+            sure &= np.isnan(split) | self._stays(best, split)
         if k > 2:
             pair = into[:, :, None] * own[:, None, :]
             product = np.array([[self.tree._common(d, e) if d is not e else 0 for e in kids] for d in kids]) + before(pair + pair.transpose(0, 2, 1))
@@ -439,7 +467,7 @@ class Bulk:
             fused = (row(s) + s + 2 * product[rows, child] + 2 * (row(own) + own) + a) / ((row(n) + n + 1) * a)
             merged = (total[:, None] - row(plain) - plain + fused - up[:, None]) / ((n_c + 1) * (k - 1))[:, None]
             second = others & (other >= other.max(axis=1)[:, None] - self.GAP)
-            sure &= ~(second & (best[:, None] - merged <= self.UTILITY_GAP)).any(axis=1)
+            sure &= (self._stays(best[:, None], merged) | ~second).all(axis=1)
         return sure, total
 
     def _sure(self, codes: np.ndarray) -> int:

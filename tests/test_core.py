@@ -462,6 +462,32 @@ def test_most_rows_are_learned_many_at_a_time():
     assert len(fits) < 10_000 and list(tree.rows("t")) == row_by_row(data)
 
 
+@pytest.mark.parametrize("sizes", [(3, 1), (2, 2), (1, 3)])
+def test_ties_are_settled_many_rows_at_a_time(sizes):
+    """Copies in two leaves under one concept: equal gains, and all utilities are zero there."""
+    xs = [{"a": "x", "b": "1"}, {"a": "y", "b": "2"}, {"a": "z", "b": "3"}]
+    tree = fold.Tree()
+    for x in xs * 3:
+        tree.fit(x)
+    leaf = tree.fit(xs[0])
+    assert leaf.n == 4
+    for n in sizes:
+        c = tree._new()
+        c.parent = leaf
+        leaf.children.append(c)
+        for _ in range(n):
+            tree.add(c, xs[0])
+    bulk, one = fold.Bulk(tree), pickle.loads(pickle.dumps(tree))
+    codes = fold.np.array([bulk.number(json.dumps(x)) for x in xs * 50])
+    assert all(bulk._look(p) for p in range(3))
+    assert bulk._sure(codes) == len(codes)
+    bulk.wait = 0
+    bulk.learn(codes)
+    for x in xs * 50:
+        one.fit(x)
+    assert list(tree.rows("t")) == list(one.rows("t"))
+
+
 @pytest.mark.parametrize("wide", [2, 1000])
 def test_children_scored_as_arrays_are_placed_alike(monkeypatch, wide):
     rnd = random.Random(9)
