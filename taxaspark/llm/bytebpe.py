@@ -207,14 +207,20 @@ def _as_found(piece: str) -> str:
     return piece if piece[:1] == "\n" else " " + piece
 
 
+def _one_word(piece: str) -> bool:
+    """Whether a piece is one word for certain: letters that every version of Unicode has."""
+    return piece.isalpha() and (piece.isascii() or max(piece) < "ɐ")
+
+
 def _count(batches, pattern: str):
     """Short words and their numbers; a word may come more than once. Each distinct piece of texts is split once for many."""
     words_of, words, pieces = regex.compile(pattern).findall, Counter(), Counter()
 
     def rows() -> pa.RecordBatch:
+        had = words.get
         for piece, n in pieces.items():
-            for w in words_of(_as_found(piece)):
-                words[w] += n
+            for w in (" " + piece,) if _one_word(piece) else words_of(_as_found(piece)):
+                words[w] = had(w, 0) + n
         short = [w for w in words if len(w) <= SHORT]
         out = pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array([words[w] for w in short], pa.int64())], ["w", "n"])
         words.clear()
@@ -321,8 +327,25 @@ def _gathered(which: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[n
     return n, flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _assemble(batches, files: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """doc_id, ids of each document of the blocks: the ids of its words one after the other."""
+@lru_cache(maxsize=1)
+def _token_texts(path: str) -> tuple[pa.Array, pa.Array]:
+    """(bytes of each token, its id in decimal after a space), by id."""
+    ranks = rank_file(path)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, r in ranks.items():
+        tokens[r] = token
+    return pa.array(tokens, pa.binary()), pa.array([b" %d" % i for i in range(len(tokens))], pa.binary())
+
+
+def _strung(items: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The items of the ids between neighbouring ``ends``, each run's concatenated: what they hold lies in one buffer already."""
+    taken = items.take(pa.array(ids))
+    offsets = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset :][ends]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), taken.buffers()[2]])
+
+
+def _assemble(batches, files: tuple[str, ...], path: str | None = None) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids of each document of the blocks: the ids of its words one after the other; with a rank file, their text (after a space) and bytes too."""
     sizes, flat = _known_ids(files)
     for batch in batches:
         for k in range(batch.num_rows):
@@ -330,13 +353,20 @@ def _assemble(batches, files: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
             own = [(np.diff(x.offsets.to_numpy()).astype(np.int64), x.flatten().to_numpy(zero_copy_only=False).astype(np.int32)) for x in (one["ids"].flatten(), one["long"].flatten())]
             n, ids = _gathered(np.frombuffer(one["refs"][0].as_py(), "<i4").astype(np.int64), np.concatenate([sizes, *[x for x, _ in own]]), np.concatenate([flat, *[x for _, x in own]]))
             ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(one["counts"].flatten().to_numpy(), dtype=np.int64)])]
-            yield pa.RecordBatch.from_arrays([one["docs"].flatten(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
+            out = {"doc_id": one["docs"].flatten(), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))}
+            if path is not None:
+                tokens, decimal = _token_texts(path)
+                out |= {"written": _strung(decimal, ids, ends).view(pa.string()), "decoded": _strung(tokens, ids, ends)}
+            yield pa.RecordBatch.from_pydict(out)
     release_memory()
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, limit: int = DICTIONARY) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, limit: int = DICTIONARY, strings: bool = False) -> DataFrame:
     """doc_id, ids of every whole text; a null text is empty and has no ids.
 
+    ``strings``: also what the ids are as text, ``written`` (in decimal, joined by one space), and the bytes they decode
+    to, ``decoded``; for all tokens of a block that is quicker than by column expressions.
+
     Repeated rows are encoded one by one; an empty table gives no rows; other columns aren't read, whatever their names.
     Texts and words may be of any length; a task's memory follows the longest one.
     """
@@ -346,7 +376,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, limit: int = DICTIONA
     files = tuple(sorted(known.inputFiles()))
     blocks = rows.mapInArrow(partial(_split, pattern=pattern, files=files, path=ranks_path), BLOCKS)
     folded = blocks.select("docs", "counts", "refs", "long", ranks.folded(F.col("words")).alias("ids"))
-    return folded.mapInArrow(partial(_assemble, files=files), "doc_id long, ids array<int>")
+    out = folded.mapInArrow(partial(_assemble, files=files, path=ranks_path if strings else None), "doc_id long, ids array<int>" + (", written string, decoded binary" if strings else ""))
+    return out.withColumn("written", F.ltrim("written")) if strings else out
 
 
 def decode(ids: Column, ranks: Ranks) -> Column:

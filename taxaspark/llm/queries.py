@@ -59,10 +59,8 @@ def op6_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = vocabulary("byte_bpe_50k.tiktoken")
-    encoded = bytebpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    text = F.array_join(F.col("ids").cast("array<string>"), " ")
-    decoded = bytebpe.decode(F.col("ids"), bytebpe.ranks_of(path))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+    encoded = bytebpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, strings=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("written", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

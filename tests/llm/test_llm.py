@@ -394,6 +394,16 @@ def test_byte_bpe(spark, empty, limit):
         assert bytebpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_strings_are_what_the_ids_say(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(i, t) for i, t in enumerate([None, "", "a b", "é́中\n ß", "x" * 300, " ", *("word%d " % i * (i % 7) for i in range(40))])]
+    df = bytebpe.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, public_tokenizers.PATTERN, 20, strings=True)
+    got = df.withColumn("d", bytebpe.decode(F.col("ids"), bytebpe.ranks_of(path))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["written"] == " ".join(map(str, r["ids"])) and bytes(r["decoded"]) == bytes(r["d"]) == (dict(rows)[r["doc_id"]] or "").encode()
+
+
 def test_long_words_merge_alike():
     enc, ranks = library_bpe()
     rnd = random.Random(12)
