@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from taxaspark.llm.common import let, release_memory, stored, text_or_empty
 from taxaspark.llm.encoding import ODD_SPACE, batches_of
 
-#: Most words in the dictionary, and the most characters of one: some 80 MB in a worker at most.
-DICTIONARY, SHORT = 400_000, 24
+#: Most words in the dictionary, and the most characters of one: some 120 MB in a worker at most.
+DICTIONARY, SHORT = 600_000, 24
 #: Bytes up to which a word is folded by Spark.
 LONG = 256
 #: Characters of texts whose words are folded together, and distinct words that a task counts before it hands them on.
@@ -123,6 +123,7 @@ class Ranks:
         """
         token = lambda x: x.bitwiseAND(F.lit(NO_RANK)).cast("int")
         rest = (1 << WIDTH + PLACE) - 1
+        places = rest - NO_RANK
 
         def ranked(left: Column, right: Column) -> Column:
             return F.shiftleft(self.merged(shift, table, left, right), WIDTH + PLACE)
@@ -138,7 +139,7 @@ class Ranks:
                     after = F.slice(acc, i + 3, F.size(acc))
                     return F.when(i == 0, F.concat(F.array(one), after)).otherwise(F.concat(F.slice(acc, F.lit(1), i - 1), F.array(before, one), after))
 
-                return F.when(merged == NO_RANK, acc).otherwise(let(F.array_position(acc, v).cast("int") - 1, joined))
+                return F.when(merged == NO_RANK, acc).otherwise(let(F.size(F.filter(acc, lambda x: x.bitwiseAND(F.lit(places)) < v.bitwiseAND(F.lit(places)))), joined))
 
             return let(F.array_min(acc), at)
 

@@ -394,6 +394,12 @@ def test_byte_bpe(spark, empty, limit):
         assert bytebpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_folds_half_a_million_frequent_words_once(spark):
+    plain = type("Plain", (), {"bound": lambda self, use: F.array(F.lit(1))})()
+    texts = spark.range(5000, numPartitions=4).selectExpr("array_join(transform(sequence(0, 99), i -> concat('w', translate(string(id * 100 + i), '0123456789', 'abcdefghij'))), ' ') AS text")
+    assert bytebpe.dictionary(texts.unionAll(texts), public_tokenizers.PATTERN, plain).count() == 500_000
+
+
 def test_byte_bpe_strings_are_what_the_ids_say(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = [(i, t) for i, t in enumerate([None, "", "a b", "é́中\n ß", "x" * 300, " ", *("word%d " % i * (i % 7) for i in range(40))])]
