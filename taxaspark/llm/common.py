@@ -61,13 +61,15 @@ def by_weight(sizes: DataFrame, size: str = "size", heavy: int | None = None, to
     return sizes.filter(F.col(size) > cut), sizes.filter(F.col(size) <= cut)
 
 
-def joined(rows: DataFrame, marks: DataFrame, on: list[str], size: str = "size", total: int | None = None) -> DataFrame:
+def joined(rows: DataFrame, marks: DataFrame, on: list[str], size: str = "size", total: int | None = None, merge: bool = False) -> DataFrame:
     """``rows`` joined with ``marks`` (unique in ``on``; ``size``: the rows of a key, not kept).
 
     Rows of heavy keys stay where they are and meet a broadcast of under ``HEAVY`` marks; only the others are shuffled,
-    so no task gets more than 1 / ``HEAVY`` of all rows (of ``total``, if given) for one key.
+    so no task gets more than 1 / ``HEAVY`` of all rows (of ``total``, if given) for one key. ``merge``: for tables that
+    come of an explode, whose rows Spark doesn't foresee; the light keys are never broadcast, however small they seem.
     """
     heavy, light = (F.broadcast(x.drop(size)) if i == 0 else x.drop(size) for i, x in enumerate(by_weight(marks, size, total=total)))
+    light = light.hint("merge") if merge else light
     return rows.join(heavy, on).unionByName(rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on))
 
 

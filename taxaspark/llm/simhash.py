@@ -158,7 +158,7 @@ def links(classes: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFra
     choices = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(blocks, bits))])).alias("c")
     filed = classes.select("fp", choices).select("fp", "c.choice", "c.key")
     shared = filed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = joined(filed, shared.withColumn("size", F.col("n")), ["choice", "key"]).withColumn("g", F.ceil(F.col("n") / BLOCK_ROWS))
+    members = joined(filed, shared.withColumn("size", F.col("n")), ["choice", "key"], merge=True).withColumn("g", F.ceil(F.col("n") / BLOCK_ROWS))
     mine = F.pmod(F.xxhash64("fp"), F.col("g"))
     dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     dealt = dealt.select("choice", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "fp")

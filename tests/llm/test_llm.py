@@ -578,3 +578,10 @@ def test_chat_offsets_across_blocks(spark, monkeypatch):
     for p in "ab":
         got = chat.perspectives(df).filter(F.col("perspective") == p).orderBy("turn").collect()
         assert [r["start"] for r in got] == [0, *[r["stop"] for r in got[:-1]]]
+
+
+def test_what_comes_of_an_explode_is_never_broadcast(spark):
+    """Spark sizes it by its input, so 8 million rows may seem to be a few MB; only the few heavy keys are broadcast."""
+    df = spark.range(200).selectExpr("id * 7919 AS fp")
+    plan = simhash.links(df)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 2
