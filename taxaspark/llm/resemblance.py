@@ -137,7 +137,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     close = close.select(F.col("a").alias("x"), F.col("b").alias("y")).join(end("x", "a"), "x").join(end("y", "b"), "y").select("a", "b")
     filed = classes.select("__node", F.explode("__keys").alias("key"))
     heads = filed.groupBy("key").agg(F.min("__node").alias("a"), F.max("__node").alias("top"), F.count(F.lit(1)).alias("size")).filter("a < top").select("key", "a", "size")
-    stars = joined(filed, heads, ["key"]).filter("a <> __node").select("a", F.col("__node").alias("b")).distinct()
+    stars = joined(filed, heads, ["key"], merge=True).filter("a <> __node").select("a", F.col("__node").alias("b")).distinct()
     found = components(stars.unionByName(equal).unionByName(close))
     discard(firsts)
     return found

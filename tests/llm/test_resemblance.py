@@ -85,3 +85,12 @@ def test_stage_takes_fingerprints_of_the_shingles(spark):
     text = " ".join(f"w{i % 31}" for i in range(70))
     r = resemblance._marked(spark.createDataFrame([(1, text, "e", "s", 1), (2, None, "e", "s", 0)], SCHEMA), 5).orderBy("doc_id").collect()
     assert r[0]["__print"] % (1 << 64) == simhash.majority(resemblance.shingles(text)) and r[1]["__print"] == 0
+
+
+def test_exploded_keys_are_never_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(resemblance, "components", lambda links: links)
+    monkeypatch.setattr(resemblance, "discard", lambda *tables: None)
+    monkeypatch.setattr(simhash, "links", lambda classes: classes.select(classes["fp"].alias("a"), classes["fp"].alias("b")))
+    classes = spark.range(50).selectExpr("id AS __node", "array(id % 5, id) AS __keys", "id AS __print")
+    plan = resemblance.candidates(classes)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
