@@ -507,3 +507,24 @@ def test_a_pickled_tree_goes_on_alike(monkeypatch):
         tree = pickle.loads(pickle.dumps(tree)) if i % 50 == 0 else tree
         tree.fit(x)
     assert list(tree.rows("t")) == row_by_row(data) and not pickle.loads(pickle.dumps(tree)).root.shared
+
+
+def test_a_row_scores_a_concept_once(monkeypatch):
+    """On its way down a row had scored the children of the best child twice, and each concept once more as a parent."""
+    rnd, scored, score = random.Random(9), [], fold.Tree._guesses
+
+    def noted(self, kids, x):
+        scored.extend(map(id, kids))
+        both = [score(self, k, x) for k in kids]
+        return [b[0] for b in both], [b[1] for b in both]
+
+    data = [{"a": rnd.choice("123456789"), "b": str(rnd.randrange(40)), "v": round(rnd.expovariate(0.05), 2)} for _ in range(300)]
+    want = row_by_row(data)
+    monkeypatch.setattr(fold.Tree, "_all_guesses", noted)
+    tree = fold.Tree()
+    for x in data:
+        scored.clear()
+        before = tree.changes
+        tree.fit(x)
+        assert tree.changes > before or len(scored) == len(set(scored))
+    assert list(tree.rows("t")) == want  # one by one, with the same results
