@@ -43,11 +43,14 @@ def partial_matches(target: DataFrame, base: DataFrame, mapping: DataFrame | Non
         rows = rows.join(held, "inst", "left").filter(F.col("_m").isNull() | F.forall("_b", lambda p: F.coalesce(F.element_at("_m", p["o"]) == p["n"], F.lit(True)))).drop("_b", "_m")
     sizes = base.groupBy(F.col("attr").alias("base_attr")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_g"))
     dealt = base.select("concept", F.col("attr").alias("base_attr")).join(sizes, "base_attr").withColumn("_g", F.pmod(F.xxhash64("concept"), F.col("_g")))
-    blocks = dealt.groupBy("base_attr", "_g").agg(F.collect_list(F.struct("concept")).alias("_c")).drop("_g")  # some BLOCK concepts
-    return _spread(rows, blocks, "base_attr").select("inst", "attr", F.explode("_c").alias("_c"), "base_attr", "consistent").select("inst", "attr", "_c.concept", "base_attr", "consistent")
+    blocks = dealt.groupBy("base_attr", "_g").agg(F.collect_list(F.struct("concept"))["concept"].alias("_c")).drop("_g")  # some BLOCK concepts, nulls too
+    return _spread(rows, blocks, "base_attr").select("inst", "attr", F.explode("_c").alias("concept"), "base_attr", "consistent")
 
 
 def _spread(rows: DataFrame, marks: DataFrame, on: str) -> DataFrame:
-    """``rows`` (inst, ...) joined with ``marks``, a copy of which goes to each of the shares that a key's rows are dealt to."""
+    """``rows`` (inst, ...) joined with ``marks``, a copy of which goes to each of the shares that a key's rows are dealt to.
+
+    By a merge join: rows that come of an explode seem few to Spark, which would broadcast them to the few tasks of ``marks``.
+    """
     copies = marks.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    return rows.withColumn("_share", F.pmod(F.xxhash64("inst"), F.lit(SHARES)).cast("int")).join(copies, [on, "_share"]).drop("_share")
+    return rows.withColumn("_share", F.pmod(F.xxhash64("inst"), F.lit(SHARES)).cast("int")).join(copies.hint("merge"), [on, "_share"]).drop("_share")

@@ -11,7 +11,7 @@ from taxaspark.functions import choice
 from taxaspark.functions import moments as M
 from taxaspark.functions.choice import most_likely, sampled
 from taxaspark.operators import descent, fold, mapping
-from taxaspark.plans import evaluate, measures, transforms, trees
+from taxaspark.plans import evaluate, measures, transforms, trees, unify
 from taxaspark.schema import checked, inner_attr, is_hidden, long_table
 from taxaspark.sources import files
 
@@ -528,3 +528,11 @@ def test_a_row_scores_a_concept_once(monkeypatch):
         tree.fit(x)
         assert tree.changes > before or len(scored) == len(set(scored))
     assert list(tree.rows("t")) == want  # one by one, with the same results
+
+
+def test_rows_to_match_are_not_broadcast_to_the_tasks_of_the_few_pairs(spark):
+    target = spark.range(100).selectExpr("id AS inst", "explode(array('[\"near\",\"?a\"]', '[\"far\",\"?a\"]')) AS attr")
+    base = spark.range(9).selectExpr("id AS concept", "explode(array('[\"near\",\"?x\"]')) AS attr")
+    found = unify.partial_matches(target, base)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 2
+    assert found.count() == 900
